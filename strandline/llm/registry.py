@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandline.llm import chat_examples, host_rules, sql
+from strandline.llm import chat_examples, host_rules, near_copies, sql
 
 
 def queries() -> dict:
     return {
         "op1_host_rules": host_rules.op1_host_rules,
+        "op2_near_copies": near_copies.op2_near_copies,
         "op7_chat_examples": chat_examples.op7_chat_examples,
     }
 
