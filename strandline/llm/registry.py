@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from strandline.llm import chat_examples, host_rules, near_copies, sql
+from strandline.llm import bpe_queue, chat_examples, host_rules, near_copies, sequence_packing, sql
 
 
 def queries() -> dict:
     return {
         "op1_host_rules": host_rules.op1_host_rules,
         "op2_near_copies": near_copies.op2_near_copies,
+        "op5_sequence_packing": sequence_packing.op5_sequence_packing,
         "op7_chat_examples": chat_examples.op7_chat_examples,
+        "op9_bpe_round_trip": bpe_queue.op9_bpe_round_trip,
     }
 
 
