@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe_queue, chat_examples, host_rules, language_tree, near_copies, sequence_packing, sql
+from strandline.llm import bpe_queue, chat_examples, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql
 
 
 def queries() -> dict:
     return {
         "op1_host_rules": host_rules.op1_host_rules,
         "op2_near_copies": near_copies.op2_near_copies,
+        "op3_line_crf": line_crf.op3_line_crf,
         "op4_language_tree": language_tree.op4_language_tree,
         "op5_sequence_packing": sequence_packing.op5_sequence_packing,
         "op7_chat_examples": chat_examples.op7_chat_examples,
