@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe_queue, chat_examples, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql
+from strandline.llm import bpe_queue, chat_examples, count_filter, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_crf": line_crf.op3_line_crf,
         "op4_language_tree": language_tree.op4_language_tree,
         "op5_sequence_packing": sequence_packing.op5_sequence_packing,
+        "op6_count_filter": count_filter.op6_count_filter,
         "op7_chat_examples": chat_examples.op7_chat_examples,
         "op9_bpe_round_trip": bpe_queue.op9_bpe_round_trip,
     }
