@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe_queue, chat_examples, count_filter, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql
+from strandline.llm import bpe_queue, chat_examples, close_vectors, count_filter, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_sequence_packing": sequence_packing.op5_sequence_packing,
         "op6_count_filter": count_filter.op6_count_filter,
         "op7_chat_examples": chat_examples.op7_chat_examples,
+        "op8_close_vectors": close_vectors.op8_close_vectors,
         "op9_bpe_round_trip": bpe_queue.op9_bpe_round_trip,
     }
 
