@@ -1,6 +1,58 @@
-STAGES = []
+"""A training-data pipeline over documents: quality classifier, quality rules, near-dedup, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and returns what the next one gets after it was written and read again. The
+first three return the columns of documents, for the documents that stay; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import host_rules, line_crf, near_copies, sequence_packing
+from strandline.llm.shared import stash, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines the random field finds good on the whole (score of 0.5 or more)."""
+    scored = line_crf.score_documents(docs, line_crf.not_held_out(table(spark, sf_dir, "labels")), carry=COLUMNS)
+    return scored.where("score >= 0.5").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and their host's verdict keep."""
+    return host_rules.apply_host_rules(docs).where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id."""
+    kept = near_copies.near_copies(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return found.select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers as public
+
+    return sequence_packing.pack_documents(docs, public.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The field and the shingle hashes have no SQL form; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

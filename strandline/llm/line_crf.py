@@ -216,15 +216,16 @@ def learn(docs: DataFrame, known: DataFrame, max_docs: int = 2000, seed: int = 3
     return {"w": w, "move": move, "curve": fit_curve(s, good)}
 
 
-def score_documents(docs: DataFrame, known: DataFrame, max_docs: int = 2000, keep_lines: bool = False) -> DataFrame:
-    """doc_id, score, and bad_lines (the marginal of every line) if asked, of every row of docs(doc_id, text)."""
+def score_documents(docs: DataFrame, known: DataFrame, max_docs: int = 2000, keep_lines: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of carry, score, and bad_lines (the marginal of every line) if asked, of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, known, max_docs))  # some dozens of numbers
+    n = len(carry)
 
     def run(batches):
         m = model.value
         for b in batches:
             scores, lines = [], []
-            for text in b.column(1):
+            for text in b.column(n):
                 if m is None:
                     scores.append(0.5)
                     lines.append(None)
@@ -233,10 +234,12 @@ def score_documents(docs: DataFrame, known: DataFrame, max_docs: int = 2000, kee
                 p = bad_marginals(x, m["w"], m["move"])
                 scores.append(float(1 / (1 + np.exp(-np.clip(summary(p, size) @ m["curve"], -30, 30)))))
                 lines.append(p.tolist() if keep_lines else None)
-            yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(scores, pa.float64()), "bad_lines": pa.array(lines, pa.list_(pa.float64()))})
+            cols = [*b.columns[:n], pa.array(scores, pa.float64()), pa.array(lines, pa.list_(pa.float64()))]
+            yield pa.record_batch(cols, names=[*carry, "score", "bad_lines"])
 
-    d = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    d = d.mapInArrow(run, "doc_id bigint, score double, bad_lines array<double>")
+    d = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:n])
+    d = d.mapInArrow(run, f"{schema}, score double, bad_lines array<double>")
     return d if keep_lines else d.drop("bad_lines")
 
 

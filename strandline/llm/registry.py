@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe_queue, chat_examples, close_vectors, count_filter, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql
+from strandline.llm import bpe_queue, chat_examples, close_vectors, count_filter, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql, warc_derivatives
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_chat_examples": chat_examples.op7_chat_examples,
         "op8_close_vectors": close_vectors.op8_close_vectors,
         "op9_bpe_round_trip": bpe_queue.op9_bpe_round_trip,
+        "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
     }
 
 
