@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_SQL: dict = {}
+from strandline.plans import events, graphs, rows, rules, summaries, texts
+from strandline.plans.registry import QUERIES, SQL
+
+MODULES = (rows, summaries, events, texts, graphs, rules)
 
 
 def queries() -> dict:
-    return _QUERIES
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return _SQL
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
