@@ -225,16 +225,16 @@ def latest_revision_asof(spark, d):
 
 
 @query("""
-SELECT a.l_orderkey, a.l_linenumber AS line, list_sort(list(b.l_linenumber))::VARCHAR AS competing FROM lineitem a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber <> b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber
+SELECT a.l_orderkey, a.l_suppkey, a.l_linenumber AS line, list_sort(list(DISTINCT b.l_linenumber))::VARCHAR AS competing FROM lineitem a JOIN lineitem b
+  ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber <> b.l_linenumber GROUP BY ALL
 """)
 def parallel_edges(spark, d):
     """Lines of an order that share their supplier, each with its competitors."""
     x = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    by = x.groupBy("l_orderkey", "l_suppkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("all")).where(F.size("all") > 1)
-    each = by.select("l_orderkey", "all", F.explode("all").alias("line"))
+    by = x.groupBy("l_orderkey", "l_suppkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("all")).where(F.size("all") > 1)
+    each = by.select("l_orderkey", "l_suppkey", "all", F.explode("all").alias("line"))
     others = F.array_except("all", F.array("line"))
-    return each.where(F.size(others) > 0).select("l_orderkey", "line", F.concat(F.lit("["), F.array_join(others.cast("array<string>"), ", "), F.lit("]")).alias("competing"))
+    return each.where(F.size(others) > 0).select("l_orderkey", "l_suppkey", "line", F.concat(F.lit("["), F.array_join(others.cast("array<string>"), ", "), F.lit("]")).alias("competing"))
 
 
 @query("""
