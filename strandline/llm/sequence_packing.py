@@ -6,8 +6,9 @@
    whose configurations hold every length often enough - is solved approximately by multiplicative weights: a knapsack
    DP over the weights prices all fillings, every length's best configuration within `eps` of the optimum gains a
    share, and covered lengths lose weight. Shares are rounded down to whole sequences, the rest of the histogram goes
-   through the program again, and what rounding leaves is packed best-fit decreasing. All of it works on counts by
-   length, so the plan costs the same for any number of documents.
+   through the program again, and what rounding leaves is packed best-fit decreasing. Of some ways of rounding the one
+   with the fewest sequences is taken. All of it works on counts by length, so the plan costs the same for any number of
+   documents.
 3. The plan gives each length runs of ranks: rank r of length l has its sequence and offset. Pieces get ranks within
    their length by a window over (length, salt), the salts chosen so that a group stays small even if one length has a
    third of all rows.
@@ -193,15 +194,15 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple, int]]:
     return [x for every in gaps.values() for x in every]
 
 
-def plan(counts: np.ndarray, size: int, rounds: int = 3) -> list[tuple[tuple, int]]:
-    """Configurations and how many sequences of each; they hold every length exactly counts times."""
+def rounded(counts: np.ndarray, size: int, fill: float, rounds: int = 3) -> list[tuple[tuple, int]]:
+    """Whole sequences of the program's solution that are at least so full, in rounds over what is left; the rest best-fit."""
     left, out = counts.astype(np.int64).copy(), []
     for _ in range(rounds):
         shares = configuration_shares(left, size)
         before = int(left.sum())
         for c, share in sorted(shares.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
             n = min([int(share), *(int(left[x]) // c.count(x) for x in set(c))])
-            if n and sum(c) >= 0.98 * size:
+            if n and sum(c) >= fill * size:
                 out.append((c, n))
                 for x in c:
                     left[x] -= n
@@ -210,6 +211,24 @@ def plan(counts: np.ndarray, size: int, rounds: int = 3) -> list[tuple[tuple, in
     return out + best_fit(left, size)
 
 
+def plan(counts: np.ndarray, size: int) -> list[tuple[tuple, int]]:
+    """Configurations and how many sequences of each; they hold every length exactly counts times.
+
+    The solution is rounded with several demands on how full a sequence is; where lengths are large and waste cannot be
+    helped, the strictest (nothing is fixed, all lengths best-fit) may win. The fewest sequences count.
+    """
+    least = -(-int((counts * np.arange(size + 1)).sum()) // size)
+    best, fewest = None, 0
+    for fill in (0.98, 0.999, 1.0, None):
+        tried = best_fit(counts.astype(np.int64), size) if fill is None else rounded(counts, size, fill)
+        n = sum(k for _, k in tried)
+        if best is None or n < fewest:
+            best, fewest = tried, n
+        if n == least:  # no plan can do better
+            break
+    return best
+
+
 def _runs(configs: list[tuple[tuple, int]], size: int) -> dict[str, np.ndarray]:
     """By length and first rank: how a rank finds its sequence and offset."""
     rows, used, base = [], np.zeros(size + 1, np.int64), 0
