@@ -266,11 +266,13 @@ def count_filter_scores(docs: DataFrame, chunk_bytes: int = 4 << 20, bits: float
             held = 0
         groups[-1].append(r["shard"])
         held += r["size"] // 8
-    # unigram levels come first: each pass below needs them for its bigrams' histories
+    # a shard without training n-grams has an empty filter, which says that all is absent
+    empty = {s: (64, np.zeros(8, np.uint8)) for s in set(range(shards)).difference(*groups)}
     passes = []
     for group in groups:
         rows = filters.where(F.col("shard").isin(group)).toArrow()
-        passes.append(spark.sparkContext.broadcast({s: (n, np.frombuffer(f, np.uint8)) for s, n, f in zip(rows["shard"].to_pylist(), rows["size"].to_pylist(), rows["bits"].to_pylist())}))
+        passes.append(spark.sparkContext.broadcast(empty | {s: (n, np.frombuffer(f, np.uint8)) for s, n, f in zip(rows["shard"].to_pylist(), rows["size"].to_pylist(), rows["bits"].to_pylist())}))
+        empty = {}
     known = chunks
     if len(passes) > 1:  # levels of the chunks' vocabularies, a part of the filter at a time
         grown = [chunks.mapInArrow(_vocabulary_levels(p, probes, shards), "chunk string, levels binary") for p in passes]
