@@ -1,19 +1,18 @@
 """Operator 2: near-duplicate documents by SuperMinHash, banding, verification and union-find.
 
-1. A pass over the texts makes each document's sketch: the size and a 128-bit digest of its shingle set, a SuperMinHash
-   signature and its band keys. SuperMinHash walks a random permutation of the slots for each shingle, so slots share
-   their shingles' ranks without replacement; the walk stops at the level that can no longer lower any slot.
+1. A pass over the texts makes each document's sketch: the size and a 128-bit digest of its shingle set, and the band
+   keys of its SuperMinHash signature. SuperMinHash walks a random permutation of the slots for each shingle, so slots
+   share their shingles' ranks without replacement; the walk stops at the level that can no longer lower any slot.
 2. Documents with equal sets collapse to the smallest id (partial minima; thousands of copies cost one row a task).
-3. Representatives meet in band buckets. A bucket's members are compared with pivots only: those whose hash falls
-   under a share of 1/size, then 16/size, and so on, until every member has been a pivot; from the second round on,
-   only pairs of different components. So every pair that shares a bucket is either compared or already connected,
-   and a bucket of near copies costs a few times its size instead of its square. There is no cap.
-4. Pairs whose sizes or signatures could still reach the threshold are verified exactly on full shingle sets, made
-   again from the texts.
-5. Verified links give components (large-star and small-star steps).
+3. Representatives that share a band bucket are candidates. Each bucket is named by its member of least hash, and
+   buckets of one name form one block, so the members of a group of near copies, which share most of their buckets,
+   meet in a few blocks and not in one for each band. A block is dealt into parts of bounded size, and every two parts
+   meet in one task: there is no cap, and no pair is ever a row.
+4. In a task the full shingle sets of two parts, made again from the texts, are intersected exactly. Only a spanning
+   star of each connected piece of its links leaves a task.
+5. Links give components (large-star and small-star steps).
 
-With 24 bands of 4 slots a link at similarity 0.8 is missed with a chance of 3e-6; the signature filter at an
-estimate of 0.55 (six standard deviations under 0.8) misses about 1e-9 more.
+With 24 bands of 4 slots a link at similarity 0.8 shares no bucket with a chance of 3e-6.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing. Rows with a
 null id link with nothing and are kept. Repeated rows share their id and so their component. An empty table gives an
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import textkit
-from strandline.llm.components import connected_components
+from strandline.llm.components import connected_components, stars
 from strandline.llm.shared import stash, table
 
 BANDS, ROWS = 24, 4
@@ -78,99 +77,125 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64()))])
+#: What one side of a comparison holds at most, in documents and in shingles (or one document).
+PART_DOCS, PART_SHINGLES = 1024, 1 << 19
+
+
+def set_key(shingles: np.ndarray) -> str:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
 
 def sketcher(shingle: int):
     def run(batches):
         for b in textkit.slices(batches, "text"):
-            out = [[] for _ in range(4)]
+            out = [[] for _ in range(3)]
             for s in textkit.shingle_sets(*textkit.word_hashes(b.column(1)), shingle):
                 out[0].append(len(s))
-                if len(s):
-                    h = superminhash(s)
-                    out[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-                    out[2].append(textkit.mix(h.view(np.uint64)).astype(np.uint8).tobytes())
-                    out[3].append(band_keys(h))
-                else:
-                    for x in out[1:]:
-                        x.append(None)
+                out[1].append(set_key(s) if len(s) else None)
+                out[2].append(band_keys(superminhash(s)) if len(s) else None)
             yield pa.record_batch([b.column(0), *[pa.array(x, f.type) for x, f in zip(out, list(_SKETCH)[1:])]], schema=_SKETCH)
 
     return run
 
 
-def verifier(shingle: int, percent: int):
-    """Keeps the pairs (a, b, ta, tb) whose shingle sets reach the similarity; rows come in order of a."""
+_MEMBER = "pivot bigint, i int, j int, side int, id bigint, shingles binary"
+
+
+def dealer(shingle: int):
+    """A row for each meeting of each representative, with its set; rows come with text, set_key and meetings."""
 
     def run(batches):
-        last, kept = None, None
-        for b in textkit.slices(batches, "tb", 1 << 20):
-            ids = b.column(0).to_pylist()
-            other = textkit.shingle_sets(*textkit.word_hashes(b.column(3)), shingle)
-            texts, keep = b.column(2), []
-            for i, (a, y) in enumerate(zip(ids, other)):
-                if a != last:
-                    last, kept = a, next(textkit.shingle_sets(*textkit.word_hashes(texts.slice(i, 1)), shingle))
-                both = np.concatenate([kept, y])
-                both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * same >= percent * (len(kept) + len(y) - same))
-            yield pa.record_batch({"u": b.column(0), "v": b.column(1)}).filter(pa.array(keep, pa.bool_()))
+        for b in textkit.slices(batches, "text", 1 << 20):
+            ids, keys, meetings = b.column(0), b.column(2).to_pylist(), b.column(3)
+            for k, s in enumerate(textkit.shingle_sets(*textkit.word_hashes(b.column(1)), shingle)):
+                if len(s) and set_key(s) == keys[k]:  # another row of this id may have another text
+                    m = meetings[k].values
+                    n = len(m)
+                    yield pa.record_batch([*[m.field(f) for f in ("pivot", "i", "j", "side")], pa.array([ids[k].as_py()] * n, pa.int64()), pa.array([s.tobytes()] * n, pa.binary())], names=["pivot", "i", "j", "side", "id", "shingles"])
 
     return run
 
 
-def _same_slots(x: str, y: str):
-    """The share of equal bytes of two signatures, less what chance makes equal."""
-    eq = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + (F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))).cast("int"))
-    return (eq / F.lit(float(SLOTS)) - 1 / 256) / (1 - 1 / 256)
+def linked(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): links between two lists of (id, shingle set), or within one, as spanning stars. Exact."""
+    both = sorted(left if right is None else right, key=lambda x: len(x[1]))
+    sizes = np.array([len(s) for _, s in both])
+    ids = np.array([i for i, _ in both])
+    universe, place = np.unique(np.concatenate([s for _, s in both]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(universe), bool)
+    us, vs = [], []
+    for a, s in left:
+        n = len(s)
+        lo, hi = np.searchsorted(sizes, -(-percent * n // 100)), np.searchsorted(sizes, 100 * n // percent, "right")
+        if lo >= hi:
+            continue
+        at = np.searchsorted(universe, s)
+        at = at[(at < len(universe)) & (universe[np.minimum(at, len(universe) - 1)] == s)]
+        mark[at] = True
+        end = starts[hi] if hi < len(starts) else len(place)
+        same = np.add.reduceat(mark[place[starts[lo] : end]].astype(np.int64), starts[lo:hi] - starts[lo])
+        mark[at] = False
+        hit = ids[lo:hi][(100 * same >= percent * (n + sizes[lo:hi] - same)) & (ids[lo:hi] != a)]
+        us.append(np.full(len(hit), a))
+        vs.append(hit)
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return stars(u, v) if len(u) else (u, v)
+
+
+def meeter(percent: int):
+    """Links of every meeting (pivot, i, j); the rows of one come together."""
+
+    def run(batches):
+        now, sides = None, ([], [])
+
+        def close():
+            left, right = sides
+            u, v = linked(left, right if now[1] != now[2] else None, percent) if left and (right or now[1] == now[2]) else ([], [])
+            left.clear()
+            right.clear()
+            return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+        for b in batches:
+            names = list(zip(*[b.column(k).to_pylist() for k in range(3)]))
+            ids, side, sets = b.column(4).to_pylist(), b.column(3).to_pylist(), b.column(5)
+            for k, name in enumerate(names):
+                if name != now:
+                    if now is not None:
+                        yield close()
+                    now = name
+                sides[side[k]].append((ids[k], np.frombuffer(sets[k].as_py(), np.uint64)))
+        if now is not None:
+            yield close()
+
+    return run
 
 
-def links(docs: DataFrame, shingle: int = 5, percent: int = 80, min_estimate: float = 0.55) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(sketch with rep, component by representative) of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stash(docs.mapInArrow(sketcher(shingle), "doc_id bigint, n_shingles bigint, set_key string, signature binary, bands array<bigint>"), "sketch")
+    sketch = stash(docs.mapInArrow(sketcher(shingle), "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>"), "sketch")
     usable = sketch.where("doc_id is not null and n_shingles > 0")
-    reps = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("signature").alias("sig"), F.min("bands").alias("bands")), "reps")
-    own = reps.select(F.col("rep").alias("id"), "n", "sig", F.posexplode("bands").alias("band", "key"))
-    own = own.select("id", F.xxhash64("band", "key").alias("bucket"))
-    full = own.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
-    members = stash(own.join(full, "bucket").withColumn("draw", F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 40)) / float(1 << 40)), "buckets")
-    texts = docs.where("doc_id is not null")
-    comp, found, share, before = None, None, 1.0, 0.0
-    largest = members.agg(F.max("g")).first()[0] or 0
-    while before < largest:
-        m = members
-        if comp is not None:
-            m = m.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-            open_ = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            m = m.join(open_, "bucket", "left_semi")
-        else:
-            m = m.withColumn("comp", F.col("id"))
-        # small buckets are compared whole in the first round
-        upto = F.when(F.col("g") <= 4, F.lit(1.0)).otherwise(F.lit(share) / F.col("g"))
-        since = F.when(F.col("g") <= 4, F.lit(0.0 if before == 0 else 1.0)).otherwise(F.lit(before) / F.col("g"))
-        pivots = m.where((F.col("draw") < upto) & (F.col("draw") >= since)).select("bucket", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        pairs = m.join(pivots, "bucket").where("id <> pivot and comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(_same_slots("sa", "sb") >= min_estimate).select("a", "b")
-        pairs = stash(pairs, "pairs")
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            needed = texts.join(wanted, "doc_id", "left_semi")
-            text = lambda x: needed.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-            got = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
-            new = stash(got.mapInArrow(verifier(shingle, percent), "u bigint, v bigint"), "links")
-            found = new if found is None else found.union(new)
-            comp = stash(connected_components(found), "components")
-        before, share = share, share * 16
-        if before >= largest:
-            break
-    if comp is None:
-        comp = reps.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
-    return sketch.join(reps.select("set_key", "rep"), "set_key", "left"), comp
+    reps = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "reps")
+    own = reps.select(F.col("rep").alias("id"), "set_key", "n", F.posexplode("bands").alias("band", "key")).select("id", "set_key", "n", F.xxhash64("band", "key").alias("bucket"))
+    # one id may stand for several sets (repeated ids), so members are told apart by their set
+    named = own.groupBy("bucket").agg(F.min_by(F.xxhash64("set_key"), F.xxhash64("set_key")).alias("pivot"), F.count("*").alias("g")).where("g > 1").select("bucket", "pivot")
+    members = stash(own.join(named, "bucket").select("id", "set_key", "n", "pivot").distinct(), "members")
+    size = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    dealt = members.join(size, "pivot").withColumn("part", F.pmod(F.xxhash64("set_key"), "parts").cast("int"))
+
+    def meeting(k):
+        return F.struct(F.col("pivot"), F.least("part", k).alias("i"), F.greatest("part", k).alias("j"), (F.col("part") > k).cast("int").alias("side"))
+
+    meetings = dealt.select("id", "set_key", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), meeting).alias("meetings"))
+    meetings = meetings.groupBy("id", "set_key").agg(F.flatten(F.collect_list("meetings")).alias("meetings"))  # one representative's: a few by band
+    rows = docs.join(meetings, docs["doc_id"] == meetings["id"]).select("doc_id", "text", "set_key", "meetings").mapInArrow(dealer(shingle), _MEMBER)
+    together = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    found = stash(together.mapInArrow(meeter(percent), "u bigint, v bigint"), "links")
+    return sketch.join(reps.select("set_key", "rep"), "set_key", "left"), connected_components(found)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
