@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import events, graphs, rows, rules, summaries, texts
+from strandline.plans import events, graphs, resolution, rows, rules, summaries, texts
 from strandline.plans.registry import QUERIES, SQL
 
-MODULES = (rows, summaries, events, texts, graphs, rules)
+MODULES = (rows, summaries, events, texts, graphs, rules, resolution)
 
 
 def queries() -> dict:
