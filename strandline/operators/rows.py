@@ -124,18 +124,29 @@ def match_templates(requests: DataFrame, templates: DataFrame, path: str, method
 
 def structural_diff(base: DataFrame, head: DataFrame, key: str, content: str, ident: str) -> DataFrame:
     """(base_id, head_id, change): rows with a key unique on both sides are unchanged or modified; of the rest, those
-    whose content is unique on both sides moved; what remains is deleted or added."""
-    side = lambda df, s: df.select(F.col(ident).alias(f"{s}_id"), F.col(key).alias(f"{s}_key"), F.col(content).alias(f"{s}_content"))
-    b, h = side(base, "base"), side(head, "head")
-    once = lambda df, c: df.withColumn("_n", F.count("*").over(Window.partitionBy(c))).where("_n = 1").drop("_n")
-    same = once(b, "base_key").join(once(h, "head_key"), F.col("base_key") == F.col("head_key"))
-    out = same.select("base_id", "head_id", F.when(F.col("base_content").eqNullSafe(F.col("head_content")), "unchanged").otherwise("modified").alias("change"))
-    b, h = b.join(same.select("base_id"), "base_id", "left_anti"), h.join(same.select("head_id"), "head_id", "left_anti")
-    moved = once(b, "base_content").join(once(h, "head_content"), F.col("base_content") == F.col("head_content"))
+    whose content is unique on both sides moved; what remains is deleted or added. Null keys and contents match nothing.
+
+    Both sides are aggregated as one table, so a pair comes out of its own group without a join, and a key that many rows
+    share is one partial sum a task.
+    """
+    side = lambda df, s: df.select(F.col(ident).alias("_id"), F.col(key).alias("_key"), F.col(content).alias("_content"), F.lit(s).alias("_head"))
+    both = side(base, False).unionByName(side(head, True))
+
+    def pairs(df: DataFrame, by: str) -> DataFrame:
+        old, new = ~F.col("_head"), F.col("_head")
+        g = df.where(F.col(by).isNotNull()).groupBy(by).agg(
+            F.count_if(old).alias("_b"), F.count_if(new).alias("_h"), F.max(F.when(old, F.col("_id"))).alias("base_id"), F.max(F.when(new, F.col("_id"))).alias("head_id"),
+            F.max(F.when(old, F.struct("_content"))).eqNullSafe(F.max(F.when(new, F.struct("_content")))).alias("_equal"),
+        )
+        return g.where("_b = 1 and _h = 1")
+
+    same = pairs(both, "_key")
+    rest = both.join(same.select("_key"), "_key", "left_anti")
+    moved = pairs(rest, "_content")
+    left = rest.join(moved.select("_content"), "_content", "left_anti")
+    out = same.select("base_id", "head_id", F.when(F.col("_equal"), "unchanged").otherwise("modified").alias("change"))
     out = out.union(moved.select("base_id", "head_id", F.lit("moved")))
-    gone = b.join(moved.select("base_id"), "base_id", "left_anti").select("base_id", F.lit(None).cast(dict(h.dtypes)["head_id"]).alias("head_id"), F.lit("deleted"))
-    new = h.join(moved.select("head_id"), "head_id", "left_anti").select(F.lit(None).cast(dict(b.dtypes)["base_id"]).alias("base_id"), "head_id", F.lit("added"))
-    return out.union(gone).union(new)
+    return out.union(left.select(F.when(~F.col("_head"), F.col("_id")), F.when(F.col("_head"), F.col("_id")), F.when(F.col("_head"), "added").otherwise("deleted")))
 
 
 def sync_labels(existing: DataFrame, desired: DataFrame, key: str, values: list[str]) -> DataFrame:

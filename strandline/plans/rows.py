@@ -194,7 +194,7 @@ def template_match(spark, d):
     return op.match_templates(r, t, "path", "verb", "page_id")
 
 
-_SIDE = "SELECT l_orderkey * 10 + l_linenumber AS id, {key} AS k, l_partkey || ':' || l_suppkey || ':' || CAST(l_quantity AS INTEGER) AS c FROM lineitem WHERE l_linestatus = '{s}'"
+_SIDE = "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, {key} AS k, l_partkey || ':' || l_suppkey || ':' || CAST(l_quantity AS INTEGER) AS c FROM lineitem WHERE l_linestatus = '{s}'"
 
 
 @query(f"""
@@ -209,7 +209,7 @@ UNION ALL SELECT id, NULL, 'deleted' FROM b2 WHERE id NOT IN (SELECT base_id FRO
 """)
 def full_outer_structural(spark, d):
     """Closed lines against open lines as base and head: unchanged, modified, moved, deleted, added."""
-    x = load(spark, d, "lineitem").select("l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("k"), F.concat_ws(":", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("c"))
+    x = load(spark, d, "lineitem").select("l_linestatus", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("k"), F.concat_ws(":", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("c"))
     return op.structural_diff(x.where("l_linestatus = 'F'"), x.where("l_linestatus = 'O'"), "k", "c", "id")
 
 
