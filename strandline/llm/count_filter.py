@@ -33,6 +33,7 @@ U = np.uint64
 END = U(0x5DEECE66D2B79F31)  # stands for the end token
 START = U(0x2545F4914F6CDD1D)  # stands before the first token
 _CHUNK = "chunk string, docs array<bigint>, held array<boolean>, sizes array<bigint>, vocabulary binary, counts binary, tokens binary"
+_SUM = "doc_id bigint, at string, score double"
 _PART = "shard int, chunk string, keys binary, counts binary"
 
 
@@ -246,7 +247,7 @@ def count_filter_scores(docs: DataFrame, chunk_bytes: int = 4 << 20, bits: float
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
     chunks = stash(d.mapInArrow(_chunks(chunk_bytes), _CHUNK), "chunks")
-    shards = 64 * max(1, -(-chunks.count() // 8192))  # so a shard's keys stay within a task's memory as the corpus grows
+    shards = 64 * max(1, -(-chunks.count() // 2048))  # so a shard's keys stay within a task's memory as the corpus grows
 
     def by_shard(df):
         return df.repartition(shards, "shard").sortWithinPartitions("shard")
@@ -268,23 +269,30 @@ def count_filter_scores(docs: DataFrame, chunk_bytes: int = 4 << 20, bits: float
         held += r["size"] // 8
     # a shard without training n-grams has an empty filter, which says that all is absent
     empty = {s: (64, np.zeros(8, np.uint8)) for s in set(range(shards)).difference(*groups)}
-    passes = []
-    for group in groups:
-        rows = filters.where(F.col("shard").isin(group)).toArrow()
-        passes.append(spark.sparkContext.broadcast(empty | {s: (n, np.frombuffer(f, np.uint8)) for s, n, f in zip(rows["shard"].to_pylist(), rows["size"].to_pylist(), rows["bits"].to_pylist())}))
-        empty = {}
-    known = chunks
-    if len(passes) > 1:  # levels of the chunks' vocabularies, a part of the filter at a time
-        grown = [chunks.mapInArrow(_vocabulary_levels(p, probes, shards), "chunk string, levels binary") for p in passes]
-        levels_ = grown[0]
-        for g in grown[1:]:
-            levels_ = levels_.union(g)
-        known = stash(chunks.join(levels_.groupBy("chunk").agg(F.collect_list("levels").alias("levels")), "chunk"), "levels")
-    sums = None
-    for p in passes:
-        part = known.mapInArrow(_score(p, probes, shards, prior, n_all, v_all), "doc_id bigint, at string, score double")
-        sums = part if sums is None else sums.union(part)
-    if len(passes) > 1:
+
+    def part(k: int):
+        rows = filters.where(F.col("shard").isin(groups[k])).toArrow()
+        loaded = {s: (n, np.frombuffer(f, np.uint8)) for s, n, f in zip(rows["shard"].to_pylist(), rows["size"].to_pylist(), rows["bits"].to_pylist())}
+        return spark.sparkContext.broadcast(loaded | (empty if k == 0 else {}))
+
+    if len(groups) == 1:
+        sums = chunks.mapInArrow(_score(part(0), probes, shards, prior, n_all, v_all), _SUM)
+    else:
+
+        def by_part(run, schema: str, name: str, over: DataFrame) -> DataFrame:
+            """run over every part in turn, so the driver and the workers hold one part at a time."""
+            done = None
+            for k in range(len(groups)):
+                p = part(k)
+                d = stash(over.mapInArrow(run(p), schema), name)
+                p.destroy()
+                done = d if done is None else done.union(d)
+            return done
+
+        # levels of the chunks' vocabularies come first: bigrams need those of their histories
+        grown = by_part(lambda p: _vocabulary_levels(p, probes, shards), "chunk string, levels binary", "levels", chunks)
+        known = stash(chunks.join(grown.groupBy("chunk").agg(F.collect_list("levels").alias("levels")), "chunk"), "known")
+        sums = by_part(lambda p: _score(p, probes, shards, prior, n_all, v_all), _SUM, "sums", known)
         sums = sums.groupBy("doc_id", "at").agg(F.sum("score").alias("score"))
     return exact.join(sums.drop("doc_id"), "at").select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
 
