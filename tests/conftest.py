@@ -41,7 +41,7 @@ def duck():
 
 def plain(v):
     """A value in a form that both engines share."""
-    if v is None or v is not v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
