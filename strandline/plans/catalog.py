@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import events, graphs, reports, resolution, rows, rules, summaries, texts
+from strandline.plans import events, graphs, reports, resolution, rows, rules, sources, summaries, texts
 from strandline.plans.registry import QUERIES, SQL
 
-MODULES = (rows, summaries, events, texts, graphs, rules, resolution, reports)
+MODULES = (rows, summaries, events, texts, graphs, rules, resolution, reports, sources)
 
 
 def queries() -> dict:
