@@ -19,6 +19,7 @@ empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -29,53 +30,49 @@ from pyspark.sql import functions as F
 from strandline.llm.shared import stash, table
 
 
+#: A text with all kinds of pre-tokens, on which two encoders of one file are compared.
+_PROBE = "It's  we'll DON'T 12 345x\n\n\tÜber ça va?! 日本語 \U0001f600\u00a0\u2003 <|endoftext|> \x00\x7f é e\u0301  \r\n " + "ab" * 40
+
+
+def rank_encoding(path: str):
+    """The vocabulary of a byte-level BPE file of the tokenizers library as ranks for tiktoken; None if the file is of
+    another kind. In such a vocabulary the printable bytes stand for themselves and the rest for U+0100 on, in order."""
+    import public_tokenizers as public
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    if d["normalizer"] or d["post_processor"] or d["model"].get("type", "BPE") != "BPE" or (d["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+        return None
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+    added = {t["content"] for t in d["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): i for t, i in d["model"]["vocab"].items() if t not in added}
+    return tiktoken.Encoding("file", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokens:
-    """Ids of texts by the tokenizers library; pieces between single spaces are encoded once and kept, up to max_pieces."""
+    """Ids of texts as the tokenizers library gives them for a file.
 
-    def __init__(self, path: str, max_pieces: int = 400_000) -> None:
+    Where the file is plain byte-level BPE, its ranks go to the faster library of the two, after both gave the same ids
+    for a probe; other files are encoded by the tokenizers library itself.
+    """
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {}
-        self.max_pieces = max_pieces
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.fast = rank_encoding(path)
+        if self.fast and self.fast.encode_ordinary(_PROBE) != self.tokenizer.encode(_PROBE, add_special_tokens=False).ids:
+            self.fast = None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids. A single space between two characters that are no white space always starts a pre-token,
-        so such pieces are encoded apart; texts with other white space beside a space are encoded whole."""
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        whole: set[str] = set()
-        kept = self.kept
-        for text in texts:
-            pieces = text.split(" ")
-            new = set(pieces[1:]).difference(kept)
-            if not pieces[0] or pieces[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                split.append(None)
-                whole.add(text)
-            else:
-                split.append(pieces)
-                missing |= new
-                whole.add(pieces[0])
-        names = list(missing)
-        found = dict(zip(names, self._encode([" " + p for p in names])))
-        firsts = list(whole)
-        heads = dict(zip(firsts, self._encode(firsts)))
-        room = self.max_pieces - len(kept)
-        for p in names[: max(0, room)]:
-            if len(p) < 100:
-                kept[p] = found[p]
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(heads[text])
-            else:
-                rest = [kept[p] if p in kept else found[p] for p in pieces[1:]]
-                out.append(b"".join([heads[pieces[0]], *rest]))
-        return out
+        """Little-endian 32-bit ids."""
+        if self.fast:
+            return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _tokens: dict[str, Tokens] = {}
