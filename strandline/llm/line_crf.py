@@ -220,12 +220,13 @@ def score_documents(docs: DataFrame, known: DataFrame, max_docs: int = 2000, kee
     """The columns of carry, score, and bad_lines (the marginal of every line) if asked, of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, known, max_docs))  # some dozens of numbers
     n = len(carry)
+    at = carry.index("text") if "text" in carry and docs.schema["text"].dataType.simpleString() == "string" else n  # texts travel once
 
     def run(batches):
         m = model.value
         for b in batches:
             scores, lines = [], []
-            for text in b.column(n):
+            for text in b.column(at):
                 if m is None:
                     scores.append(0.5)
                     lines.append(None)
@@ -237,7 +238,7 @@ def score_documents(docs: DataFrame, known: DataFrame, max_docs: int = 2000, kee
             cols = [*b.columns[:n], pa.array(scores, pa.float64()), pa.array(lines, pa.list_(pa.float64()))]
             yield pa.record_batch(cols, names=[*carry, "score", "bad_lines"])
 
-    d = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    d = docs.select(*carry, *([F.col("text").cast("string").alias("_text")] if at == n else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:n])
     d = d.mapInArrow(run, f"{schema}, score double, bad_lines array<double>")
     return d if keep_lines else d.drop("bad_lines")
