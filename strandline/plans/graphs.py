@@ -113,6 +113,33 @@ def callers_trace(spark, d):
     return op.distances(e, spark.createDataFrame([(0, 0)], "seed int, id bigint"), 6).select("id", "dist")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS id, 'p' || l_partkey AS on_id FROM lineitem UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+w(id) AS (SELECT 'p' || p_partkey FROM part WHERE p_brand = 'Brand#1' UNION SELECT e.id FROM w JOIN e ON e.on_id = w.id) SELECT id FROM w
+""")
+def dependency_closure_of_all_lines(spark, d):
+    """Everything that depends on the parts of a brand, over every line (dependency_closure keeps its SQL's filter)."""
+    li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
+    e = li.select(_id("o", "l_orderkey").alias("id"), _id("p", "l_partkey").alias("on_id")).union(o.select(_id("c", "o_custkey"), _id("o", "o_orderkey")))
+    return op.closure(e, load(spark, d, "part").where("p_brand = 'Brand#1'").select(_id("p", "p_partkey").alias("id")))
+
+
+@query()
+def components_of_all_lines(spark, d):
+    """Connected components of orders and parts over every line (tested against union-find: recursive SQL is too slow)."""
+    return op.components(load(spark, d, "lineitem").select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL),
+w(id, dist) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < 6) SELECT id, min(dist)::INTEGER AS dist FROM w GROUP BY id
+""")
+def callers_trace_of_all_events(spark, d):
+    """Who is reached from a user over events of every type and value, with the least depth up to six."""
+    e = load(spark, d, "events").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").try_cast("bigint").alias("dst")).where("dst is not null")
+    return op.distances(e, spark.createDataFrame([(0, 0)], "seed int, id bigint"), 6).select("id", "dist")
+
+
 @query("""
 WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
 SELECT a.o_orderkey, b.o_orderkey AS root, least(a.rn - 1, 20)::INTEGER AS hops FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND b.rn = greatest(1, a.rn - 20)
