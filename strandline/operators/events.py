@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.tables import cut
+
 
 def ordered(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -119,6 +121,59 @@ def greedy_chunks(df: DataFrame, by: list[str], order: list[str], size: str, lim
     return d.join(chunks.withColumn("_pos", F.col("_i") + 1).drop("_i"), [*by, "_pos"]).drop("_pos")
 
 
+def positions(df: DataFrame, by: list[str], order: list, size: Column | None = None) -> DataFrame:
+    """Adds _pos (1, 2, ... in order within by) and, with size, _size and its running sum _end as exact decimals.
+
+    Rows are dealt by ranges of (by, order), so a large group lies in many blocks; each block is numbered by itself and
+    starts after what the blocks of its group before it hold.
+    """
+    exact = (F.lit(0) if size is None else size).cast("decimal(28,10)")
+    d = cut(df.withColumn("_size", exact).repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id()), "blocks")
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    held = d.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_block").alias("_b")).agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).withColumn("_base", F.coalesce(F.sum("_s").over(w), F.lit(0)))
+    same = F.col("_block") == F.col("_b")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_pos", F.row_number().over(inside)).withColumn("_end", F.sum("_size").over(inside)).join(held, same)
+    d = d.withColumn("_pos", F.col("_pos") + F.col("_before")).withColumn("_end", (F.col("_end") + F.col("_base")).cast("decimal(38,10)"))
+    return d.drop("_block", "_b", "_n", "_s", "_before", "_base", *[f"_k{i}" for i in range(len(by))], *(["_size", "_end"] if size is None else []))
+
+
+def range_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
+    """As greedy_chunks, for groups too large for one task; sizes are not negative (ten decimals count), groups not null.
+
+    A row's running sum and its place come from range blocks. Were it a chunk's first row, the next chunk would start after
+    the last row whose sum is at most its own start plus the limit; that row is in the limit-wide cell of this bound or in
+    the one before, so a window holds one cell's rows. The starts that count are reached from the group's first row by
+    doubled pointers: as many rounds as the logarithm of the largest number of chunks.
+    """
+    most = F.lit(limit).cast("decimal(28,10)")
+    d = cut(positions(df, by, order, F.col(size)), "rows")
+    groups = cut(d.groupBy(*by).agg(F.count("*").alias("_rows"), F.max("_end").alias("_total")), "groups")
+    big = d.join(groups.where(F.col("_total") > most), by).select(*by, "_pos", "_end", (F.col("_end") - F.col("_size")).cast("decimal(38,10)").alias("_start"))
+    points = big.select(*by, F.floor(F.col("_end") / most).alias("_cell"), F.col("_end").alias("_at"), F.lit(0).alias("_kind"), "_pos", F.col("_pos").alias("_last"))
+    bounds = big.select(*by, (F.floor(F.col("_start") / most) + 1).alias("_cell"), (F.col("_start") + most).cast("decimal(38,10)").alias("_at"), F.lit(1).alias("_kind"), "_pos", F.lit(None).cast("bigint").alias("_last"))
+    w = Window.partitionBy(*by, "_cell").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = points.unionByName(bounds).withColumn("_in", F.max("_last").over(w)).where("_kind = 1")
+    low = points.groupBy(*by, (F.col("_cell") + 1).alias("_cell")).agg(F.max("_pos").alias("_low"))
+    after = met.join(low, [*by, "_cell"], "left").select(*by, "_pos", (F.greatest("_pos", "_in", "_low") + 1).alias("_next"))
+    after = cut(after.join(groups, by).where("_next <= _rows").select(*by, "_pos", "_next"), "jump")
+
+    jumps = [after]
+    while not jumps[-1].isEmpty():
+        far = jumps[-1].select(*by, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jumps.append(cut(jumps[-1].join(far, [*by, "_next"]).select(*by, "_pos", F.col("_far").alias("_next")), "jump"))
+    starts = groups.select(*by, F.lit(1).cast("bigint").alias("_pos"), F.lit(0).cast("bigint").alias("chunk"))
+    for k in reversed(range(len(jumps) - 1)):
+        more = starts.join(jumps[k], [*by, "_pos"]).select(*by, F.col("_next").alias("_pos"), (F.col("chunk") + (1 << k)).alias("chunk"))
+        starts = cut(starts.union(more), "starts")
+    span = starts.join(after, [*by, "_pos"], "left").join(groups, by)
+    span = span.select(*by, F.explode(F.sequence("_pos", F.coalesce(F.col("_next") - 1, F.col("_rows")))).alias("_pos"), F.col("chunk").cast("int").alias("chunk"))
+    return d.join(span, [*by, "_pos"]).drop("_pos", "_size", "_end")
+
+
 def admit_within(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
     """Adds admitted: a row is admitted if it still fits beside those admitted before it; one that does not is skipped."""
     d = df.withColumn("_pos", F.row_number().over(ordered(by, order)))

@@ -20,7 +20,7 @@ def group_changes(units: DataFrame, unit: str, keys: DataFrame, size: str, limit
     d = units.withColumn("_id", name("unit", unit)).join(comp.withColumnRenamed("id", "_id"), "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
     first = d.groupBy("_c").agg(F.min(unit).alias("group"))  # a component is named by its smallest unit
     d = d.join(first, "_c").select(F.col(unit), F.col("group").alias("component"), size)
-    return events.greedy_chunks(d, ["component"], [unit], size, limit).select(unit, "component", "chunk")
+    return events.range_chunks(d, ["component"], [unit], size, limit).select(unit, "component", "chunk")
 
 
 def seed_ranks(sources: list[tuple[int, DataFrame]], ident: str, limit: int | None = None) -> DataFrame:

@@ -20,6 +20,15 @@ def change_groups(spark, d):
     return op.group_changes(units, "l_orderkey", li.select("l_orderkey", F.col("l_partkey").alias("key")), "size", 40).select("l_orderkey", "component")
 
 
+@query()
+def change_groups_of_all_lines(spark, d):
+    """Orders that share parts over every line, in chunks of forty (tested against union-find and a loop: recursive SQL
+    is too slow; change_groups keeps its SQL's filter and columns)."""
+    li = load(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("key"))
+    units = li.select("l_orderkey").distinct().withColumn("size", F.lit(1.0))
+    return op.group_changes(units, "l_orderkey", li, "size", 40).select("l_orderkey", "component", "chunk")
+
+
 @query("""
 WITH s AS (SELECT p_partkey, 0 AS rank FROM part WHERE p_brand = 'Brand#1' UNION ALL SELECT l_partkey, 1 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size < 5)
 SELECT p_partkey, min(rank)::INTEGER AS rank FROM s GROUP BY p_partkey ORDER BY rank, p_partkey LIMIT 500

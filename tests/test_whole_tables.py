@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 from conftest import SMALL
+from strandline.operators import events
 from strandline.plans import catalog
 
 
@@ -39,3 +42,34 @@ def test_small_lines_and_events_link(spark, tmp_path):
     assert {tuple(r) for r in q["components_of_all_lines"](spark, d).collect()} == {(2, 2), (4, 2), (21, 2), (23, 2), (6, 6), (25, 6)}
     assert {r["id"] for r in q["dependency_closure_of_all_lines"](spark, d).collect()} == {"p10", "o1", "o2", "c7", "c8"}
     assert {tuple(r) for r in q["callers_trace_of_all_events"](spark, d).collect()} == {(0, 0), (5, 1), (6, 2)}
+
+
+def looped(sizes, limit):
+    """The chunk of each row of one group, in order."""
+    out, total, chunk = [], 0.0, 0
+    for i, s in enumerate(sizes):
+        if i and total + s > limit:
+            chunk, total = chunk + 1, 0.0
+        total += s
+        out.append(chunk)
+    return out
+
+
+def test_range_chunks_follow_a_loop(spark):
+    rng = random.Random(9)
+    sizes = {"large": [rng.choice([0.0, 0.25, 1.0, 7.5, 30.0, 61.0, 150.0]) for _ in range(700)], "zero": [0.0] * 9, "one": [99.0], "exact": [30.0] * 8, "over": [100.0, 0.0, 0.0, 100.0, 60.0, 0.0, 0.5], "small": [5.0] * 3}
+    rows = [(g, i, s) for g, all_ in sizes.items() for i, s in enumerate(all_)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, s double")
+    got = {(r["g"], r["i"]): r["chunk"] for r in events.range_chunks(df, ["g"], ["i"], "s", 60).collect()}
+    assert got == {(g, i): c for g, all_ in sizes.items() for i, c in enumerate(looped(all_, 60))}
+
+
+def test_change_groups_of_all_lines_equal_union_find_and_a_loop(spark, duck):
+    lines = duck.execute("SELECT l_orderkey, -1 - l_partkey FROM lineitem").fetchall()
+    found, groups = union_find(lines), {}
+    for o in sorted({a for a, _ in lines}):
+        groups.setdefault(found[o], []).append(o)
+    want = {o: (min(g), c) for g in groups.values() for o, c in zip(g, looped([1.0] * len(g), 40))}
+    assert len(want) > 1000 and max(c for _, c in want.values()) > 20
+    assert {r["l_orderkey"]: (r["component"], r["chunk"]) for r in catalog.queries()["change_groups_of_all_lines"](spark, SMALL).collect()} == want
