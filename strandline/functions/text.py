@@ -23,6 +23,8 @@ SECRETS = (
 TRACKING = r"^(utm_[^=]*|fbclid|gclid)(=|$)"
 #: Words that carry no meaning in a term.
 STOP_WORDS = ("a", "an", "and", "be", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+#: Left out where a quote must support a statement.
+SUPPORT_STOP_WORDS = ("a", "an", "and", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with")
 
 
 def redact(c: Column) -> Column:
@@ -113,8 +115,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def kept_words(c: Column) -> Column:
+    """Words of at least two characters that are no stop words of support."""
+    return F.filter(words(c), lambda w: (F.length(w) > 1) & ~w.isin(*SUPPORT_STOP_WORDS))
+
+
 def supports(quote: Column, value: Column) -> Column:
-    """Whether the words of value stand in a row in quote, stop words of both left out."""
-    keep = lambda c: F.filter(words(c), lambda w: ~w.isin(*STOP_WORDS))
+    """Whether the words of value stand in a row in quote, stop words and single characters of both left out."""
     joined = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
-    return (F.size(keep(value)) > 0) & joined(keep(quote)).contains(joined(keep(value)))
+    return (F.size(kept_words(value)) > 0) & joined(kept_words(quote)).contains(joined(kept_words(value)))

@@ -128,6 +128,21 @@ def token_subsequence(spark, d):
     return op.passages_in(load(spark, d, "documents"), b, "doc_id", "text", "item_id", "passage")
 
 
+_KEPT = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.SUPPORT_STOP_WORDS) + ")), ' ') || ' '"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_KEPT.format("text")} AS t FROM documents), b AS (SELECT item_id, {_KEPT.format("text")} AS p FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN b ON contains(t, p) WHERE length(p) > 2
+""")
+def whole_passages(spark, d):
+    """Documents that hold all words of a benchmark item in a row, stop words and single characters left out
+    (token_subsequence keeps its SQL's first twelve words)."""
+    kept = F.array_join(tx.kept_words(F.col("text")), " ")
+    docs, items = load(spark, d, "documents").select("doc_id", kept.alias("text")), load(spark, d, "benchmark").select("item_id", kept.alias("passage"))
+    return op.passages_in(docs, items, "doc_id", "text", "item_id", "passage")
+
+
 #: What the scan looks for, by rule.
 SCAN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("aws_key", "(AKIA|ASIA)[A-Z0-9]{16}"), ("token", "gh[pousr]_[A-Za-z0-9]{20,}"), ("phone", "[0-9]{3}-[0-9]{3}-[0-9]{4}"), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"))
 

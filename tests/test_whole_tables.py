@@ -73,3 +73,11 @@ def test_change_groups_of_all_lines_equal_union_find_and_a_loop(spark, duck):
     want = {o: (min(g), c) for g in groups.values() for o, c in zip(g, looped([1.0] * len(g), 40))}
     assert len(want) > 1000 and max(c for _, c in want.values()) > 20
     assert {r["l_orderkey"]: (r["component"], r["chunk"]) for r in catalog.queries()["change_groups_of_all_lines"](spark, SMALL).collect()} == want
+
+
+def test_whole_passages_need_every_word(spark, tmp_path):
+    d, item = str(tmp_path), "one two three four five six seven eight nine ten eleven twelve thirteen at the x fourteen"
+    texts = [(1, f"so {item} it goes"), (2, "one two three four five six seven eight nine ten eleven twelve and stop"), (3, "The one two three four five six seven, eight nine ten eleven the twelve thirteen fourteen"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(7, item), (8, "of the"), (9, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert {tuple(r) for r in catalog.queries()["whole_passages"](spark, d).collect()} == {(1, 7), (3, 7)}
