@@ -67,17 +67,16 @@ def resolve_by_fallback(refs: DataFrame, names: DataFrame, ident: str, tries: li
     return refs.select(ident).join(hit, ident, "left").select(ident, "_b.rank", "_b.target")
 
 
-def inherits(classes: DataFrame, base: str, depth: int = 64) -> DataFrame:
+def inherits(classes: DataFrame, base: str) -> DataFrame:
     """(name) of classes(name, parent) that extend the base, directly or not; cycles end by themselves."""
     reached = cut(classes.where(F.lower("parent") == base.lower()).select("name").distinct(), "inherits")
     frontier = reached
-    for _ in range(depth):
+    while True:
         new = classes.join(frontier.select(F.lower("name").alias("_p")), F.lower("parent") == F.col("_p"), "left_semi").select("name").distinct()
         frontier = cut(new.join(reached, "name", "left_anti"), "inherits")
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.union(frontier)
-    return reached
 
 
 def route_tree(routes: DataFrame, depth: int = 24) -> DataFrame:

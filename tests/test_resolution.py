@@ -33,6 +33,11 @@ def test_inheritance_survives_cycles(spark):
     assert {r["name"] for r in op.inherits(c, "BASE").collect()} == {"A", "B", "E"}
 
 
+def test_inheritance_has_no_depth_limit(spark):
+    c = spark.createDataFrame([("N0", "Base")] + [(f"N{i}", f"n{i - 1}") for i in range(1, 70)], "name string, parent string").coalesce(1)
+    assert op.inherits(c, "base").count() == 70
+
+
 def test_routes_prefer_literals_and_keep_ties(spark):
     routes = spark.createDataFrame([(p,) for p in ("/a/:x", "/a/b", "/[y]/b", "/{z}/{w}", "/a/*", "/*", "/", "/a/[...rest]")], "pattern string")
     asks = spark.createDataFrame([(1, "/a/b"), (2, "/a/c"), (3, "/q/b"), (4, "/a/b/c"), (5, "/"), (6, "/x"), (7, "/q/r")], "id int, path string")
