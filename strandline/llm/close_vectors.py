@@ -53,15 +53,18 @@ def directions(n: int, dim: int, seed: int = 8) -> np.ndarray:
 
 
 def _project(n: int):
-    """id, label, dim, unit vector, projections of valid vectors."""
+    """id, label, dim, unit vector, projections of valid vectors; of others the id alone, so no row is lost."""
 
     def run(batches):
         for b in batches:
             ids, labels, vectors = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             by: dict[int, list[int]] = {}
+            bad: list[int] = []
             for i, v in enumerate(vectors):
                 if v and None not in v:
                     by.setdefault(len(v), []).append(i)
+                else:
+                    bad.append(i)
             for dim, rows in by.items():
                 x = np.array([vectors[i] for i in rows], np.float64)
                 with np.errstate(all="ignore"):
@@ -70,11 +73,14 @@ def _project(n: int):
                     x = x[ok] / scale[ok]
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                 keep = [i for i, k in zip(rows, ok) if k]
+                bad += [i for i, k in zip(rows, ok) if not k]
                 p = (x @ directions(n, dim).T).astype(np.float32)
                 yield pa.record_batch(
                     [pa.array([ids[i] for i in keep], pa.int64()), pa.array([labels[i] for i in keep], pa.string()), pa.array([dim] * len(keep), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(p), pa.list_(pa.float32()))],
                     names=["id", "label", "dim", "unit", "p"],
                 )
+            void = [pa.nulls(len(bad), t) for t in (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.float32()))]
+            yield pa.record_batch([pa.array([ids[i] for i in bad], pa.int64()), *void], names=["id", "label", "dim", "unit", "p"])
 
     return run
 
@@ -135,9 +141,11 @@ def _count(reach: float, least: int, min_cosine: float, block: int):
 def close_vectors(vectors: DataFrame, min_cosine: float = 0.98, projections: int = 32, reach: float = 2.0, border: float = 4.0, miss: float = 1e-7, cell_rows: int = 4096, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding, label)."""
     every = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    valid = every.where("id is not null and label is not null and embedding is not null")
+    known = "id is not null and label is not null and embedding is not null"
+    valid = every.where(known)
     schema = "id bigint, label string, dim int, unit binary, p array<float>"
-    points = stash(valid.mapInArrow(_project(projections), schema), "points")
+    projected = stash(valid.mapInArrow(_project(projections), schema), "points")
+    points = projected.where("unit is not null")
     reps = stash(points.groupBy("label", "unit").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("dim").alias("dim"), F.min("p").alias("p")), "directions")
 
     # halvings by (label, dim): a row by label at most
@@ -173,7 +181,7 @@ def close_vectors(vectors: DataFrame, min_cosine: float = 0.98, projections: int
     labelled = points.select("id", "label", "unit").join(names, ["label", "unit"]).select("id", "rep", "n")
     labelled = labelled.join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = labelled.select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rest = every.join(points.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    rest = every.where(f"not ({known})").select("id").union(projected.where("unit is null").select("id")).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     d = labelled.union(rest)
     return d.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

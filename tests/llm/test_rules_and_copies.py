@@ -200,6 +200,13 @@ def test_close_vectors_over_the_small_table(spark):
     assert got == brute_vectors(data, 0.98)
 
 
+def test_close_vectors_keep_invalid_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, None, 1), (1, [0.0, 0.0], 1), (1, [1.0, 0.0], None), (1, [1.0, None], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
+    got = close_vectors.close_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = sorted((r["vec_id"] or 0, r["n_links"]) for r in got)
+    assert links == [(0, 0), (1, 0), (1, 0), (1, 0), (1, 0), (1, 1), (2, 1)]
+
+
 def test_close_vectors_of_an_empty_table(spark):
     assert close_vectors.close_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
