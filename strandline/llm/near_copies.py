@@ -202,7 +202,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     sketch, comp = links(docs, shingle, percent)
     d = sketch.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    d = d.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
+    d = d.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return d.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

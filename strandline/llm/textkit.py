@@ -1,13 +1,15 @@
 """Hashes of words and shingles over Arrow text columns, computed a batch at a time.
 
 Words are runs of bytes other than space and U+0009 to U+000D of the UTF-8 text (these bytes never occur inside a
-longer code point); A-Z are lower-cased first where asked. A word's hash is a polynomial over random 64-bit values of
-its bytes, modulo 2^64, mixed with its length; two of a billion different words collide with a chance of about 3 %
-in all, so counts by hash stand for counts by word.
+longer code point); A-Z are lower-cased first where asked. A word's hash starts from its length and mixes in its bytes
+eight at a time by a bijection, so no two words of one length of up to eight bytes share one and longer words have no
+common structure that could make them collide; words over LONG bytes are hashed by BLAKE2b. Among a billion different
+words two share a 64-bit hash with a chance of about 3 % in all, so counts by hash stand for counts by word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240613))
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _WORD = np.ones(256, np.uint8)
 _WORD[[32, 9, 10, 11, 12, 13]] = 0
-_P = 0x9E3779B97F4A7C15
+_P = U(0x9E3779B97F4A7C15)
 _SEGMENT = 1 << 20
-_tables: dict[str, np.ndarray] = {}
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
+#: By number of bytes that a word still has: which bits of its next eight bytes belong to it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables["p"]) < n:
-        size = max(_SEGMENT + 1, 1 << (n - 1).bit_length())
-        for name, base in (("p", _P), ("inv", pow(_P, -1, 2**64))):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            _tables[name] = np.cumprod(t, dtype=np.uint64)
-    return _tables["p"], _tables["inv"]
-
-
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows, and the len + 1 row offsets into them; null rows are empty."""
     if col.null_count:
@@ -77,11 +69,25 @@ def _segment(raw: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray
     prev[cuts] = 0
     nxt[cuts[cuts > 0] - 1] = 0
     starts, ends = np.flatnonzero(w > prev), np.flatnonzero(w > nxt) + 1
-    p, inv = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * p[: len(raw)], out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * U(_P))), starts
+    if lower:
+        raw = _LOWER[raw]
+    return _hash_words(raw, starts, ends - starts), starts
+
+
+def _hash_words(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))  # the 8 bytes from each place
+    h = mix(sizes.astype(np.uint64) * _P)
+    some, at, left = np.arange(len(starts)), starts, sizes
+    for _ in range(LONG // 8):
+        h[some] = mix(h[some] ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _P
+        more = left > 8
+        if not more.any():
+            break
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        word = raw[starts[i] : starts[i] + sizes[i]].tobytes()
+        h[i] = U(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+    return h
 
 
 def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -194,6 +194,16 @@ def test_parts_of_the_filter_add_up(spark):
     assert a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], rel=1e-9) for k in a)
 
 
+def test_words_that_share_polynomial_hashes_are_two_words(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(0, False, a), (1, False, f"{a} {b}"), (2, True, b)], "doc_id long, held_out boolean, text string")
+    got = {r["doc_id"]: r for r in count_filter.count_filter_scores(docs).collect()}
+    n, v = 5, 3  # words a, a, b and two ends
+    assert got[2]["base_score"] == pytest.approx(log10(1.5 / (n + 0.5 * (v + 1))) + log10(2.5 / (n + 0.5 * (v + 1))))
+
+
 def test_count_filter_edges(spark):
     docs = spark.createDataFrame([(i % 16, i % 2 == 0, t, "x") for i, t in enumerate(ODD)], "doc_id long, held_out boolean, text string, score string")
     got = count_filter.count_filter_scores(docs).collect()
