@@ -8,10 +8,12 @@
 3. The first projections also sort the vectors of a label into cells: each one used halves the label at its median,
    and as many are used as bring a cell to about `cell_rows` rows. A vector is stored in its home cell and asks, as a
    query, in every cell that its window (`border` sds) touches; each ordered pair meets once at most.
-4. In a cell, stored rows and queries meet in blocks: collisions are counted over all projections for a block at a
-   time, pairs with at least `least` collisions are verified by cosine in double precision. `least` is calibrated: the
-   largest count that a pair at the threshold misses with a chance of at most `miss`. Only sums leave a block: links by query, and a spanning star of each
-   block's links, never all pairs.
+4. In a cell, stored rows and queries meet in blocks. Each projection of the stored rows is sorted, and the window
+   around a query is cut from that order by two binary searches; its rows are the difference of two prefixes of the
+   order, kept as bitmaps. Collisions are added up over all projections bit by bit, 64 pairs a word, and the pairs that
+   reach `least` are verified by cosine in double precision. `least` is calibrated: the largest count that a pair at the
+   threshold misses with a chance of at most `miss`. Only sums leave a block: links by query, and a spanning star of
+   each block's links, never all pairs.
 
 Cells that one cluster fills stay large; their rows are dealt by salts into blocks of bounded size, so no task gathers
 one. Verified links are exact; a link is lost with a chance of about `miss` plus 6e-5 for each halving.
@@ -88,15 +90,54 @@ def _project(n: int):
 _FOUND = "u bigint, v bigint, links bigint"
 
 
+def sorted_windows(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stored rows' projections (rows, projections): each projection in order, and the sets of its first k rows.
+
+    Sets are bitmaps over the rows, 64 to a word: (projections, rows + 1, words). A window from place a to place b of an
+    order holds the rows by which its first b differ from its first a.
+    """
+    n, m = p.shape
+    order = np.argsort(p, axis=0, kind="stable").T
+    firsts = np.zeros((m, n + 1, -(-n // 64)), np.uint64)
+    firsts[np.arange(m)[:, None], np.arange(1, n + 1), order >> 6] = np.uint64(1) << (order & 63).astype(np.uint64)
+    np.bitwise_or.accumulate(firsts, axis=1, out=firsts)
+    return np.take_along_axis(p.T, order, axis=1), firsts
+
+
+def collisions(q: np.ndarray, ordered: np.ndarray, firsts: np.ndarray, width: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, stored row) of the pairs that share at least `least` of the windows of `width` around the queries.
+
+    Counts are kept by bit: plane k holds bit k of the counts of 64 pairs a word. They start at a power of two less
+    `least`, so a pair that reaches `least` carries into the last plane.
+    """
+    n, words = len(q), firsts.shape[2]
+    depth = max(1, int(len(ordered)).bit_length())
+    start = (1 << depth) - least
+    planes = [np.full((n, words), np.uint64(2**64 - 1) if start >> k & 1 else np.uint64(0)) for k in range(depth + 1)]
+    if least <= 0:
+        planes[depth][:] = np.uint64(2**64 - 1)
+    for j in range(len(ordered)):
+        a, b = np.searchsorted(ordered[j], q[:, j] - width, "left"), np.searchsorted(ordered[j], q[:, j] + width, "right")
+        carry = firsts[j, b] ^ firsts[j, a]
+        for k in range(depth):
+            both = planes[k] & carry
+            planes[k] ^= carry
+            carry = both
+        planes[depth] |= carry
+    x, word = np.nonzero(planes[depth])
+    bits = np.unpackbits(planes[depth][x, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    i, bit = np.nonzero(bits)
+    return x[i], word[i] * 64 + bit
+
+
 def _count(reach: float, least: int, min_cosine: float, block: int):
     """Rows (id, null, links) with links of a query in a block, and rows (u, v, 0) of spanning stars."""
 
-    def compare(q: dict, s: dict):
-        near = np.zeros((len(q["id"]), len(s["id"])), np.uint8)
+    def compare(q: dict, s: dict, ordered: np.ndarray, firsts: np.ndarray):
         width = np.float32(reach * np.sqrt((2 - 2 * min_cosine) / q["x"].shape[1]) + 1e-6)
-        for j in range(q["p"].shape[1]):
-            near += np.abs(q["p"][:, j : j + 1] - s["p"][:, j]) <= width
-        a, b = np.nonzero(near >= least)
+        a, b = collisions(q["p"], ordered, firsts, width, least)
+        real = b < len(s["id"])
+        a, b = a[real], b[real]
         hit = a[:0]
         other = a[:0]
         for k in range(0, len(a), 1 << 16):
@@ -111,7 +152,11 @@ def _count(reach: float, least: int, min_cosine: float, block: int):
         u, v = stars(q["id"][hit], s["id"][other])
         ids = np.concatenate([q["id"][some], u])
         return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(np.concatenate([np.zeros(len(some), np.int64), v]), pa.int64(), mask=np.arange(len(ids)) < len(some)), pa.array(np.concatenate([links[some], np.zeros(len(u), np.int64)]), pa.int64())],
+            [
+                pa.array(ids, pa.int64()),
+                pa.array(np.concatenate([np.zeros(len(some), np.int64), v]), pa.int64(), mask=np.arange(len(ids)) < len(some)),
+                pa.array(np.concatenate([links[some], np.zeros(len(u), np.int64)]), pa.int64()),
+            ],
             names=["u", "v", "links"],
         )
 
@@ -128,9 +173,11 @@ def _count(reach: float, least: int, min_cosine: float, block: int):
         }
         q, s = {k: v[role] for k, v in t.items()}, {k: v[~role] for k, v in t.items()}
         out = [none]
-        for i in range(0, len(q["id"]), block):
-            for j in range(0, len(s["id"]), block):
-                got = compare({k: v[i : i + block] for k, v in q.items()}, {k: v[j : j + block] for k, v in s.items()})
+        for j in range(0, len(s["id"]), 4 * block):
+            some = {k: v[j : j + 4 * block] for k, v in s.items()}
+            ordered, firsts = sorted_windows(some["p"])
+            for i in range(0, len(q["id"]), block):
+                got = compare({k: v[i : i + block] for k, v in q.items()}, some, ordered, firsts)
                 if got is not None:
                     out.append(got)
         return pa.Table.from_batches(out)

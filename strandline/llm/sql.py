@@ -11,7 +11,7 @@ WITH turns AS (
 ), sized AS (
   SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns,
     sum(length('<s>[INST] ' || ' [/INST].' || '</s>.') + length(role) + length(text)
-      + 2 * 0 + length(regexp_replace(role || text, '[^\\]', '', 'g'))
+      + length(regexp_replace(role || text, '[^\\]', '', 'g'))
       + len(regexp_extract_all(role, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))
       + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))) OVER w AS upto
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
@@ -24,4 +24,64 @@ SELECT conv_id, n_turns,
 FROM sized GROUP BY conv_id, n_turns
 """
 
-ORACLE = {"op7_chat_examples": OP7}
+#: The measures and base rules of every document, failures by host, the beta prior of their rates, and the verdicts.
+OP1 = r"""
+WITH t AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), g AS (
+  SELECT doc_id, i, w[i : i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)
+), d AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1
+), rep AS (
+  SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM d) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+  FROM t LEFT JOIN rep USING (doc_id)
+), j AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 3 * word_chars AS fs, 100 * n_dup_lines > 40 * n_lines AS fd FROM m
+), h AS (
+  SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (fs)::DOUBLE AS s, count(*) FILTER (fd)::DOUBLE AS d, count(*) FILTER (base_failed OR fs OR fd)::DOUBLE AS a FROM j GROUP BY source
+), r AS (SELECT rule, source, n, k, (k + 0.5) / (n + 1) AS rate FROM (UNPIVOT h ON s, d, a INTO NAME rule VALUE k)),
+p AS (SELECT rule, avg(n) AS mean_n, avg(rate) AS m, coalesce(var_samp(rate), 0) - avg(rate * (1 - rate) / n) AS extra FROM r GROUP BY rule),
+q AS (SELECT rule, m, CASE WHEN extra > 1e-12 THEN greatest(1, m * (1 - m) / extra - 1) ELSE greatest(1, mean_n) END AS strength FROM p),
+x AS (SELECT source, max((k + m * strength) / (n + strength)) FILTER (rule = 's') AS s, max((k + m * strength) / (n + strength)) FILTER (rule = 'd') AS d,
+  max((k + m * strength) / (n + strength)) FILTER (rule = 'a') AS a FROM r JOIN q USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR a > 0.5 OR fs AND s > 0.01 OR fd AND d > 0.01) AS kept, round(a, 9) AS host_rate
+FROM j JOIN x ON j.source IS NOT DISTINCT FROM x.source
+"""
+
+#: Shingles of four words as lists, pairs that share any, the similarity of their sets, and components over the links.
+OP2 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i : i + 3] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM t WHERE len(w) > 0)
+), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, hash(g) AS k FROM s),
+f AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM h a JOIN h b ON a.k = b.k AND a.doc_id < b.doc_id WHERE a.k IN (FROM f) GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN z x ON x.doc_id = u JOIN z y ON y.doc_id = v WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(id, other) AS (SELECT u, v FROM e UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.other),
+c AS (SELECT id, min(other) AS low FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN c ON id = d.doc_id
+"""
+
+#: All pairs of one label by cosine, and components over the links.
+OP8 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), r(id, other) AS (SELECT u, w FROM e UNION SELECT r.id, e.w FROM r JOIN e ON e.u = r.other),
+c AS (SELECT id, min(other) AS low FROM r GROUP BY id), n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON u = vec_id LEFT JOIN c ON id = vec_id
+"""
+
+ORACLE = {"op1_host_rules": OP1, "op2_near_copies": OP2, "op7_chat_examples": OP7, "op8_close_vectors": OP8}

@@ -70,6 +70,16 @@ def test_quality_edges(spark):
     assert line_crf.score_documents(docs.limit(0), known).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    real = line_crf.fit_field
+    monkeypatch.setattr(line_crf, "fit_field", lambda docs, labels: seen.append([len(d) for d in docs]) or real(docs, labels))
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(["good text here.\n" * 3, "bad ### $$$\n" * 3] * 20)] + [(5, "\n" * 5000)], "doc_id long, text string")
+    known = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0), (5, 0)], "doc_id long, quality int")
+    out = line_crf.score_documents(docs, known, max_docs=25).collect()
+    assert len(out) == 41 and len(seen[0]) <= 25 and max(seen[0]) <= 1000
+
+
 # --- 4: languages
 
 
@@ -92,6 +102,25 @@ def test_language_edges(spark):
     assert language_tree.identify(docs.limit(0), one).count() == 0
 
 
+def test_votes_equal_a_plain_version_and_languages_are_bounded(spark):
+    names = ["a", "b", "c"]
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        machines = [(x, y, rng.normal(size=3), rng.normal()) for x, y in itertools.combinations(names, 2)]
+        v = rng.normal(size=3)
+        won, margin = Counter(), Counter()
+        for x, y, w, bias in machines:
+            m = w @ v + bias
+            won[x if m >= 0 else y] += 1
+            margin[x] += m
+            margin[y] -= m
+        best = sorted(names, key=lambda n: (-won[n], -margin[n], n))[0]
+        assert language_tree._vote(names, machines, v)[0] == best
+    labelled = spark.createDataFrame([(i, f"text {'xyz'[i % 3]} words", "xyz"[min(i % 4, 2)]) for i in range(40)], "doc_id long, text string, lang string")
+    tree = language_tree.learn(labelled, max_languages=2)
+    assert {x for m in tree["members"].values() for x in m} == {"z", "x"}  # twenty rows of z, ten each of x and y
+
+
 def test_ngrams_cover_whole_texts():
     text = "Straße und mehr, ça va? " * 400
     whole, seen = language_tree.ngram_counts(text)

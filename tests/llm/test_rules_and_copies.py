@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
-from strandline.llm import close_vectors, components, host_rules, near_copies, textkit
+from conftest import SMALL, rows
+from strandline.llm import close_vectors, components, host_rules, near_copies, registry, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +61,29 @@ def test_host_verdicts_shrink_and_join_back(spark):
     assert at["foul", True]["rate"] < 0.9 and at["tiny", True]["rate"] < 1.0  # shrunk towards the rest
 
 
+def test_host_rules_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "a", 7, "r", True, 1, 2)], "doc_id long, text string, source string, _words int, _reject string, KEPT boolean, N_words int, host int")
+    got = host_rules.apply_host_rules(df).collect()[0].asDict()
+    assert (got["_words"], got["_reject"], got["host"], got["n_words"], got["kept"]) == (7, "r", 2, 40, True)
+    assert "KEPT" not in got and "N_words" not in got and host_rules.apply_host_rules(df, keep_text=False).columns.count("text") == 0
+
+
+def test_host_rules_of_ties_repeats_and_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    twenty, nineteen = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(19))
+    data = [(1, twenty, "a"), (1, twenty, "a"), (2, nineteen, "a"), (3, long, None), (None, twenty, "a")]
+    got = host_rules.apply_host_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    by = sorted((r["doc_id"] or 0, r["n_words"], r["n_repeat_words"], r["base_failed"]) for r in got)
+    assert by == [(0, 20, 0, False), (1, 20, 0, False), (1, 20, 0, False), (2, 19, 0, True), (3, 200_000, 200_000, True)]
+
+
+@pytest.mark.parametrize("name", ["op1_host_rules", "op2_near_copies", "op8_close_vectors"])
+def test_queries_equal_sql(spark, duck, name):
+    got, want = registry.queries()[name](spark, SMALL).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
+    assert rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("op", ["rules", "copies"])
 def test_empty_table(spark, op):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
@@ -222,6 +245,29 @@ def test_close_vectors_equal_brute_force(spark, cell_rows):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_vectors(data, 0.98) and len(got) == len(data)
 
 
+def test_windows_of_sorted_projections_equal_plain_counts():
+    rng = np.random.default_rng(1)
+    for n, m, k in ((1, 1, 1), (70, 5, 9), (300, 32, 40)):
+        s, q = np.round(rng.normal(size=(n, m)), 1).astype(np.float32), np.round(rng.normal(size=(k, m)), 1).astype(np.float32)
+        count = (np.abs(q[:, None] - s[None]) <= np.float32(0.55)).sum(axis=2)
+        for least in {1, m // 2 + 1, m}:
+            a, b = close_vectors.collisions(q, *close_vectors.sorted_windows(s), np.float32(0.55), least)
+            assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(*[x.tolist() for x in np.nonzero(count >= least)]))
+
+
+def test_recall_with_many_halvings(spark):
+    """Vectors near the threshold, in cells of a hundredth of a label: links found of those that brute force finds."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(150, 64))
+    x = np.concatenate([centres + rng.normal(size=centres.shape) * s for s in (0.0, 0.1, 0.14, 0.17)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in close_vectors.close_vectors(df, cell_rows=6).collect()}  # seven halvings
+    assert want.sum() > 300 and all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_close_vectors_over_the_small_table(spark):
     data = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in close_vectors.op8_close_vectors(spark, SMALL).collect()}
