@@ -9,12 +9,16 @@ rates (method of moments), and the verdict of a host comes back to its documents
   `enforce_rate`; on hosts with a clean record a single failure is forgiven.
 
 Defined cases: null and empty texts have no words and fail `short`. A null host is a host of its own. Repeated rows
-are judged one by one. An empty table gives an empty result. Other columns of the input are not read.
+are judged one by one. An empty table gives an empty result. Other columns of the input are passed through as they are,
+whatever their names; those named like a column of the result are replaced. A very long text is measured whole, in arrays
+of its words within one task. A rate equal to a limit does not exceed it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import SEPARATORS, stash, table
@@ -23,44 +27,54 @@ RULES = ("short", "repeats", "symbols", "dup_lines")
 WINDOW = 8
 
 
-def _repeat_words(words: Column) -> tuple[Column, Column, Column]:
-    """Words in WINDOW-word windows that occur twice or more in the text, the first occurrence included.
+def own_names(docs: DataFrame) -> Callable[[str], str]:
+    """Names for helper columns that no column of docs starts with."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return lambda name: mark + name
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
-    Windows are compared by a 64-bit hash of their eight words. Positions of repeated windows are sorted, and each
-    adds the words that the one before it did not cover; n log n in the words of the text.
-    """
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words) - (WINDOW - 1)
-    starts = F.sequence(F.lit(1), n)
-    # a window's hash chains its words' hashes, so their order counts
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.element_at("_hashes", i + k) for k in range(WINDOW)]))
-    return hashes, n, windows
+
+def without(docs: DataFrame, names) -> DataFrame:
+    """docs without columns of these names, in any case."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines; clashing columns are replaced."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines; clashing columns are replaced.
+
+    Windows of a text are compared by a 64-bit hash of the hashes of their eight words. Positions of repeated windows are
+    sorted, and each adds the words that the one before it did not cover; n log n in the words of the text.
+    """
+    my = own_names(docs)
+    words, lines, hashes, windows, ordered, starts = map(my, ("words", "lines", "hashes", "windows", "ordered", "starts"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.withColumn("_words", F.filter(F.split(body, SEPARATORS), lambda w: w != ""))
-    d = d.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    hashes, n, windows = _repeat_words(F.col("_words"))
-    d = d.withColumn("_hashes", hashes)
-    d = d.withColumn("_windows", F.when(n > 0, windows).otherwise(F.array().cast("array<bigint>")))
-    repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
+    d = docs.withColumn(words, F.filter(F.split(body, SEPARATORS), lambda w: w != ""))
+    d = d.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    d = d.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    n = F.size(words) - (WINDOW - 1)
+    # a window's hash chains its words' hashes, so their order counts
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[F.element_at(hashes, i + k) for k in range(WINDOW)]))
+    d = d.withColumn(windows, F.when(n > 0, every).otherwise(F.array().cast("array<bigint>")))
+    repeated = F.size(windows) > F.size(F.array_distinct(windows))
     # (hash, position) in order: a window is repeated if a neighbour has its hash
-    d = d.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    at = lambda k: F.get("_sorted", k)
-    same = F.filter("_sorted", lambda x, k: (F.coalesce(at(k - 1)["h"] == x["h"], F.lit(False))) | F.coalesce(at(k + 1)["h"] == x["h"], F.lit(False)))
-    d = d.withColumn("_starts", F.sort_array(F.transform(same, lambda x: x["i"])))
-    gap = F.transform("_starts", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", k + 1) - i, F.lit(WINDOW))))
+    d = d.withColumn(ordered, F.when(repeated, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    at = lambda k: F.get(ordered, k)
+    same = F.filter(ordered, lambda x, k: (F.coalesce(at(k - 1)["h"] == x["h"], F.lit(False))) | F.coalesce(at(k + 1)["h"] == x["h"], F.lit(False)))
+    d = d.withColumn(starts, F.sort_array(F.transform(same, lambda x: x["i"])))
+    gap = F.transform(starts, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, k + 1) - i, F.lit(WINDOW))))
     covered = F.aggregate(gap, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return d.select(
-        *[c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")],
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in MEASURES],
+        F.size(words).cast("bigint").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         F.when(repeated, covered).otherwise(0).cast("bigint").alias("n_repeat_words"),
-        F.size("_lines").cast("bigint").alias("n_lines"),
+        F.size(lines).cast("bigint").alias("n_lines"),
     )
 
 
@@ -103,28 +117,34 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     return d.select("host", "n_docs", *[f"failed_{k}" for k in fails], *[f"rate_{k}" for k in fails])
 
 
-def apply_host_rules(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = 0.5, enforce_rate: float = 0.01, keep_text: bool = True) -> DataFrame:
+def apply_host_rules(
+    docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = 0.5, enforce_rate: float = 0.01, keep_text: bool = True
+) -> DataFrame:
     """docs with the measures, fails_<rule>, base_failed, host_rate and kept; without the text if keep_text is false.
 
-    Texts are measured once, into a written table that both the sums by host and the result read. The verdicts join
-    by host; the table of hosts may be as large as the web, so no broadcast is forced. Where it is not small, a hot
-    host is a skewed key of the larger side only, which Spark splits (AQE skew join).
+    Texts are measured once, into a written table that both the sums by host and the result read. The verdicts by host
+    are written too, so the planner knows their size when it chooses the join: a table of hosts below Spark's broadcast
+    threshold goes to the documents, and no text moves; a larger one (the hosts of the web) is joined by shuffle, where a
+    hot host is a skewed key of the larger side only, which Spark splits (AQE skew join).
     """
-    measured = measure(docs.drop("host_rate", "kept", "base_failed"), text)
-    judged = stash(judge(measured if keep_text else measured.drop(text)), "host-rules")
+    my = own_names(docs)
+    docs = without(docs, {"host_rate", "kept", "base_failed", *[f"fails_{k}" for k in RULES]})
+    measured = measure(docs, text)
+    judged = stash(judge(measured if keep_text else without(measured, {text.lower()})), "host-rules")
     verdicts = host_rates(judged, host).select(
-        F.col("host").alias("_host"),
+        F.col("host").alias(my("host")),
         F.col("rate_any").alias("host_rate"),
-        (F.col("rate_any") > max_host_rate).alias("_reject"),
-        *[(F.col(f"rate_{k}") > enforce_rate).alias(f"_enforce_{k}") for k in ("symbols", "dup_lines")],
+        (F.col("rate_any") > max_host_rate).alias(my("reject")),
+        *[(F.col(f"rate_{k}") > enforce_rate).alias(my(k)) for k in ("symbols", "dup_lines")],
     )
-    d = judged.join(verdicts, judged[host].eqNullSafe(verdicts["_host"]), "left")
-    bad = F.col("base_failed") | F.col("_reject") | (F.col("fails_symbols") & F.col("_enforce_symbols")) | (F.col("fails_dup_lines") & F.col("_enforce_dup_lines"))
-    return d.withColumn("kept", ~bad).drop("_host", "_reject", "_enforce_symbols", "_enforce_dup_lines")
+    verdicts = stash(verdicts, "hosts")
+    d = judged.join(verdicts, F.col(host).eqNullSafe(F.col(my("host"))), "left")
+    bad = F.col("base_failed") | F.col(my("reject")) | (F.col("fails_symbols") & F.col(my("symbols"))) | (F.col("fails_dup_lines") & F.col(my("dup_lines")))
+    return d.select(*[F.col(f"`{c}`") for c in judged.columns], "host_rate", (~bad).alias("kept"))
 
 
 def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     d = apply_host_rules(docs, keep_text=False)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))

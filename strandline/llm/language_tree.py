@@ -2,13 +2,15 @@
 
 A text is first given a language family, then a language within it; both steps vote among one-versus-one linear support
 vector machines over hashed character n-grams (1 to 3 letters, lower-cased; whatever is no letter counts as one gap).
-The machines learn from a sample of labelled rows of at most about `per_language` rows by language (a hash of the id
-decides, at a rate set from the counts by language), which alone comes to the driver, as sparse counts.
+The machines learn from a sample of labelled rows, about `per_language` rows of each of the `max_languages` most frequent
+languages and `max_rows` in all (a hash of the id decides, at a rate set from the counts by language), which alone comes to
+the driver, as sparse counts.
 
 Defined cases: a text that is null or has no letter is `und` with score 1. A language without a known family is a
 family of its own. With one family, or one language in it, there is nothing to separate and it is predicted. Without
 any labelled row every text is `und` with score 0. Ties go to the language that comes first in order. Repeated rows are
-predicted each; an empty table gives an empty result; other columns are not read.
+predicted each; an empty table gives an empty result; other columns are not read. Very long texts are counted whole, in
+blocks.
 """
 
 from __future__ import annotations
@@ -115,11 +117,17 @@ def predict(tree: dict, counts: np.ndarray) -> tuple[str, float]:
     return lang, p * q
 
 
-def learn(labelled: DataFrame, per_language: int = 1000) -> dict | None:
-    """A tree from labelled(doc_id, text, lang); None without any labelled row that has a letter."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def learn(labelled: DataFrame, per_language: int = 1000, max_languages: int = 400, max_rows: int = 20_000) -> dict | None:
+    """A tree from labelled(doc_id, text, lang); None without any labelled row that has a letter.
+
+    The driver gets about per_language rows of each of the max_languages most frequent languages (ties: the first by
+    name), and about max_rows rows in all (documented bounds).
+    """
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
+    per_language = min(per_language, max_rows // len(counts))
     rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
@@ -135,7 +143,7 @@ def learn(labelled: DataFrame, per_language: int = 1000) -> dict | None:
                     n.append(c[i].astype(np.float32))
             yield pa.record_batch({"lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int16())), "n": pa.array(n, pa.list_(pa.float32()))})
 
-    picked = labelled.where(draw < rate[F.col("lang")]).select("text", "lang")
+    picked = labelled.where(draw < F.try_element_at(rate, F.col("lang"))).select("text", "lang")
     rows = picked.mapInArrow(sparse, "lang string, at array<smallint>, n array<float>").toArrow()
     if not rows.num_rows:
         return None

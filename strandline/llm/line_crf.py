@@ -2,15 +2,16 @@
 
 Every line is labelled good or bad from features of itself and of its neighbours; forward-backward gives the marginal
 chance that a line is bad, and the marginals, weighted by the lines' lengths, aggregate into the document's score (a
-logistic curve over the weighted mean, its largest short-term value and the share of certain lines, fitted to the labels).
+logistic curve over the weighted mean, its square root and the largest marginal, fitted to the labels).
 
-The field learns from labelled documents only, at most `max_docs` of them (documented bound; the smallest hashes of
-their ids, so any input of the same rows gives the same sample). Lines inherit their document's label in the first
+The field learns from labelled documents only, at most `max_docs` of them with at most `max_lines` lines each (documented
+bounds; the smallest hashes of their ids, so any input of the same rows gives the same sample). Lines inherit their document's label in the first
 round; in the second, lines of bad documents that the field finds clean count as good, for a bad document need not be
 bad throughout. Inputs of a score are texts alone.
 
 Defined cases: a null or empty text is one line of length zero, scored like any other. Without labels of both kinds
-every score is 0.5. Repeated rows are scored each. An empty table gives an empty result; other columns are not read.
+every score is 0.5. Repeated rows are scored each. An empty table gives an empty result; other columns are not read. A
+very long text is scored whole; its lines' features (164 bytes a line) are held in one task.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from strandline.llm.shared import id_mod, table
 _SYMBOL = re.compile(r"[#*$%&|<>{}\[\]\\^~=_+@]")
 _MARK = re.compile(r"[!?]")
 _DIGIT = re.compile(r"[0-9]")
-_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
-_WORD = re.compile(r"[^\W_]+")
 OWN = 13
 
 
@@ -185,20 +184,26 @@ def fit_curve(s: np.ndarray, good: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, known: DataFrame, max_docs: int = 2000, seed: int = 3) -> dict | None:
-    """The field and the curve from the texts of docs(doc_id, text) and known(doc_id, quality)."""
+def learn(docs: DataFrame, known: DataFrame, max_docs: int = 2000, max_lines: int = 1000, seed: int = 3) -> dict | None:
+    """The field and the curve from the texts of docs(doc_id, text) and known(doc_id, quality).
+
+    The driver gets at most max_docs texts of at most max_lines lines each; longer texts are scored, but not learned from.
+    """
     known = known.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("good"))
-    # the sample is drawn from ids alone; its max_docs rows then go to the documents
-    few = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "good").limit(max_docs)
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "good")
+    draw = F.xxhash64(F.lit(seed), "doc_id")
+    # the sample is drawn from ids alone; its max_docs rows then go to the documents, where repeated ids may make more
+    few = known.select("doc_id", "good", draw.alias("draw")).orderBy("draw", "doc_id", "good").limit(max_docs)
+    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "good", "draw")
 
     def run(batches):
         for b in batches:
-            for text, q in zip(b.column(0), b.column(1)):
-                x, size = line_features(text.as_py() or "")
-                yield pa.record_batch({"x": pa.array([x.tobytes()]), "size": pa.array([size.tobytes()]), "good": pa.array([q.as_py()], pa.int32())})
+            for text, q, r in zip(b.column(0), b.column(1), b.column(2)):
+                text = text.as_py() or ""
+                if text.count("\n") < max_lines:
+                    x, size = line_features(text)
+                    yield pa.record_batch({"x": pa.array([x.tobytes()]), "size": pa.array([size.tobytes()]), "good": pa.array([q.as_py()], pa.int32()), "draw": pa.array([r.as_py()], pa.int64())})
 
-    rows = picked.mapInArrow(run, "x binary, size binary, good int").toArrow()
+    rows = picked.mapInArrow(run, "x binary, size binary, good int, draw bigint").orderBy("draw", "good", "x").limit(max_docs).toArrow()
     good = np.array(rows.column("good").to_pylist(), float)
     if len(set(good.tolist())) < 2:
         return None
