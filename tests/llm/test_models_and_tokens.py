@@ -165,7 +165,6 @@ def test_packing_is_gapless_and_tight(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(5)
     texts = ODD + [" ".join(rng.choice(("river", "stone", "Ünï", "12", "\n")) for _ in range(rng.randint(1, 900))) for _ in range(150)] + ["same text"] * 40
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
@@ -175,27 +174,102 @@ def test_packing_is_gapless_and_tight(spark):
     assert pack(spark, []) == []
 
 
-def test_plan_holds_every_length_and_beats_first_fit():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_ids_equal_the_untouched_tokenizer(special_as_text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    if special_as_text:
+        t.encode_special_tokens = True
+    rng = random.Random(8)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "it's", "Hello", "é", "日本", "123", "\t", "<", "x" * 9]
+    texts = ODD[1:] + ["hello <|endoftext|> x"] + ["".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(2000)]
+    tokens = sequence_packing.Tokens(public.path("byte_bpe_50k.json"), special_as_text)
+    assert tokens.fast is not None
+    for x, got in zip(texts, tokens.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_go_to_their_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        d = json.load(f)
+    for name, change in {"lower": {"normalizer": {"type": "Lowercase"}}, "space": {"pre_tokenizer": d["pre_tokenizer"] | {"add_prefix_space": True}}, "merges": {"model": d["model"] | {"merges": d["model"]["merges"][1:]}}}.items():
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(d | change, f)
+        tokens = sequence_packing.Tokens(path)
+        assert tokens.fast is None
+        assert np.frombuffer(tokens.encode(["The Tree"])[0], "<u4").tolist() == Tokenizer.from_file(path).encode("The Tree", add_special_tokens=False).ids
+
+
+def planned(counts, size):
+    """How many sequences the plan takes, and its bound; the plan must hold every length exactly as often as counted."""
+    made, used = np.zeros_like(counts), 0
+    found, bound = sequence_packing.plan(counts, size)
+    for c, n in found:
+        assert sum(c) <= size and n > 0
+        used += n
+        for x in c:
+            made[x] += n
+    assert (made == counts).all() and bound <= used
+    return used, bound
+
+
+def fewest(items: tuple, size: int, memo: dict) -> int:
+    """The optimum by exhaustion: the largest item with every subset of the others that fits."""
+    if not items:
+        return 0
+    if items not in memo:
+        first, *others = items
+        memo[items] = min(
+            1 + fewest(tuple(x for i, x in enumerate(others) if not pick >> i & 1), size, memo)
+            for pick in range(1 << len(others))
+            if first + sum(x for i, x in enumerate(others) if pick >> i & 1) <= size
+        )
+    return memo[items]
+
+
+def test_plan_of_small_instances_is_the_optimum():
+    rng = np.random.default_rng(11)
+    missed = 0
+    for _ in range(60):
+        items = tuple(sorted(rng.integers(1, 21, int(rng.integers(1, 10))).tolist(), reverse=True))
+        used, bound = planned(np.bincount(items, minlength=21), 20)
+        best = fewest(items, 20, {})
+        assert bound <= best <= used
+        missed += used > best
+    assert missed <= 1
+
+
+@pytest.mark.parametrize("low, high, n", [(500, 2049, 4000), (300, 1000, 3000), (600, 1401, 4000), (1, 2049, 2000)])
+def test_plan_is_no_worse_than_best_fit(low, high, n):
+    counts = np.bincount(np.random.default_rng(0).integers(low, high, n), minlength=2049)
+    used, bound = planned(counts, 2048)
+    assert used <= sum(k for _, k in sequence_packing.best_fit(counts, 2048)) and used <= 1.03 * bound + 1
+
+
+def test_plan_of_few_lengths_with_large_counts():
     rng = np.random.default_rng(2)
-    for trial in range(4):
-        counts = np.zeros(257, np.int64)
-        for x in rng.integers(1, 257, 30):
-            counts[x] += int(rng.integers(1, 400))
-        made, used = np.zeros_like(counts), 0
-        for c, n in sequence_packing.plan(counts, 256):
-            assert sum(c) <= 256
-            used += n
-            for x in c:
-                made[x] += n
-        assert (made == counts).all()
-        gaps = []
-        for x in np.repeat(np.arange(257), counts)[::-1].tolist():
-            k = next((i for i, g in enumerate(gaps) if g >= x), None)
-            if k is None:
-                gaps.append(256 - x)
-            else:
-                gaps[k] -= x
-        assert used <= len(gaps) + 1
+    ours = theirs = 0
+    for _ in range(8):
+        counts = np.zeros(2049, np.int64)
+        for x in rng.integers(200, 1200, 12):
+            counts[x] += int(rng.integers(1, 400)) * 10**6
+        used, bound = planned(counts, 2048)
+        assert used <= 1.06 * bound
+        ours += used
+        theirs += sum(k for _, k in sequence_packing.best_fit(counts, 2048))
+    assert ours < theirs
+    assert sequence_packing.plan(np.zeros(2049, np.int64), 2048) == ([], 0)
+
+
+def test_repeated_documents_are_packed_each(spark):
+    found = pack(spark, ["again and again"] * 3000, 64)
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == 3000
 
 
 # --- 6: n-gram scores
