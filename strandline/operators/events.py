@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,26 +102,6 @@ def running_offsets(df: DataFrame, by: list[str], order: list[str], size: Column
     return d.withColumn("end", (F.col("start") + size).cast("bigint"))
 
 
-def greedy_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
-    """Adds chunk: rows in order share a chunk until the next would take it over the limit.
-
-    A chunk's start depends on all chunks before it, so no running sum gives it. The fold runs inside the group's ordered
-    array in the JVM, over sizes alone; positions then join back. A group is one ordered unit of the caller's (a
-    component, an order), not a partition of the data.
-    """
-    d = df.withColumn("_pos", F.row_number().over(ordered(by, order)))
-    sizes = d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(size).cast("double").alias("s")))), lambda x: x["s"]).alias("_sizes"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, s):
-        full = (acc["sum"] + s > limit) & (F.size(acc["out"]) > 0)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(F.when(full, s).otherwise(acc["sum"] + s).alias("sum"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    chunks = sizes.select(*by, F.posexplode(F.aggregate("_sizes", start, step, lambda acc: acc["out"])).alias("_i", "chunk"))
-    return d.join(chunks.withColumn("_pos", F.col("_i") + 1).drop("_i"), [*by, "_pos"]).drop("_pos")
-
-
 def positions(df: DataFrame, by: list[str], order: list, size: Column | None = None) -> DataFrame:
     """Adds _pos (1, 2, ... in order within by) and, with size, _size and its running sum _end as exact decimals.
 
@@ -142,7 +123,8 @@ def positions(df: DataFrame, by: list[str], order: list, size: Column | None = N
 
 
 def range_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
-    """As greedy_chunks, for groups too large for one task; sizes are not negative (ten decimals count), groups not null.
+    """Adds chunk: rows in order share a chunk until the next would take it over the limit. Groups may be too large for a
+    task; sizes are not negative (ten decimals count), groups not null.
 
     A row's running sum and its place come from range blocks. Were it a chunk's first row, the next chunk would start after
     the last row whose sum is at most its own start plus the limit; that row is in the limit-wide cell of this bound or in
@@ -175,14 +157,22 @@ def range_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limi
 
 
 def admit_within(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
-    """Adds admitted: a row is admitted if it still fits beside those admitted before it; one that does not is skipped."""
-    d = df.withColumn("_pos", F.row_number().over(ordered(by, order)))
-    sizes = d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(size).cast("double").alias("s")))), lambda x: x["s"]).alias("_sizes"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<boolean>").alias("out"))
+    """Adds admitted: a row is admitted if it still fits beside those admitted before it; one that does not is skipped.
 
-    def step(acc, s):
-        ok = acc["sum"] + s <= limit
-        return F.struct(F.when(ok, acc["sum"] + s).otherwise(acc["sum"]).alias("sum"), F.concat(acc["out"], F.array(ok)).alias("out"))
+    Each row depends on all before it in its group, so a group is read in order by one task; a running sum is all that is
+    kept, over Arrow batches.
+    """
 
-    out = sizes.select(*by, F.posexplode(F.aggregate("_sizes", start, step, lambda acc: acc["out"])).alias("_i", "admitted"))
-    return d.join(out.withColumn("_pos", F.col("_i") + 1).drop("_i"), [*by, "_pos"]).drop("_pos")
+    def run(batches):
+        now, used = None, 0.0
+        for b in batches:
+            out = []
+            for *key, s in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in [*by, size]]):
+                if key != now:
+                    now, used = key, 0.0
+                out.append(None if s is None else used + s <= limit)
+                used += s if out[-1] else 0.0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "admitted"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{schema}, admitted boolean")

@@ -1,13 +1,15 @@
 """Graph operators over edge tables (src, dst): level-by-level joins, never a whole graph in one place.
 
 Loops run on the driver and build one plan a level; each level is written to the shared folder, so plans stay short and
-a lost executor costs one level. A level's frontier holds only nodes that were not reached before (an anti join), so
-the work over all levels is that of one pass over the edges of the part reached. Filter edges by type, tier or review
+a lost executor costs one level. Edges are written once and scanned by every level; a level's frontier holds only nodes
+that were not reached before (an anti join), so no edge is followed twice. Filter edges by type, tier or review
 before calling: the paths found are then the shortest among eligible ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,13 @@ def symmetrise(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, id, dist) of every node within depth of each of seeds(seed, id); seeds are at distance 0."""
+    return _levels(cut(edges.select("src", "dst"), "steps"), seeds, depth)
+
+
+def _levels(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """distances over edges that are written already, so no level works them out again; double edges cost no more than a row."""
     reached = cut(seeds.select("seed", "id").distinct().withColumn("dist", F.lit(0)), "reached")
-    frontier, steps = reached, edges.select("src", "dst").distinct()
+    frontier = reached
     every = [reached]
     for level in range(1, depth + 1):
         new = frontier.join(steps, frontier["id"] == steps["src"]).select("seed", F.col("dst").alias("id")).distinct()
@@ -57,9 +64,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, dep
     Distances are found first; paths then grow only over edges that come one level nearer to a target that is reached,
     back from the target, so no walk is kept that leads nowhere.
     """
-    d = cut(distances(edges, sources.select(F.col("id").alias("seed"), "id"), depth), "distances")
+    steps = cut(edges.select("src", "dst").distinct(), "steps")
+    d = cut(_levels(steps, sources.select(F.col("id").alias("seed"), "id"), depth), "distances")
     ends = d.join(targets.select("id").distinct(), "id", "left_semi").where("dist > 0")
-    steps = edges.select("src", "dst").distinct()
     paths = ends.select("seed", F.col("id").alias("target"), F.col("dist").alias("hops"), F.col("id").alias("at"), "dist", F.array("id").alias("nodes"))
     done = None
     far = ends.agg(F.max("dist")).first()[0] or 0
@@ -128,13 +135,45 @@ def lineage(df: DataFrame, ident: str, parent: str, depth: int) -> DataFrame:
     return at.select(F.col("id").alias(ident), "root", "hops")
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component), roots left out, of the edges u-v."""
+    nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inv[: len(u)], inv[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        new = np.minimum(new, new[label])
+        if np.array_equal(new, label):
+            break
+        label = new
+    keep = label != np.arange(len(nodes))
+    return nodes[keep], nodes[label[keep]]
+
+
+def _merge(batches):
+    for b in batches:
+        u, v = (np.asarray(b.column(i), np.int64) for i in (0, 1))
+        if len(u):
+            x, y = stars(u, v)
+            yield pa.record_batch({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of edges(src, dst): the smallest id it reaches.
+    """(id, component) of every node of edges(src, dst): the smallest id it reaches. Nulls and loops are no edges.
 
     Large-star and small-star steps in turn: partial minima and joins on the node, so a hub is a skewed key of one join
-    side and no neighbour list is gathered; the rounds grow with the logarithm of the longest path.
+    side and no neighbour list is gathered; the rounds grow with the logarithm of the longest path. Before the first step
+    each task merges its own edges of whole numbers into stars (union-find over one Arrow batch).
     """
-    e = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "edges")
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
+    if all(t in ("bigint", "int") for _, t in e.dtypes):
+        e = e.selectExpr("cast(u as bigint) u", "cast(v as bigint) v").mapInArrow(_merge, "u bigint, v bigint")
+    e = cut(e.distinct(), "edges")
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import events, graphs, summaries
@@ -59,13 +59,12 @@ def citation_accuracy(expected: DataFrame, cited: DataFrame, case: str, ident: s
 def markdown_report(findings: DataFrame, order: list, sections: list[tuple[str, Column]]) -> DataFrame:
     """(section, line, text): findings as list items under the first section whose condition holds, in order.
 
-    Lines stay rows, numbered within their section, so a report of any size is written by Spark.
+    Lines stay rows, numbered within their section by range blocks, so a report of any size is written by Spark.
     """
     which = F.coalesce(*[F.when(c, F.lit(i)) for i, (_, c) in enumerate(sections)])
     d = findings.withColumn("section", which).where("section is not null")
-    w = Window.partitionBy("section").orderBy(*order)
     text = F.format_string("- **%s** (%s): %s risk, score %s, evidence %s", "title", "target_kind", "risk", F.col("score").cast("string"), "strength")
-    items = d.select("section", F.row_number().over(w).alias("line"), text.alias("text"))
+    items = events.positions(d, ["section"], order).select("section", F.col("_pos").cast("int").alias("line"), text.alias("text"))
     heads = findings.sparkSession.createDataFrame([(i, 0, f"## {n}") for i, (n, _) in enumerate(sections)], "section int, line int, text string")
     return heads.unionByName(items)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.tables import cut
+from strandline.operators.events import positions
 from strandline.operators.rows import ancestors
 
 
@@ -79,12 +80,12 @@ def inherits(classes: DataFrame, base: str) -> DataFrame:
         reached = reached.union(frontier)
 
 
-def route_tree(routes: DataFrame, depth: int = 24) -> DataFrame:
+def route_tree(routes: DataFrame) -> DataFrame:
     """(id, pattern, layouts) of routes(id, parent, segment, layout): segments joined from the root, and the layouts of all
-    ancestors in order. A level is a join; a route whose parent is missing is left out."""
+    ancestors in order. A level is a join; a route whose parent is missing, or in a cycle, has no root and is left out."""
     level = routes.where("parent is null").select("id", F.concat(F.lit("/"), F.coalesce("segment", F.lit(""))).alias("pattern"), F.array_compact(F.array("layout")).alias("layouts"))
     every, steps = [cut(level, "routes")], routes.where("parent is not null").select(F.col("id").alias("_id"), F.col("parent").alias("id"), "segment", "layout")
-    for _ in range(depth):
+    while True:  # ids are unique, so every level holds new ones and the tree ends
         up = every[-1]
         joined = F.concat(F.regexp_replace("pattern", "/$", ""), F.lit("/"), F.coalesce("segment", F.lit("")))
         nxt = cut(up.join(steps, "id").select(F.col("_id").alias("id"), joined.alias("pattern"), F.concat("layouts", F.array_compact(F.array("layout"))).alias("layouts")), "routes")
@@ -152,8 +153,8 @@ def compare_runs(plan: DataFrame, baseline: DataFrame, head: DataFrame, by: str,
 
 
 def fixed_batches(df: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
-    """Adds batch: rows of a group in order, size to a batch."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("bigint"))
+    """Adds batch: rows of a group in order, size to a batch. Numbers come from range blocks, so a large group is no task."""
+    return positions(df, [by], order).withColumn("batch", F.floor((F.col("_pos") - 1) / size).cast("bigint")).drop("_pos")
 
 
 def claimable(runs: DataFrame, at: Column, by: str, order: list[str]) -> DataFrame:

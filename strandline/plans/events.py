@@ -61,14 +61,13 @@ def no_progress_streak(spark, d):
 
 
 @query("""
-WITH e AS (SELECT conv_id, turn, count(DISTINCT role) AS n FROM conversations WHERE conv_id % 7 <> 0 OR turn <> 1 GROUP BY conv_id, turn),
-g AS (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS gap FROM e)
-SELECT conv_id, turn, 'gap' AS fault FROM g WHERE gap UNION ALL SELECT conv_id, turn, 'conflict' FROM g WHERE n > 1
+WITH e AS (SELECT l_orderkey, l_linenumber, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY ALL),
+g AS (SELECT *, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) > 1 AS gap FROM e)
+SELECT l_orderkey, l_linenumber, 'gap' AS fault FROM g WHERE gap UNION ALL SELECT l_orderkey, l_linenumber, 'conflict' FROM g WHERE n > 1
 """)
 def sequence_gaps(spark, d):
-    """Gaps and conflicts in the turns of conversations, of which some have lost their second turn."""
-    c = load(spark, d, "conversations").where("conv_id % 7 <> 0 or turn <> 1")
-    return op.feed_faults(c, "conv_id", "turn", F.col("role"))
+    """Gaps in the line numbers of orders, and numbers that two parts claim."""
+    return op.feed_faults(load(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_partkey"))
 
 
 @query("SELECT * FROM (SELECT event_id AS from_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_id FROM events) WHERE to_id IS NOT NULL")
@@ -77,16 +76,27 @@ def next_edges(spark, d):
     return op.next_edges(load(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_id")
 
 
-@query()
+_FOLDED = """WITH RECURSIVE n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem), f AS MATERIALIZED (FROM n)"""
+
+
+@query(f"""
+{_FOLDED}, w AS (SELECT *, l_quantity AS used, 0 AS chunk FROM f WHERE k = 1 UNION ALL
+  SELECT f.*, CASE WHEN used + f.l_quantity > 60 THEN f.l_quantity ELSE used + f.l_quantity END, CASE WHEN used + f.l_quantity > 60 THEN chunk + 1 ELSE chunk END FROM w JOIN f ON f.l_orderkey = w.l_orderkey AND f.k = w.k + 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, chunk FROM w
+""")
 def greedy_chunks(spark, d):
-    """Lines of each order in chunks of at most 60 units (tested against a plain loop)."""
+    """Lines of each order in chunks of at most 60 units."""
     x = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return op.greedy_chunks(x, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 60)
+    return op.range_chunks(x, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 60)
 
 
-@query()
+@query(f"""
+{_FOLDED}, w AS (SELECT *, l_quantity AS used, l_quantity <= 100 AS admitted FROM f WHERE k = 1 UNION ALL
+  SELECT f.*, CASE WHEN used + f.l_quantity > 100 THEN used ELSE used + f.l_quantity END, used + f.l_quantity <= 100 FROM w JOIN f ON f.l_orderkey = w.l_orderkey AND f.k = w.k + 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, admitted FROM w
+""")
 def greedy_admission(spark, d):
-    """Lines of each order admitted while they fit in 100 units, larger ones skipped (tested against a plain loop)."""
+    """Lines of each order admitted while they fit in 100 units, larger ones skipped."""
     x = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return op.admit_within(x, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 100)
 

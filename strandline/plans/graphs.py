@@ -83,50 +83,24 @@ def evidence_trails(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS id, 'p' || l_partkey AS on_id FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS id, 'p' || l_partkey AS on_id FROM lineitem UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
 w(id) AS (SELECT 'p' || p_partkey FROM part WHERE p_brand = 'Brand#1' UNION SELECT e.id FROM w JOIN e ON e.on_id = w.id) SELECT id FROM w
 """)
 def dependency_closure(spark, d):
     """Everything that depends, directly or not, on the parts of a brand."""
-    li, o = load(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'"), load(spark, d, "orders")
+    li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
     e = li.select(_id("o", "l_orderkey").alias("id"), _id("p", "l_partkey").alias("on_id")).union(o.select(_id("c", "o_custkey"), _id("o", "o_orderkey")))
     return op.closure(e, load(spark, d, "part").where("p_brand = 'Brand#1'").select(_id("p", "p_partkey").alias("id")))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 2 * l_orderkey AS a, 2 * l_partkey + 1 AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), s AS (SELECT * FROM e UNION ALL SELECT b, a FROM e),
-w(id, other) AS (SELECT a, a FROM s UNION SELECT w.id, s.b FROM w JOIN s ON s.a = w.other) SELECT id, min(other) AS component FROM w GROUP BY id
-""")
-def components(spark, d):
-    """Connected components of orders and parts over the lines of the largest returned quantity."""
-    li = load(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'")
-    return op.components(li.select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")))
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events WHERE event_type = 'purchase' AND value > 90),
-w(id, dist) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < 6) SELECT id, min(dist)::INTEGER AS dist FROM w GROUP BY id
-""")
-def callers_trace(spark, d):
-    """Who is reached from a user over large purchases, with the least depth up to six."""
-    e = load(spark, d, "events").where("event_type = 'purchase' and value > 90").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").try_cast("bigint").alias("dst"))
-    return op.distances(e, spark.createDataFrame([(0, 0)], "seed int, id bigint"), 6).select("id", "dist")
+_BIPARTITE = """e AS (SELECT DISTINCT 2 * l_orderkey AS a, 2 * l_partkey + 1 AS b FROM lineitem), s AS (SELECT * FROM e UNION ALL SELECT b, a FROM e),
+cc(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM s UNION
+  (SELECT s.b, min(cc.component) FROM cc JOIN s ON s.a = cc.id JOIN recurring.cc AS r ON r.id = s.b WHERE cc.component < r.component GROUP BY s.b))"""
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS id, 'p' || l_partkey AS on_id FROM lineitem UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
-w(id) AS (SELECT 'p' || p_partkey FROM part WHERE p_brand = 'Brand#1' UNION SELECT e.id FROM w JOIN e ON e.on_id = w.id) SELECT id FROM w
-""")
-def dependency_closure_of_all_lines(spark, d):
-    """Everything that depends on the parts of a brand, over every line (dependency_closure keeps its SQL's filter)."""
-    li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
-    e = li.select(_id("o", "l_orderkey").alias("id"), _id("p", "l_partkey").alias("on_id")).union(o.select(_id("c", "o_custkey"), _id("o", "o_orderkey")))
-    return op.closure(e, load(spark, d, "part").where("p_brand = 'Brand#1'").select(_id("p", "p_partkey").alias("id")))
-
-
-@query()
-def components_of_all_lines(spark, d):
-    """Connected components of orders and parts over every line (tested against union-find: recursive SQL is too slow)."""
+@query(f"WITH RECURSIVE {_BIPARTITE} SELECT id, component FROM cc")
+def components(spark, d):
+    """Connected components of orders and parts over every line."""
     return op.components(load(spark, d, "lineitem").select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")))
 
 
@@ -134,8 +108,8 @@ def components_of_all_lines(spark, d):
 WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL),
 w(id, dist) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < 6) SELECT id, min(dist)::INTEGER AS dist FROM w GROUP BY id
 """)
-def callers_trace_of_all_events(spark, d):
-    """Who is reached from a user over events of every type and value, with the least depth up to six."""
+def callers_trace(spark, d):
+    """Who is reached from a user over the targets that events name, with the least depth up to six."""
     e = load(spark, d, "events").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").try_cast("bigint").alias("dst")).where("dst is not null")
     return op.distances(e, spark.createDataFrame([(0, 0)], "seed int, id bigint"), 6).select("id", "dist")
 

@@ -5,25 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import reports as op, summaries
-from strandline.plans.graphs import blast_radius
+from strandline.plans.graphs import _BIPARTITE, blast_radius
 from strandline.plans.registry import SQL, load, query
 
 
-@query("""
-WITH RECURSIVE k AS (SELECT l_orderkey AS u, l_partkey AS k FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), e AS (SELECT DISTINCT a.u AS a, b.u AS b FROM k a JOIN k b ON a.k = b.k),
-w(u, o) AS (SELECT u, u FROM k UNION SELECT w.u, e.b FROM w JOIN e ON e.a = w.o) SELECT u AS l_orderkey, min(o) AS component FROM w GROUP BY u
+@query(f"""
+WITH RECURSIVE {_BIPARTITE}, o AS (SELECT id // 2 AS l_orderkey, component AS c FROM cc WHERE id % 2 = 0), g AS (SELECT l_orderkey, min(l_orderkey) OVER (PARTITION BY c) AS component FROM o)
+SELECT l_orderkey, component, ((row_number() OVER (PARTITION BY component ORDER BY l_orderkey) - 1) // 40)::INTEGER AS chunk FROM g
 """)
 def change_groups(spark, d):
-    """Orders that share parts, directly or through others, over the lines of the largest returned quantity."""
-    li = load(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'")
-    units = li.select("l_orderkey").distinct().withColumn("size", F.lit(1.0))
-    return op.group_changes(units, "l_orderkey", li.select("l_orderkey", F.col("l_partkey").alias("key")), "size", 40).select("l_orderkey", "component")
-
-
-@query()
-def change_groups_of_all_lines(spark, d):
-    """Orders that share parts over every line, in chunks of forty (tested against union-find and a loop: recursive SQL
-    is too slow; change_groups keeps its SQL's filter and columns)."""
+    """Orders that share parts, directly or through others, in chunks of forty."""
     li = load(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("key"))
     units = li.select("l_orderkey").distinct().withColumn("size", F.lit(1.0))
     return op.group_changes(units, "l_orderkey", li, "size", 40).select("l_orderkey", "component", "chunk")

@@ -9,14 +9,14 @@ from strandline.plans.registry import load, query
 
 
 @query("""
-WITH e AS (SELECT c_custkey AS id, c_mktsegment AS v, 1 AS version FROM customer WHERE c_custkey % 3 <> 0), i AS (SELECT o_custkey AS id, o_orderstatus AS v, (o_orderkey % 3)::INTEGER AS version, o_orderkey FROM orders WHERE o_orderkey % 5 = 0),
+WITH e AS (SELECT c_custkey AS id, c_mktsegment AS v, 1 AS version FROM customer), i AS (SELECT o_custkey AS id, o_orderstatus AS v, (o_orderkey % 3)::INTEGER AS version, o_orderkey FROM orders),
 u AS (SELECT id, v, version, 0 AS fresh, 0::BIGINT AS k FROM e UNION ALL SELECT id, v, version, 1, o_orderkey FROM i)
 SELECT id, v, version, k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, k DESC, fresh DESC) AS rn FROM u) WHERE rn = 1
 """)
 def upsert_latest(spark, d):
     """Customers overwritten by newer rows."""
-    e = load(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v"), F.lit(1).alias("version"), F.lit(0).cast("bigint").alias("k"))
-    i = load(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("v"), (F.col("o_orderkey") % 3).cast("int").alias("version"), F.col("o_orderkey").alias("k"))
+    e = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v"), F.lit(1).alias("version"), F.lit(0).cast("bigint").alias("k"))
+    i = load(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("v"), (F.col("o_orderkey") % 3).cast("int").alias("version"), F.col("o_orderkey").alias("k"))
     return op.upsert(e, i, ["id"], ["version", "k"])
 
 
@@ -27,10 +27,10 @@ def insert_missing(spark, d):
     return op.insert_missing(known, load(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
 
 
-@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_nationkey = o_orderkey % 25 THEN 'replaced' ELSE 'conflict' END AS outcome FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_nationkey = o_orderkey % 25 THEN 'replaced' ELSE 'conflict' END AS outcome FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def optimistic_replace(spark, d):
     """Changes that expect a revision: replaced, conflict or missing."""
-    c = load(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("revision"))
+    c = load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("revision"))
     o = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 25).alias("revision"))
     return op.replace_if_revision(c, o, "c_custkey", "revision", ["o_orderkey"])
 
@@ -123,7 +123,7 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^?#]*)', 1)"
 
 
 @query(f"""
-WITH o AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS dir, min(page_id) AS owner FROM pages WHERE page_id % 3 = 0 GROUP BY 1 UNION ALL SELECT regexp_extract(url, '^[a-z]+://([^/?#]+/[^/?#]+)', 1), 100000 + min(page_id) FROM pages WHERE page_id % 4 = 0 GROUP BY 1),
+WITH o AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS dir, min(page_id) AS owner FROM pages GROUP BY 1 UNION ALL SELECT regexp_extract(url, '^[a-z]+://([^/?#]+/[^/?#]+)', 1), 100000 + min(page_id) FROM pages GROUP BY 1),
 p AS (SELECT DISTINCT array_to_string(list_filter(string_split({_HOST}, '/'), lambda x: x <> ''), '/') AS path FROM pages)
 SELECT path, max_by(owner, length(dir)) AS owner FROM p LEFT JOIN o ON path = dir OR starts_with(path, dir || '/') GROUP BY path
 """)
@@ -131,8 +131,8 @@ def nearest_config(spark, d):
     """The deepest directory with an owner above each page address."""
     u = load(spark, d, "pages")
     path = F.array_join(F.filter(F.split(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/"), lambda x: x != ""), "/")
-    host = u.where("page_id % 3 = 0").groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("directory")).agg(F.min("page_id").alias("owner"))
-    deep = u.where("page_id % 4 = 0").groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+/[^/?#]+)", 1).alias("directory")).agg((F.min("page_id") + 100000).alias("owner"))
+    host = u.groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("directory")).agg(F.min("page_id").alias("owner"))
+    deep = u.groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+/[^/?#]+)", 1).alias("directory")).agg((F.min("page_id") + 100000).alias("owner"))
     return op.nearest_ancestor(u.select(path.alias("path")).distinct(), host.union(deep), "path")
 
 
@@ -149,7 +149,7 @@ def parent_containment(spark, d):
 
 @query("""
 WITH e AS (SELECT user_id, event_type, max(CASE WHEN event_id % 2 = 0 THEN floor(value)::BIGINT END) AS b, max(CASE WHEN event_id % 2 = 1 THEN floor(value)::BIGINT END) AS h FROM events GROUP BY user_id, event_type),
-p AS (SELECT user_id, event_type, CASE WHEN user_id % 7 <> 0 THEN b % 2 END AS b, h % 2 AS h FROM e),
+p AS (SELECT user_id, event_type, b % 2 AS b, h % 2 AS h FROM e),
 g AS (SELECT user_id, count(*) FILTER (b IS NULL OR h IS NULL OR b <> h) AS changed, bool_or(b IS NOT NULL) AS has FROM p GROUP BY user_id)
 SELECT user_id, CASE WHEN NOT has THEN 'not_available' WHEN changed > 0 THEN 'changed' ELSE 'preserved' END AS status, CASE WHEN has THEN changed ELSE 0 END::BIGINT AS changed FROM g
 """)
@@ -158,7 +158,7 @@ def baseline_comparison(spark, d):
     e = load(spark, d, "events").select("user_id", "event_type", "event_id", F.floor("value").alias("v"))
     run = lambda odd: e.where(F.col("event_id") % 2 == odd).where("v is not null").groupBy("user_id", "event_type").agg((F.max("v") % 2).alias("v"))
     plan = e.select("user_id", "event_type").distinct()
-    return op.compare_runs(plan, run(0).where("user_id % 7 <> 0"), run(1), "user_id", "event_type", "v")
+    return op.compare_runs(plan, run(0), run(1), "user_id", "event_type", "v")
 
 
 @query("SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8)::BIGINT AS batch FROM documents")
@@ -178,9 +178,14 @@ def claimable_runs(spark, d):
     return op.claimable(r, F.lit("1998-01-01").cast("timestamp_ntz"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "status")
 
 
-@query()
+@query("""
+WITH s AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 0 ELSE 1 END AS s FROM events),
+u AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS up FROM s),
+l AS (SELECT *, least(0, min(up) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS low FROM u)
+SELECT user_id, max_by(up - low, (ts, event_id))::BIGINT AS depth, count(*) FILTER (s < 0) AS branches FROM l GROUP BY user_id
+""")
 def branch_depth(spark, d):
-    """How deep each user stands when errors lead back a step and never below the start (tested against a loop)."""
+    """How deep each user stands when errors lead back a step and never below the start."""
     step = F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "view", 0).otherwise(1)
     return op.clamped_depth(load(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], step)
 

@@ -114,10 +114,10 @@ def semi_join_owned(spark, d):
     return load(spark, d, "customer").select("c_custkey", "c_name").join(open_, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join_missing(spark, d):
-    """Customers without any order."""
-    some = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a pending order."""
+    some = load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return load(spark, d, "customer").select("c_custkey", "c_name").join(some, "c_custkey", "left_anti")
 
 
@@ -161,15 +161,16 @@ _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1)"
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || {_PATH} AS path FROM pages),
 parts AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p),
 pre AS (SELECT page_id, array_to_string(s[1:i], '/') AS prefix, i = len(s) AS whole FROM parts, unnest(range(1, len(s) + 1)) t(i))
-SELECT DISTINCT a.page_id AS ancestor_id, b.page_id AS page_id FROM pre a JOIN pre b ON a.prefix = b.prefix WHERE a.whole AND NOT b.whole
+SELECT DISTINCT a.prefix AS ancestor, b.page_id FROM (SELECT DISTINCT array_to_string(s[1:2], '/') AS prefix FROM parts WHERE len(s) > 2) a JOIN pre b USING (prefix) WHERE NOT b.whole
 """)
 def path_prefix_join(spark, d):
-    """Pairs of pages where one address is an ancestor of the other: an equi-join on exploded prefixes."""
+    """The first directories of sites with all pages below them: an equi-join on exploded prefixes."""
     u = F.col("url")
     path = F.concat(F.regexp_extract(u, "^[a-z]+://([^/?#]+)", 1), F.lit("/"), F.regexp_extract(u, "^[a-z]+://[^/?#]+/?([^?#]*)", 1))
-    p = load(spark, d, "pages").select("page_id", F.posexplode(F.reverse(op.ancestors(path))).alias("up", "prefix"))
-    a = p.where("up = 0").select(F.col("page_id").alias("ancestor_id"), "prefix")
-    return a.join(p.where("up > 0"), "prefix").select("ancestor_id", "page_id").distinct()
+    p = load(spark, d, "pages").select("page_id", F.reverse(op.ancestors(path)).alias("every"))
+    below = p.select("page_id", F.posexplode("every").alias("up", "prefix")).where("up > 0")
+    directories = p.where(F.size("every") > 2).select(F.element_at("every", -2).alias("prefix")).distinct()
+    return directories.join(below, "prefix").select(F.col("prefix").alias("ancestor"), "page_id").distinct()
 
 
 #: The route templates of the template-match query.
@@ -238,7 +239,7 @@ def parallel_edges(spark, d):
 
 
 @query("""
-WITH desired AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 0 THEN -1 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0
+WITH desired AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 0 THEN -1 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_acctbal > 0
   UNION ALL SELECT 1000000 + p_partkey, p_brand, 0 FROM part WHERE p_size = 1)
 SELECT coalesce(e.s_suppkey, d.s_suppkey) AS s_suppkey, CASE WHEN e.s_suppkey IS NULL THEN 'insert' WHEN d.s_suppkey IS NULL THEN 'delete'
   WHEN (e.s_name, e.s_nationkey) IS NOT DISTINCT FROM (d.s_name, d.s_nationkey) THEN 'keep' ELSE 'update' END AS action
@@ -246,14 +247,14 @@ FROM supplier e FULL JOIN desired d ON e.s_suppkey = d.s_suppkey
 """)
 def declarative_sync(spark, d):
     """What makes the suppliers equal to a desired set."""
-    s = load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    want = s.where("s_suppkey % 3 <> 0").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 5 == 0, -1).otherwise(F.col("s_nationkey")))
+    s = load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    want = s.where("s_acctbal > 0").drop("s_acctbal").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 5 == 0, -1).otherwise(F.col("s_nationkey")))
     new = load(spark, d, "part").where("p_size = 1").select((F.col("p_partkey") + 1000000).alias("s_suppkey"), F.col("p_brand").alias("s_name"), F.lit(0).alias("s_nationkey"))
-    return op.sync_labels(s, want.union(new), "s_suppkey", ["s_name", "s_nationkey"])
+    return op.sync_labels(s.drop("s_acctbal"), want.union(new), "s_suppkey", ["s_name", "s_nationkey"])
 
 
 @query("""
-WITH affected AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0), staged AS (SELECT s_suppkey, upper(s_name) AS s_name FROM supplier WHERE s_suppkey % 4 = 0)
+WITH affected AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0), staged AS (SELECT s_suppkey, upper(s_name) AS s_name FROM supplier WHERE s_acctbal > 5000)
 SELECT s_suppkey, s_name, 'copied' AS origin, 2::BIGINT AS graph_revision FROM supplier
   WHERE s_suppkey NOT IN (SELECT s_suppkey FROM affected) AND s_suppkey NOT IN (SELECT s_suppkey FROM staged)
 UNION ALL SELECT s_suppkey, s_name, 'staged', 2 FROM staged
@@ -261,7 +262,7 @@ UNION ALL SELECT s_suppkey, s_name, 'staged', 2 FROM staged
 def copy_on_write_revision(spark, d):
     """The next revision of a table: unaffected rows copied, staged rows added."""
     s = load(spark, d, "supplier")
-    staged = s.where("s_suppkey % 4 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"))
+    staged = s.where("s_acctbal > 5000").select("s_suppkey", F.upper("s_name").alias("s_name"))
     return op.copy_on_write(s.select("s_suppkey", "s_name"), s.where("s_acctbal < 0"), staged, "s_suppkey", 2)
 
 

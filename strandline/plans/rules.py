@@ -126,7 +126,7 @@ def trajectory_metrics(spark, d):
     return g.select("conv_id", "steps", F.round(F.col("_r") / F.col("steps"), 6).alias("recall"), F.coalesce(F.col("_fa") < F.col("_fr"), F.lit(False)).alias("in_order"), F.round(1 - F.col("_e") / F.col("steps"), 6).alias("efficiency"))
 
 
-_NODES = "SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 11 <> 0"
+_NODES = "SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus <> 'P'"
 
 
 @query(f"""
@@ -139,7 +139,7 @@ SELECT code, count(*) AS n, count(DISTINCT id) AS ids FROM v GROUP BY code
 def publication_validation(spark, d):
     """Why a revision of orders and customers may not be published, counted by rule."""
     o, li, c = (load(spark, d, t) for t in ("orders", "lineitem", "customer"))
-    n = c.select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(o.where("o_orderkey % 11 <> 0").select(F.concat(F.lit("o"), "o_orderkey")))
+    n = c.select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(o.where("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey")))
     tier = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "B").otherwise("C")
     e = li.join(o.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.concat(F.lit("e"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("from_id"), F.concat(F.lit("c"), "o_custkey").alias("to_id"), tier.alias("tier"), F.when(F.col("l_linestatus") == "F", "accepted").otherwise("pending").alias("review_state")

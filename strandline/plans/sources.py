@@ -60,14 +60,14 @@ def webhook_decisions(spark, d):
 
 
 @query("""
-WITH p AS (SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.md' ELSE '/README.md' END AS path FROM documents WHERE doc_id % 7 <> 0),
-l AS (SELECT doc_id AS from_page, 'd' || (doc_id * 5 + 1) % 300 AS target FROM documents)
+WITH p AS (SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.md' ELSE '/README.md' END AS path FROM documents),
+l AS (SELECT doc_id AS from_page, 'd' || (doc_id * 5 + 1) AS target FROM documents)
 SELECT DISTINCT from_page, target, coalesce((SELECT path FROM p WHERE path = target), (SELECT path FROM p WHERE path = target || '.md'), (SELECT path FROM p WHERE path = target || '/README.md')) AS to_page FROM l
 """)
 def repository_links(spark, d):
     """Relative links resolved to the first file that exists."""
     x = load(spark, d, "documents").select("doc_id").distinct()
     end = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, ".md").otherwise("/README.md")
-    pages = x.where("doc_id % 7 <> 0").select(F.concat(F.lit("d"), "doc_id", end).alias("path"))
-    links = x.select(F.col("doc_id").alias("from_page"), F.concat(F.lit("d"), (F.col("doc_id") * 5 + 1) % 300).alias("target"))
+    pages = x.select(F.concat(F.lit("d"), "doc_id", end).alias("path"))
+    links = x.select(F.col("doc_id").alias("from_page"), F.concat(F.lit("d"), F.col("doc_id") * 5 + 1).alias("target"))
     return html.resolve_links(links, pages).select("from_page", "target", "to_page")

@@ -115,19 +115,6 @@ def polarity_conflicts(spark, d):
     return op.both_sides(e, ["user_id", "day"], F.col("event_type") == "purchase", F.col("event_type") == "error")
 
 
-_WORDS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
-
-
-@query(f"""
-WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS t FROM documents), b AS (SELECT item_id, {_WORDS.format("array_to_string(regexp_split_to_array(text, ' ')[1:12], ' ')")} AS p FROM benchmark)
-SELECT doc_id, item_id FROM d JOIN b ON contains(t, p) WHERE length(p) > 2
-""")
-def token_subsequence(spark, d):
-    """Documents that hold the first twelve words of a benchmark item in a row."""
-    b = load(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("passage"))
-    return op.passages_in(load(spark, d, "documents"), b, "doc_id", "text", "item_id", "passage")
-
-
 _KEPT = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.SUPPORT_STOP_WORDS) + ")), ' ') || ' '"
 
 
@@ -135,9 +122,8 @@ _KEPT = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^
 WITH d AS (SELECT doc_id, {_KEPT.format("text")} AS t FROM documents), b AS (SELECT item_id, {_KEPT.format("text")} AS p FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON contains(t, p) WHERE length(p) > 2
 """)
-def whole_passages(spark, d):
-    """Documents that hold all words of a benchmark item in a row, stop words and single characters left out
-    (token_subsequence keeps its SQL's first twelve words)."""
+def token_subsequence(spark, d):
+    """Documents that hold all words of a benchmark item in a row, stop words and single characters left out."""
     kept = F.array_join(tx.kept_words(F.col("text")), " ")
     docs, items = load(spark, d, "documents").select("doc_id", kept.alias("text")), load(spark, d, "benchmark").select("item_id", kept.alias("passage"))
     return op.passages_in(docs, items, "doc_id", "text", "item_id", "passage")
@@ -155,15 +141,15 @@ def secret_scan(spark, d):
 
 
 @query("""
-WITH c AS (SELECT p_partkey, p_name, p_size, p_size < 25 AS allowed, list_distinct(list_filter(string_split(p_name, ' '), lambda x: length(x) > 1)) AS k FROM part WHERE p_partkey % 10 <> 3),
+WITH c AS (SELECT p_partkey, p_name, p_size, p_size < 25 AS allowed, list_distinct(list_filter(string_split(p_name, ' '), lambda x: length(x) > 1)) AS k FROM part WHERE p_brand <> 'Brand#3'),
 t AS (SELECT *, list_transform(k, lambda x: x) AS toks FROM c)
 SELECT p_partkey, p_name, least(1000, 80 * len(list_intersect(toks, ['bolt', 'gear', 'hot', 'red'])) + 120 * (CASE WHEN list_has_any(toks, ['bolt', 'red']) THEN 1 ELSE 0 END + CASE WHEN list_has_any(toks, ['gear', 'hot']) THEN 1 ELSE 0 END)
   + CASE WHEN allowed THEN 100 ELSE 0 END + 80)::BIGINT AS score FROM t
 """)
 def rank_candidates(spark, d):
     """Parts not yet visited, scored by words shared with hints."""
-    p = load(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    seen = p.where("p_partkey % 10 = 3").select("p_partkey")
+    p = load(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    seen = p.where("p_brand = 'Brand#3'").select("p_partkey")
     return op.rank_by_hints(p, "p_name", ["red bolt", "hot gear"], F.col("p_size") < 25, seen, "p_partkey").select("p_partkey", "p_name", "score")
 
 

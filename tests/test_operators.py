@@ -27,7 +27,7 @@ def test_greedy_chunks_and_admission_follow_a_loop(spark):
             chunks[g, i] = chunk
             admitted[g, i] = room + s <= 100
             room += s if admitted[g, i] else 0
-    assert {(r["g"], r["i"]): r["chunk"] for r in events.greedy_chunks(df, ["g"], ["i"], "s", 60).collect()} == chunks
+    assert {(r["g"], r["i"]): r["chunk"] for r in events.range_chunks(df, ["g"], ["i"], "s", 60).collect()} == chunks
     assert {(r["g"], r["i"]): r["admitted"] for r in events.admit_within(df, ["g"], ["i"], "s", 100).collect()} == admitted
 
 
