@@ -1,64 +1,15 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps.
-
-Each step is a groupBy with partial minima and a join on the node; no node's neighbours are gathered in one place, so
-a hub with a third of all edges is a skewed key of one join side only. Steps are written to the shared folder, and the
-loop ends when a pair of steps leaves the edges as they were; the number of rounds grows with the logarithm of the
-longest path. Before the first step each task merges its own edges into stars (union-find over one Arrow batch).
-"""
+"""Connected components of the links that operators find."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import stash
-
-
-def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component), roots left out, of the edges u-v."""
-    nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inv[: len(u)], inv[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(new[new], new):
-            new = new[new]
-        new = np.minimum(new, new[label])
-        if np.array_equal(new, label):
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[keep], nodes[label[keep]]
-
+from strandline.operators.graphs import components, stars
 
-def _merge(batches):
-    for b in batches:
-        u, v = (np.asarray(b.column(i), np.int64) for i in (0, 1))
-        if len(u):
-            x, y = stars(u, v)
-            yield pa.record_batch({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
+__all__ = ["connected_components", "stars"]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges(u, v): the smallest id it reaches. Nulls and loops are no edges."""
-    e = edges.select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v")).where("u <> v")
-    e = stash(e.mapInArrow(_merge, "u bigint, v bigint").distinct(), "edges")
-    seen = None
-    while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stash(small, "edges")
-    roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(roots)
+    return components(edges.select(F.col("u").cast("bigint").alias("src"), F.col("v").cast("bigint").alias("dst")))

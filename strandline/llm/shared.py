@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The separators of words in every operator here: space and U+0009 to U+000D.
-SEPARATORS = r"[\x20\x09-\x0D]+"
-
+from strandline.functions.tables import cut as stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["SEPARATORS", "id_mod", "stash", "table"]
 
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The separators of words in every operator here: space and U+0009 to U+000D.
+SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
