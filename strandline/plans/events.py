@@ -196,18 +196,21 @@ def stream_equals_batch(spark, d):
     return batch.join(s, ["user_id", "event_type"], "full")
 
 
-@query()
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w AS k, first_value(l_partkey) OVER w AS p FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey::VARCHAR)),
+g AS (SELECT *, CASE WHEN k = 1 THEN l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, k) END AS step FROM r)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN k = 1 THEN 'gap' WHEN l_partkey = p THEN 'replay' ELSE 'conflict' END AS fault FROM g WHERE k > 1 OR step > 1
+""")
 def stream_sequence_faults(spark, d):
-    """Gaps and conflicts found by a stateful stream over conversations (tested against the batch query)."""
-    c = load(spark, d, "conversations")
-    return event_log.sequence_faults(spark, f"{d}/conversations.parquet", c.schema)
+    """Gaps, conflicts and replays in the line numbers of orders, found by a stateful stream."""
+    return event_log.sequence_faults(spark, f"{d}/lineitem.parquet", load(spark, d, "lineitem").schema, "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""
 SELECT date_trunc('hour', ts) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
 """)
 def windowed_stream(spark, d):
-    """Hourly windows by type with a watermark, from a stream run to its end (an extension)."""
+    """Hourly windows by type from a stream run to its end (an extension)."""
     e = load(spark, d, "events")
     x = event_log.hourly(spark, f"{d}/events.parquet", e.schema)
     return x.withColumn("total", F.round("total", 4))

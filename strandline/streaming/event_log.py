@@ -47,12 +47,17 @@ def totals(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return drain(e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "totals", "complete")
 
 
-def hourly(spark: SparkSession, path: str, schema: StructType, lateness: str = "3650 days") -> DataFrame:
-    """Windows of an hour by type. A window is written once the watermark has passed it; when the input ends, what is
-    still open is written too (complete mode), so the table is whole."""
-    e = read(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+def hourly(spark: SparkSession, path: str, schema: StructType, lateness: str | None = None) -> DataFrame:
+    """Windows of an hour by type.
+
+    With a lateness, a window is written when the watermark has passed it and its state goes, so the state of an endless
+    stream holds only the open windows; rows that come later, and windows still open at the end, are left out. Without one,
+    the input must end: all windows are kept until then, and the table is whole.
+    """
+    e = read(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", lateness) if lateness else e
     w = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return drain(w, "hourly", "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return drain(w, "hourly", "append" if lateness else "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def deduplicated(events: DataFrame, key: list[str], at: str, lateness: str = "1 hour") -> DataFrame:
@@ -60,25 +65,26 @@ def deduplicated(events: DataFrame, key: list[str], at: str, lateness: str = "1
     return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(key)
 
 
-def sequence_faults(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """(conv_id, turn, fault) as each batch shows it: gap (the turn before has not been seen), conflict (another role
-    was seen for this turn), replay (the same again). State by key: the highest turn, and a digest by turn."""
+def sequence_faults(spark: SparkSession, path: str, schema: StructType, key: str, number: str, content: str) -> DataFrame:
+    """(key, number, fault) as each batch shows it: gap (the number before has not been seen), conflict (another content was
+    seen for this number), replay (the same again). State by key: the highest number, and the content by number."""
 
-    def step(key, frames, state):
-        seen = dict(zip(*state.get)) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["turn", "role"])
+    def step(name, frames, state):
+        numbers, contents, top = state.get if state.exists else ([], [], None)
+        seen = dict(zip(numbers, contents))
+        rows = pd.concat(list(frames)).sort_values(["_n", "_c"])
         out = []
-        for turn, role in zip(rows["turn"].tolist(), rows["role"].tolist()):
-            role = role or ""
-            if turn in seen:
-                out.append((key[0], turn, "replay" if seen[turn] == role else "conflict"))
+        for n, c in zip(rows["_n"].tolist(), rows["_c"].tolist()):
+            if n in seen:
+                out.append((name[0], n, "replay" if seen[n] == c else "conflict"))
                 continue
-            if seen and turn > max(seen) + 1:
-                out.append((key[0], turn, "gap"))
-            seen[turn] = role
-        state.update((list(seen), list(seen.values())))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "fault"])
-
-    s = read(spark, path, schema).select("conv_id", "turn", "role").groupBy("conv_id")
-    found = s.applyInPandasWithState(step, "conv_id bigint, turn bigint, fault string", "turns array<bigint>, roles array<string>", "append", GroupStateTimeout.NoTimeout)
+            if top is not None and n > top + 1:
+                out.append((name[0], n, "gap"))
+            seen[n] = c
+            top = n if top is None else max(top, n)
+        state.update((list(seen), list(seen.values()), top))
+        yield pd.DataFrame(out, columns=[key, number, "fault"])
+
+    s = read(spark, path, schema).select(key, F.col(number).cast("bigint").alias("_n"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("_c"))
+    found = s.groupBy(key).applyInPandasWithState(step, f"{key} {dict(s.dtypes)[key]}, {number} bigint, fault string", "numbers array<bigint>, contents array<string>, top bigint", "append", GroupStateTimeout.NoTimeout)
     return drain(found, "faults")

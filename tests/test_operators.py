@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from strandline.functions import rules as labels
 from strandline.functions import text as tx
-from strandline.operators import events, graphs, impact, publish, rows, rules, summaries, texts
+from strandline.operators import events, graphs, impact, links, publish, rows, rules, summaries, texts
 from strandline.sources import api_documents, diffs, html
+from strandline.streaming import event_log
 
 
 def test_greedy_chunks_and_admission_follow_a_loop(spark):
@@ -246,12 +248,10 @@ def test_openapi_and_webhooks(spark):
 
 
 def test_stream_faults_equal_batch(spark, tmp_path):
-    from strandline.streaming import event_log
-
     data = [(c, t, "user" if t % 2 else "assistant") for c in range(8) for t in range(6) if (c + t) % 5] + [(1, 2, "system")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string")
     df.repartition(3).write.parquet(str(tmp_path / "log.parquet"))
-    got = event_log.sequence_faults(spark, f"file://{tmp_path}/log.parquet", df.schema)
+    got = event_log.sequence_faults(spark, f"file://{tmp_path}/log.parquet", df.schema, "conv_id", "turn", "role")
     want = events.feed_faults(df, "conv_id", "turn", F.col("role"))
     key = lambda d, f: sorted((r["conv_id"], r["turn"]) for r in d.where(F.col("fault") == f).collect())
     assert key(got, "gap") == key(want, "gap") and key(got, "conflict") == key(want, "conflict")
@@ -259,3 +259,60 @@ def test_stream_faults_equal_batch(spark, tmp_path):
 
 def test_small_tables_are_read(spark):
     assert spark.read.parquet(f"{SMALL}/region.parquet").count() == 5
+
+
+def test_page_owners_follow_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(i, f"u{rng.randrange(40)}", f"h{rng.randrange(40)}") for i in range(120)]
+    uris, hashes, want = set(), set(), []
+    for i, u, h in rows:
+        if u not in uris and h not in hashes:
+            uris.add(u)
+            hashes.add(h)
+            want.append(i)
+    got = links.first_owners(spark.createDataFrame(rows, "id long, uri string, content string"), "id", ["uri", "content"])
+    assert sorted(r["id"] for r in got.collect()) == want
+    assert links.first_owners(spark.createDataFrame([], "id long, uri string"), "id", ["uri"]).count() == 0
+
+
+def test_latest_descendants_leave_out_cycles(spark):
+    rows = [(1, None, 1), (2, 1, 2), (3, 2, 9), (4, 2, 5), (5, 77, 3), (6, 7, 1), (7, 6, 1)]
+    got = links.latest_descendants(spark.createDataFrame(rows, "id long, parent long, at long"), "id", "parent", "at").collect()
+    assert {(r["root"], r["latest"]) for r in got} == {(1, 3), (5, 5)}
+
+
+def test_search_and_paths_filter_before_they_look(spark):
+    nodes = spark.createDataFrame([("a", "x", "Big BOLT"), ("b", "y", "bolt"), ("c", "x", "nut")], "id string, kind string, title string")
+    assert [r["id"] for r in links.search(nodes, "Bolt").collect()] == ["a", "b"]
+    assert [r["id"] for r in links.search(nodes, "bolt", ["y"], 1).collect()] == ["b"] and links.search(nodes, "bolt", []).count() == 0
+    edges = spark.createDataFrame([(1, "a", "b", "T", "A", "accepted"), (2, "b", "c", "T", "D", "accepted"), (3, "a", "c", "U", "A", "pending")], "edge_id int, src string, dst string, type string, tier string, review_state string")
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    assert links.evidence_paths(edges, one("a"), one("c"), 4, types=["T"], tiers=["A"]).count() == 0
+    assert [r["edges"] for r in links.evidence_paths(edges, one("a"), one("c"), 4).collect()] == [[3], [1, 2]]
+
+
+def test_observed_text_loses_what_identifies(spark):
+    said = [("mail me at a.b@c.org now", "mail me at [EMAIL_REDACTED] now"), ("card 4111 1111 1111 1111 ok", "card [PAYMENT_REDACTED] ok"), ("call +49 (30) 1234-5678.", "call [PHONE_REDACTED]."), (" \n\t ", "[EMPTY]"), ("x" * 30, "xxxxxxxxx[TRUNCATED]"), ("waiting for getByRole('b') x", "[INTERNAL_TARGET]")]
+    got = spark.createDataFrame(said, "t string, w string").select("w", labels.redact_observed(F.col("t"), 29).alias("r")).collect()
+    assert all(r["r"] == r["w"] or len(r["w"]) > 29 for r in got[:4]) and [r["r"] for r in got[3:4]] == ["[EMPTY]"]
+    full = spark.createDataFrame(said, "t string, w string").select("w", labels.redact_observed(F.col("t")).alias("r")).collect()
+    assert all(r["r"] == r["w"] for r in full if "TRUNCATED" not in r["w"])
+    url = spark.createDataFrame([("see https://u:p@h/x",), ("",)], "t string").select(labels.redact_connector(F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in url] == ["see https://[REDACTED]@h/x", "Source connector operation failed"]
+
+
+def test_optional_segments_in_the_middle_give_no_path(spark):
+    paths = [("/a/{b?}/{c?}", ["/a", "/a/{b}", "/a/{b}/{c}"]), ("/{x?}", ["/", "/{x}"]), ("/a/{b?}/c", None), ("/plain/{id}", ["/plain/{id}"]), ("/" + "{a?}/" * 9, None)]
+    got = spark.createDataFrame([(p,) for p, _ in paths], "p string").select("p", labels.optional_paths(F.col("p")).alias("v")).collect()
+    assert {r["p"]: r["v"] for r in got} == dict(paths)
+
+
+def test_windows_close_when_the_watermark_passes(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(1, dt.datetime(2024, 1, 1, h, 5), "view", 1.0) for h in range(6)]
+    path = str(tmp_path / "events")
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    closed = event_log.hourly(spark, path, spark.read.parquet(path).schema, "1 hour").collect()
+    assert {r["start"].hour for r in closed} <= set(range(5)) and len(event_log.hourly(spark, path, spark.read.parquet(path).schema).collect()) == 6
