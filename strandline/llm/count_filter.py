@@ -5,18 +5,24 @@
 2. Vocabularies and counts meet by hash shard (one row by chunk and shard, so a word that is everywhere costs one number
    a chunk). Each shard sums exact training counts, answers every chunk, and reports N and V.
 3. Distinct 1- and 2-grams of the training texts and their counts meet by shard in the same way, and each shard builds
-   its part of the filter: an n-gram of quantised count q (1 + floor of log base 2) is entered q times, as (n-gram, 1)
-   to (n-gram, q), with `probes` hash functions each; a shard has `bits` bits for each entry, so about
-   0.5 ** probes of absent entries seem present.
-4. The filter goes to the workers in parts of at most `max_broadcast` bytes, a pass over the chunks for each part; an
-   n-gram lies in one shard, so the parts' sums add up, and the size of the corpus never changes what is counted.
-   Probing level after level until one is absent gives the quantised count.
+   its part of the filter (a written table, build_filter): an n-gram of quantised count q (1 + floor of log base 2) is
+   entered q times, as (n-gram, 1) to (n-gram, q), with `probes` hash functions each; a shard has `bits` bits for each
+   entry, so about 0.5 ** probes of absent entries seem present (0.8 % as set).
+4. A filter of the whole corpus grows with it, so it has no size that could be broadcast for sure. Its parts stay where
+   they are, and the distinct n-grams of each chunk go to them: probing level after level until one is absent gives the
+   quantised count, and a byte for each n-gram comes back. One plan for every size; nothing is gathered on the driver, and
+   a task holds one part of the filter and one chunk's probes.
 5. Probability of token w after h: a mixture of the bigram estimate 2^q(hw) / 2^q(h) and the unigram estimate
    (2^q(w) + 0.5) / (N + 0.5 (V + 1)), weighted by Witten-Bell-like 2^q(h) / (2^q(h) + `prior`); all counts come from
    the filter. The base score uses the exact counts of step 2.
 
+There is a shard for each 32 chunks (64 at least), so a shard's keys stay within about 128 MB whatever the size of the
+corpus. An n-gram goes by its shard and 40 more bits of its hash: one that is absent takes the name of one that is there
+with a chance of about 1e-5.
+
 Defined cases: null and empty texts are one end token. With no training rows every count is 0. A null id counts as
 empty text for the split. Repeated rows are scored each; an empty table gives an empty result; other columns are not read.
+A very long text is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -33,13 +39,46 @@ U = np.uint64
 END = U(0x5DEECE66D2B79F31)  # stands for the end token
 START = U(0x2545F4914F6CDD1D)  # stands before the first token
 _CHUNK = "chunk string, docs array<bigint>, held array<boolean>, sizes array<bigint>, vocabulary binary, counts binary, tokens binary"
-_SUM = "doc_id bigint, at string, score double"
+_RESULT = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 _PART = "shard int, chunk string, keys binary, counts binary"
 
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    """Sorted hashes fall into consecutive shards."""
-    return np.searchsorted((np.arange(1, shards, dtype=np.uint64) * U(2**64 // shards)), h, "right")
+def shard_bits(chunks: int) -> int:
+    """Shards are a power of two: 64, or one for each 32 chunks."""
+    return max(6, (max(chunks, 1) // 32).bit_length())
+
+
+def _edges(keys: np.ndarray, b: int) -> list[int]:
+    """Where the shards begin and end in sorted hashes."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << b, dtype=np.uint64) << U(64 - b))
+    return [0, *cuts.tolist(), len(keys)]
+
+
+def _local(keys: np.ndarray, b: int) -> np.ndarray:
+    """The 40 bits after those that name the shard."""
+    return (keys << U(b)) >> U(24)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Numbers below 2^40 in five bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(data: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = data.reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    """Counts in a byte each; those from 255 follow in four."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u4").tobytes()
+
+
+def _unpack_counts(data: np.ndarray, size: int) -> np.ndarray:
+    n = data[:size].astype(np.uint64)
+    n[n == 255] = np.frombuffer(data[size:].tobytes(), "<u4")
+    return n
 
 
 def _chunks(limit: int):
@@ -71,20 +110,20 @@ def _get(b: pa.RecordBatch, i: int, name: str, kind) -> np.ndarray:
     return np.frombuffer(b.column(b.schema.get_field_index(name))[i].as_buffer(), kind)
 
 
-def _parts(b: pa.RecordBatch, chunk: str, keys: np.ndarray, counts: np.ndarray, shards: int):
+def _parts(chunk: str, keys: np.ndarray, b: int, pack, counts: np.ndarray | None = None):
     """One row by shard that has keys (sorted)."""
-    cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * U(2**64 // shards))
-    edges = [0, *cuts.tolist(), len(keys)]
-    full = [s for s in range(shards) if edges[s + 1] > edges[s]]
-    cut = lambda x: pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary())
-    return pa.record_batch([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.string()), cut(keys), cut(counts)], names=["shard", "chunk", "keys", "counts"])
+    edges = _edges(keys, b)
+    full = [s for s in range(1 << b) if edges[s + 1] > edges[s]]
+    cut = lambda x, how: pa.array([how(x[edges[s] : edges[s + 1]]) for s in full], pa.binary())
+    n = pa.nulls(len(full), pa.binary()) if counts is None else cut(counts, _pack_counts)
+    return pa.record_batch([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.string()), cut(keys, pack), n], names=["shard", "chunk", "keys", "counts"])
 
 
-def _vocabulary_parts(shards: int):
+def _vocabulary_parts(bits: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield _parts(b, b.column(0)[i].as_py(), _get(b, i, "vocabulary", np.uint64), _get(b, i, "counts", np.uint32), shards)
+                yield _parts(b.column(0)[i].as_py(), _get(b, i, "vocabulary", np.uint64), bits, np.ndarray.tobytes, _get(b, i, "counts", np.uint32))
 
     return run
 
@@ -93,33 +132,57 @@ def _gram_hash(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return textkit.mix(before * U(0x9FB21C651E98DF25) ^ (after + U(0x6A09E667F3BCC909)))
 
 
-def _grams(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hash of every token with the one before it (START at the start of a text)."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    return _gram_hash(before, tokens)
+class _Chunk:
+    """A row of the table of chunks, and its distinct n-grams: the vocabulary, START, and pairs of neighbours."""
+
+    def __init__(self, b: pa.RecordBatch, i: int) -> None:
+        at = b.schema.get_field_index
+        self.name, self.docs = b.column(0)[i].as_py(), b.column(at("docs"))[i].as_py()
+        self.sizes, self.held = np.array(b.column(at("sizes"))[i].as_py()), np.array(b.column(at("held"))[i].as_py(), bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.vocabulary, self.tokens, self.counts = _get(b, i, "vocabulary", np.uint64), _get(b, i, "tokens", np.uint32), _get(b, i, "counts", np.uint32)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = len(self.vocabulary)
+        self.pairs, self.pair = np.unique(before.astype(np.uint64) << U(32) | self.tokens.astype(np.uint64), return_inverse=True)
+        self.before, self.after = (self.pairs >> U(32)).astype(np.int64), (self.pairs & U(0xFFFFFFFF)).astype(np.int64)
+
+    def keys(self) -> np.ndarray:
+        words = np.append(self.vocabulary, START)
+        return np.concatenate([textkit.mix(words), _gram_hash(words[self.before], words[self.after])])
 
+    def training_counts(self) -> np.ndarray:
+        """How often each of keys() occurs in training texts; START as often as there are such texts."""
+        train = np.repeat(~self.held, self.sizes)
+        pairs = np.bincount(self.pair[train], minlength=len(self.pairs))
+        return np.concatenate([self.counts, [(~self.held).sum()], pairs]).astype(np.uint64)
 
-def _gram_parts(shards: int):
-    """Distinct training bigrams of each chunk, and its training unigrams, with counts."""
+
+def _each(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Chunk(b, i)
+
+
+def _gram_parts(bits: int):
+    """Distinct training n-grams of each chunk with their counts."""
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                vocabulary, sizes = _get(b, i, "vocabulary", np.uint64), np.array(b.column(b.schema.get_field_index("sizes"))[i].as_py())
-                held = np.array(b.column(b.schema.get_field_index("held"))[i].as_py(), bool)
-                train = np.repeat(~held, sizes)
-                grams = np.sort(_grams(vocabulary[_get(b, i, "tokens", np.uint32)], sizes)[train])
-                first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-                counts = _get(b, i, "counts", np.uint32)
-                keys = np.concatenate([grams[first], textkit.mix(vocabulary[counts > 0])])
-                # texts start as often as there are training texts
-                starts = np.array([textkit.mix(np.array([START]))[0]] if (~held).any() else [], np.uint64)
-                keys = np.concatenate([keys, starts])
-                n = np.concatenate([np.diff(np.append(first, len(grams))), counts[counts > 0], np.full(len(starts), int((~held).sum()))]).astype(np.uint32)
-                order = np.argsort(keys, kind="stable")
-                yield _parts(b, b.column(0)[i].as_py(), keys[order], n[order], shards)
+        for c in _each(batches):
+            n = c.training_counts()
+            keys = c.keys()[n > 0]
+            order = np.argsort(keys)
+            yield _parts(c.name, keys[order], bits, lambda k: _pack(_local(k, bits)), n[n > 0][order])
+
+    return run
+
+
+def _ask_parts(bits: int):
+    """All distinct n-grams of each chunk."""
+
+    def run(batches):
+        for c in _each(batches):
+            yield _parts(c.name, np.sort(c.keys()), bits, lambda k: _pack(_local(k, bits)))
 
     return run
 
@@ -160,9 +223,9 @@ def _answers(batches):
     kept, asked = [], []
 
     def take(b, i):
-        keys, counts = _get(b, i, "keys", np.uint64), _get(b, i, "counts", np.uint32)
-        asked.append((b.column(1)[i].as_py(), keys))
-        _merge(kept, keys, counts)
+        keys = _get(b, i, "keys", np.uint64)
+        asked.append((b.column(1)[i].as_py(), keys))  # as many bytes as the shard has keys, which more shards keep small
+        _merge(kept, keys, _unpack_counts(_get(b, i, "counts", np.uint8), len(keys)))
 
     def close(shard):
         k, n = _sum_by_key(*zip(*kept))
@@ -185,9 +248,9 @@ def _entry(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 def _bits(entries: np.ndarray, probe: int, size: int) -> np.ndarray:
-    """Bit number of the probe-th hash function."""
+    """Bit number of the probe-th hash function (double hashing with a cubic step, so that no step size goes in circles)."""
     a, b = entries >> U(32), (entries & U(0xFFFFFFFF)) | U(1)
-    return (a + b * U(probe)) % U(size)
+    return (a + b * U(probe) + U((probe**3 - probe) // 6)) % U(size)
 
 
 def _filters(bits: float, probes: int):
@@ -195,7 +258,8 @@ def _filters(bits: float, probes: int):
         kept: list = []
 
         def take(b, i):
-            _merge(kept, _get(b, i, "keys", np.uint64), _get(b, i, "counts", np.uint32))
+            keys = _unpack(_get(b, i, "keys", np.uint8))
+            _merge(kept, keys, _unpack_counts(_get(b, i, "counts", np.uint8), len(keys)))
 
         def close(shard):
             k, n = _sum_by_key(*zip(*kept))
@@ -214,27 +278,37 @@ def _filters(bits: float, probes: int):
     return run
 
 
-def levels(keys: np.ndarray, parts: dict[int, tuple[int, np.ndarray]], probes: int, shards: int) -> np.ndarray:
-    """Quantised counts of keys, 0 if absent, by probing until a level is absent; keys of shards that are not in parts give -1."""
-    order = np.argsort(keys)
-    out = np.full(len(keys), -1)
-    k = keys[order]
-    edges = [0, *np.searchsorted(k, np.arange(1, shards, dtype=np.uint64) * U(2**64 // shards)).tolist(), len(k)]
-    for shard, (size, field) in parts.items():
-        a, b = edges[shard], edges[shard + 1]
-        alive, q = np.arange(a, b), np.zeros(b - a, np.int64)
-        level = 0
-        while len(alive):
-            level += 1
-            e = _entry(k[alive], level)
-            ok = np.ones(len(alive), bool)
-            for probe in range(probes):
-                at = _bits(e, probe, size)
-                ok &= (field[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
-            alive = alive[ok]
-            q[alive - a] = level
-        out[order[a:b]] = q
-    return out
+def levels(keys: np.ndarray, size: int, field: np.ndarray, probes: int) -> np.ndarray:
+    """Quantised counts of keys, 0 if absent, by probing a part of the filter until a level is absent."""
+    alive, q, level = np.arange(len(keys)), np.zeros(len(keys), np.int8), 0
+    while len(alive) and size:
+        level += 1
+        e = _entry(keys[alive], level)
+        for probe in range(probes):
+            at = _bits(e, probe, size)
+            ok = (field[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
+            e, alive = e[ok], alive[ok]
+        q[alive] = level
+    return q
+
+
+def _probe(probes: int):
+    """Levels of each chunk's n-grams; a shard's part of the filter comes before its asks (there is none if all is absent)."""
+
+    def run(batches):
+        now, size, field = None, 0, None
+        for b in batches:
+            shards, chunks = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in range(b.num_rows):
+                if shards[i] != now:
+                    now, size, field = shards[i], 0, None
+                if chunks[i] is None:
+                    size, field = b.column(3)[i].as_py(), np.frombuffer(b.column(4)[i].as_buffer(), np.uint8)
+                else:
+                    q = levels(_unpack(_get(b, i, "keys", np.uint8)), size, field, probes)
+                    yield pa.record_batch([pa.array([now], pa.int32()), pa.array([chunks[i]]), pa.array([q.tobytes()], pa.binary())], names=["shard", "chunk", "levels"])
+
+    return run
 
 
 def _estimate(q: np.ndarray) -> np.ndarray:
@@ -242,127 +316,71 @@ def _estimate(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, 2.0 ** (q - 0.5)))
 
 
-def count_filter_scores(docs: DataFrame, chunk_bytes: int = 4 << 20, bits: float = 4.4, probes: int = 3, max_broadcast: int = 192 << 20, prior: float = 8.0) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, held_out, text)."""
-    spark = docs.sparkSession
+def _by_shards(df: DataFrame, bits: int, *order: str) -> DataFrame:
+    return df.repartition(1 << bits, "shard").sortWithinPartitions("shard", *order)
+
+
+def chunk_table(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
+    """The written table of chunks of docs(doc_id, held_out, text), and the bits of its shards."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
     chunks = stash(d.mapInArrow(_chunks(chunk_bytes), _CHUNK), "chunks")
-    shards = 64 * max(1, -(-chunks.count() // 2048))  # so a shard's keys stay within a task's memory as the corpus grows
+    return chunks, shard_bits(chunks.count())
 
-    def by_shard(df):
-        return df.repartition(shards, "shard").sortWithinPartitions("shard")
 
-    parts = chunks.select("chunk", "vocabulary", "counts").mapInArrow(_vocabulary_parts(shards), _PART)
-    answers = stash(by_shard(parts).mapInArrow(_answers, "shard int, chunk string, totals binary, n bigint, v bigint"), "answers")
-    sums = answers.groupBy("shard").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
-    n_all, v_all = int(sums[0] or 0), int(sums[1] or 0)
-    parts = chunks.select("chunk", "held", "sizes", "vocabulary", "counts", "tokens").mapInArrow(_gram_parts(shards), _PART)
-    filters = stash(by_shard(parts).mapInArrow(_filters(bits, probes), "shard int, size bigint, bits binary"), "filter")
-    exact = _base(chunks, answers, n_all, v_all)
-    groups: list[list[int]] = [[]]
-    held = 0
-    for r in filters.select("shard", "size").orderBy("shard").collect():  # a row by shard
-        if groups[-1] and held + r["size"] // 8 > max_broadcast:
-            groups.append([])
-            held = 0
-        groups[-1].append(r["shard"])
-        held += r["size"] // 8
-    # a shard without training n-grams has an empty filter, which says that all is absent
-    empty = {s: (64, np.zeros(8, np.uint8)) for s in set(range(shards)).difference(*groups)}
-
-    def part(k: int):
-        rows = filters.where(F.col("shard").isin(groups[k])).toArrow()
-        loaded = {s: (n, np.frombuffer(f, np.uint8)) for s, n, f in zip(rows["shard"].to_pylist(), rows["size"].to_pylist(), rows["bits"].to_pylist())}
-        return spark.sparkContext.broadcast(loaded | (empty if k == 0 else {}))
-
-    if len(groups) == 1:
-        sums = chunks.mapInArrow(_score(part(0), probes, shards, prior, n_all, v_all), _SUM)
-    else:
-
-        def by_part(run, schema: str, name: str, over: DataFrame) -> DataFrame:
-            """run over every part in turn, so the driver and the workers hold one part at a time."""
-            done = None
-            for k in range(len(groups)):
-                p = part(k)
-                d = stash(over.mapInArrow(run(p), schema), name)
-                p.destroy()
-                done = d if done is None else done.union(d)
-            return done
-
-        # levels of the chunks' vocabularies come first: bigrams need those of their histories
-        grown = by_part(lambda p: _vocabulary_levels(p, probes, shards), "chunk string, levels binary", "levels", chunks)
-        known = stash(chunks.join(grown.groupBy("chunk").agg(F.collect_list("levels").alias("levels")), "chunk"), "known")
-        sums = by_part(lambda p: _score(p, probes, shards, prior, n_all, v_all), _SUM, "sums", known)
-        sums = sums.groupBy("doc_id", "at").agg(F.sum("score").alias("score"))
-    return exact.join(sums.drop("doc_id"), "at").select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def _rows_of(b: pa.RecordBatch, i: int) -> tuple[list, np.ndarray, np.ndarray, list[str]]:
-    docs = b.column(b.schema.get_field_index("docs"))[i].as_py()
-    sizes = np.array(b.column(b.schema.get_field_index("sizes"))[i].as_py())
-    chunk = b.column(0)[i].as_py()
-    return docs, sizes, np.cumsum(sizes) - sizes, [f"{chunk}-{k}" for k in range(len(docs))]
-
-
-def _base(chunks: DataFrame, answers: DataFrame, n_all: int, v_all: int) -> DataFrame:
-    """doc_id, at (which row), n_tokens, n_known, base_score, from the exact totals of each chunk's vocabulary."""
+def build_filter(chunks: DataFrame, shards: int, bits: float = 10.0, probes: int = 7) -> DataFrame:
+    """(shard, size, bits): the parts of the filter of the training n-grams of a table of chunks, written."""
+    parts = chunks.mapInArrow(_gram_parts(shards), _PART)
+    return stash(_by_shards(parts, shards).mapInArrow(_filters(bits, probes), "shard int, size bigint, bits binary"), "filter")
 
-    def run(batches):
-        bottom = n_all + 0.5 * (v_all + 1)
-        for b in batches:
-            for i in range(b.num_rows):
-                docs, sizes, starts, at = _rows_of(b, i)
-                replies = sorted(b.column(b.schema.get_field_index("replies"))[i].as_py(), key=lambda r: r["shard"])
-                totals = np.concatenate([np.frombuffer(r["totals"], np.uint64) for r in replies]).astype(np.float64)
-                tokens = _get(b, i, "tokens", np.uint32)
-                logs = np.log10((totals + 0.5) / bottom)[tokens]
-                yield pa.record_batch(
-                    [pa.array(docs, pa.int64()), pa.array(at), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((totals > 0)[tokens].astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts))],
-                    names=["doc_id", "at", "n_tokens", "n_known", "base_score"],
-                )
-
-    replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "totals")).alias("replies"))  # one row a shard
-    d = chunks.select("chunk", "docs", "sizes", "tokens").join(replies, "chunk")
-    return d.mapInArrow(run, "doc_id bigint, at string, n_tokens bigint, n_known bigint, base_score double")
 
+def probe_filter(chunks: DataFrame, filters: DataFrame, shards: int, probes: int = 7) -> DataFrame:
+    """(shard, chunk, levels): quantised counts of the sorted n-grams of every chunk, shard by shard, written."""
+    asks = chunks.mapInArrow(_ask_parts(shards), _PART).select("shard", "chunk", "keys", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("bits"))
+    parts = filters.select("shard", F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("keys"), "size", "bits")
+    both = _by_shards(parts.union(asks), shards, "chunk")  # nulls first, so the part comes before its asks
+    return stash(both.mapInArrow(_probe(probes), "shard int, chunk string, levels binary"), "levels")
 
-def _vocabulary_levels(filters, probes: int, shards: int):
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                q = levels(textkit.mix(_get(b, i, "vocabulary", np.uint64)), filters.value, probes, shards)
-                start = levels(textkit.mix(np.array([START])), filters.value, probes, shards)
-                yield pa.record_batch([b.column(0).slice(i, 1), pa.array([np.append(q, start).astype(np.int8).tobytes()], pa.binary())], names=["chunk", "levels"])
 
-    return run
+def count_filter_scores(docs: DataFrame, chunk_bytes: int = 4 << 20, bits: float = 10.0, probes: int = 7, prior: float = 8.0) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, held_out, text)."""
+    chunks, shards = chunk_table(docs, chunk_bytes)
+    parts = chunks.select("chunk", "vocabulary", "counts").mapInArrow(_vocabulary_parts(shards), _PART)
+    answers = stash(_by_shards(parts, shards).mapInArrow(_answers, "shard int, chunk string, totals binary, n bigint, v bigint"), "answers")
+    sums = answers.groupBy("shard").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
+    n_all, v_all = int(sums[0] or 0), int(sums[1] or 0)
+    found = probe_filter(chunks, build_filter(chunks, shards, bits, probes), shards, probes)
+    replies = answers.select("chunk", "shard", F.lit(0).alias("kind"), F.col("totals").alias("data")).union(found.select("chunk", "shard", F.lit(1), "levels"))
+    replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("replies"))  # two rows a shard
+    d = chunks.join(replies, "chunk").mapInArrow(_score(prior, n_all, v_all), _RESULT)
+    return d.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def _score(filters, probes: int, shards: int, prior: float, n_all: int, v_all: int):
-    """Sums of log10 probabilities of the tokens whose bigram lies in this part of the filter."""
+def _score(prior: float, n_all: int, v_all: int):
+    """Base scores from exact totals, and scores from the levels of words and pairs, of the texts of each chunk."""
 
     def run(batches):
         bottom = n_all + 0.5 * (v_all + 1)
         for b in batches:
             for i in range(b.num_rows):
-                docs, sizes, starts, at = _rows_of(b, i)
-                vocabulary, tokens = _get(b, i, "vocabulary", np.uint64), _get(b, i, "tokens", np.uint32)
-                if "levels" in b.schema.names:
-                    every = b.column(b.schema.get_field_index("levels"))[i].as_py()
-                    q = np.max([np.frombuffer(x, np.int8) for x in every], axis=0)
-                else:
-                    q = levels(textkit.mix(np.append(vocabulary, START)), filters.value, probes, shards)
-                c = _estimate(q)
-                before = np.empty_like(tokens)
-                before[1:] = tokens[:-1]
-                before[starts] = len(vocabulary)
-                pairs, inverse = np.unique(before.astype(np.uint64) << U(32) | tokens.astype(np.uint64), return_inverse=True)
-                h, w = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
-                q2 = levels(_gram_hash(np.append(vocabulary, START)[h], vocabulary[w]), filters.value, probes, shards)
-                share = c[h] / (c[h] + prior)
-                follow = np.minimum(_estimate(q2), c[h]) / np.maximum(c[h], 1.0)
-                p = share * follow + (1 - share) * (c[w] + 0.5) / bottom
-                logs = np.where(q2 >= 0, np.log10(np.maximum(p, 1e-300)), 0.0)[inverse]
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(at), pa.array(np.add.reduceat(logs, starts))], names=["doc_id", "at", "score"])
+                c = _Chunk(b, i)
+                replies = sorted(b.column(b.schema.get_field_index("replies"))[i].as_py(), key=lambda r: (r["kind"], r["shard"]))
+                data = lambda kind, t: np.concatenate([np.frombuffer(r["data"], t) for r in replies if r["kind"] == kind])
+                totals, keys = data(0, np.uint64).astype(np.float64), c.keys()
+                q = np.empty(len(keys), np.int8)
+                q[np.argsort(keys)] = data(1, np.int8)
+                n, q2 = _estimate(q[: len(c.vocabulary) + 1]), q[len(c.vocabulary) + 1 :]
+                h, w = n[c.before], n[c.after]
+                share = h / (h + prior)
+                follow = np.minimum(_estimate(q2), h) / np.maximum(h, 1.0)
+                p = share * follow + (1 - share) * (w + 0.5) / bottom
+                add = lambda x: np.add.reduceat(x, c.starts)
+                yield pa.record_batch(
+                    [
+                        pa.array(c.docs, pa.int64()), pa.array(c.sizes, pa.int64()), pa.array(add((totals > 0)[c.tokens].astype(np.int64))),
+                        pa.array(add(np.log10((totals + 0.5) / bottom)[c.tokens])), pa.array(add(np.log10(np.maximum(p, 1e-300))[c.pair])),
+                    ],
+                    names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+                )
 
     return run
 

@@ -290,11 +290,52 @@ def test_base_scores_are_exact(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # bigrams help on texts never seen
 
 
-def test_parts_of_the_filter_add_up(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text").limit(60)
-    a = {r["doc_id"]: r["score"] for r in count_filter.count_filter_scores(docs, chunk_bytes=1 << 16).collect()}
-    b = {r["doc_id"]: r["score"] for r in count_filter.count_filter_scores(docs, chunk_bytes=1 << 16, max_broadcast=1 << 13).collect()}
-    assert a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], rel=1e-9) for k in a)
+def quantised_scores(docs, prior=8.0):
+    """Scores by plain counting, quantised by hand."""
+    tokens = [(i, held, [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]) for i, held, t in docs]
+    one, two, starts = Counter(), Counter(), 0
+    for _, held, ws in tokens:
+        if not held:
+            one.update(ws)
+            two.update(zip(["<s>", *ws], ws))
+            starts += 1
+    n, v = sum(one.values()), len(one)
+    one["<s>"] = starts
+    about = lambda c: 0.0 if c <= 0 else 1.0 if c == 1 else 2.0 ** (c.bit_length() - 0.5)
+    out = {}
+    for i, _, ws in tokens:
+        total = 0.0
+        for h, w in zip(["<s>", *ws], ws):
+            c = about(one[h])
+            share = c / (c + prior)
+            total += log10(share * min(about(two[h, w]), c) / max(c, 1.0) + (1 - share) * (about(one[w]) + 0.5) / (n + 0.5 * (v + 1)))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 12, 4 << 20])
+def test_scores_equal_plain_quantised_counts(spark, chunk_bytes):
+    rows_ = [(r["doc_id"], crc(r["doc_id"]) % 5 == 1, r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(80).collect()]
+    docs = spark.createDataFrame(rows_, "doc_id long, held_out boolean, text string")
+    want = quantised_scores(rows_)
+    exact = {r["doc_id"]: r["score"] for r in count_filter.count_filter_scores(docs, chunk_bytes, bits=60, probes=30).collect()}
+    # two entries of a small shard share all probes with a chance of 1 / size ** 2, however many bits there are
+    assert exact.keys() == want.keys() and sum(exact[i] != pytest.approx(want[i], rel=1e-9) for i in want) <= 2
+    assert all(exact[i] == pytest.approx(want[i], rel=0.01) for i in want)
+    usual = {r["doc_id"]: r["score"] for r in count_filter.count_filter_scores(docs, chunk_bytes).collect()}
+    assert sum(usual.values()) == pytest.approx(sum(want.values()), rel=0.01)  # entries that only seem present
+    assert all(abs(usual[i] - want[i]) <= 0.05 * abs(want[i]) + 1 for i in want)
+
+
+def test_counts_and_names_pack_and_unpack():
+    n = np.array([1, 254, 255, 256, 2**31, 3], np.uint64)
+    assert count_filter._unpack_counts(np.frombuffer(count_filter._pack_counts(n), np.uint8), len(n)).tolist() == n.tolist()
+    k = np.array([0, 1, 2**40 - 1, 12345678901], np.uint64)
+    assert count_filter._unpack(np.frombuffer(count_filter._pack(k), np.uint8)).tolist() == k.tolist()
+    h = np.sort(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
+    edges = count_filter._edges(h, 6)
+    assert all((h[edges[s] : edges[s + 1]] >> np.uint64(58) == s).all() for s in range(64)) and edges[-1] == len(h)
+    assert [count_filter.shard_bits(n) for n in (0, 1, 2047, 2048, 4096, 10**6)] == [6, 6, 6, 7, 8, 15]
 
 
 def test_words_that_share_polynomial_hashes_are_two_words(spark):
