@@ -49,18 +49,18 @@ def expand_examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     by = by.select("conv_id", "_parts", whole.alias("_whole"))
     last = F.size("_parts") - 1
     picks = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get("_parts", i)["r"] == "assistant") | (i == last))
-    ex = by.select("conv_id", "_parts", "_whole", F.explode(picks).alias("example"))
-    part = F.get("_parts", F.col("example"))
-    context = F.array_join(F.slice("_whole", F.lit(1), F.col("example")), "")
-    trains = part["r"] == "assistant"
-    return ex.select(
-        "conv_id",
-        "example",
-        trains.alias("trainable"),
-        F.concat(context, F.get("_whole", F.col("example"))).alias("formatted"),
-        F.when(trains, F.length(context) + F.length(part["head"])).otherwise(0).cast("bigint").alias("loss_start"),
-        F.when(trains, F.length(part["body"])).otherwise(0).cast("bigint").alias("loss_length"),
-    )
+
+    def example(i: Column) -> Column:
+        part, context = F.get("_parts", i), F.array_join(F.slice("_whole", F.lit(1), i), "")
+        trains = part["r"] == "assistant"
+        return F.struct(
+            i.alias("example"), trains.alias("trainable"), F.concat(context, F.get("_whole", i)).alias("formatted"),
+            F.when(trains, F.length(context) + F.length(part["head"])).otherwise(0).cast("bigint").alias("loss_start"),
+            F.when(trains, F.length(part["body"])).otherwise(0).cast("bigint").alias("loss_length"),
+        )
+
+    # examples are finished before they become rows, so no row carries the whole conversation beside its own text
+    return by.select("conv_id", F.explode(F.transform(picks, example)).alias("_e")).select("conv_id", "_e.*")
 
 
 def read_turns(formatted: Column) -> Column:
