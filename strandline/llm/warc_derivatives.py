@@ -17,7 +17,8 @@ that Spark reads will do; responses_of_pages wraps a table of pages. Sink: warc_
 Defined cases: a null or empty payload gives an empty text and still both records. A response without an identifier is
 named by its URI and payload digest. Repeated responses give repeated records. Bytes that are no UTF-8 are read by the
 charset that the source names, else replaced. Tags and comments that never close end with the page. Responses of
-other types than HTML and text give an empty conversion. An empty table gives an empty result.
+other types than HTML and text give an empty conversion. An empty table gives an empty result. Very long pages are held
+whole, one at a time; gzipped files are opened as they are read, and a record that is cut short ends its file.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -154,33 +156,74 @@ def serialise(headers: dict[str, str], block: bytes) -> bytes:
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in headers.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
+def _blocks(data: bytes, size: int = 1 << 16):
+    """The bytes of a file in blocks; of a gzipped one, what its members hold, opened as they come."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), size):
+            yield bytes(view[at : at + size])
+        return
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            part = view[at : at + size]
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+        yield member.flush()
+        while data[at : at + 1] == b"\0":  # padding between members
+            at += 1
+
+
 def parse(data: bytes):
-    """(headers, block) of every record of a WARC file's bytes; gzip members are opened."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)  # all members
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """(headers, block) of every record of a WARC file's bytes; a record at a time is held. A cut record ends the file."""
+    buffer, blocks = bytearray(), _blocks(data)
+
+    def more() -> bool:
+        for x in blocks:
+            if x:
+                buffer.extend(x)
+                return True
+        return False
+
+    while True:
+        while (at := buffer.find(b"WARC/")) < 0:
+            del buffer[: max(0, len(buffer) - 4)]
+            if not more():
+                return
+        del buffer[:at]
+        while (end := buffer.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        lines = buffer[:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(headers.get("Content-Length") or 0)
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        n = headers.get("Content-Length", "")
+        stop = end + 4 + (int(n) if n.isdigit() else 0)
+        while len(buffer) < stop:
+            if not more():
+                return
+        yield headers, bytes(buffer[end + 4 : stop])
+        del buffer[:stop]
 
 
-def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response",)) -> DataFrame:
-    """RESPONSE columns of the records of some types; one task reads a file, as gzip cannot be split."""
+_RESPONSE = pa.schema([("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+
+
+def records_in(contents: DataFrame, types: tuple[str, ...] = ("response",)) -> DataFrame:
+    """RESPONSE columns of the records of some types in the WARC bytes of contents(content); null and broken bytes hold none."""
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                for headers, block in parse(content.as_py()):
+                for headers, block in parse(content.as_py() or b""):
                     if headers.get("WARC-Type") in types:
-                        yield pa.record_batch([pa.array([headers.get("WARC-Record-ID")]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names=["record_id", "headers", "block"])
+                        yield pa.RecordBatch.from_pylist([{"record_id": headers.get("WARC-Record-ID"), "headers": list(headers.items()), "block": block}], _RESPONSE)
+
+    return contents.select("content").mapInArrow(run, RESPONSE)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+
+def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response",)) -> DataFrame:
+    """RESPONSE columns of the records of some types; one task reads a file (of 2 GB at most), as gzip cannot be split."""
+    return records_in(spark.read.format("binaryFile").load(path), types)
 
 
 def warc_files(records: DataFrame, name: str = "derived", file_bytes: int = 128 << 20, compress: bool = True) -> DataFrame:
@@ -212,11 +255,32 @@ def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") ->
     record_id = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
     page = F.coalesce("html", F.lit(""))
     block = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), page), "UTF-8")
-    headers = F.create_map(F.lit("WARC-Type"), F.lit("response"), F.lit("WARC-Record-ID"), record_id, F.lit("WARC-Target-URI"), F.coalesce("url", F.lit("")), F.lit("WARC-Date"), F.lit(date))
+    headers = F.create_map(
+        F.lit("WARC-Type"), F.lit("response"), F.lit("WARC-Record-ID"), record_id,
+        F.lit("WARC-Target-URI"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", ""), F.lit("WARC-Date"), F.lit(date),
+    )
     return pages.select(record_id.alias("record_id"), headers.alias("headers"), block.alias("block"))
 
 
+def as_warc(responses: DataFrame) -> DataFrame:
+    """(content): each response as the gzipped bytes of a WARC record, with the digests of its block and payload."""
+
+    def run(batches):
+        for b in batches:
+            for headers, block in zip(b.column(0), b.column(1)):
+                every, data = dict(headers.as_py() or []), block.as_py() or b""
+                every |= {"WARC-Block-Digest": digest(data), "WARC-Payload-Digest": digest(split_http(data)[2])}
+                every |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(data))}
+                yield pa.record_batch([pa.array([gzip.compress(serialise(every, data), 1, mtime=0)], pa.binary())], names=["content"])
+
+    return responses.select("headers", "block").mapInArrow(run, "content binary")
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived records of all pages, with their blocks as text."""
-    d = derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
-    return d.select("record_id", "warc_type", "refers_to", "concurrent_to", "target_uri", "content_type", "content_length", "block_digest", "source_payload_digest", F.decode("block", "UTF-8").alias("content"))
+    """The records derived from all pages: each page is a WARC response with digests, read back from its bytes."""
+    d = derivatives(records_in(as_warc(responses_of_pages(table(spark, sf_dir, "pages")))))
+    headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers"))))
+    return d.select(
+        "record_id", "warc_type", "refers_to", "concurrent_to", "target_uri", "content_type", "content_length", "block_digest",
+        "source_payload_digest", headers.alias("headers"), F.decode("block", "UTF-8").alias("content"),
+    )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -449,3 +451,34 @@ def test_source_headers_and_digests_are_kept():
         kept = dict(r["headers"])
         assert kept["WARC-IP-Address"] == "1.2.3.4" and kept["WARC-Source-Payload-Digest"] == "sha1:GIVEN" and r["refers_to"] == "<urn:uuid:1>"
         assert ("café" in r["block"].decode()) if r["warc_type"] == "conversion" else b"http-status: 404" in r["block"]
+
+
+def test_warc_query_over_the_small_table(spark):
+    got = warc_derivatives.op10_warc_derivatives(spark, SMALL).collect()
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    assert len(got) == 2 * len(pages) and {r["target_uri"] for r in got} == {p["url"] or "" for p in pages}
+    by = {}
+    for r in got:
+        h = json.loads(r["headers"])
+        assert (h["WARC-Refers-To"], h["WARC-Block-Digest"], h["WARC-Source-Payload-Digest"]) == (r["refers_to"], r["block_digest"], r["source_payload_digest"])
+        assert h["WARC-Date"] == "1970-01-01T00:00:00Z" and warc_derivatives.digest(r["content"].encode()) == r["block_digest"]
+        by.setdefault(r["refers_to"], {})[r["warc_type"]] = r
+    digests = Counter(warc_derivatives.digest((p["html"] or "").encode()) for p in pages)
+    assert Counter(r["source_payload_digest"] for r in got if r["warc_type"] == "metadata") == digests
+    for pair in by.values():
+        assert pair["metadata"]["concurrent_to"] == pair["conversion"]["record_id"]
+        assert f"source-payload-digest: {pair['metadata']['source_payload_digest']}" in pair["metadata"]["content"]
+        assert "source-block-digest: sha1:" in pair["metadata"]["content"]
+
+
+def test_warc_bytes_are_read_record_by_record(spark):
+    records = [({"WARC-Type": "response", "WARC-Record-ID": f"<urn:{i}>", "Content-Length": str(n)}, bytes([65 + i]) * n) for i, n in enumerate((0, 5, 200_000, 70_000))]
+    plain = b"".join(warc_derivatives.serialise(h, b) for h, b in records)
+    each = b"".join(gzip.compress(warc_derivatives.serialise(h, b)) for h, b in records)
+    for data in (plain, each, gzip.compress(plain), b"junk\r\n" + plain):
+        assert list(warc_derivatives.parse(data)) == records
+    assert list(warc_derivatives.parse(plain[: len(plain) - 100])) == records[:3] and list(warc_derivatives.parse(b"")) == []
+    df = spark.createDataFrame([(bytearray(each), 1), (None, 2), (bytearray(b"no record"), 3), (bytearray(each), 1)], "content binary, record_id int")
+    assert warc_derivatives.records_in(df).count() == 8 and warc_derivatives.records_in(df, ("metadata",)).count() == 0
+    empty = warc_derivatives.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc_derivatives.derivatives(warc_derivatives.records_in(warc_derivatives.as_warc(empty))).count() == 0
