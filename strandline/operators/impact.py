@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
+from strandline.functions.tables import cut
 
 MAX_HOPS = 10
 TARGET_KINDS = ("ui-element", "screen", "workflow", "requirement")
@@ -62,15 +63,17 @@ def _steps_valid(steps: tuple) -> Column:
 
 
 def caveats(candidates: DataFrame, application: str, revision: int, steps: tuple = STEPS, targets: tuple = TARGET_KINDS) -> DataFrame:
-    """candidates with codes: the reasons, in order, why a path proves nothing; empty if there are none."""
+    """candidates with codes: the reasons, sorted by name, why a path proves nothing; empty if there are none. A candidate's
+    own application_id and graph_revision count where it has them."""
     connected = F.forall(
         F.transform("hops", lambda h, i: ((h["from_id"] == F.get("nodes", i)["id"]) & (h["to_id"] == F.get("nodes", i + 1)["id"])) | ((h["to_id"] == F.get("nodes", i)["id"]) & (h["from_id"] == F.get("nodes", i + 1)["id"]))),
         lambda ok: F.coalesce(ok, F.lit(False)),
     )
     unresolved = lambda x: x["review"].isin("pending", "rejected") | ((x["tier"] == "C") & (x["review"] != "accepted"))
+    own = lambda name, wanted: F.col(name) != wanted if name in candidates.columns else F.lit(False)
     rules = {
-        "foreign_application": F.exists("nodes", lambda n: n["application_id"] != application) | F.exists("hops", lambda h: h["application_id"] != application),
-        "stale_revision": F.exists("nodes", lambda n: n["revision"] != revision) | F.exists("hops", lambda h: (h["revision"] != revision) | h["stale"]),
+        "foreign_application": own("application_id", application) | F.exists("nodes", lambda n: n["application_id"] != application) | F.exists("hops", lambda h: h["application_id"] != application),
+        "stale_revision": own("graph_revision", revision) | F.exists("nodes", lambda n: n["revision"] != revision) | F.exists("hops", lambda h: (h["revision"] != revision) | h["stale"]),
         "depth_exceeded": F.size("hops") > MAX_HOPS,
         "cycle_detected": F.size(F.array_distinct(F.transform("nodes", lambda n: n["id"]))) < F.size("nodes"),
         "unsupported_target": ~F.col("target_kind").isin(*targets),
@@ -105,6 +108,7 @@ def findings(paths: DataFrame, criticalities: DataFrame) -> DataFrame:
     Factors: the gravest change, criticality, the shortest path, the widest spread of a changed seed over targets (shared
     or not), and corroboration (two candidates on one path, with more evidence than hops).
     """
+    paths = cut(paths, "paths")  # read for the spread and for the findings
     spread = paths.groupBy("seed_id").agg(F.count_distinct("target_id").alias("_spread"))
     per_op = F.array_max(F.transform("operations", lambda o: _points(CHANGE_POINTS, o, 0)))
     d = paths.join(spread, "seed_id").groupBy("target_id").agg(

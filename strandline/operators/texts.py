@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
+from strandline.functions.tables import cut
 
 
 def tfidf(sections: DataFrame, ident: str, heading: Column, body: Column, terms: list[str]) -> DataFrame:
@@ -21,6 +22,7 @@ def tfidf(sections: DataFrame, ident: str, heading: Column, body: Column, terms:
     base = sections.select(F.col(ident), tx.words(F.concat_ws(" ", heading, body)).alias("_w"), tx.words(heading).alias("_h"))
     count = {t: F.size("_w") - F.size(F.array_remove("_w", t)) for t in terms}
     d = base.select(ident, F.greatest(F.lit(1), F.size("_w")).alias("_n"), *[c.alias(f"_c{i}") for i, c in enumerate(count.values())], *[F.array_contains("_h", t).alias(f"_b{i}") for i, t in enumerate(terms)])
+    d = cut(d, "terms")  # small numbers by section, so texts are split once
     df = d.agg(F.count("*").alias("_all"), *[F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
     hits = d.where(" or ".join(f"_c{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(df))  # one row
     score = sum(F.when(F.col(f"_c{i}") > 0, F.col(f"_c{i}") / F.col("_n") * F.log(1 + F.col("_all") / F.col(f"_d{i}")) * F.when(F.col(f"_b{i}"), 3).otherwise(1)).otherwise(0.0) for i in range(len(terms)))
@@ -49,11 +51,11 @@ def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
 
 
 def secret_hits(df: DataFrame, ident: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """(ident, rule, line, fingerprint) of every match; the fingerprint is a hash, so the secret is not kept."""
+    """(ident, rule, line, fingerprint) of every match; the fingerprint is a hash of rule and match, so no secret is kept."""
     lines = df.select(ident, F.posexplode(F.split(F.col(text), "\n")).alias("_i", "_line"))
 
     def matches(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("_line", F.lit(pattern), 0), lambda h: F.struct(F.lit(name).alias("rule"), F.sha2(h.cast("binary"), 256).alias("fingerprint")))
+        return F.transform(F.regexp_extract_all("_line", F.lit(pattern), 0), lambda h: F.struct(F.lit(name).alias("rule"), F.sha2(F.concat(F.lit(f"{name}:"), h).cast("binary"), 256).alias("fingerprint")))
 
     hits = F.flatten(F.array(*[matches(n, p) for n, p in rules]))
     any_ = reduce(Column.__or__, [F.col("_line").rlike(p) for _, p in rules])

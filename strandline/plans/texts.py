@@ -130,11 +130,19 @@ def token_subsequence(spark, d):
 
 
 #: What the scan looks for, by rule.
-SCAN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("aws_key", "(AKIA|ASIA)[A-Z0-9]{16}"), ("token", "gh[pousr]_[A-Za-z0-9]{20,}"), ("phone", "[0-9]{3}-[0-9]{3}-[0-9]{4}"), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"))
+SCAN = (
+    ("private-key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("github-token", r"\bgh[pousr]_[A-Za-z0-9._-]{20,}\b"),
+    ("github-fine-grained-pat", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b"),
+    ("openai-key", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b"),
+    ("aws-access-key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("phone", "[0-9]{3}-[0-9]{3}-[0-9]{4}"),
+)
 
 
 @query("WITH l AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS s FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)) " + " UNION ALL ".join(
-    f"SELECT doc_id, '{n}' AS rule, line, sha256(h) AS fingerprint FROM l, unnest(regexp_extract_all(s, '{p}')) t(h)" for n, p in SCAN))
+    f"SELECT doc_id, '{n}' AS rule, line, sha256('{n}:' || h) AS fingerprint FROM l, unnest(regexp_extract_all(s, '{p}')) t(h)" for n, p in SCAN))
 def secret_scan(spark, d):
     """Every match of the scan's rules in documents, by line."""
     return op.secret_hits(load(spark, d, "documents"), "doc_id", "text", list(SCAN))
