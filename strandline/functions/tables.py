@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Shuffle files go when no plan refers to them any more, but Spark looks for that only every half hour; between steps
+    whose results are written, this makes it look at once, so a long job does not keep the files of all its steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this process has written, once no result that reads them is needed; how many there were."""
     jvm, n = spark.sparkContext._jvm, len(_written)
