@@ -29,9 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.tables import forget
 from strandline.llm import textkit
 from strandline.llm.shared import id_mod, stash, table
 
@@ -98,7 +100,7 @@ def _chunks(limit: int):
             held = np.asarray(b.column(1).to_pylist(), bool)
             train = np.repeat(~held, sizes)
             counts = np.bincount(tokens[train], minlength=len(vocabulary)).astype(np.uint32)
-            row = [[f"{task}-{k}"], [b.column(0).to_pylist()], [held.tolist()], [sizes.tolist()], [vocabulary.tobytes()], [counts.tobytes()], [tokens.astype(np.uint32).tobytes()]]
+            row = [[f"{task}-{k}"], [b.column(0).to_pylist()], [held.tolist()], [sizes.tolist()], [vocabulary.tobytes()], [counts.tobytes()], [zstandard.compress(tokens.astype(np.uint32).tobytes(), 1)]]
             kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
             k += 1
@@ -138,9 +140,12 @@ class _Chunk:
     def __init__(self, b: pa.RecordBatch, i: int) -> None:
         at = b.schema.get_field_index
         self.name, self.docs = b.column(0)[i].as_py(), b.column(at("docs"))[i].as_py()
-        self.sizes, self.held = np.array(b.column(at("sizes"))[i].as_py()), np.array(b.column(at("held"))[i].as_py(), bool)
+        self.sizes = np.array(b.column(at("sizes"))[i].as_py())
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.vocabulary, self.tokens, self.counts = _get(b, i, "vocabulary", np.uint64), _get(b, i, "tokens", np.uint32), _get(b, i, "counts", np.uint32)
+        self.vocabulary = _get(b, i, "vocabulary", np.uint64)
+        self.tokens = np.frombuffer(zstandard.decompress(b.column(at("tokens"))[i].as_py()), np.uint32)
+        if "counts" in b.schema.names:
+            self.counts, self.held = _get(b, i, "counts", np.uint32), np.array(b.column(at("held"))[i].as_py(), bool)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = len(self.vocabulary)
@@ -341,17 +346,26 @@ def probe_filter(chunks: DataFrame, filters: DataFrame, shards: int, probes: int
     return stash(both.mapInArrow(_probe(probes), "shard int, chunk string, levels binary"), "levels")
 
 
+def exact_totals(chunks: DataFrame, shards: int) -> DataFrame:
+    """(shard, chunk, totals, n, v): training totals of the sorted vocabulary of every chunk, shard by shard, written."""
+    parts = chunks.select("chunk", "vocabulary", "counts").mapInArrow(_vocabulary_parts(shards), _PART)
+    return stash(_by_shards(parts, shards).mapInArrow(_answers, "shard int, chunk string, totals binary, n bigint, v bigint"), "answers")
+
+
 def count_filter_scores(docs: DataFrame, chunk_bytes: int = 4 << 20, bits: float = 10.0, probes: int = 7, prior: float = 8.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, held_out, text)."""
+    spark = docs.sparkSession
     chunks, shards = chunk_table(docs, chunk_bytes)
-    parts = chunks.select("chunk", "vocabulary", "counts").mapInArrow(_vocabulary_parts(shards), _PART)
-    answers = stash(_by_shards(parts, shards).mapInArrow(_answers, "shard int, chunk string, totals binary, n bigint, v bigint"), "answers")
+    answers = exact_totals(chunks, shards)
     sums = answers.groupBy("shard").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_all, v_all = int(sums[0] or 0), int(sums[1] or 0)
-    found = probe_filter(chunks, build_filter(chunks, shards, bits, probes), shards, probes)
+    filters = build_filter(chunks, shards, bits, probes)
+    forget(spark)
+    found = probe_filter(chunks, filters, shards, probes)
+    forget(spark)
     replies = answers.select("chunk", "shard", F.lit(0).alias("kind"), F.col("totals").alias("data")).union(found.select("chunk", "shard", F.lit(1), "levels"))
     replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("replies"))  # two rows a shard
-    d = chunks.join(replies, "chunk").mapInArrow(_score(prior, n_all, v_all), _RESULT)
+    d = chunks.select("chunk", "docs", "sizes", "vocabulary", "tokens").join(replies, "chunk").mapInArrow(_score(prior, n_all, v_all), _RESULT)
     return d.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
