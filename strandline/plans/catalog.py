@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import events, graphs, links, missions, reports, resolution, rows, rules, sources, summaries, texts
+from strandline.plans import events, graphs, links, missions, records, reports, resolution, rows, rules, sources, summaries, texts
 from strandline.plans.registry import QUERIES, SQL
 
-MODULES = (rows, summaries, events, texts, graphs, links, missions, rules, resolution, reports, sources)
+MODULES = (rows, summaries, events, texts, graphs, links, missions, records, rules, resolution, reports, sources)
 
 
 def queries() -> dict:
