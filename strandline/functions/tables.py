@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Shuffle files go when no plan refers to them any more, but Spark looks for that only every half hour; between steps
-    whose results are written, this makes it look at once, so a long job does not keep the files of all its steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    whose results are written, this makes it look at once, so a long job does not keep the files of all its steps. The
+    first round lets go of what Python refers to, the next ones of what hung on that."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def release(spark: SparkSession) -> int:
