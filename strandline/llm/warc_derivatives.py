@@ -160,8 +160,7 @@ def _blocks(data: bytes, size: int = 1 << 16):
     """The bytes of a file in blocks; of a gzipped one, what its members hold, opened as they come."""
     view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
-        for at in range(0, len(data), size):
-            yield bytes(view[at : at + size])
+        yield data
         return
     while at < len(data):
         member = zlib.decompressobj(31)
@@ -208,15 +207,31 @@ def parse(data: bytes):
 _RESPONSE = pa.schema([("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 
 
+def _batched(rows, schema: pa.Schema, size, limit: int = 4 << 20):
+    """Rows (tuples) as batches of some MB by size(row), or of one row."""
+    some, n = [], 0
+    for row in rows:
+        some.append(row)
+        n += size(row)
+        if n >= limit:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+            some, n = [], 0
+    if some:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
 def records_in(contents: DataFrame, types: tuple[str, ...] = ("response",)) -> DataFrame:
     """RESPONSE columns of the records of some types in the WARC bytes of contents(content); null and broken bytes hold none."""
 
-    def run(batches):
+    def found(batches):
         for b in batches:
             for content in b.column(0):
                 for headers, block in parse(content.as_py() or b""):
                     if headers.get("WARC-Type") in types:
-                        yield pa.RecordBatch.from_pylist([{"record_id": headers.get("WARC-Record-ID"), "headers": list(headers.items()), "block": block}], _RESPONSE)
+                        yield headers.get("WARC-Record-ID"), list(headers.items()), block
+
+    def run(batches):
+        yield from _batched(found(batches), _RESPONSE, lambda r: len(r[2]))
 
     return contents.select("content").mapInArrow(run, RESPONSE)
 
@@ -262,16 +277,20 @@ def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") ->
     return pages.select(record_id.alias("record_id"), headers.alias("headers"), block.alias("block"))
 
 
-def as_warc(responses: DataFrame) -> DataFrame:
-    """(content): each response as the gzipped bytes of a WARC record, with the digests of its block and payload."""
+def as_warc(responses: DataFrame, compress: bool = False) -> DataFrame:
+    """(content): each response as the bytes of a WARC record, gzipped if asked, with the digests of its block and payload."""
 
-    def run(batches):
+    def written(batches):
         for b in batches:
             for headers, block in zip(b.column(0), b.column(1)):
                 every, data = dict(headers.as_py() or []), block.as_py() or b""
                 every |= {"WARC-Block-Digest": digest(data), "WARC-Payload-Digest": digest(split_http(data)[2])}
                 every |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(data))}
-                yield pa.record_batch([pa.array([gzip.compress(serialise(every, data), 1, mtime=0)], pa.binary())], names=["content"])
+                record = serialise(every, data)
+                yield (gzip.compress(record, mtime=0) if compress else record,)
+
+    def run(batches):
+        yield from _batched(written(batches), pa.schema([("content", pa.binary())]), lambda r: len(r[0]))
 
     return responses.select("headers", "block").mapInArrow(run, "content binary")
 

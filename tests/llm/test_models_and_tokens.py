@@ -480,5 +480,8 @@ def test_warc_bytes_are_read_record_by_record(spark):
     assert list(warc_derivatives.parse(plain[: len(plain) - 100])) == records[:3] and list(warc_derivatives.parse(b"")) == []
     df = spark.createDataFrame([(bytearray(each), 1), (None, 2), (bytearray(b"no record"), 3), (bytearray(each), 1)], "content binary, record_id int")
     assert warc_derivatives.records_in(df).count() == 8 and warc_derivatives.records_in(df, ("metadata",)).count() == 0
+    page = warc_derivatives.responses_of_pages(spark.createDataFrame([(1, "http://a/x", "<p>é")], "page_id long, url string, html string"))
+    both = [warc_derivatives.records_in(warc_derivatives.as_warc(page, c)).collect() for c in (False, True)]
+    assert both[0] == both[1] and both[0][0]["headers"]["WARC-Payload-Digest"] == warc_derivatives.digest("<p>é".encode())
     empty = warc_derivatives.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc_derivatives.derivatives(warc_derivatives.records_in(warc_derivatives.as_warc(empty))).count() == 0
