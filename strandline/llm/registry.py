@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe_queue, chat_examples, close_vectors, count_filter, host_rules, language_tree, line_crf, near_copies, sequence_packing, sql, warc_derivatives
+from strandline.llm import bpe_queue, chat_examples, close_vectors, count_filter, fill_in_middle, host_rules, language_tree, line_crf
+from strandline.llm import near_copies, secret_index, sequence_packing, sql, warc_derivatives
 
 
 def queries() -> dict:
@@ -17,6 +18,8 @@ def queries() -> dict:
         "op8_close_vectors": close_vectors.op8_close_vectors,
         "op9_bpe_round_trip": bpe_queue.op9_bpe_round_trip,
         "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
+        "op11_secret_index": secret_index.op11_secret_index,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     }
 
 

@@ -84,4 +84,45 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) A
 FROM embeddings LEFT JOIN n ON u = vec_id LEFT JOIN c ON id = vec_id
 """
 
-ORACLE = {"op1_host_rules": OP1, "op2_near_copies": OP2, "op7_chat_examples": OP7, "op8_close_vectors": OP8}
+_KEY = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_SECRETS = (
+    ("assign", _KEY + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("provider", "gh[opsur]_[A-Za-z0-9]+|xox[abprs]-[A-Za-z0-9-]+", 0, 24),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+)
+_FOUND = " UNION ALL ".join(
+    f"SELECT id, {k} AS k, '{kind}' AS kind, {least} AS least, unnest(range(len(regexp_extract_all(text, '{p}')))) AS i, unnest(regexp_split_to_array(text, '{p}')) AS gap, "
+    f"unnest(regexp_extract_all(text, '{p}')) AS hit, unnest(regexp_extract_all(text, '{p}', {g})) AS checked FROM t"
+    for k, (kind, p, g, least) in enumerate(_SECRETS)
+)
+
+#: Matches of every rule; a match starts after all gaps and matches before it.
+OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({_FOUND}),
+s AS (SELECT id, k, kind, least, hit, checked, sum(length(gap) + length(hit)) OVER (PARTITION BY id, k ORDER BY i) - length(hit) AS a FROM f WHERE hit IS NOT NULL),
+x AS (SELECT id, k, a, kind || ':' || a::BIGINT || ':' || (a + length(hit))::BIGINT AS span FROM s WHERE length(checked) >= least),
+g AS (
+  SELECT id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(_SECRETS))},
+    string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM x GROUP BY id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _SECRETS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (id)
+"""
+
+#: Cuts from the digest of the id; the parts by position, put between the sentinels.
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT doc_id, text, length(text) AS n, [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT for k in [0, 1, 2, 3]] AS h FROM t),
+c AS (SELECT doc_id, text, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE = {"op1_host_rules": OP1, "op2_near_copies": OP2, "op7_chat_examples": OP7, "op8_close_vectors": OP8, "op11_secret_index": OP11, "op12_fill_in_middle": OP12}
