@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm import bpe_queue, chat_examples, close_vectors, count_filter, fill_in_middle, host_rules, language_tree, line_crf
-from strandline.llm import near_copies, secret_index, sequence_packing, sql, warc_derivatives
+from strandline.llm import near_copies, prefix_trie, secret_index, sequence_packing, sql, warc_derivatives
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
         "op11_secret_index": secret_index.op11_secret_index,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 

@@ -125,4 +125,39 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
-ORACLE = {"op1_host_rules": OP1, "op2_near_copies": OP2, "op7_chat_examples": OP7, "op8_close_vectors": OP8, "op11_secret_index": OP11, "op12_fill_in_middle": OP12}
+#: Crc32 bit by bit, conversations with the beginnings of others, digests of all prefixes, and sums over all ancestors.
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), b AS (
+  SELECT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM (SELECT DISTINCT conv_id FROM t)
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x:
+    list_reduce(list_prepend(xor(s, x), range(8)), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 6 AS h FROM b
+), heads AS (
+  SELECT c.conv_id, t.p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.p <= c.h
+), k AS (SELECT conv_id, count(*) AS k FROM heads GROUP BY conv_id),
+r AS (
+  FROM heads UNION ALL
+  SELECT conv_id, p - h + coalesce(k, 0), role, text FROM t JOIN c USING (conv_id) LEFT JOIN k USING (conv_id) WHERE p > h
+), x AS (
+  SELECT conv_id, p AS d, length(text) AS size, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY p)) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), n AS (SELECT d, path, min(conv_id) AS id, count(*) AS n, max(size) AS size FROM x GROUP BY d, path),
+up AS (SELECT n.d, n.path, x.d AS above_d, x.path AS above FROM n JOIN x ON x.conv_id = n.id AND x.d <= n.d),
+kids AS (SELECT above_d AS d, above AS path, count(*) AS n_children FROM up WHERE above_d = d - 1 GROUP BY ALL),
+sums AS (
+  SELECT above_d AS d, above AS path, sum((n - 1) * size) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM up JOIN n USING (d, path) LEFT JOIN kids USING (d, path) GROUP BY ALL
+), ends AS (
+  SELECT d, path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends
+  FROM x WHERE d = (SELECT max(y.d) FROM x y WHERE y.conv_id = x.conv_id) GROUP BY ALL
+)
+SELECT n.id AS conv_id, n.d AS depth, p.id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN sums USING (d, path) LEFT JOIN kids USING (d, path) LEFT JOIN ends USING (d, path)
+  LEFT JOIN up ON up.d = n.d AND up.path = n.path AND above_d = n.d - 1 LEFT JOIN n p ON p.d = above_d AND p.path = above
+"""
+
+ORACLE = {"op1_host_rules": OP1, "op2_near_copies": OP2, "op7_chat_examples": OP7, "op8_close_vectors": OP8, "op11_secret_index": OP11, "op12_fill_in_middle": OP12, "op13_prefix_trie": OP13}
