@@ -183,22 +183,21 @@ def template_overlap(templates: DataFrame) -> DataFrame:
 
 
 def first_owners(pages: DataFrame, ident: str, keys: list[str]) -> DataFrame:
-    """Pages accepted in order of ident: one is dropped if an accepted page before it has the same value of any key.
+    """Pages accepted in order of ident: one is dropped if an accepted page before it has the same value of any key. A null key
+    is nobody's; rows of one ident are one page.
 
     In each round the pages that come first in all their groups are accepted and all others of those groups dropped, so
     the result is that of a loop over the pages, in as many rounds as the longest chain of such decisions.
     """
-    left, done = cut(pages.select(ident, *keys), "pages"), None
+    left, done = cut(pages.select(ident, *keys).dropDuplicates([ident]), "pages"), None
     while not left.isEmpty():
-        d = left
+        first = left
         for k in keys:
-            low = left.groupBy(k).agg(F.min(ident).alias(f"_{k}"))
-            d = d.join(low, k)
-        first = d
-        for k in keys:
-            first = first.where(F.col(ident) == F.col(f"_{k}"))
+            low = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(ident).alias("_low"))
+            first = first.join(low, k, "left").where(F.col(k).isNull() | (F.col(ident) == F.col("_low"))).drop("_low")
         first = cut(first.select(ident, *keys), "owners")
         done = first if done is None else done.union(first)
+        left = left.join(first.select(ident), ident, "left_anti")
         for k in keys:
             left = left.join(first.select(k), k, "left_anti")
         left = cut(left.select(ident, *keys), "pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,8 +63,8 @@ def ledger(entries: DataFrame, run: str, entry: str, order: list[str], amounts:
 
 
 def reduce_by_key(rows: DataFrame, key: list[str], content: Column) -> DataFrame:
-    """(key, versions, conflict): equal rows of a key merge, different ones are a conflict."""
-    h = rows.groupBy(*key, F.xxhash64(content).alias("_h")).agg(F.count("*").alias("_n"))
+    """(key, versions, conflict): equal rows of a key merge, different ones are a conflict; nulls are equal to nulls only."""
+    h = rows.groupBy(*key, content.alias("_content")).agg(F.count("*").alias("_n"))
     return h.groupBy(*key).agg(F.sum("_n").alias("versions"), (F.count("*") > 1).alias("conflict"))
 
 
@@ -84,23 +86,24 @@ def journeys(transitions: DataFrame, by: str, order: list[str], history: Column)
 
 def accept_versions(appends: DataFrame, by: str, order: list[str], version: str, payload: str) -> DataFrame:
     """Adds outcome of each append in order of arrival: appended (one more than the versions so far), repeated (a version
-    that is there, with its payload), conflict (with another), or gap.
+    that is there, with its payload), conflict (with another), or gap. Rows with a null key are a group.
 
-    Each append depends on all before it of its group, so a group is read in order by one task, which keeps a hash a version.
+    Each append depends on all before it of its group, so a group is read in order by one task, which keeps a digest a version.
     """
+    digest = lambda p: hashlib.blake2b(repr(p).encode(), digest_size=16).digest()
 
     def run(batches):
-        now, there = None, []
+        now, there = object(), []  # no key yet
         for b in batches:
             out = []
             for key, v, p in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in (by, version, payload)]):
-                if key != now or now is None:
+                if key != now:
                     now, there = key, []
                 if v == len(there) + 1:
-                    there.append(hash(p))
+                    there.append(digest(p))
                     out.append("appended")
                 elif v is not None and 1 <= v <= len(there):
-                    out.append("repeated" if there[v - 1] == hash(p) else "conflict")
+                    out.append("repeated" if there[v - 1] == digest(p) else "conflict")
                 else:
                     out.append("gap")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "outcome"])

@@ -37,8 +37,10 @@ def read(spark: SparkSession, root: str, table: str, revision: int | None = None
 
 
 def content_hash(nodes: DataFrame, edges: DataFrame) -> str:
-    """The same for the same rows in any order and partitioning."""
-    part = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("s")).first()
+    """The same for the same rows in any order and partitioning. Rows are hashed as JSON with their column names and nulls, so a
+    value that moves to another column, or a column more, is a change."""
+    row = lambda df: F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    part = lambda df: df.agg(F.count("*").alias("n"), F.sum(row(df).cast("decimal(38,0)")).alias("s")).first()
     a, b = part(nodes), part(edges)
     return f"{a['n']}:{a['s']}:{b['n']}:{b['s']}"
 
