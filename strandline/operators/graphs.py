@@ -83,30 +83,35 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, dep
     return done
 
 
-def trails(edges: DataFrame, start: DataFrame, end: DataFrame, depth: int) -> DataFrame:
+def trails(edges: DataFrame, start: DataFrame, end: DataFrame, depth: int, enough: int | None = None) -> DataFrame:
     """(start, finish, nodes, edges) of all trails of at most depth edges: no edge twice, nodes may recur.
 
-    edges has (edge_id, src, dst). Trails are exponential by nature; a step is kept only if the end can still be reached
-    within what is left (distances back from the end), which drops every walk that cannot finish.
+    edges has (edge_id, src, dst). Trails are exponential by nature; a step is kept only if some end can still be reached
+    within what is left (one distance a node, back from the nearest end), which drops every walk that cannot finish. The shortest
+    come first, so with enough the search stops after the level that has brought so many.
     """
-    both = symmetrise(edges.select("src", "dst", "edge_id"))
-    left = cut(distances(both, end.select(F.col("id").alias("seed"), "id"), depth).select(F.col("seed").alias("finish"), F.col("id").alias("at"), "dist"), "left")
+    both = cut(symmetrise(edges.select("src", "dst", "edge_id")), "both")
+    ends = cut(end.select("id").distinct(), "ends")
+    left = cut(_levels(both, ends.select(F.lit(0).alias("seed"), "id"), depth).select(F.col("id").alias("at"), "dist"), "left")
     walk = start.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("nodes")).join(left, "at").where(F.col("dist") <= depth)
-    walk = walk.select("start", "finish", "at", "nodes", F.array().cast(f"array<{dict(edges.dtypes)['edge_id']}>").alias("edges"))
-    out = None
+    walk = walk.select("start", "at", "nodes", F.array().cast(f"array<{dict(edges.dtypes)['edge_id']}>").alias("edges"))
+    out, n = None, 0
     for used in range(1, depth + 1):
         step = walk.join(both, walk["at"] == both["src"]).where(~F.array_contains("edges", F.col("edge_id")))
-        step = step.select("start", "finish", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"))
-        walk = cut(step.join(left, ["finish", "at"]).where(F.col("dist") <= depth - used).drop("dist"), "trails")
-        found = walk.where("at = finish").select("start", "finish", "nodes", "edges")
+        step = step.select("start", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"))
+        walk = cut(step.join(left, "at").where(F.col("dist") <= depth - used).select(*step.columns, (F.col("dist") == 0).alias("ended")), "trails")
+        found = walk.where("ended").select("start", F.col("at").alias("finish"), "nodes", "edges")
         out = found if out is None else out.union(found)
-        if walk.isEmpty():
+        n += found.count() if enough is not None else 0
+        if enough is not None and n >= enough or walk.isEmpty():
             break
+        walk = walk.drop("ended")
     return out
 
 
 def closure(depends: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id) of everything that depends, directly or not, on a seed; depends has (id, on_id). Seeds are included."""
+    depends = cut(depends.select("id", "on_id"), "depends")
     reached = cut(seeds.select("id").distinct(), "affected")
     frontier = reached
     while True:
@@ -117,6 +122,27 @@ def closure(depends: DataFrame, seeds: DataFrame) -> DataFrame:
         reached = reached.union(frontier)
 
 
+def closure_with_reasons(depends: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, hop, reason, via) of everything that depends, directly or not, on a seed of seeds(id, reason); depends has (id, on_id, reason).
+
+    hop is the least number of steps, reason and via (what it depends on there; null for seeds) the least pair among those that reach it in
+    so many. Depends that loop end: a level takes only what was not reached before.
+    """
+    depends = cut(depends.select("id", "on_id", F.col("reason").alias("_why")), "depends")
+    least = lambda d: d.groupBy("id").agg(F.min(F.struct("reason", "via")).alias("_r")).select("id", "_r.reason", "_r.via")
+    kind = dict(depends.dtypes)["on_id"]
+    frontier = cut(least(seeds.where("id is not null").select("id", "reason", F.lit(None).cast(kind).alias("via"))).select("id", F.lit(0).alias("hop"), "reason", "via"), "affected")
+    reached = frontier
+    hop = 0
+    while not frontier.isEmpty():
+        hop += 1
+        new = frontier.select(F.col("id").alias("on_id")).join(depends, "on_id").select("id", F.col("_why").alias("reason"), F.col("on_id").alias("via"))
+        new = least(new).join(reached.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "reason", "via")
+        frontier = cut(new, "affected")
+        reached = reached.union(frontier)
+    return reached
+
+
 def lineage(df: DataFrame, ident: str, parent: str, depth: int) -> DataFrame:
     """(ident, root, hops): the last ancestor within depth steps. Pointers double, so the joins are log2(depth)."""
     p = df.where(F.col(parent).isNotNull()).select(F.col(ident).alias("id"), F.col(parent).alias("up"))

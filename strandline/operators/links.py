@@ -25,7 +25,7 @@ def eligible(edges: DataFrame, types: list[str] | None = None, tiers: list[str]
 def evidence_paths(edges: DataFrame, start: DataFrame, end: DataFrame, depth: int = 12, limit: int = 200, **wanted) -> DataFrame:
     """(start, finish, nodes, edges, hops) of trails over eligible edges(edge_id, src, dst, type, tier, review_state),
     shortest first, ties by edge ids; at most limit (a report's size)."""
-    d = graphs.trails(eligible(edges, **wanted).select("edge_id", "src", "dst"), start, end, depth)
+    d = graphs.trails(eligible(edges, **wanted).select("edge_id", "src", "dst"), start, end, depth, enough=limit)
     return d.withColumn("hops", F.size("edges")).orderBy("hops", "edges", "nodes").limit(limit)
 
 
