@@ -2,12 +2,13 @@
 
 A text is first given a language family, then a language within it; both steps vote among one-versus-one linear support
 vector machines over hashed character n-grams (1 to 3 letters, lower-cased; whatever is no letter counts as one gap).
-The machines learn from a sample of labelled rows, about `per_language` rows of each of the `max_languages` most frequent
-languages and `max_rows` in all (a hash of the id decides, at a rate set from the counts by language), which alone comes to
-the driver, as sparse counts.
+The machines learn from a sample of labelled rows, at most `per_language` rows of each of the `max_languages` most frequent
+languages and `max_rows` in all (a hash of id and text decides, at a rate set from the counts by language; a rank by language
+cuts what repeated rows bring beyond that), which alone comes to the driver, as sparse counts. Languages without a known
+family are halved by the main direction of their centroids until at most MEMBERS are together, so 400 languages need some
+4,000 machines of 16 KB, 65 MB, which is what is broadcast at most.
 
-Defined cases: a text that is null or has no letter is `und` with score 1. A language without a known family is a
-family of its own. With one family, or one language in it, there is nothing to separate and it is predicted. Without
+Defined cases: a text that is null or has no letter is `und` with score 1. With one family, or one language in it, there is nothing to separate and it is predicted. Without
 any labelled row every text is `und` with score 0. Ties go to the language that comes first in order. Repeated rows are
 predicted each; an empty table gives an empty result; other columns are not read. Very long texts are counted whole, in
 blocks.
@@ -19,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import linear_svm
@@ -39,6 +40,8 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIM = 4096
+#: Languages of no known family that are put together, at most.
+MEMBERS = 12
 _letters = np.zeros(0, np.uint8)
 
 
@@ -77,11 +80,29 @@ def features(counts: np.ndarray) -> np.ndarray:
     return x / max(1e-12, float(np.linalg.norm(x)))
 
 
+def families(names: list[str], centroids: np.ndarray) -> dict[str, str]:
+    """The family of each language: the known one, else a group of at most MEMBERS languages whose centroids are close."""
+    out = {n: _FAMILY[n] for n in names if n in _FAMILY}
+    groups = [[i for i, n in enumerate(names) if n not in _FAMILY]]
+    while groups:
+        g = groups.pop()
+        if len(g) <= MEMBERS:
+            out |= {names[i]: f"group {names[min(g)]}" for i in g}
+            continue
+        c = centroids[g] - centroids[g].mean(0)
+        side = c @ np.linalg.svd(c, full_matrices=False)[2][0]
+        order = sorted(range(len(g)), key=lambda k: (float(side[k]), g[k]))
+        half = len(g) // 2
+        groups += [[g[k] for k in order[:half]], [g[k] for k in order[half:]]]
+    return out
+
+
 def fit_tree(x: np.ndarray, langs: list[str]) -> dict:
     """The machines of the family step and of each family; each is a pair of names, weights and bias."""
     names = sorted(set(langs))
-    family = np.array([_FAMILY.get(v, f"only {v}") for v in langs])
     lang = np.array(langs)
+    of = families(names, np.stack([x[lang == n].mean(0) for n in names]))
+    family = np.array([of[v] for v in langs])
 
     def machines(labels: np.ndarray, rows: np.ndarray) -> list:
         out = []
@@ -120,31 +141,34 @@ def predict(tree: dict, counts: np.ndarray) -> tuple[str, float]:
 def learn(labelled: DataFrame, per_language: int = 1000, max_languages: int = 400, max_rows: int = 20_000) -> dict | None:
     """A tree from labelled(doc_id, text, lang); None without any labelled row that has a letter.
 
-    The driver gets about per_language rows of each of the max_languages most frequent languages (ties: the first by
-    name), and about max_rows rows in all (documented bounds).
+    The driver gets at most per_language rows of each of the max_languages most frequent languages (ties: the first by
+    name), and at most max_rows rows in all (documented bounds).
     """
     most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
-    per_language = min(per_language, max_rows // len(counts))
+    per_language = max(1, min(per_language, max_rows // len(counts)))
     rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
 
     def sparse(batches):
         for b in batches:
-            langs, at, n = [], [], []
-            for text, lang in zip(b.column(0), b.column(1)):
+            langs, at, n, draws = [], [], [], []
+            for text, lang, d in zip(b.column(0), b.column(1), b.column(2)):
                 c, seen = ngram_counts(text.as_py() or "")
                 if seen:
                     i = np.flatnonzero(c)
                     langs.append(lang.as_py())
                     at.append(i.astype(np.int16))
                     n.append(c[i].astype(np.float32))
-            yield pa.record_batch({"lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int16())), "n": pa.array(n, pa.list_(pa.float32()))})
+                    draws.append(d.as_py())
+            yield pa.record_batch({"lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int16())), "n": pa.array(n, pa.list_(pa.float32())), "draw": pa.array(draws, pa.float64())})
 
-    picked = labelled.where(draw < F.try_element_at(rate, F.col("lang"))).select("text", "lang")
-    rows = picked.mapInArrow(sparse, "lang string, at array<smallint>, n array<float>").toArrow()
+    picked = labelled.where(draw < F.try_element_at(rate, F.col("lang"))).select("text", "lang", draw.alias("draw"))
+    rows = picked.mapInArrow(sparse, "lang string, at array<smallint>, n array<float>, draw double")
+    first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("at", "n"))  # each task keeps its first rows before the shuffle
+    rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("lang", "at", "n").toArrow()
     if not rows.num_rows:
         return None
     x = np.zeros((rows.num_rows, DIM), np.float32)

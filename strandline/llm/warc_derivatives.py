@@ -18,7 +18,10 @@ Defined cases: a null or empty payload gives an empty text and still both record
 named by its URI and payload digest. Repeated responses give repeated records. Bytes that are no UTF-8 are read by the
 charset that the source names, else replaced. Tags and comments that never close end with the page. Responses of
 other types than HTML and text give an empty conversion. An empty table gives an empty result. Very long pages are held
-whole, one at a time; gzipped files are opened as they are read, and a record that is cut short ends its file.
+whole, one at a time; gzipped files are opened as they are read. Names of header fields are read in any case. Chunked and
+compressed payloads are decoded for the text (as far as they go, if they are damaged); digests are of the bytes as they
+came. A record that is cut short, a damaged gzip member or bytes that are none end their file with the records before it;
+`file_reports` counts both by file.
 """
 
 from __future__ import annotations
@@ -48,6 +51,13 @@ _MARKUP = re.compile(
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<a\s(?:[^>]*?\s)?href\s*=", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+#: The named fields of the standard, as it writes them.
+_FIELDS = (
+    "WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Concurrent-To", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-IP-Address", "WARC-Refers-To",
+    "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Target-URI", "WARC-Truncated", "WARC-Warcinfo-ID", "WARC-Filename", "WARC-Profile", "WARC-Identified-Payload-Type",
+    "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length",
+)
+_FIELD = {x.lower(): x for x in _FIELDS}
 _GAP = re.compile(r"[ \t\r\f\v\xa0]+")
 RESPONSE = "record_id string, headers map<string,string>, block binary"
 RECORD = "record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, content_type string, content_length bigint, block_digest string, source_payload_digest string, headers map<string,string>, block binary"
@@ -82,6 +92,56 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return (first.split(" ", 2) + [""])[1], {k.strip().lower(): v.strip() for k, _, v in fields}, payload
 
 
+def named(headers: dict[str, str]) -> dict[str, str]:
+    """Headers with the standard's fields as it writes them; the first of fields that differ in case only counts."""
+    out: dict[str, str] = {}
+    for k, v in headers.items():
+        out.setdefault(_FIELD.get(k.lower(), k), v)
+    return out
+
+
+def _dechunked(data: bytes) -> bytes:
+    """The payload of a chunked body, as far as its chunks are whole; data that does not start with one is no chunked body."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = data[at:end].split(b";")[0].strip()
+        try:
+            n = int(size, 16)
+        except ValueError:
+            break
+        if n <= 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else data
+
+
+def _inflated(data: bytes, way: str) -> bytes:
+    """What gzip or deflate bytes hold, up to the first damage; data that is neither stays."""
+    for bits in (47, -15) if way == "deflate" else (47,):  # deflate is sent with and without its wrapper
+        opened, out = zlib.decompressobj(bits), bytearray()
+        try:
+            for a in range(0, len(data), 1 << 16):
+                out += opened.decompress(data[a : a + (1 << 16)])
+            out += opened.flush()
+        except zlib.error:
+            pass
+        if out:
+            return bytes(out)
+    return data
+
+
+def decoded(http: dict[str, str], payload: bytes) -> bytes:
+    """The payload without its transfer and content encodings; others than chunked, gzip and deflate stay."""
+    for name in ("transfer-encoding", "content-encoding"):
+        for way in reversed([x.strip().lower() for x in http.get(name, "").split(",")]):  # the last one was applied last
+            if way == "chunked":
+                payload = _dechunked(payload)
+            elif way in ("gzip", "x-gzip", "deflate"):
+                payload = _inflated(payload, way)
+    return payload
+
+
 def _decode(payload: bytes, kind: str) -> str:
     try:
         return payload.decode()
@@ -95,11 +155,12 @@ def _decode(payload: bytes, kind: str) -> str:
 
 def derive(record_id: str | None, headers: dict[str, str], block: bytes) -> list[dict]:
     """The metadata and conversion records of one response."""
+    headers = named(headers)
     status, http, payload = split_http(block or b"")
     source_digest = headers.get("WARC-Payload-Digest") or digest(payload)
     source = record_id or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, (headers.get('WARC-Target-URI') or '') + source_digest)}>"
     kind = http.get("content-type", "")
-    page = _decode(payload, kind)
+    page = _decode(decoded(http, payload), kind)
     is_html = "html" in kind.lower() or (not kind and "<" in page)
     text = html_text(page) if is_html else page if kind.lower().startswith("text/") or not kind else ""
     title = _TITLE.search(page) if is_html else None
@@ -156,6 +217,10 @@ def serialise(headers: dict[str, str], block: bytes) -> bytes:
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in headers.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
+class _Damaged(Exception):
+    """The bytes of a file end here."""
+
+
 def _blocks(data: bytes, size: int = 1 << 16):
     """The bytes of a file in blocks; of a gzipped one, what its members hold, opened as they come."""
     view, at = memoryview(data), 0
@@ -164,42 +229,60 @@ def _blocks(data: bytes, size: int = 1 << 16):
         return
     while at < len(data):
         member = zlib.decompressobj(31)
-        while not member.eof and at < len(data):
-            part = view[at : at + size]
-            yield member.decompress(part)
-            at += len(part) - len(member.unused_data)
-        yield member.flush()
+        try:
+            while not member.eof and at < len(data):
+                part = view[at : at + size]
+                yield member.decompress(part)
+                at += len(part) - len(member.unused_data)
+            yield member.flush()
+        except zlib.error as e:
+            raise _Damaged from e
+        if not member.eof:
+            raise _Damaged
         while data[at : at + 1] == b"\0":  # padding between members
             at += 1
 
 
-def parse(data: bytes):
-    """(headers, block) of every record of a WARC file's bytes; a record at a time is held. A cut record ends the file."""
+def parse(data: bytes, damage: list[str] | None = None):
+    """(headers, block) of every record of a WARC file's bytes; a record at a time is held. A cut record or damage ends the file
+    (and is told in damage)."""
     buffer, blocks = bytearray(), _blocks(data)
 
     def more() -> bool:
-        for x in blocks:
-            if x:
-                buffer.extend(x)
-                return True
+        try:
+            for x in blocks:
+                if x:
+                    buffer.extend(x)
+                    return True
+        except _Damaged:
+            if damage is not None:
+                damage.append("gzip")
         return False
 
+    def cut():
+        if damage is not None and not damage:
+            damage.append("cut")
+
     while True:
         while (at := buffer.find(b"WARC/")) < 0:
+            if damage is not None and not damage and len(buffer) > 4 and buffer.strip():
+                damage.append("no record")
             del buffer[: max(0, len(buffer) - 4)]
             if not more():
                 return
         del buffer[:at]
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
+        seen = 0
+        while (end := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(buffer)
             if not more():
-                return
+                return cut()
         lines = buffer[:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        headers = named({k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)})
         n = headers.get("Content-Length", "")
         stop = end + 4 + (int(n) if n.isdigit() else 0)
         while len(buffer) < stop:
             if not more():
-                return
+                return cut()
         yield headers, bytes(buffer[end + 4 : stop])
         del buffer[:stop]
 
@@ -221,7 +304,8 @@ def _batched(rows, schema: pa.Schema, size, limit: int = 4 << 20):
 
 
 def records_in(contents: DataFrame, types: tuple[str, ...] = ("response",)) -> DataFrame:
-    """RESPONSE columns of the records of some types in the WARC bytes of contents(content); null and broken bytes hold none."""
+    """RESPONSE columns of the records of some types in the WARC bytes of contents(content); null bytes hold none, broken ones those
+    before the damage."""
 
     def found(batches):
         for b in batches:
@@ -236,6 +320,20 @@ def records_in(contents: DataFrame, types: tuple[str, ...] = ("response",)) -> D
     return contents.select("content").mapInArrow(run, RESPONSE)
 
 
+def file_reports(contents: DataFrame) -> DataFrame:
+    """(records, damage) of each row of contents(content): how many whole records its bytes hold, and what ended them early: gzip (a
+    damaged or unfinished member, or bytes after the last), cut (a record without its end), no record, or null."""
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                damage: list[str] = []
+                n = sum(1 for _ in parse(content.as_py() or b"", damage))
+                yield pa.record_batch([pa.array([n], pa.int64()), pa.array([damage[0] if damage else None], pa.string())], names=["records", "damage"])
+
+    return contents.select("content").mapInArrow(run, "records bigint, damage string")
+
+
 def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response",)) -> DataFrame:
     """RESPONSE columns of the records of some types; one task reads a file (of 2 GB at most), as gzip cannot be split."""
     return records_in(spark.read.format("binaryFile").load(path), types)
