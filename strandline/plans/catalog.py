@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import events, graphs, linking, links, missions, paths, records, reports, resolution, rows, rules, sources, summaries, texts
+from strandline.plans import citations, events, graphs, linking, links, missions, paths, records, reports, resolution, rows, rules, sources, summaries, texts
 from strandline.plans.registry import QUERIES, SQL
 
-MODULES = (rows, summaries, events, texts, graphs, linking, links, missions, paths, records, rules, resolution, reports, sources)
+MODULES = (rows, summaries, events, citations, texts, graphs, linking, links, missions, paths, records, rules, resolution, reports, sources)
 
 
 def queries() -> dict:
