@@ -214,3 +214,24 @@ def windowed_stream(spark, d):
     e = load(spark, d, "events")
     x = event_log.hourly(spark, f"{d}/events.parquet", e.schema)
     return x.withColumn("total", F.round("total", 4))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, min(role || ': ' || coalesce(text, '')) AS content FROM conversations GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t)
+SELECT conv_id::VARCHAR AS "key", turn + 1 AS number, sha256(content) AS content_sha256, 'delivered' AS outcome FROM d WHERE turn + 1 = k
+""")
+def feed_caught_up(spark, d):
+    """Every conversation's turns delivered in order by a stream that was stopped half-way: all replies arrive first, the rest after a restart."""
+    import uuid
+
+    from strandline.functions.tables import shared_dir
+    from strandline.streaming import feed
+
+    place = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    turns = load(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("number"), F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("content"))
+    for n, part in enumerate((turns.where("number % 2 = 0"), turns.where("not number % 2 <=> 0"))):
+        part.write.parquet(f"{place}/arrived/{n}")
+        stream = spark.readStream.schema(turns.schema).option("recursiveFileLookup", "true").parquet(f"{place}/arrived")
+        out = feed.catch_up(stream, f"{place}/feed", key="conv_id", number="number", content="content")
+    return out.where("outcome = 'delivered'").select("key", "number", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"), "outcome")
