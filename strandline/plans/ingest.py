@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions.tables import shared_dir
 from strandline.plans.registry import load, query
-from strandline.sources import ingest as op
+from strandline.sources import api_references, ingest as op
 
 
 def _outputs(spark, d):
@@ -54,3 +55,29 @@ def stored_artifacts(spark, d):
     added = sum(op.persist(pages, root) > 0 for _ in range(2))
     x = op.artifacts(spark, root)
     return x.select("digest", "size", "media_type", F.lit(added).alias("calls_that_added"), (F.sha2("content", 256) == F.col("digest")).alias("intact"))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT c_nationkey AS n, 'c' || c_custkey AS k, coalesce('c' || lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 'end') AS nxt, c_mktsegment = 'BUILDING' AS leaf FROM customer),
+f AS (SELECT s_nationkey AS n, s_suppkey AS s, coalesce('c' || min(c_custkey), 'end') AS k FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_custkey > 9 * s_suppkey GROUP BY ALL),
+w(n, s, k) AS (SELECT n, s, k FROM f UNION SELECT w.n, w.s, c.nxt FROM w JOIN c ON c.n = w.n AND c.k = w.k WHERE NOT leaf)
+SELECT n::VARCHAR AS application_id, 'GET' AS "method", '/suppliers/s' || s AS path, array_to_string(list_sort(list('#/components/schemas/' || k)), ',') AS refs, CASE WHEN bool_or(k = 'end') THEN '#/components/schemas/end' ELSE '' END AS missing FROM w GROUP BY n, s
+""")
+def schema_references(spark, d):
+    """The schemas that each supplier's operation needs, in API documents by nation where a customer's schema refers to the next customer's (that of
+    a builder to none, the last one to a schema that is not there)."""
+    c, s = load(spark, d, "customer"), load(spark, d, "supplier")
+    ref = lambda k: F.concat(F.lit("#/components/schemas/"), F.coalesce(k, F.lit("end")))
+    name = lambda k: F.concat(F.lit("c"), k)
+    nxt = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    one = c.withColumn("next", ref(name(nxt))).select("c_nationkey", F.struct(name("c_custkey").alias("k"), F.when(F.col("c_mktsegment") != "BUILDING", F.create_map(F.lit("$ref"), "next")).alias("v")).alias("e"))
+    schemas = one.select("c_nationkey", F.struct(F.col("e.k").alias("k"), F.struct(F.col("e.v").alias("properties")).alias("v")).alias("e")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list("e")).alias("schemas"))
+    first = s.join(c.select("c_nationkey", "c_custkey"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("c_custkey") > 9 * F.col("s_suppkey")), "left").groupBy("s_nationkey", "s_suppkey").agg(F.min("c_custkey").alias("k"))
+    schema = F.create_map(F.lit("$ref"), ref(name("k")))
+    answer = F.create_map(F.lit("200"), F.struct(F.create_map(F.lit("application/json"), F.struct(schema.alias("schema"))).alias("content")))
+    path = F.struct(F.concat(F.lit("/suppliers/s"), "s_suppkey").alias("k"), F.struct(F.struct(answer.alias("responses")).alias("get")).alias("v"))
+    paths = first.select("s_nationkey", path.alias("p")).groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list("p")).alias("paths"))
+    docs = paths.join(schemas, F.col("s_nationkey") == F.col("c_nationkey"), "left")
+    docs = docs.select(F.col("s_nationkey").cast("string").alias("application_id"), F.to_json(F.struct("paths", F.struct("schemas").alias("components"))).alias("document"))
+    x = api_references.references(docs).where("side = 'response'")
+    return x.select("application_id", "method", "path", F.array_join("refs", ",").alias("refs"), F.array_join("missing", ",").alias("missing"))
