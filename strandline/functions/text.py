@@ -24,6 +24,7 @@ TRACKING = r"^(utm_[^=]*|fbclid|gclid)(=|$)"
 #: Words that carry no meaning in a term.
 STOP_WORDS = ("a", "an", "and", "be", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 #: Left out where a quote must support a statement.
+#: Words that a quote need not repeat.
 SUPPORT_STOP_WORDS = ("a", "an", "and", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with")
 
 
@@ -43,10 +44,10 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.lower(head), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
-def in_scope(url: Column, root: str) -> Column:
+def in_scope(url: Column, root: Column | str) -> Column:
     """Whether an address lies at or below a root of the same scheme, host and port."""
-    root = root.rstrip("/")
-    return (url == root) | url.startswith(f"{root}/") | url.startswith(f"{root}?")
+    root = F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/"))
+    return (url == root) | url.startswith(F.concat(root, F.lit("/"))) | url.startswith(F.concat(root, F.lit("?")))
 
 
 def route_template(path: Column) -> Column:

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import text as tx
 from strandline.functions.tables import cut
 
 MAX_HOPS = 10
@@ -131,7 +130,3 @@ def report_order(found: DataFrame) -> list[Column]:
     """By risk, score, strength of evidence, criticality and id."""
     rank = lambda c, *names: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))
     return [rank("risk", "high", "medium", "low"), F.desc("score"), F.col("strength"), rank("criticality", *CRITICALITY_POINTS), F.col("target_id")]
-
-
-def finding_ids(found: DataFrame) -> DataFrame:
-    return found.withColumn("finding_id", tx.stable_key("finding", target=F.col("target_id").cast("string"), score=F.col("score")))

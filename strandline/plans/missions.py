@@ -13,7 +13,7 @@ _RISK = "CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'me
 
 
 @query(f"""
-WITH s AS (SELECT o_custkey AS scenario_id, o_orderkey AS finding_id, {_RISK} AS risk, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS workflow_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'),
+WITH s AS (SELECT o_custkey AS scenario_id, o_orderkey AS finding_id, {_RISK} AS risk, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS workflow_id FROM orders JOIN customer ON c_custkey = o_custkey),
 g AS (SELECT scenario_id, min(CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS p, max(workflow_id) AS workflow_id, count(DISTINCT finding_id) AS findings FROM s WHERE risk <> 'unknown' GROUP BY 1),
 a AS (SELECT scenario_id AS id, p, findings FROM g WHERE workflow_id IS NOT NULL AND scenario_id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) ORDER BY p, scenario_id LIMIT 10),
 c AS (SELECT min(s_suppkey) AS id FROM supplier WHERE s_nationkey + 20 NOT IN (SELECT workflow_id FROM s WHERE risk <> 'unknown' AND workflow_id IS NOT NULL)),
@@ -25,7 +25,7 @@ def verification_plan(spark, d):
     o, c = load(spark, d, "orders"), load(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     p = F.col("o_orderpriority")
     risk = F.when(p == "1-URGENT", "high").when(p == "2-HIGH", "medium").when(p == "3-MEDIUM", "low").otherwise("unknown")
-    s = o.where("o_orderstatus = 'P'").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    s = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     s = s.select(F.col("o_orderkey").alias("finding_id"), risk.alias("risk"), F.col("o_custkey").alias("scenario_id"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("workflow_id"))
     known = o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("scenario_id"))
     controls = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") + 20).alias("workflow_id"))

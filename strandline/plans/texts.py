@@ -171,3 +171,15 @@ def html_sections(spark, d):
 def markdown_sections(spark, d):
     """Sections of documents read as Markdown (tested against hand-written documents)."""
     return html.markdown_sections(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""
+WITH p AS (SELECT page_id, url, 'http://' || split_part(split_part(url, '://', 2), '/', 1) AS root, ['get ', 'Post', 'trace', 'FETCH'][page_id % 4 + 1] AS m FROM pages)
+SELECT page_id, url = root || '/docs' OR starts_with(url, root || '/docs/') OR starts_with(url, root || '/docs?') AS inside, CASE WHEN upper(trim(m)) IN ('GET', 'POST', 'TRACE') THEN upper(trim(m)) END AS method FROM p
+""")
+def scoped_requests(spark, d):
+    """Requests for pages: whether the address lies in its site's documentation, and the method if it is one."""
+    p = load(spark, d, "pages")
+    root = F.concat(F.lit("http://"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), F.lit("/docs"))
+    method = F.get(F.array(*[F.lit(m) for m in ("get ", "Post", "trace", "FETCH")]), (F.col("page_id") % 4).cast("int"))
+    return p.select("page_id", tx.in_scope(F.col("url"), root).alias("inside"), tx.http_method(method).alias("method"))

@@ -60,11 +60,6 @@ def hourly(spark: SparkSession, path: str, schema: StructType, lateness: str | N
     return drain(w, "hourly", "append" if lateness else "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-def deduplicated(events: DataFrame, key: list[str], at: str, lateness: str = "1 hour") -> DataFrame:
-    """Idempotent append: the first delivery of each key within the watermark."""
-    return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(key)
-
-
 def sequence_faults(spark: SparkSession, path: str, schema: StructType, key: str, number: str, content: str) -> DataFrame:
     """(key, number, fault) as each batch shows it: gap (the number before has not been seen), conflict (another content was
     seen for this number), replay (the same again). State by key: the highest number, and the content by number."""
