@@ -10,8 +10,9 @@ Words come from a table of the pieces between single spaces, filled as texts nee
 once in a worker; the table stops growing at `max_pieces`. Texts whose spaces do not divide pre-tokens cleanly (doubled
 spaces, spaces beside line breaks) go through the pattern whole.
 
-Defined cases: null texts are empty and give no ids. Any text round-trips: all 256 bytes are tokens. An empty table
-gives an empty result; other columns are not read.
+Defined cases: null texts are empty and give no ids. Any text round-trips: all 256 bytes are tokens. Repeated rows are encoded
+each. Of pairs of equal rank (ties) the leftmost merges first. A very long text is encoded whole in one task; a pre-token of n bytes
+holds some numbers a byte. An empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,7 +23,6 @@ An empty table gives an empty result. Other columns are not read, whatever their
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass

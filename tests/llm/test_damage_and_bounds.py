@@ -1,4 +1,5 @@
-"""Damaged and oddly written WARC bytes (operator 10), and the bounds and the fit of the language machines (operator 4)."""
+"""Damaged and oddly written WARC bytes (operator 10), the bounds and the fit of the language machines (4), long texts of the line field (3), edge
+cases of the encoder (9)."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from strandline.llm import language_tree, linear_svm, warc_derivatives as warc
+from strandline.llm import bpe_queue, language_tree, line_crf, linear_svm, warc_derivatives as warc
 
 
 def response(i: int, body: bytes = b"<p>text", http: str = "", **more) -> tuple[dict, bytes]:
@@ -121,3 +122,29 @@ def test_machines_reach_the_minimum_of_a_plain_descent():
     fw, fb = linear_svm.fit(x, y)
     assert abs(loss(fw, fb) - loss(w, b)) < 1e-3 * loss(w, b)
     assert all(np.sign(x @ fw + fb) == np.sign(x @ np.array(w) + b))
+
+
+def test_marginals_of_long_texts_in_blocks():
+    rng = np.random.default_rng(5)
+    w, move = rng.normal(size=4), rng.normal(size=(2, 2))
+    for n in (1, 2, 63, 64, 65, 1000):
+        x = rng.normal(size=(n, 4)).astype(np.float32)
+        unary = np.stack([np.zeros(n), x @ w], axis=1)[None]
+        want = line_crf.forward_backward(unary, move, np.array([n]))[0][0, :, 1]
+        for block in (1, 64, 1 << 16):
+            assert np.allclose(line_crf.bad_marginals(x, w, move, block), want, atol=1e-9)
+    x, size = line_crf.line_features("short line\n" * 200_000)
+    assert len(line_crf.bad_marginals(x, rng.normal(size=x.shape[1]), move)) == len(size) == 200_001
+
+
+def test_encoder_edges(spark):
+    import public_tokenizers as public
+
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    run = lambda rows, schema="doc_id long, text string, ids string, n_tokens int, decoded string": bpe_queue.encode_texts(spark.createDataFrame(rows, schema), path, public.PATTERN)
+    assert run([]).count() == 0
+    long = "ab" * 300_000  # one pre-token
+    got = run([(1, "twice", "x", 1, "y"), (1, "twice", "x", 1, "y"), (None, long, None, None, None), (2, None, "x", 0, "z")]).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"]))] == [1, 1, 2, None]
+    assert len({(r["n_tokens"], bytes(r["ids"])) for r in got if r["doc_id"] == 1}) == 1
+    assert all(bytes(r["decoded"]).decode() == {1: "twice", 2: "", None: long}[r["doc_id"]] for r in got)

@@ -92,10 +92,24 @@ def test_clean_documents_stay(spark):
     assert kept >= 0.97 * docs.join(good, "doc_id").count()
 
 
-def test_odd_documents_pass_through(spark):
-    data = [(i, t, "en", "s", 1) for i, t in enumerate([None, "", "word", "same text of some words here " * 9, "same text of some words here " * 9])] + [(None, " ".join(f"w{i}" for i in range(90)), None, None, None)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        assert set(r["doc_id"] for r in stage(spark, docs, SMALL).collect()) <= set(range(5)) | {None}
+def test_odd_documents_in_every_stage(spark):
+    """Nulls, empty and very long texts, repeated rows, copies, and columns with names that stages use: what stays, exactly."""
+    clean = lambda k: " ".join(f"w{k}x{i}" for i in range(90)) + "."
+    texts = {0: None, 1: "", 2: "word", 3: clean(3), 4: clean(3), 5: clean(5), None: clean(7), 6: "\n".join(clean(100 + i) for i in range(900))}
+    rows = [(i, t, "en", f"s{i}", 1, True, 0.1) for i, t in texts.items()] + [(5, texts[5], "en", "s5", 1, True, 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double")
+    ids = lambda d: sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in d.collect())
+    known = line_crf.not_held_out(table(spark, SMALL, "labels"))
+    model = line_crf.learn(docs, known)
+    one = corpus_pipeline.quality_classifier(spark, docs, SMALL)
+    scores = line_crf.score_documents(docs, known).where("score >= 0.5")
+    assert ids(one) == ids(scores) and one.columns == list(corpus_pipeline.COLUMNS) and (model is not None or len(ids(one)) == 9)
+    two = corpus_pipeline.quality_rules(spark, docs, SMALL)
+    assert ids(two) == [-1, 3, 4, 5, 5, 6] and two.columns == list(corpus_pipeline.COLUMNS)
+    three = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert ids(three) == [-1, 0, 1, 2, 3, 5, 5, 6] and three.columns == list(corpus_pipeline.COLUMNS)
+    pieces = corpus_pipeline.best_fit_packing(spark, docs, SMALL).collect()
+    assert sorted({(-1 if r["doc_id"] is None else r["doc_id"]) for r in pieces}) == [-1, 0, 1, 2, 3, 4, 5, 6]
+    assert sum(r["doc_id"] == 5 for r in pieces) >= 2 and sum(r["doc_id"] == 6 for r in pieces) > 20
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
-    assert corpus_pipeline.best_fit_packing(spark, docs, SMALL).count() == 6
