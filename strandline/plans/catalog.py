@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import citations, coverage, events, graphs, ingest, linking, links, missions, paths, publication, records, reports, resolution, rows, rules, sources, summaries, texts
+from strandline.plans import citations, coverage, evaluation, events, graphs, ingest, linking, links, missions, paths, publication, records, reports, resolution, rows, rules, sources, summaries, texts
 from strandline.plans.registry import QUERIES, SQL
 
-MODULES = (rows, summaries, events, citations, coverage, texts, graphs, ingest, linking, links, missions, paths, publication, records, rules, resolution, reports, sources)
+MODULES = (rows, summaries, events, citations, coverage, evaluation, texts, graphs, ingest, linking, links, missions, paths, publication, records, rules, resolution, reports, sources)
 
 
 def queries() -> dict:
