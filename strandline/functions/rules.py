@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
+from strandline.functions.citations import BLANK
 
 #: Endings of source files by language.
 LANGUAGES = ((".tsx", "tsx"), (".ts", "typescript"), (".php", "php"))
@@ -51,6 +52,11 @@ PERSONAL = (
     (r"\b([0-9][ -]*?){13,19}\b", "[PAYMENT_REDACTED]"),
     (r"(\B\+|\b)[0-9][0-9 ().-]{7,}[0-9]\b", "[PHONE_REDACTED]"),
 )
+#: Labels whose next segment is secret, and segments that are identifiers.
+SENSITIVE_LABEL = r"(?i)^(?:access|activate|activation|auth|callback|code|confirm|confirmation|credential|invite|login|magic(?:[-_]?link)?|oauth|password|recover|recovery|reset|secret|session|signature|t|token|verify|verification)$"
+IDENTIFIER = r"(?i)^(?:\d+|[0-9a-f]{20,}|[0-9a-f]{8}-[0-9a-f-]{27,}|[A-Za-z0-9_~.-]{32,})$"
+#: Scheme, host with port, and path of an absolute address.
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#@]+)([^?#]*)"
 METHODS = ("DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT")
 
 
@@ -126,16 +132,52 @@ def action_category(kind: Column, name: Column, submit: Column, external: Column
     )
 
 
-def redact_observed(c: Column, limit: int = 4096) -> Column:
-    """Observed text without secrets and personal data, white space collapsed, cut with a mark; [EMPTY] if nothing is left."""
-    c = tx.redact(c)
+def without_secrets(c: Column, secrets: Column | None) -> Column:
+    """c with each of an array of secrets replaced, the longest first; null and empty ones are none."""
+    if secrets is None:
+        return c
+    known = F.filter(secrets, lambda s: F.coalesce(F.length(s) > 0, F.lit(False)))
+    order = F.array_sort(known, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.coalesce(F.aggregate(order, c, lambda text, s: F.replace(text, s, F.lit("[REDACTED]"))), c)
+
+
+def redact_observed(c: Column, limit: int = 4096, secrets: Column | None = None) -> Column:
+    """Observed text without the run's own secrets (an array), other secrets and personal data, white space of any kind collapsed, cut with a mark; [EMPTY]
+    if nothing is left."""
+    c = tx.redact(without_secrets(c, secrets))
     for pattern, to in PERSONAL:
         c = F.regexp_replace(c, pattern, to)
-    c = F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))
+    c = F.trim(F.regexp_replace(c, BLANK + "+", " "))
     cut = F.concat(F.left(c, F.lit(max(1, limit - 11))), F.lit("[TRUNCATED]"))
     return F.when(c == "", "[EMPTY]").when(F.length(c) <= limit, c).otherwise(cut)
 
 
+def opaque(segment: Column) -> Column:
+    """Whether a segment of a path looks like an identifier or a credential."""
+    mixed = (segment.rlike("[a-z]") & segment.rlike("[A-Z]")) | (segment.rlike("[A-Za-z]") & segment.rlike("[0-9]") & (F.length(segment) >= 16))
+    return segment.rlike(IDENTIFIER) | (segment.rlike("^[A-Za-z0-9_-]{12,}$") & mixed)
+
+
+def redact_url(url: Column, secrets: Column | None = None) -> Column:
+    """An address without user, query and fragment; segments of its path that are opaque, follow a label of something secret, hold anything that is redacted
+    in text, or cannot be decoded become `redacted`. Null if it is no absolute address."""
+    parts = F.regexp_extract(url, _URL, 0) != ""
+    scheme, host, path = (F.regexp_extract(url, _URL, k) for k in (1, 2, 3))
+    raw = F.split(path, "/")
+
+    def decoded(x: Column) -> Column:
+        y = F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+        return F.when(F.contains(y, F.lit(chr(0xFFFD))) & ~F.contains(x, F.lit(chr(0xFFFD))), F.lit(None)).otherwise(y)
+
+    def one(x: Column, i: Column) -> Column:
+        own, before = decoded(x), F.when(i > 0, decoded(F.get(raw, i - 1))).otherwise("")
+        hide = own.isNull() | before.isNull() | before.rlike(SENSITIVE_LABEL) | opaque(own) | (redact_observed(own, 512, secrets) != own)
+        return F.when(x == "", x).when(F.coalesce(hide, F.lit(True)), "redacted").otherwise(x)
+
+    kept = F.array_join(F.transform(raw, one), "/")
+    return F.when(parts, F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.when(kept == "", "/").otherwise(kept)))
+
+
 def redact_connector(c: Column, limit: int = 2048) -> Column:
     """A connector's message without credentials in addresses and other secrets."""
     c = F.trim(tx.redact(F.regexp_replace(c, r"(?i)\b(https?://)[^\s/@]+@", "$1[REDACTED]@")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions import rules as rl
+from strandline.operators import policy
 from strandline.plans.registry import load, query
 from strandline.sources import api_documents, diffs, html
 
@@ -71,3 +73,74 @@ def repository_links(spark, d):
     pages = x.select(F.concat(F.lit("d"), "doc_id", end).alias("path"))
     links = x.select(F.col("doc_id").alias("from_page"), F.concat(F.lit("d"), F.col("doc_id") * 5 + 1).alias("target"))
     return html.resolve_links(links, pages).select("from_page", "target", "to_page")
+
+
+def _file_patches(spark, d):
+    """A customer's orders as the files of a patch: new, renamed or deleted by status, urgent ones binary, the rest with a hunk."""
+    o = load(spark, d, "orders")
+    k, text = F.col("o_orderkey").cast("string"), F.lit
+    name = F.concat(text("src/o"), k, text(".ts"))
+    to = F.when(F.col("o_orderstatus") == "O", F.concat(text("lib/o"), k, text(".ts"))).otherwise(name)
+    head = F.concat(text("diff --git a/"), name, text(" b/"), to, text("\n"))
+    how = F.when(F.col("o_orderstatus") == "F", "new file mode 100644\n").when(F.col("o_orderstatus") == "P", "deleted file mode 100644\n")
+    how = how.otherwise(F.concat(text("similarity index 9"), F.substring(k, -1, 1), text("%\nrename from "), name, text("\nrename to "), to, text("\n")))
+    body = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(text("Binary files a/"), name, text(" and b/"), to, text(" differ\n"))).otherwise(F.concat(text("@@ -3,2 +3,3 @@\n same\n-rename from nowhere\n+new file mode\n+diff\n")))
+    return o.groupBy(F.col("o_custkey").cast("string").alias("pr_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat(head, how, body).alias("t")))), lambda x: x["t"]), "").alias("patch"))
+
+
+@query("""
+WITH o AS (SELECT *, o_orderkey::VARCHAR AS k FROM orders)
+SELECT o_custkey::VARCHAR AS pr_id, CASE o_orderstatus WHEN 'F' THEN 'added' WHEN 'P' THEN 'deleted' ELSE 'renamed' END AS operation, CASE WHEN o_orderstatus <> 'F' THEN 'src/o' || k || '.ts' END AS old_path,
+  CASE o_orderstatus WHEN 'F' THEN 'src/o' || k || '.ts' WHEN 'O' THEN 'lib/o' || k || '.ts' END AS new_path, CASE WHEN o_orderstatus = 'O' THEN 90 + (o_orderkey % 10)::INTEGER END AS similarity, o_orderpriority = '1-URGENT' AS "binary" FROM o
+""")
+def changed_files(spark, d):
+    """The files of patches with their operation, paths, similarity and whether they are binary."""
+    return diffs.diff_files(_file_patches(spark, d)).drop("file")
+
+
+@query("""
+WITH o AS (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'), n AS (SELECT o_custkey::VARCHAR AS pr_id FROM o)
+SELECT pr_id, 'base' AS side, 4 AS first, 4 AS last, count(*) AS n FROM n GROUP BY pr_id UNION ALL SELECT pr_id, 'head', 4, 5, count(*) FROM n GROUP BY pr_id
+""")
+def changed_ranges(spark, d):
+    """Runs of changed lines of patches, counted by patch, side and place."""
+    x = diffs.diff_ranges(diffs.diff_lines(_file_patches(spark, d)))
+    return x.groupBy("pr_id", "side", "first", "last").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT p_name AS package, p_size AS version, p_brand AS license FROM part)
+SELECT * FROM p WHERE license NOT IN ('Brand#1', 'Brand#2', 'Brand#3') AND NOT (license = 'Brand#4' AND version < 40)
+""")
+def license_breaches(spark, d):
+    """Parts as packages whose brand is no allowed licence; those of one brand are excused below a version, others no longer."""
+    p = load(spark, d, "part").select(F.col("p_name").alias("package"), F.col("p_size").alias("version"), F.col("p_brand").alias("license"))
+    allowed = spark.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "license string")
+    until = F.when(F.col("license") == "Brand#4", "2026-06-01").otherwise("2026-05-31")
+    excused = p.where("license in ('Brand#4', 'Brand#5') and version < 40").distinct().withColumn("expires_on", until)
+    return policy.license_violations(p, allowed, excused, "2026-06-01")
+
+
+@query("""
+SELECT DISTINCT 'A-' || o_orderstatus || o_orderpriority[1] AS advisory, 'c' || o_custkey AS package, CASE o_orderpriority[1] WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'moderate' ELSE 'low' END AS severity
+FROM orders WHERE o_orderpriority[1] IN ('1', '2') OR o_orderstatus <> 'F'
+""")
+def dependency_breaches(spark, d):
+    """Advisories about customers as packages: grave ones all, the rest unless their status is excused (exceptions for grave ones do not count)."""
+    k = F.substring("o_orderpriority", 1, 1)
+    a = load(spark, d, "orders").select(F.concat(F.lit("A-"), "o_orderstatus", k).alias("advisory"), F.concat(F.lit("c"), "o_custkey").alias("package"), F.when(k == "1", "critical").when(k == "2", "high").when(k == "3", "moderate").otherwise("low").alias("severity"), "o_orderstatus")
+    excused = a.where("o_orderstatus = 'F'").drop("o_orderstatus").distinct().withColumn("expires_on", F.lit("2030-01-01"))
+    return policy.dependency_violations(a, excused, "2026-06-01")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey::VARCHAR AS k, CASE o_orderpriority[1] WHEN '1' THEN 'orders' WHEN '2' THEN 'Token' WHEN '3' THEN 'a b' WHEN '4' THEN 'mail' ELSE '' END AS label FROM orders)
+SELECT o_orderkey, 'https://shop.example:8080/' || CASE label WHEN 'a b' THEN 'a%20b' ELSE label END || '/' || CASE label WHEN 'Token' THEN 'redacted' WHEN 'mail' THEN 'redacted' WHEN 'a b' THEN 'v' || k WHEN '' THEN 'redacted' ELSE 'redacted' END || '/end' AS url FROM o
+""")
+def redacted_addresses(spark, d):
+    """Addresses of orders without user, query and fragment, and without what is secret or personal in their paths."""
+    k, p = F.col("o_orderkey").cast("string"), F.substring("o_orderpriority", 1, 1)
+    label = F.when(p == "1", "orders").when(p == "2", "Token").when(p == "3", "a%20b").when(p == "4", "mail").otherwise("")
+    value = F.when(p == "1", k).when(p == "2", "x").when(p == "3", F.concat(F.lit("v"), k)).when(p == "4", F.concat(F.lit("me"), k, F.lit("%40x.org"))).otherwise(F.concat(F.lit("own-secret-"), k))
+    url = F.concat(F.lit("HTTPS://user:pw@Shop.example:8080/"), label, F.lit("/"), value, F.lit("/end?q=1#top"))
+    return load(spark, d, "orders").select("o_orderkey", rl.redact_url(url, F.array(F.lit("own-secret"), F.lit(""))).alias("url"))
