@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.tables import cut
@@ -85,15 +85,19 @@ def caveats(candidates: DataFrame, application: str, revision: int, steps: tuple
     return candidates.withColumn("codes", F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))))
 
 
+def path_key() -> Column:
+    """The address of a path: its ends, its nodes, and the relationships between them."""
+    return F.sha2(F.concat_ws("|", F.col("seed_id").cast("string"), F.col("target_id").cast("string"), F.to_json(F.transform("nodes", lambda n: n["id"])), F.to_json(F.transform("hops", lambda h: F.struct(h["from_id"], h["to_id"], h["type"])))), 256)
+
+
 def merged_paths(clean: DataFrame) -> DataFrame:
     """Candidates that walk the same nodes by the same relationships as one path with all their evidence.
 
     The strength of a candidate is its weakest tier, that of a path its strongest candidate's.
     """
-    key = F.sha2(F.concat_ws("|", F.col("seed_id").cast("string"), F.col("target_id").cast("string"), F.to_json(F.transform("nodes", lambda n: n["id"])), F.to_json(F.transform("hops", lambda h: F.struct(h["from_id"], h["to_id"], h["type"])))), 256)
     weakest = F.array_max(F.concat(F.transform("nodes", lambda n: n["tier"]), F.transform("hops", lambda h: h["tier"])))
     evidence = F.array_distinct(F.flatten(F.transform("hops", lambda h: h["evidence_ids"])))
-    d = clean.withColumns({"path_key": key, "_strength": weakest, "_evidence": evidence})
+    d = clean.withColumns({"path_key": path_key(), "_strength": weakest, "_evidence": evidence})
     return d.groupBy("path_key").agg(
         F.first("seed_id").alias("seed_id"), F.first("target_id").alias("target_id"), F.first("target_kind").alias("target_kind"), F.first("title").alias("title"), F.first(F.size("hops")).alias("hops"),
         F.min("_strength").alias("strength"), F.count_distinct("candidate_id").alias("candidates"), F.array_sort(F.collect_set("operation")).alias("operations"),
@@ -126,6 +130,25 @@ def findings(paths: DataFrame, criticalities: DataFrame) -> DataFrame:
     return d.select("target_id", "target_kind", "title", "risk", "score", "strength", "criticality", "change", "criticality_points", "directness", "breadth", "shared", "corroboration", "paths", "seeds")
 
 
+def scenarios(
+    clean: DataFrame, found: DataFrame, workflow: str = "workflow", requirement: str = "requirement", checkpoints: tuple = ("ui-element", "screen", "flow-step", "workflow", "requirement"), limit: int = 100
+) -> DataFrame:
+    """What to verify for each path of a finding: (scenario_id, target_id, path_key, kind, workflow_id, requirement_id, checkpoint_ids, priority).
+
+    One row by path of clean candidates whose target is in found(target_id, risk), at most limit a target (a report's size), the first by id. The
+    workflow and the requirement are the first ones on the path (null: none), checkpoints the ids of all nodes of their kinds, in order.
+    """
+    first = lambda kind: F.get(F.transform(F.filter("nodes", lambda n: n["kind"] == kind), lambda n: n["id"]), F.lit(0))
+    seen = F.array_sort(F.array_distinct(F.transform(F.filter("nodes", lambda n: n["kind"].isin(*checkpoints)), lambda n: n["id"])))
+    kind = F.when(F.col("target_kind") == requirement, "requirement_acceptance").when(F.col("target_kind") == workflow, "workflow_checkpoint").otherwise("ui_interaction")
+    d = clean.select(path_key().alias("path_key"), "target_id", kind.alias("kind"), first(workflow).alias("workflow_id"), first(requirement).alias("requirement_id"), seen.alias("checkpoint_ids")).dropDuplicates(["path_key"])
+    d = d.join(found.select("target_id", F.col("risk").alias("priority")), "target_id")
+    d = d.withColumn("scenario_id", F.sha2(F.to_json(F.struct("target_id", "path_key", "kind", "priority")).cast("binary"), 256))
+    w = Window.partitionBy("target_id").orderBy("scenario_id")  # each task keeps its first rows before the shuffle
+    d = d.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit)
+    return d.select("scenario_id", "target_id", "path_key", "kind", "workflow_id", "requirement_id", "checkpoint_ids", "priority")
+
+
 def report_order(found: DataFrame) -> list[Column]:
     """By risk, score, strength of evidence, criticality and id."""
     rank = lambda c, *names: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.tables import cut
 from strandline.operators import impact, paths as op, refresh
 from strandline.plans import graphs as base
 from strandline.plans.graphs import _id
@@ -88,18 +89,40 @@ def impact_paths_by_symbol(spark, d):
     return op.normalised(_found(spark, d), changed).select("path_id", "seed", "target", "hops", F.array_join("symbols", ",").alias("symbols"))
 
 
-@query(SQL["blast_radius"])
-def impact_found(spark, d):
-    """The ranked impact of a brand's parts, its candidates found by search instead of joins that are written out."""
+def _clean(spark, d):
+    """Candidates found by search from a brand's parts, without those that have a caveat."""
     nodes, edges = graph(spark, d)
     parts = _brand(spark, d)
-    steps = op.one_state(base.STEPS)
-    found = op.search(nodes, edges, parts, steps, ("region",), 4)
+    found = op.search(nodes, edges, parts, op.one_state(base.STEPS), ("region",), 4)
     change = F.element_at(F.array(*[F.lit(v) for v in ("deleted", "modified", "added", "moved")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     cand = op.candidates(found, nodes, edges, parts.select(F.col("id").alias("seed"), change.alias("operation")), ("customer", "nation", "region"))
     flagged = impact.caveats(cand, "app", 1, base.STEPS, ("customer", "nation", "region"))
+    return cut(flagged.where(F.size("codes") == 0), "clean")
+
+
+def _findings(spark, d, clean):
     critical = load(spark, d, "region").select(_id("r", "r_regionkey").alias("target_id"), F.lit("critical").alias("criticality")).union(load(spark, d, "nation").select(_id("n", "n_nationkey"), F.lit("important")))
-    return impact.findings(impact.merged_paths(flagged.where(F.size("codes") == 0)), critical)
+    return impact.findings(impact.merged_paths(clean), critical)
+
+
+@query(SQL["blast_radius"])
+def impact_found(spark, d):
+    """The ranked impact of a brand's parts, its candidates found by search instead of joins that are written out."""
+    return _findings(spark, d, _clean(spark, d))
+
+
+@query(f"""
+WITH {base._IMPACT}, p AS (SELECT DISTINCT seed, target, kind, l_orderkey, c_custkey, n_nationkey, r_regionkey FROM cand WHERE NOT pending AND NOT stale),
+r AS (SELECT target_id, risk FROM ({SQL["blast_radius"]}))
+SELECT target AS target_id, CASE p.kind WHEN 'region' THEN 'requirement_acceptance' WHEN 'customer' THEN 'workflow_checkpoint' ELSE 'ui_interaction' END AS kind, 'c' || c_custkey AS workflow_id,
+  CASE WHEN p.kind = 'region' THEN 'r' || r_regionkey END AS requirement_id, 'c' || c_custkey || CASE WHEN p.kind <> 'customer' THEN ',n' || n_nationkey ELSE '' END || CASE WHEN p.kind = 'region' THEN ',r' || r_regionkey ELSE '' END AS checkpoints,
+  risk AS priority, count(*) AS n FROM p JOIN r ON target_id = target GROUP BY ALL
+""")
+def impact_scenarios(spark, d):
+    """What to verify for the paths of every finding, counted by what they ask for: buyers as workflows, regions as requirements."""
+    clean = _clean(spark, d)
+    x = impact.scenarios(clean, _findings(spark, d, clean), "customer", "region", ("customer", "nation", "region"), limit=1 << 30)
+    return x.groupBy("target_id", "kind", "workflow_id", "requirement_id", F.array_join("checkpoint_ids", ",").alias("checkpoints"), "priority").agg(F.count("*").alias("n"))
 
 
 @query("""

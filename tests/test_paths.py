@@ -6,6 +6,8 @@ import random
 from collections import defaultdict
 
 
+from pyspark.sql import functions as F
+
 from strandline.operators import graphs, impact, links, paths, refresh
 
 STEPS = [("s", "A", "x", "y", "forward", "t"), ("s", "B", "x", "x", "any", "s"), ("t", "A", "y", "x", "reverse", "u"), ("t", "C", "y", "z", "forward", "t"), ("u", "B", "x", "z", "any", "t"), ("t", "B", "z", "y", "reverse", "t")]
@@ -93,6 +95,11 @@ def test_candidates_of_found_paths(spark):
     assert cand.count() == 12  # two paths to each of three targets, two operations; shared beginnings count once
     flagged = impact.caveats(cand, "app", 1)
     assert {(r["target_id"], tuple(r["codes"])) for r in flagged.collect()} == {("b", ()), ("s", ()), ("w", ("evidence_conflict",))}
+    risk = spark.createDataFrame([("b", "high"), ("s", "low")], "target_id string, risk string")
+    sc = impact.scenarios(flagged.where(F.size("codes") == 0), risk).collect()
+    assert {(r["target_id"], r["kind"], r["workflow_id"], r["requirement_id"], tuple(r["checkpoint_ids"]), r["priority"]) for r in sc} == {("b", "ui_interaction", None, None, ("b",), "high"), ("s", "ui_interaction", None, None, ("b", "s"), "low")}
+    assert len(sc) == len({r["scenario_id"] for r in sc}) == 4  # two relationships reach g; both operations of a path are one scenario
+    assert impact.scenarios(flagged, risk, limit=1).count() == 2 and impact.scenarios(flagged.limit(0), risk).count() == 0
     got = paths.normalised(found, spark.createDataFrame([("f", "z"), ("f", "a"), ("f", "a"), ("g", "q"), ("f", None)], "seed string, symbol string"))
     assert {tuple(r["symbols"]) for r in got.collect()} == {("a", "z")} and got.select("path_id").distinct().count() == 6
     assert {tuple(r["symbols"]) for r in paths.normalised(found, spark.createDataFrame([], "seed string, symbol string")).collect()} == {()}
