@@ -11,10 +11,11 @@ from strandline.plans.registry import load, query
 @query()
 def citation_places(spark, d):
     """Where the fifth to twelfth word of every document stand in its text for the first time, and what is cut there (tested against a search)."""
-    words = F.regexp_extract_all("text", F.lit(ct._WORD), 0)
-    x = load(spark, d, "documents").select("doc_id", "text", F.array_join(F.slice(words, 5, 8), " ").alias("quote"))
-    x = x.withColumn("at", ct.locate(F.col("text"), F.col("quote"))).where("at is not null")
-    return x.select("doc_id", "quote", "at.start", "at.end", F.substr("text", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")).alias("cut"))
+    word, gap = f"{ct._WORD}+", f"{ct.BLANK}++"  # possessive: neither gives anything back
+    eight = F.regexp_extract("text", f"^(?:{gap})?(?:{word}{gap}){{4}}({word}(?:{gap}{word}){{0,7}})", 1)  # reads twelve words, not the whole text
+    x = load(spark, d, "documents").select("doc_id", "text", ct.normal(eight).alias("quote"))
+    x = x.select("doc_id", "text", "quote", F.inline(F.array_compact(F.array(ct.locate(F.col("text"), F.col("quote"))))))  # a place is worked out once
+    return x.select("doc_id", "quote", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("cut"))
 
 
 def _sql_supports(quote: str, value: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ def test_places_equal_a_search_in_the_raw_text(spark):
         assert (r["at"] and tuple(r["at"])) == want, (r["raw"][:80] if r["raw"] else r["raw"], r["quote"])
 
 
+def test_places_in_long_texts_take_one_pass(spark):
+    """Twelve words repeated thousands of times before the quote stands: a normal form for each step of the search would take minutes."""
+    text = F.concat(F.repeat(F.lit("a \n b+c $d \\\\E "), F.lit(5_000)), F.lit("b+c  [$d] z"), F.col("id").cast("string"))
+    d = spark.range(400).select("id", text.alias("raw")).select("id", "raw", ct.locate(F.col("raw"), F.concat(F.lit("b+c [$d] z"), F.col("id").cast("string"))).alias("at"))
+    began = time.time()
+    bad = d.where("at is null or at.end <> length(raw) or substr(raw, at.start + 1, 5) <> 'b+c  '").count()
+    assert bad == 0 and time.time() - began < 60
+
+
 def claim(statement, quote=None, kind="requirement", heading="Orders", capability="order", actor=None, outcome=None):
     return (kind, statement, statement if quote is None else quote, heading, capability, actor, outcome)
 
