@@ -2,9 +2,9 @@
 
 A step (state, type, from_kind, to_kind, direction, next_state) lets a path in a state go over an edge of the type between nodes of
 the kinds, along it (forward), against it (reverse) or either way (any). The search runs over the product of graph and
-automaton, whose nodes are pairs (id, state), level by level from all seeds at once. Distances back from the nearest target are
-found first, once for all seeds, so a search enters no node from which no target is within reach. Arcs are written once; a level's
-frontier holds only pairs not reached before by its seed.
+automaton, whose nodes are pairs (id, state), level by level from all seeds at once. The arcs that seeds come near are written first,
+then distances back from the nearest target, once for all seeds, so a search enters no node from which no target is within reach. A
+level holds only arcs to pairs not reached before by their seed, and paths are put together from these.
 """
 
 from __future__ import annotations
@@ -27,20 +27,43 @@ def one_state(steps: tuple) -> list[tuple]:
     return [(ANY, *s, ANY) for s in steps]
 
 
-def arcs(nodes: DataFrame, edges: DataFrame, steps: list[tuple]) -> DataFrame:
-    """(src, dst, edge_id) of the product of the graph of nodes(id, kind) and edges(edge_id, src, dst, type) with the steps; src and dst
-    are structs (id, state). Edges without both ends are in no path."""
-    kind = lambda end: nodes.select(F.col("id").alias(end), F.col("kind").alias(f"{end}_kind"))
-    known = edges.select("edge_id", "src", "dst", "type").join(kind("src"), "src").join(kind("dst"), "dst")
-    ways = [("forward", "src", "dst"), ("reverse", "dst", "src")]
-    walked = reduce(
-        DataFrame.union,
-        [known.select("edge_id", "type", F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"{a}_kind").alias("from_kind"), F.col(f"{b}_kind").alias("to_kind"), F.lit(way).alias("direction")) for way, a, b in ways],
-    )
+def arcs(nodes: DataFrame, edges: DataFrame, steps: list[tuple], first: DataFrame, depth: int) -> DataFrame:
+    """(src, dst, edge_id) of the product of the graph of nodes(id, kind) and edges(edge_id, src, dst, type) with the steps, as far as
+    depth steps from first(id, state) enter it; src and dst are structs (id, state). Edges without both ends are in no path.
+
+    A level reads the edges of the types that its states may take and joins them with its frontier, so what no seed comes near is never written.
+    """
     flat = {(s, t, a, b, w, n) for s, t, a, b, way, n in steps for w in (("forward", "reverse") if way == "any" else (way,))}
-    table = nodes.sparkSession.createDataFrame(sorted(flat), STEP)
-    met = walked.join(table, ["type", "from_kind", "to_kind", "direction"])
-    return met.select(F.struct(F.col("a").alias("id"), F.col("state")).alias("src"), F.struct(F.col("b").alias("id"), F.col("next_state").alias("state")).alias("dst"), "edge_id").distinct()
+    e = edges.select("edge_id", "src", "dst", "type")
+    kinds = nodes.select("id", "kind").distinct()
+    states = {s for (s,) in first.select("state").distinct().collect()}  # states of the automaton, a handful
+    frontier = cut(first.distinct().join(kinds, "id").select("id", "state", "kind"), "product")
+    seen, every = frontier, []
+    for _ in range(depth):
+        usable = sorted(x for x in flat if x[0] in states)
+        if not usable or frontier.isEmpty():
+            break
+        walked = []
+        for way, a, b in (("forward", "src", "dst"), ("reverse", "dst", "src")):
+            types = sorted({x[1] for x in usable if x[4] == way})
+            if types:
+                walked.append(e.where(F.col("type").isin(types)).select("edge_id", "type", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(way).alias("direction")))
+        table = nodes.sparkSession.createDataFrame(usable, STEP)
+        met = reduce(DataFrame.union, walked).join(frontier.select(F.col("id").alias("a"), "state", F.col("kind").alias("from_kind")), "a")
+        met = met.join(table, ["state", "type", "from_kind", "direction"])
+        ends = kinds.where(F.col("kind").isin(sorted({x[3] for x in usable}))).select(F.col("id").alias("b"), F.col("kind").alias("to_kind"))
+        met = met.join(ends, ["b", "to_kind"])
+        met = met.select(F.struct(F.col("a").alias("id"), F.col("state")).alias("src"), F.struct(F.col("b").alias("id"), F.col("next_state").alias("state")).alias("dst"), "edge_id", "to_kind").distinct()
+        met = cut(met, "arcs")
+        every.append(met.drop("to_kind"))
+        new = met.select("dst.id", "dst.state", F.col("to_kind").alias("kind")).distinct()
+        frontier = cut(new.join(seen, ["id", "state", "kind"], "left_anti"), "product")
+        seen = seen.union(frontier)
+        states = {x[5] for x in usable}
+    if not every:
+        end = F.struct(F.col("id"), F.col("state"))
+        return frontier.join(e.limit(0), F.col("id") == F.col("src")).select(end.alias("src"), end.alias("dst"), "edge_id").limit(0)
+    return reduce(DataFrame.union, every)
 
 
 def search(
@@ -52,52 +75,64 @@ def search(
     Filter edges by tier, review or revision before calling. A shortest path of the product may pass a node twice in different
     states; it is left out. limit keeps the first paths by target kind, target, hops, nodes and edges (a report's size).
     """
-    both = cut(arcs(nodes, edges, steps), "arcs")
+    first = seeds.select("id", F.lit(start).alias("state")).distinct()
+    both = arcs(nodes, edges, steps, first, depth)
     states = nodes.sparkSession.createDataFrame([(s,) for s in accept], "state string")
     goals = nodes.where(F.col("kind").isin(*target_kinds)).select("id", F.col("kind").alias("target_kind"))
     ends = both.select("dst").distinct().join(states, F.col("dst.state") == F.col("state"), "left_semi").join(goals, F.col("dst.id") == F.col("id"), "left_semi")
+    ends = cut(ends.select(F.col("dst").alias("id")), "ends")
     back = both.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    left = cut(graphs.distances(back, ends.select(F.lit(0).alias("seed"), F.col("dst").alias("id")), depth).select("id", F.col("dist").alias("left")), "left")
-
-    first = seeds.select(F.col("id").alias("seed"), F.struct(F.col("id"), F.lit(start).alias("state")).alias("id")).distinct()
-    reached = _reach(both, first, left, depth)
-    hit = reached.join(ends.select(F.col("dst").alias("id")), "id", "left_semi").where("dist > 0")
-    nearest = hit.groupBy("seed", F.col("id.id").alias("target")).agg(F.min("dist").alias("dist"))
-    hit = hit.withColumn("target", F.col("id.id")).join(nearest, ["seed", "target", "dist"])
-    found = _rebuilt(both, reached, hit).join(goals.withColumnRenamed("id", "target"), "target")
+    left = cut(graphs.distances(back, ends.select(F.lit(0).alias("seed"), "id"), depth).select("id", F.col("dist").alias("left")), "left")
+
+    levels = _reach(both, first.select(F.col("id").alias("seed"), F.struct("id", "state").alias("id")), left, ends, depth)
+    hit = None
+    for level, hops in enumerate(levels, 1):
+        new = hops.select("seed", F.col("dst").alias("id")).distinct().join(ends, "id", "left_semi").select("seed", F.col("id.id").alias("target"), F.lit(level).alias("dist"), "id")
+        hit = new if hit is None else hit.union(new)
+    if hit is None:
+        hit = both.select(F.col("src.id").alias("seed"), F.col("dst.id").alias("target"), F.lit(0).alias("dist"), F.col("dst").alias("id")).limit(0)
+    nearest = hit.groupBy("seed", "target").agg(F.min("dist").alias("dist"))
+    hit = cut(hit.join(nearest, ["seed", "target", "dist"]), "hits")
+    found = _rebuilt(dict(both.dtypes)["edge_id"], levels, hit).join(goals.withColumnRenamed("id", "target"), "target")
     found = found.where(F.size(F.array_distinct("nodes")) == F.size("nodes")).select("seed", "target", "target_kind", F.col("hops"), "nodes", "edges")
     return found if limit is None else found.orderBy("target_kind", "target", "hops", "nodes", "edges").limit(limit)
 
 
-def _reach(both: DataFrame, first: DataFrame, left: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, dist) of all pairs that a seed reaches, if a target is within what is left of depth."""
-    frontier = cut(first.join(left, "id").where(F.col("left") <= depth).select("seed", "id", F.lit(0).alias("dist")), "reach")
-    every = [frontier]
-    steps = both.select("src", "dst").distinct().join(left.withColumnRenamed("id", "dst"), "dst")
+def _reach(both: DataFrame, first: DataFrame, left: DataFrame, ends: DataFrame, depth: int) -> list[DataFrame]:
+    """By level, the arcs (seed, src, dst, edge_id) over which first(seed, id) reaches what it has not reached before, if a target is within
+    what is left of depth: the shortest ways of every seed, and nothing of other seeds' arcs.
+
+    A node that is no target and from which the only way on is back is not entered: no shortest path passes it.
+    """
+    pairs = both.select("src", "dst").distinct()
+    out = pairs.groupBy("src").agg(F.count("*").alias("_n"), F.min("dst").alias("_only")).where("_n = 1")
+    alone = out.join(ends, out["src"] == ends["id"], "left_anti").select(F.col("src").alias("dst"), F.col("_only").alias("src"))
+    steps = both.join(left.withColumnRenamed("id", "dst"), "dst").join(alone, ["src", "dst"], "left_anti").select("src", "dst", "edge_id", "left")
     steps = cut(steps, "steps")
+    reached = frontier = cut(first.join(left, "id").where(F.col("left") <= depth).select("seed", "id"), "reach")
+    levels = []
     for level in range(1, depth + 1):
-        new = frontier.join(steps, frontier["id"] == steps["src"]).where(F.col("left") <= depth - level).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = cut(new.join(reduce(DataFrame.union, every), ["seed", "id"], "left_anti").withColumn("dist", F.lit(level)), "reach")
-        if frontier.isEmpty():
+        new = frontier.join(steps.where(F.col("left") <= depth - level), frontier["id"] == steps["src"]).select("seed", "src", "dst", "edge_id")
+        new = cut(new.join(reached.withColumnRenamed("id", "dst"), ["seed", "dst"], "left_anti").select("seed", "src", "dst", "edge_id"), "reach")
+        if new.isEmpty():
             break
-        every.append(frontier)
-    return reduce(DataFrame.union, every)
-
-
-def _rebuilt(both: DataFrame, reached: DataFrame, hit: DataFrame) -> DataFrame:
-    """All paths back from the hits over arcs that come one level nearer to the seed: (seed, target, hops, nodes, edges)."""
-    kind = dict(both.dtypes)["edge_id"]
-    walk = cut(hit.select("seed", "target", F.col("dist").alias("hops"), F.col("id").alias("at"), "dist", F.array("id.id").alias("nodes"), F.array().cast(f"array<{kind}>").alias("edges")), "walk")
-    done = walk.where("dist = 0")
-    for _ in range(walk.agg(F.max("dist")).first()[0] or 0):
-        near = reached.select("seed", F.col("id").alias("at"), "dist")
-        step = walk.join(both, walk["at"] == both["dst"]).select("seed", "target", "hops", F.col("src").alias("at"), (F.col("dist") - 1).alias("dist"), "nodes", "edges", "edge_id")
-        step = step.join(near, ["seed", "at", "dist"], "left_semi")
-        step = step.select("seed", "target", "hops", "at", "dist", F.concat(F.array("at.id"), "nodes").alias("nodes"), F.concat(F.array("edge_id"), "edges").alias("edges"))
-        step = cut(step, "walk")
-        done = done.union(step.where("dist = 0"))
-        walk = step.where("dist > 0")
-    return done.select("seed", "target", "hops", "nodes", "edges")
+        levels.append(new)
+        frontier = new.select("seed", F.col("dst").alias("id")).distinct()
+        reached = reached.union(frontier)
+    return levels
+
+
+def _rebuilt(kind: str, levels: list[DataFrame], hit: DataFrame) -> DataFrame:
+    """All paths back from hit(seed, target, dist, id) over the arcs by which their own seed came: (seed, target, hops, nodes, edges)."""
+    hits = hit.select("seed", "target", F.col("dist").alias("hops"), F.col("id").alias("at"), F.array("id.id").alias("nodes"), F.array().cast(f"array<{kind}>").alias("edges"))
+    walk = None
+    for level in range(len(levels), 0, -1):
+        new = hits.where(F.col("hops") == level)
+        walk = new if walk is None else walk.union(new)
+        step = walk.join(levels[level - 1].withColumnRenamed("dst", "at"), ["seed", "at"])
+        step = step.select("seed", "target", "hops", F.col("src").alias("at"), F.concat(F.array("src.id"), "nodes").alias("nodes"), F.concat(F.array("edge_id"), "edges").alias("edges"))
+        walk = cut(step, "walk")
+    return (hits.limit(0) if walk is None else walk).select("seed", "target", "hops", "nodes", "edges")
 
 
 def path_id(nodes: Column, edges: Column) -> Column:

@@ -92,6 +92,7 @@ def impact_paths_by_symbol(spark, d):
 def _clean(spark, d):
     """Candidates found by search from a brand's parts, without those that have a caveat."""
     nodes, edges = graph(spark, d)
+    edges = edges.where(F.col("type").isin(sorted({x[0] for x in base.STEPS})))
     parts = _brand(spark, d)
     found = op.search(nodes, edges, parts, op.one_state(base.STEPS), ("region",), 4)
     change = F.element_at(F.array(*[F.lit(v) for v in ("deleted", "modified", "added", "moved")]), (F.col("p_partkey") % 4 + 1).cast("int"))

@@ -52,6 +52,19 @@ def test_search_equals_plain_python(spark):
     assert [r["hops"] for r in paths.search(n, e, n.select("id"), STEPS, ("y", "z"), 4, "s", ("t", "u"), limit=3).collect()][0] == 1
 
 
+def test_a_hub_is_not_walked_for_every_pair(spark, monkeypatch):
+    """Of n seeds at one hub each writes its own few rows, not one for every other seed; what no seed comes near is not written at all."""
+    written, cut = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda d, name: (written.append((name, t := cut(d, name))), t)[1])
+    n = 1_500
+    nodes = spark.range(n).selectExpr("concat('s', id) as id", "'s' as kind").union(spark.createDataFrame([("hub", "n"), ("top", "r"), ("far", "n")], "id string, kind string")).union(spark.range(n).selectExpr("concat('f', id)", "'s'"))
+    edges = spark.range(n).selectExpr("id as edge_id", "concat('s', id) as src", "'hub' as dst", "'IN' as type").union(spark.range(n).selectExpr("id + 5000", "concat('f', id)", "'far'", "'IN'")).union(spark.createDataFrame([(9000, "hub", "top", "UP")], "edge_id long, src string, dst string, type string"))
+    seeds = spark.range(n).selectExpr("concat('s', id) as id")
+    found = paths.search(nodes, edges, seeds, paths.one_state((("IN", "s", "n", "any"), ("IN", "n", "s", "any"), ("UP", "n", "r", "forward"))), ("r",), 4)
+    assert found.count() == n and found.where("hops = 2 and nodes[1] = 'hub'").count() == n
+    assert max(t.count() for _, t in written) <= 4 * n and any(name == "walk" for name, _ in written)
+
+
 NODE = "struct<id:string,kind:string,tier:string,review:string,application_id:string,revision:int>"
 HOP = "struct<type:string,from_id:string,to_id:string,tier:string,review:string,application_id:string,revision:int,stale:boolean,evidence_ids:array<string>,conflict_ids:array<string>>"
 
