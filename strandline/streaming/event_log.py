@@ -1,4 +1,4 @@
-"""The event log as a stream: totals, windows with a watermark, and sequence faults with keyed state.
+"""The event log as a stream: totals, windows with a watermark, and sequence faults against what was seen.
 
 Each query reads a folder or file of Parquet as a stream, runs until nothing is left (availableNow) and returns its sink
 as a table. Checkpoints and sinks lie in the shared folder, so a lost executor or driver continues from there.
@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from strandline.functions.tables import shared_dir
@@ -60,26 +58,29 @@ def hourly(spark: SparkSession, path: str, schema: StructType, lateness: str | N
     return drain(w, "hourly", "append" if lateness else "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-def sequence_faults(spark: SparkSession, path: str, schema: StructType, key: str, number: str, content: str) -> DataFrame:
+def sequence_faults(spark: SparkSession, path: str, schema: StructType, key: str, number: str, content: str, files_per_batch: int = 64) -> DataFrame:
     """(key, number, fault) as each batch shows it: gap (the number before has not been seen), conflict (another content was
-    seen for this number), replay (the same again). State by key: the highest number, and the content by number."""
-
-    def step(name, frames, state):
-        numbers, contents, top = state.get if state.exists else ([], [], None)
-        seen = dict(zip(numbers, contents))
-        rows = pd.concat(list(frames)).sort_values(["_n", "_c"])
-        out = []
-        for n, c in zip(rows["_n"].tolist(), rows["_c"].tolist()):
-            if n in seen:
-                out.append((name[0], n, "replay" if seen[n] == c else "conflict"))
-                continue
-            if top is not None and n > top + 1:
-                out.append((name[0], n, "gap"))
-            seen[n] = c
-            top = n if top is None else max(top, n)
-        state.update((list(seen), list(seen.values()), top))
-        yield pd.DataFrame(out, columns=[key, number, "fault"])
-
-    s = read(spark, path, schema).select(key, F.col(number).cast("bigint").alias("_n"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("_c"))
-    found = s.groupBy(key).applyInPandasWithState(step, f"{key} {dict(s.dtypes)[key]}, {number} bigint, fault string", "numbers array<bigint>, contents array<string>, top bigint", "append", GroupStateTimeout.NoTimeout)
-    return drain(found, "faults")
+    seen for this number), replay (the same again). Rows without a number are in no sequence.
+
+    What was seen, (key, number, content), is a table with a folder by batch; a batch that is run again replaces its own folder and reads only
+    earlier ones, of the keys that came. Windows over a key compare its rows with these, so no key costs a call of its own.
+    """
+    rows = f"{shared_dir(spark)}/faults-{uuid.uuid4().hex}"
+    s = read(spark, path, schema, files_per_batch).select(key, F.col(number).cast("bigint").alias("_n"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("_c")).where("_n is not null")
+    layout = f"`{key}` {dict(s.dtypes)[key]}, _n bigint, _c string, _first boolean, fault string"
+    spark.createDataFrame([], layout).write.parquet(f"{rows}/batch=-1")
+    before = Window.partitionBy(key).orderBy("_n", F.desc("_old"), "_c").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(key, "_n").orderBy(F.desc("_old"), "_c")
+
+    def step(batch: DataFrame, i: int) -> None:
+        known = batch.sparkSession.read.schema(f"{layout}, batch long").parquet(rows).where((F.col("batch") < i) & F.col("_first")).select(key, "_n", "_c", F.lit(True).alias("_old"))
+        known = known.join(batch.select(F.col(key).alias("_k")).distinct(), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+        d = known.union(batch.select(key, "_n", "_c", F.lit(False).alias("_old")))
+        d = d.withColumn("_top", F.greatest(F.max(F.when(F.col("_old"), F.col("_n"))).over(Window.partitionBy(key)), F.max("_n").over(before)))
+        d = d.withColumn("_first", F.row_number().over(same) == 1).withColumn("_seen", F.first("_c").over(same)).where("not _old")
+        again = F.when(F.col("_c") == F.col("_seen"), "replay").otherwise("conflict")
+        fault = F.when(~F.col("_first"), again).when(F.col("_n") > F.col("_top") + 1, "gap")
+        d.select(key, "_n", "_c", "_first", fault.alias("fault")).write.mode("overwrite").option("compression", "zstd").parquet(f"{rows}/batch={i}")
+
+    s.writeStream.option("checkpointLocation", f"{rows}-state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.schema(layout).parquet(rows).where("fault is not null").select(key, F.col("_n").alias(number), "fault")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +258,32 @@ def test_stream_faults_equal_batch(spark, tmp_path):
     assert key(got, "gap") == key(want, "gap") and key(got, "conflict") == key(want, "conflict")
 
 
+def test_sequence_faults_over_batches_and_many_keys(spark, tmp_path):
+    """Three batches against a plain loop; then many keys, none of which may cost a call of its own."""
+    rng = random.Random(12)
+    batches = [[(rng.choice(["a", "b", None]), rng.choice([None, *range(9)]), rng.choice("xy")) for _ in range(12)] for _ in range(3)]
+    seen, tops, want = {}, {}, []
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, "k string, n int, c string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        for k, n, c in sorted((r for r in batch if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+            if (k, n) in seen:
+                want.append((k, n, "replay" if seen[k, n] == c else "conflict"))
+                continue
+            if k in tops and n > tops[k] + 1:
+                want.append((k, n, "gap"))
+            seen[k, n], tops[k] = c, max(n, tops.get(k, n))
+        time.sleep(1.1)  # files are taken by their time
+    schema = spark.read.parquet(f"{tmp_path}/log").schema
+    got = event_log.sequence_faults(spark, f"file://{tmp_path}/log", schema, "k", "n", "c", files_per_batch=1)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+    many = spark.range(200_000).selectExpr("id div 2 as k", "cast(id % 2 * 2 as int) as n", "'x' as c")
+    many.coalesce(1).write.parquet(f"{tmp_path}/many")
+    began = time.time()
+    got = event_log.sequence_faults(spark, f"file://{tmp_path}/many", many.schema, "k", "n", "c")
+    assert got.groupBy("fault").count().collect() == [("gap", 100_000)] and time.time() - began < 40
+
+
 def test_small_tables_are_read(spark):
     assert spark.read.parquet(f"{SMALL}/region.parquet").count() == 5
 
