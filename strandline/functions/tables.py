@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession):
+    """Within it, joins are shuffled and none is broadcast. The planner goes by the bytes of files, and ids pack so well that a file of less
+    than ten megabytes held 1.9 million of them: 256 MB in the driver for one join, and as much in every executor."""
+    first, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    old = {n: spark.conf.get(n) for n in (first, adaptive) if n == first or spark.conf.get(n, None) is not None}  # adaptive follows the first if unset
+    for n in old:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
 def forget(spark: SparkSession) -> None:
     """Shuffle files go when no plan refers to them any more, but Spark looks for that only every half hour; between steps
     whose results are written, this makes it look at once, so a long job does not keep the files of all its steps. The

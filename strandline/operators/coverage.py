@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.tables import cut
+from strandline.functions.tables import cut, shuffled_joins
 from strandline.operators import graphs, links as lk
 
 #: The relationships of a way through the implementation, and of one to what the product is meant to do.
@@ -37,6 +37,11 @@ def matrix(entities: DataFrame, current: DataFrame, pending: DataFrame, stale: D
     A gap of stale evidence has a row for each entity or link end that rests on it (one row without a subject if nothing does) and counts as one gap.
     Conflicts and candidates name both ends; they are human gaps until reviewed, candidates also if they were rejected.
     """
+    with shuffled_joins(entities.sparkSession):
+        return _matrix(entities, current, pending, stale, conflicts, candidates, reviewed, depth)
+
+
+def _matrix(entities: DataFrame, current: DataFrame, pending: DataFrame, stale: DataFrame, conflicts: DataFrame, candidates: DataFrame, reviewed: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     e, stale = cut(entities, "entities"), cut(stale.select("evidence_id").where("evidence_id is not null").distinct(), "stale")
     good = cut(confident_links(current, pending, stale), "confident")
     kinds = e.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strandline.operators import coverage
 
 E = "id string, kind string, evidence_ids array<string>, behavioral boolean, changed boolean"
@@ -33,3 +35,24 @@ def test_ready_and_empty(spark):
     assert got == set() and stats["readiness"] == "ready" and stats["confident_links"] == 1
     got, stats = run(spark, [], stale=["old"])
     assert got == {("stale_evidence", None)} and (stats["entities"], stats["gaps"], stats["readiness"]) == (0, 1, "needs_reconciliation")
+
+
+def test_many_ids_in_small_files_are_not_broadcast(spark):
+    """200,000 ids lie in a file that the planner would broadcast whole through the driver; here it is asked what it does with them."""
+    seen, cut, before = [], coverage.cut, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    t = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    ids = spark.range(200_000).selectExpr("concat('w', id) as id", "'workflow' as kind", "cast(array() as array<string>) as evidence_ids", "false as behavioral", "false as changed")
+
+    def watched(d, name):
+        out = cut(d, name)
+        if name == "entities":
+            seen.append(out.join(out.selectExpr("id as i"), F.expr("id = i"))._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    coverage.cut = watched
+    try:
+        gaps, stats = coverage.matrix(ids, t([], L), t([], L), t([], "evidence_id string"), t([], "id string, from_id string, to_id string"), t([], "id string, from_id string, to_id string, disposition string"), t([], "target_kind string, target_id string"))
+    finally:
+        coverage.cut = cut
+    assert seen and "BroadcastHashJoin" not in seen[0] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert gaps.groupBy("kind").count().where("count = 200000").count() == 2 and stats.first()["gaps"] == 400_000
