@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strandline.functions.tables import cut
 from strandline.operators import graphs
 
+#: Ids of one template that are compared as one, and pairs of ids that a task is given.
+IDS_OF_A_BLOCK, PAIRS_OF_A_TASK = 512, 1 << 23
+
 
 def search(nodes: DataFrame, text: str, kinds: list[str] | None = None, limit: int = 50) -> DataFrame:
     """Nodes(id, kind, title) whose title holds the text in any case, of some kinds if given; the first by title and id."""
@@ -165,21 +168,33 @@ def template_overlap(templates: DataFrame) -> DataFrame:
     """(a, b, kind) of pairs of endpoint templates(id, method, path): exact, candidate (some path fits both) or not listed.
 
     A segment {param} fits any; templates meet by method, number of segments and first segment, where a parameter meets
-    all, so literal templates of different starts are never compared.
+    all, so literal templates of different starts are never compared. Each distinct (method, path) is compared once; its ids
+    stand in blocks, and pairs of blocks are dealt to as many tasks as their pairs of ids need, so no common template is one task.
     """
     is_param = lambda s: s.rlike(r"^\{[^{}]+\}$")
-    t = templates.select("id", "method", "path", F.filter(F.split("path", "/"), lambda s: s != "").alias("s"))
-    t = t.withColumn("n", F.size("s")).withColumn("first", F.coalesce(F.get("s", F.lit(0)), F.lit("")))
-    a = t.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "path", "s", "first")], "method", "n")
-    b = t.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "path", "s", "first")], "method", "n")
+    t = templates.where("id is not null and method is not null and path is not null").select("id", "method", "path")
+    n = t.groupBy("method", "path").agg(F.ceil(F.count("*") / IDS_OF_A_BLOCK).alias("_n"))
+    t = t.join(n, ["method", "path"]).withColumn("block", F.pmod(F.xxhash64("id"), "_n"))
+    blocks = cut(t.groupBy("method", "path", "block").agg(F.collect_list("id").alias("ids")), "blocks")
+    c = blocks.select("method", "path").distinct().withColumn("s", F.filter(F.split("path", "/"), lambda s: s != ""))
+    c = c.withColumn("n", F.size("s")).withColumn("first", F.coalesce(F.get("s", F.lit(0)), F.lit("")))
+    a = c.select(*[F.col(x).alias(f"a_{x}") for x in ("path", "s", "first")], "method", "n")
+    b = c.select(*[F.col(x).alias(f"b_{x}") for x in ("path", "s", "first")], "method", "n")
     open_ = lambda d, c: d.where(is_param(F.col(c)))
     literal = lambda d, c: d.where(~is_param(F.col(c)))
     met = literal(a, "a_first").join(literal(b, "b_first").withColumn("a_first", F.col("b_first")), ["method", "n", "a_first"])
-    cols = ["a_id", "a_path", "a_s", "b_id", "b_path", "b_s"]
+    cols = ["method", "a_path", "a_s", "b_path", "b_s"]
     every = met.select(*cols).union(open_(a, "a_first").join(b, ["method", "n"]).select(*cols)).union(literal(a, "a_first").join(open_(b, "b_first"), ["method", "n"]).select(*cols))
     fits = F.forall(F.zip_with("a_s", "b_s", lambda x, y: is_param(x) | is_param(y) | (x == y)), lambda v: v)
-    every = every.where("a_id < b_id").where(fits)
-    return every.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.when(F.col("a_path") == F.col("b_path"), "exact").otherwise("candidate").alias("kind"))
+    every = every.where("a_path <= b_path").where(fits).select("method", "a_path", "b_path")
+    side = lambda p: blocks.select("method", F.col("path").alias(f"{p}_path"), F.col("block").alias(f"{p}_block"), F.col("ids").alias(f"{p}_ids"))
+    met = every.join(side("a"), ["method", "a_path"]).join(side("b"), ["method", "b_path"])
+    same = F.col("a_path") == F.col("b_path")
+    met = cut(met.where(~same | (F.col("a_block") <= F.col("b_block"))).select("a_ids", "b_ids", same.alias("exact"), (same & (F.col("a_block") == F.col("b_block"))).alias("own")), "block-pairs")
+    n = met.agg(F.sum(F.size("a_ids").cast("bigint") * F.size("b_ids"))).first()[0] or 0
+    p = met.repartition(int(n // PAIRS_OF_A_TASK) + 1).select("exact", "own", "b_ids", F.explode("a_ids").alias("x")).select("exact", "own", "x", F.explode("b_ids").alias("y"))
+    p = p.where(F.when(F.col("own"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("exact"), "exact").otherwise("candidate").alias("kind"))
 
 
 def first_owners(pages: DataFrame, ident: str, keys: list[str]) -> DataFrame:
