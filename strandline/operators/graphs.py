@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions.tables import cut
 
+#: Edges that a task of the component search is given.
+EDGES_OF_A_TASK = 1 << 19
+
 
 def symmetrise(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, other columns kept."""
@@ -192,28 +195,33 @@ def _merge(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges(src, dst): the smallest id it reaches. Nulls and loops are no edges.
 
-    Large-star and small-star steps in turn: partial minima and joins on the node, so a hub is a skewed key of one join
-    side and no neighbour list is gathered; the rounds grow with the logarithm of the longest path. Before the first step
-    each task merges its own edges of whole numbers into stars (union-find over one Arrow batch).
+    Large-star and small-star steps in turn: minima and joins on the node, so a hub is a skewed key of one join
+    side that is streamed and no neighbour list is gathered; the rounds grow with the logarithm of the longest path. Before the
+    first step each task merges its own edges of whole numbers into stars (union-find over one Arrow batch).
+
+    Rows are dealt by number before they are grouped: written ids pack so well that a task which grouped what it had scanned
+    held tens of millions of them.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
     if all(t in ("bigint", "int") for _, t in e.dtypes):
         e = e.selectExpr("cast(u as bigint) u", "cast(v as bigint) v").mapInArrow(_merge, "u bigint, v bigint")
-    e = cut(e.distinct(), "edges")
+    e = cut(e, "edges")
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tasks = state[0] // EDGES_OF_A_TASK + 1
         if state == seen:
             break
         seen = state
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small, "edges")
-    roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(roots)
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(tasks, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).hint("shuffle_hash")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = cut(large.repartition(tasks, "u").distinct(), "stars").repartition(tasks, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).hint("shuffle_hash")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        e = cut(small.repartition(tasks, "u", "v").distinct(), "edges")
+    roots = e.select("v").repartition(tasks, "v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    return e.repartition(tasks, "u").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(roots)
 
 
 def without_path(starts: DataFrame, edges: DataFrame, kinds: Column, depth: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import links
+from strandline.operators import graphs, links
 
 
 def test_pairs_of_a_common_template_are_dealt_to_tasks(spark, monkeypatch):
@@ -21,3 +21,24 @@ def test_pairs_of_a_common_template_are_dealt_to_tasks(spark, monkeypatch):
     assert sorted(r[:3] for r in got) == sorted(want)
     shares = [sum(r[3] == t for r in got) for t in {r[3] for r in got}]
     assert len(shares) > 10 and max(shares) < len(got) / 4
+
+
+def test_components_deal_edges_to_tasks_by_number(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "EDGES_OF_A_TASK", 50)
+    rows = [(1000 * c + i, 1000 * c + (i * 7 + 1) % 90) for c in range(20) for i in range(90)] + [(5, 5), (None, 3)]
+    df = graphs.components(spark.createDataFrame(rows, "src long, dst long"))
+    held = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    got = {r["id"]: r["component"] for r in df.collect()}
+    parent = {v: v for r in rows if None not in r for v in r}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in rows:
+        if a is not None:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert got == {v: find(v) for v in parent}
+    assert len(held) > 20 and max(held) < 200
