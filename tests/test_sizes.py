@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from strandline.operators import graphs, links
@@ -42,3 +44,15 @@ def test_components_deal_edges_to_tasks_by_number(spark, monkeypatch):
             parent[y] = x
     assert got == {v: find(v) for v in parent}
     assert len(held) > 20 and max(held) < 200
+
+
+def test_edges_meet_claims_at_their_rarest_evidence_only(spark, monkeypatch):
+    rnd = random.Random(3)
+    monkeypatch.setattr(links, "cut", lambda d, name: d)
+    edges = [(i, [0, 1, rnd.randrange(2, 60)] if i % 3 else [0, 0, 1]) for i in range(60)] + [(100, [0, 999]), (101, []), (102, None), (103, [0, None])]
+    claims = [(c, [0, 1] + [rnd.randrange(2, 60) for _ in range(c % 9)] + ([None] if c % 4 else [])) for c in range(80)] + [(200, None), (201, [])]
+    df = links.backed_edges(spark.createDataFrame(edges, "id long, evidence_ids array<long>"), spark.createDataFrame(claims, "claim_id long, evidence_ids array<long>"))
+    got = sorted((r["id"], r["claim_id"]) for r in df.collect())
+    assert got == sorted((i, c) for i, e in edges for c, h in claims if e and h and None not in e and set(e) <= set(h))
+    above = df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in above  # pairs of edges and claims are not grouped
