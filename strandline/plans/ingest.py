@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions.tables import shared_dir
+from strandline.operators.rows import as_of
 from strandline.plans.registry import load, query
 from strandline.sources import api_references, ingest as op
 
@@ -72,7 +73,9 @@ def schema_references(spark, d):
     nxt = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     one = c.withColumn("next", ref(name(nxt))).select("c_nationkey", F.struct(name("c_custkey").alias("k"), F.when(F.col("c_mktsegment") != "BUILDING", F.create_map(F.lit("$ref"), "next")).alias("v")).alias("e"))
     schemas = one.select("c_nationkey", F.struct(F.col("e.k").alias("k"), F.struct(F.col("e.v").alias("properties")).alias("v")).alias("e")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list("e")).alias("schemas"))
-    first = s.join(c.select("c_nationkey", "c_custkey"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("c_custkey") > 9 * F.col("s_suppkey")), "left").groupBy("s_nationkey", "s_suppkey").agg(F.min("c_custkey").alias("k"))
+    history = c.where("c_nationkey is not null").select(F.col("c_nationkey").alias("s_nationkey"), (-F.col("c_custkey")).alias("since"), F.col("c_custkey").alias("k"))
+    points = s.select("s_nationkey", "s_suppkey", (-1 - 9 * F.col("s_suppkey")).alias("at")).distinct()  # the first customer above: from the other end, the last one up to it
+    first = as_of(points, history, "s_nationkey", "at", "since", ["k"], "k").withColumnRenamed("last_k", "k")
     schema = F.create_map(F.lit("$ref"), ref(name("k")))
     answer = F.create_map(F.lit("200"), F.struct(F.create_map(F.lit("application/json"), F.struct(schema.alias("schema"))).alias("content")))
     path = F.struct(F.concat(F.lit("/suppliers/s"), "s_suppkey").alias("k"), F.struct(F.struct(answer.alias("responses")).alias("get")).alias("v"))

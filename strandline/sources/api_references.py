@@ -22,14 +22,17 @@ def places(docs: DataFrame, key: str = "application_id", document: str = "docume
     v = docs.select(F.col(key).alias("key"), F.lit("#").alias("pointer"), F.try_parse_json(F.col(document)).alias("v")).where("v is not null")
     level, out = cut(v.select("key", "pointer", F.to_json("v").alias("j")), "places"), None
     while not level.isEmpty():
-        ref = F.try_variant_get(F.parse_json("j"), "$['$ref']", "string")
-        found = level.select("key", "pointer", F.when(F.schema_of_variant(F.parse_json("j")).startswith("OBJECT"), ref).alias("ref"))
+        held = F.col("j").startswith("{")  # to_json writes no space, so the first character tells what it is
+        ref = F.when(held, F.try_variant_get(F.parse_json("j"), "$['$ref']", "string"))
+        found = level.select("key", "pointer", ref.alias("ref"))
         out = found if out is None else out.union(found)
-        level.createOrReplaceTempView("_places")
-        below = docs.sparkSession.sql("select p.key, p.pointer, c.pos, c.key as name, c.value as v from _places p, lateral variant_explode(parse_json(p.j)) c")
-        step = F.coalesce(F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
-        below = below.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        level = cut(below.select("key", F.concat("pointer", F.lit("/"), step).alias("pointer"), F.to_json("v").alias("j")), "places")
+        # a value cast to variant holds its own names only; one of variant_explode carries those of the whole document
+        fields = F.map_entries(F.parse_json("j").cast("map<string,variant>"))
+        items = F.transform(F.parse_json("j").cast("array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+        below = level.select("key", "pointer", F.explode(F.when(held, fields).otherwise(items)).alias("c"))
+        step = F.replace(F.replace("c.key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        below = below.select("key", F.concat("pointer", F.lit("/"), step).alias("pointer"), F.to_json("c.value").alias("j"))
+        level = cut(below.where(F.substring("j", 1, 1).isin("{", "[")), "places")
     return out if out is not None else v.select("key", "pointer", F.lit(None).cast("string").alias("ref"))
 
 

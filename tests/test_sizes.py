@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from strandline.operators import graphs, links
+from strandline.sources import api_references
 
 
 def test_pairs_of_a_common_template_are_dealt_to_tasks(spark, monkeypatch):
@@ -56,3 +59,14 @@ def test_edges_meet_claims_at_their_rarest_evidence_only(spark, monkeypatch):
     assert got == sorted((i, c) for i, e in edges for c, h in claims if e and h and None not in e and set(e) <= set(h))
     above = df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Aggregate" not in above  # pairs of edges and claims are not grouped
+
+
+def test_places_of_a_wide_document_cost_no_more_than_their_own_names(spark):
+    names = [f"{i:06d}" + "n" * 400 for i in range(16000)]
+    doc = json.dumps({"components": {n: {"a~/": [1, {"x": '{"no": 1}'}]} for n in names} | {"r": {"$ref": "#/a"}}})
+    started = time.time()
+    got = api_references.places(spark.createDataFrame([("k", doc)], "application_id string, document string")).collect()
+    assert len(got) == 3 + 3 * len(names)
+    assert {r["pointer"].rsplit("/", 1)[1]: r["ref"] for r in got if r["ref"]} == {"r": "#/a"}
+    assert f"#/components/{names[5]}/a~0~1/1" in {r["pointer"] for r in got}
+    assert time.time() - started < 20
