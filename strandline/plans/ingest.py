@@ -58,6 +58,14 @@ def stored_artifacts(spark, d):
     return x.select("digest", "size", "media_type", F.lit(added).alias("calls_that_added"), (F.sha2("content", 256) == F.col("digest")).alias("intact"))
 
 
+def _first_above(s, c):
+    """(s_nationkey, s_suppkey, k): the first customer of the nation above nine times the supplier's key; a window, as a join would pair each
+    supplier with all customers above."""
+    history = c.where("c_nationkey is not null").select(F.col("c_nationkey").alias("s_nationkey"), (-F.col("c_custkey")).alias("since"), F.col("c_custkey").alias("k"))
+    points = s.select("s_nationkey", "s_suppkey", (-1 - 9 * F.col("s_suppkey")).alias("at")).distinct()  # the first customer above: from the other end, the last one up to it
+    return as_of(points, history, "s_nationkey", "at", "since", ["k"], "k").withColumnRenamed("last_k", "k")
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT c_nationkey AS n, 'c' || c_custkey AS k, coalesce('c' || lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 'end') AS nxt, c_mktsegment = 'BUILDING' AS leaf FROM customer),
 f AS (SELECT s_nationkey AS n, s_suppkey AS s, coalesce('c' || min(c_custkey), 'end') AS k FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_custkey > 9 * s_suppkey GROUP BY ALL),
@@ -73,9 +81,7 @@ def schema_references(spark, d):
     nxt = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     one = c.withColumn("next", ref(name(nxt))).select("c_nationkey", F.struct(name("c_custkey").alias("k"), F.when(F.col("c_mktsegment") != "BUILDING", F.create_map(F.lit("$ref"), "next")).alias("v")).alias("e"))
     schemas = one.select("c_nationkey", F.struct(F.col("e.k").alias("k"), F.struct(F.col("e.v").alias("properties")).alias("v")).alias("e")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list("e")).alias("schemas"))
-    history = c.where("c_nationkey is not null").select(F.col("c_nationkey").alias("s_nationkey"), (-F.col("c_custkey")).alias("since"), F.col("c_custkey").alias("k"))
-    points = s.select("s_nationkey", "s_suppkey", (-1 - 9 * F.col("s_suppkey")).alias("at")).distinct()  # the first customer above: from the other end, the last one up to it
-    first = as_of(points, history, "s_nationkey", "at", "since", ["k"], "k").withColumnRenamed("last_k", "k")
+    first = _first_above(s, c)
     schema = F.create_map(F.lit("$ref"), ref(name("k")))
     answer = F.create_map(F.lit("200"), F.struct(F.create_map(F.lit("application/json"), F.struct(schema.alias("schema"))).alias("content")))
     path = F.struct(F.concat(F.lit("/suppliers/s"), "s_suppkey").alias("k"), F.struct(F.struct(answer.alias("responses")).alias("get")).alias("v"))

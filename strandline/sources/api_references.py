@@ -26,7 +26,6 @@ def places(docs: DataFrame, key: str = "application_id", document: str = "docume
         ref = F.when(held, F.try_variant_get(F.parse_json("j"), "$['$ref']", "string"))
         found = level.select("key", "pointer", ref.alias("ref"))
         out = found if out is None else out.union(found)
-        # a value cast to variant holds its own names only; one of variant_explode carries those of the whole document
         fields = F.map_entries(F.parse_json("j").cast("map<string,variant>"))
         items = F.transform(F.parse_json("j").cast("array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
         below = level.select("key", "pointer", F.explode(F.when(held, fields).otherwise(items)).alias("c"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import random
-import time
 
 from pyspark.sql import functions as F
 
 from strandline.operators import graphs, links
-from strandline.sources import api_references
+from strandline.plans import ingest
 
 
 def test_pairs_of_a_common_template_are_dealt_to_tasks(spark, monkeypatch):
@@ -61,12 +59,9 @@ def test_edges_meet_claims_at_their_rarest_evidence_only(spark, monkeypatch):
     assert "Aggregate" not in above  # pairs of edges and claims are not grouped
 
 
-def test_places_of_a_wide_document_cost_no_more_than_their_own_names(spark):
-    names = [f"{i:06d}" + "n" * 400 for i in range(16000)]
-    doc = json.dumps({"components": {n: {"a~/": [1, {"x": '{"no": 1}'}]} for n in names} | {"r": {"$ref": "#/a"}}})
-    started = time.time()
-    got = api_references.places(spark.createDataFrame([("k", doc)], "application_id string, document string")).collect()
-    assert len(got) == 3 + 3 * len(names)
-    assert {r["pointer"].rsplit("/", 1)[1]: r["ref"] for r in got if r["ref"]} == {"r": "#/a"}
-    assert f"#/components/{names[5]}/a~0~1/1" in {r["pointer"] for r in got}
-    assert time.time() - started < 20
+def test_first_customers_are_found_without_pairing_all(spark):
+    s, c = [(k, n) for n in range(4) for k in range(30)] + [(3, None)], [(k, k % 3) for k in range(0, 200, 7)] + [(50, None)]
+    df = ingest._first_above(spark.createDataFrame(s, "s_suppkey long, s_nationkey int"), spark.createDataFrame(c, "c_custkey long, c_nationkey int"))
+    got = {(r["s_nationkey"], r["s_suppkey"]): r["k"] for r in df.collect()}
+    assert got == {(n, k): min((x for x, m in c if n is not None and m == n and x > 9 * k), default=None) for k, n in s}
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
