@@ -14,11 +14,12 @@ def _patches(spark, d):
     """A patch by order: returned lines are removed, accepted ones added, the rest context."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     mark = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(" ")
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(mark, F.concat_ws(" ", "l_linenumber", "l_partkey", "l_suppkey")).alias("row"))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", mark.alias("mark"))  # text is put together afterwards, so groups stay small
     by = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    text = lambda r: F.concat(r["mark"], F.concat_ws(" ", r["l_linenumber"], r["l_partkey"], r["l_suppkey"]))
     key = F.col("l_orderkey").cast("string")
     head = F.concat(F.lit("diff --git a/o"), key, F.lit(".txt b/o"), key, F.lit(".txt\n--- a/o"), key, F.lit(".txt\n+++ b/o"), key, F.lit(".txt\n@@ -5,9 +7,9 @@\n"))
-    return by.select(key.alias("pr_id"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("patch"))
+    return by.select(key.alias("pr_id"), F.concat(head, F.array_join(F.transform("rows", text), "\n")).alias("patch"))
 
 
 @query("""
@@ -77,15 +78,21 @@ def repository_links(spark, d):
 
 def _file_patches(spark, d):
     """A customer's orders as the files of a patch: new, renamed or deleted by status, urgent ones binary, the rest with a hunk."""
-    o = load(spark, d, "orders")
-    k, text = F.col("o_orderkey").cast("string"), F.lit
-    name = F.concat(text("src/o"), k, text(".ts"))
-    to = F.when(F.col("o_orderstatus") == "O", F.concat(text("lib/o"), k, text(".ts"))).otherwise(name)
-    head = F.concat(text("diff --git a/"), name, text(" b/"), to, text("\n"))
-    how = F.when(F.col("o_orderstatus") == "F", "new file mode 100644\n").when(F.col("o_orderstatus") == "P", "deleted file mode 100644\n")
-    how = how.otherwise(F.concat(text("similarity index 9"), F.substring(k, -1, 1), text("%\nrename from "), name, text("\nrename to "), to, text("\n")))
-    body = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(text("Binary files a/"), name, text(" and b/"), to, text(" differ\n"))).otherwise(F.concat(text("@@ -3,2 +3,3 @@\n same\n-rename from nowhere\n+new file mode\n+diff\n")))
-    return o.groupBy(F.col("o_custkey").cast("string").alias("pr_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat(head, how, body).alias("t")))), lambda x: x["t"]), "").alias("patch"))
+    lit = F.lit
+
+    def text(o):
+        k = o["o_orderkey"].cast("string")
+        name = F.concat(lit("src/o"), k, lit(".ts"))
+        to = F.when(o["o_orderstatus"] == "O", F.concat(lit("lib/o"), k, lit(".ts"))).otherwise(name)
+        head = F.concat(lit("diff --git a/"), name, lit(" b/"), to, lit("\n"))
+        how = F.when(o["o_orderstatus"] == "F", "new file mode 100644\n").when(o["o_orderstatus"] == "P", "deleted file mode 100644\n")
+        how = how.otherwise(F.concat(lit("similarity index 9"), F.substring(k, -1, 1), lit("%\nrename from "), name, lit("\nrename to "), to, lit("\n")))
+        body = F.when(o["o_orderpriority"] == "1-URGENT", F.concat(lit("Binary files a/"), name, lit(" and b/"), to, lit(" differ\n"))).otherwise(lit("@@ -3,2 +3,3 @@\n same\n-rename from nowhere\n+new file mode\n+diff\n"))
+        return F.concat(head, how, body)
+
+    files = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority")))  # text is put together afterwards, so groups stay small
+    by = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("pr_id")).agg(files.alias("files"))
+    return by.select("pr_id", F.array_join(F.transform("files", text), "").alias("patch"))
 
 
 @query("""

@@ -1,44 +1,59 @@
 """Unified diffs as tables: files, changed lines with both sides' numbers, and merged line ranges.
 
 Patches come as (pr_id, patch). Lines are split and numbered in the JVM; what a line means is found by looking back in
-its patch (last header seen), and line numbers by running sums inside its hunk, so a long patch is one ordered group
-of its own pull request and no more.
+its patch (last header seen), and line numbers by running sums from its hunk's header on, so a long patch is one ordered
+group of its own pull request, sorted once, and no more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.tables import cut
 from strandline.operators import events
 
+#: Characters of patches that a task is given.
+CHARS_OF_A_TASK = 1 << 24
+
+
+def _dealt(patches: DataFrame) -> DataFrame:
+    """(pr_id, at, row) of every line. Patches are dealt by their length first: they pack so well that a task which split what it was given held
+    tens of millions of lines. What follows stays by pr_id and needs no other shuffle."""
+    p = cut(patches.select("pr_id", "patch"), "patches")
+    chars = p.agg(F.sum(F.length("patch"))).first()[0] or 0
+    return p.repartition(chars // CHARS_OF_A_TASK + 1, "pr_id").select("pr_id", F.posexplode(F.split("patch", "\n")).alias("at", "row"))
+
 
 def diff_lines(patches: DataFrame) -> DataFrame:
     """(pr_id, file, old_path, new_path, side, line, content) of every added and removed line."""
-    d = patches.select("pr_id", F.posexplode(F.split("patch", "\n")).alias("at", "row"))
+    row, pattern = F.col("row"), r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+    number = lambda n: F.when(F.col("is_header"), F.regexp_extract("row", pattern, n).cast("int"))
+    kind = F.when(row.startswith("+"), "head").when(row.startswith("-"), "base").when(row.startswith(" "), "context")
+    d = _dealt(patches).withColumn("is_file", row.startswith("diff --git ")).withColumn("is_header", row.rlike(pattern))
+    d = d.select("pr_id", "at", "is_file", "is_header", kind.alias("_kind"), number(1).alias("_b"), number(2).alias("_h"), F.substring("row", 2, 1 << 30).alias("content"))
     w = Window.partitionBy("pr_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("file", F.sum(F.col("row").startswith("diff --git ").cast("int")).over(w))
-    f = Window.partitionBy("pr_id", "file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.col("row").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")
-    d = d.withColumn("hunk", F.sum(header.cast("int")).over(f)).withColumn("is_header", header)
-    h = Window.partitionBy("pr_id", "file", "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    body = (F.col("hunk") > 0) & ~F.col("is_header")
-    kind = F.when(body & F.col("row").startswith("+"), "head").when(body & F.col("row").startswith("-"), "base").when(body & F.col("row").startswith(" "), "context")
-    d = d.withColumn("side", kind)
-    first = lambda c, n: F.max(F.when(F.col("is_header"), F.regexp_extract("row", r"^@@ -(\d+)(?:,\d+)? \+(\d+)", n).cast("int"))).over(h)
-    d = d.withColumn("_base", first("row", 1) - 1 + F.sum(F.col("side").isin("base", "context").cast("int")).over(h))
-    d = d.withColumn("_head", first("row", 2) - 1 + F.sum(F.col("side").isin("head", "context").cast("int")).over(h))
-    d = d.where("side in ('base', 'head')")
-    return d.select("pr_id", "file", "side", F.when(F.col("side") == "base", F.col("_base")).otherwise(F.col("_head")).alias("line"), F.substring("row", 2, 1 << 30).alias("content"))
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    d = d.withColumn("file", F.sum(F.col("is_file").cast("int")).over(w)).withColumn("_open", last(F.when(F.col("is_file"), False).when(F.col("is_header"), True)))
+    d = d.withColumn("side", F.when(F.col("_open") & ~F.col("is_header"), F.col("_kind")))
+    of = lambda k: F.sum(F.coalesce(F.col("side").isin(k, "context"), F.lit(False)).cast("int")).over(w)
+    d = d.withColumn("_base", of("base")).withColumn("_head", of("head"))
+    start = F.struct((F.col("_b") - 1 - F.col("_base")).alias("b"), (F.col("_h") - 1 - F.col("_head")).alias("h"))
+    d = d.withColumn("_from", last(F.when(F.col("is_header"), start))).where("side in ('base', 'head')")
+    return d.select("pr_id", "file", "side", F.when(F.col("side") == "base", F.col("_from.b") + F.col("_base")).otherwise(F.col("_from.h") + F.col("_head")).alias("line"), "content")
 
 
 def diff_files(patches: DataFrame) -> DataFrame:
     """(pr_id, file, operation, old_path, new_path, similarity, binary) of every file of a patch."""
-    d = patches.select("pr_id", F.posexplode(F.split("patch", "\n")).alias("at", "row"))
+    row = F.col("row")
+    is_file, is_hunk = row.startswith("diff --git "), row.startswith("@@ ")
+    said = [row.startswith(x) for x in ("rename ", "copy ", "similarity index ", "new file mode", "deleted file mode", "Binary files ", "GIT binary patch")]
+    d = _dealt(patches).where(reduce(or_, said, is_file | is_hunk))  # no other line tells about a file
     w = Window.partitionBy("pr_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("file", F.sum(F.col("row").startswith("diff --git ").cast("int")).over(w)).where("file > 0")
-    f = Window.partitionBy("pr_id", "file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_hunks", F.sum(F.col("row").startswith("@@ ").cast("int")).over(f)).where("_hunks = 0")
+    d = d.withColumn("file", F.sum(is_file.cast("int")).over(w)).withColumn("_open", F.last(F.when(is_file, False).when(is_hunk, True), ignorenulls=True).over(w)).where("file > 0 and not _open")
     found = lambda p, n=1: F.max(F.when(F.col("row").rlike(p), F.regexp_extract("row", p, n)))
     g = d.groupBy("pr_id", "file").agg(
         found(r'^diff --git "?a/(.*?)"? "?b/(.*?)"?$').alias("_a"), found(r'^diff --git "?a/(.*?)"? "?b/(.*?)"?$', 2).alias("_b"),

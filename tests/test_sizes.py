@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import graphs, links
 from strandline.plans import ingest
+from strandline.sources import diffs
 
 
 def test_pairs_of_a_common_template_are_dealt_to_tasks(spark, monkeypatch):
@@ -65,3 +66,30 @@ def test_first_customers_are_found_without_pairing_all(spark):
     got = {(r["s_nationkey"], r["s_suppkey"]): r["k"] for r in df.collect()}
     assert got == {(n, k): min((x for x, m in c if n is not None and m == n and x > 9 * k), default=None) for k, n in s}
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_patches_are_dealt_to_tasks_and_sorted_once(spark, monkeypatch):
+    monkeypatch.setattr(diffs, "CHARS_OF_A_TASK", 2000)
+    hunk = "@@ -{0},2 +{1} @@ f()\n a\n-b\n+c\n+diff --git\n\\ No newline\n"
+    files = ["diff --git a/{2} b/{2}\n--- a/{2}\n+++ b/{2}\n" + hunk + hunk, "diff --git a/{2} b/{2}\nrename from {2}\nrename to z\n", "-stray\n" + hunk]
+    patches = [(k, "".join(files[(k + i) % 3].format(7 * i + 1, 9 * i + 4, f"f{i}") for i in range(k % 5))) for k in range(200)] + [(500, None)]
+    want = []
+    for k, text in patches:
+        file = open_ = base = head = 0
+        for row in (text or "").split("\n"):
+            if row.startswith("diff --git "):
+                file, open_ = file + 1, False
+            elif row.startswith("@@ -"):
+                open_, (base, head) = True, (int(x.split(",")[0][1:]) - 1 for x in row.split(" ")[1:3])
+            elif open_ and row[:1] in (" ", "+", "-"):
+                base, head = base + (row[0] != "+"), head + (row[0] != "-")
+                if row[0] != " ":
+                    want.append((k, file, "base" if row[0] == "-" else "head", base if row[0] == "-" else head, row[1:]))
+    df = diffs.diff_lines(spark.createDataFrame(patches, "pr_id long, patch string"))
+    rows = df.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    shares = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
+    assert len(shares) > 10 and max(shares) < len(rows) / 4
+    assert df._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    lines = [r for r in diffs.diff_files(spark.createDataFrame(patches, "pr_id long, patch string")).collect()]
+    assert len(lines) == sum((t or "").count("diff --git a/") for _, t in patches)
