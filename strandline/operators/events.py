@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.tables import cut
 
+#: Rows of a group that one task folds in order; larger groups are cut by range blocks.
+ROWS_OF_A_FOLD = 1 << 20
+
 
 def ordered(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -126,6 +131,43 @@ def range_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limi
     """Adds chunk: rows in order share a chunk until the next would take it over the limit. Groups may be too large for a
     task; sizes are not negative (ten decimals count), groups not null.
 
+    Groups are counted first. One that a task can read in order is folded there, so its rows move once; the others are cut by blocks.
+    """
+    large = cut(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS_OF_A_FOLD).select(*by), "large")
+    if large.isEmpty():
+        return _folded_chunks(df, by, order, size, limit)
+    rest = _folded_chunks(df.join(large, by, "left_anti"), by, order, size, limit)
+    return rest.unionByName(_block_chunks(df.join(large, by, "left_semi"), by, order, size, limit))
+
+
+def _folded_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
+    """range_chunks where each group is read in order by one task; a running sum and a number are all that is kept, over Arrow batches."""
+    most, columns = Decimal(str(limit)).quantize(Decimal("1e-10"), ROUND_HALF_UP), [*by, "_size"]
+
+    def run(batches):
+        now, used, chunk = None, Decimal(0), 0
+        for b in batches:
+            out = []
+            for *key, s in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in columns]):
+                s = s or Decimal(0)
+                if key != now:
+                    now, used, chunk = key, s, 0
+                elif used + s > most:
+                    used, chunk = s, chunk + 1
+                else:
+                    used += s
+                out.append(chunk)
+            kept = b.drop_columns("_size")
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], names=[*kept.schema.names, "chunk"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    d = df.repartition(*by).sortWithinPartitions(*by, *order).withColumn("_size", F.col(size).cast("decimal(28,10)"))
+    return d.mapInArrow(run, f"{schema}, chunk int")
+
+
+def _block_chunks(df: DataFrame, by: list[str], order: list[str], size: str, limit: float) -> DataFrame:
+    """range_chunks of groups of any size.
+
     A row's running sum and its place come from range blocks. Were it a chunk's first row, the next chunk would start after
     the last row whose sum is at most its own start plus the limit; that row is in the limit-wide cell of this bound or in
     the one before, so a window holds one cell's rows. The starts that count are reached from the group's first row by

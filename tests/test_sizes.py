@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import graphs, links
+from strandline.operators import events, graphs, links
 from strandline.plans import ingest
 from strandline.sources import diffs
 
@@ -93,3 +93,26 @@ def test_lines_of_patches_are_dealt_to_tasks_and_sorted_once(spark, monkeypatch)
     assert df._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     lines = [r for r in diffs.diff_files(spark.createDataFrame(patches, "pr_id long, patch string")).collect()]
     assert len(lines) == sum((t or "").count("diff --git a/") for _, t in patches)
+
+
+def test_chunks_move_rows_of_small_groups_once_and_cut_large_ones_by_blocks(spark, monkeypatch):
+    rnd = random.Random(5)
+    sized = [(g, i, rnd.choice([0.0, 0.1, 7.25, 20.0, 59.9, 60.0, 75.0])) for g in range(12) for i in range(40 * (g % 4) + 1)]
+    want = {}
+    for g in range(12):
+        used, chunk = 0, 0
+        for _, i, s in sorted(r for r in sized if r[0] == g):
+            n = round(s * 100)
+            used, chunk = (used + n, chunk) if used + n <= 6000 or i == 0 else (n, chunk + 1)
+            want[g, i] = chunk
+    rnd.shuffle(sized)
+    x = spark.createDataFrame(sized, "g long, i long, s double")
+    once = events.range_chunks(x, ["g"], ["i"], "s", 60)
+    assert {(r["g"], r["i"]): r["chunk"] for r in once.collect()} == want
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan and "Window" not in plan
+    cut, blocks = [], events._block_chunks
+    monkeypatch.setattr(events, "ROWS_OF_A_FOLD", 80)
+    monkeypatch.setattr(events, "_block_chunks", lambda d, *a: cut.extend(r["g"] for r in d.select("g").distinct().collect()) or blocks(d, *a))
+    assert {(r["g"], r["i"]): r["chunk"] for r in events.range_chunks(x, ["g"], ["i"], "s", 60).collect()} == want
+    assert sorted(cut) == [2, 3, 6, 7, 10, 11]
