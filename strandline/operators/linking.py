@@ -35,7 +35,8 @@ class Linked:
 
 def _first(df: DataFrame, key: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+    # dealt by key before it is grouped: structs are grouped by sorting, and so the rows are sorted once, not on both sides of the shuffle
+    return df.repartition(key).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
 
 
 def link_id(application: str) -> Column:
@@ -49,21 +50,31 @@ def validated(claims: DataFrame, evidence: DataFrame, policy: DataFrame, applica
     Reasons come in this order: another application; the first evidence in the claim's order that is missing or does not count; no policy for
     the relationship, or a method that it does not allow; a clause without a method; evidence that is not bound to the ends (of submitted claims).
     """
-    own = F.exists("bindings", lambda b: (b["from_id"] == F.col("from_id")) & (b["relationship"] == F.col("relationship")) & (b["to_id"] == F.col("to_id")))
-    each = claims.select("claim_id", "from_id", "relationship", "to_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
-    each = each.join(evidence.drop("application_id", "status", "source_kind").withColumn("_there", F.lit(True)), "evidence_id", "left")
+    ends = [F.col(c) for c in ("from_id", "relationship", "to_id")]  # a null end is bound to nothing
+    own = ends[0].isNotNull() & ends[1].isNotNull() & ends[2].isNotNull() & F.array_contains("bindings", F.struct(*ends))
+    known = evidence.drop("application_id", "status", "source_kind").withColumn("_there", F.lit(True))
     bad = F.when(F.col("_there").isNull(), "missing_evidence").otherwise(F.col("code"))
-    set_of = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
-    facts = each.groupBy("claim_id").agg(
-        F.min(F.when(bad.isNotNull(), F.struct("pos", bad.alias("code")))).alias("_bad"), F.bool_and(F.coalesce(own, F.lit(False))).alias("_bound"),
-        F.array_sort(F.collect_set("evidence_id")).alias("_ids"), *[set_of(c) for c in ("method", "run_id", "commit_sha", "artifact_id")], F.max("captured_at").alias("captured_at"),
+    bound = F.coalesce(own, F.lit(False))
+    kinds = dict(evidence.dtypes)
+    sets = {"_ids": "evidence_id", **{f"{c}s": c for c in ("method", "run_id", "commit_sha", "artifact_id")}}
+    # a claim that cites one evidence has its facts from the join, and is neither grouped nor joined again
+    alone = F.coalesce(F.size("evidence_ids") == 1, F.lit(False))
+    one = claims.where(alone).withColumn("evidence_id", F.get("evidence_ids", F.lit(0))).join(known, "evidence_id", "left")
+    one = one.select(*claims.columns, bad.alias("_bad"), bound.alias("_bound"), *[F.when(F.col(c).isNull(), F.array().cast(f"array<{kinds[c]}>")).otherwise(F.array(c)).alias(n) for n, c in sets.items()], "captured_at")
+    several = claims.where(~alone)
+    each = several.select("claim_id", "from_id", "relationship", "to_id", F.posexplode("evidence_ids").alias("pos", "evidence_id")).join(known, "evidence_id", "left")
+    all_of = each.groupBy("claim_id").agg(F.collect_list(F.struct("pos", bad.alias("bad"), bound.alias("bound"), *sets.values(), "captured_at")).alias("_all"))
+    of = lambda c: F.transform("_all", lambda x: x[c])
+    facts = all_of.select(
+        "claim_id", F.array_min(F.filter(F.transform("_all", lambda x: F.struct(x["pos"], x["bad"].alias("bad"))), lambda x: x["bad"].isNotNull()))["bad"].alias("_bad"), F.forall("_all", lambda x: x["bound"]).alias("_bound"),
+        *[F.array_sort(F.array_distinct(F.array_compact(of(c)))).alias(n) for n, c in sets.items()], F.array_max(of("captured_at")).alias("captured_at"),
     )
     clauses = policy.groupBy("relationship", "clause").agg(F.collect_set("method").alias("_any"), F.min("tier").alias("tier"))
     rules = clauses.groupBy("relationship").agg(F.collect_list("_any").alias("_clauses"), F.flatten(F.collect_list("_any")).alias("_allowed"), F.min("tier").alias("tier"))
-    d = claims.join(facts, "claim_id", "left").join(rules, "relationship", "left")
+    d = one.unionByName(several.join(facts, "claim_id", "left")).join(rules, "relationship", "left")
     methods = F.coalesce("methods", F.array().cast("array<string>"))
     code = (
-        F.when(~F.col("application_id").eqNullSafe(F.lit(application)), "application_mismatch").when(F.col("_bad").isNotNull(), F.col("_bad.code"))
+        F.when(~F.col("application_id").eqNullSafe(F.lit(application)), "application_mismatch").when(F.col("_bad").isNotNull(), F.col("_bad"))
         .when(F.col("_clauses").isNull() | (F.size(F.array_except(methods, "_allowed")) > 0), "unsupported_relationship_evidence")
         .when(F.exists("_clauses", lambda c: ~F.arrays_overlap(c, methods)), "required_evidence_missing")
         .when(F.col("submitted") & ~F.coalesce("_bound", F.lit(True)), "evidence_binding_mismatch")

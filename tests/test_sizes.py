@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import events, graphs, links
+from strandline.operators import events, graphs, linking, links
 from strandline.plans import ingest
 from strandline.sources import diffs
 
@@ -116,3 +116,25 @@ def test_chunks_move_rows_of_small_groups_once_and_cut_large_ones_by_blocks(spar
     monkeypatch.setattr(events, "_block_chunks", lambda d, *a: cut.extend(r["g"] for r in d.select("g").distinct().collect()) or blocks(d, *a))
     assert {(r["g"], r["i"]): r["chunk"] for r in events.range_chunks(x, ["g"], ["i"], "s", 60).collect()} == want
     assert sorted(cut) == [2, 3, 6, 7, 10, 11]
+
+
+def test_claims_of_one_evidence_are_not_grouped(spark):
+    bound = [("s", "A", "p"), (None, "A", "p")]
+    ev = [(f"e{k}", "app", "captured", f"m{k % 3}" if k % 4 else None, "x", f"r{k % 2}", f"h{k}" if k % 2 else None, None, k, bound if k % 5 else None, "bad" if k == 7 else None) for k in range(8)]
+    kinds = "evidence_id string, application_id string, status string, method string, source_kind string, run_id string, commit_sha string, artifact_id string, captured_at int, bindings array<struct<from_id:string,relationship:string,to_id:string>>, code string"
+    lists = [None, [], [None], ["e1"], ["e0"], ["e4"], ["e7"], ["gone"], ["e2", "e1"], ["e1", "e7", "gone"], ["e1", None], ["e1", "e1"], ["e5", "e2", "e1"], ["e0", "e3"]]
+    claims = [(f"{i}-{f}-{sub}", "app", f, "A", "p", "supports", "why", sub, x) for i, x in enumerate(lists) for f in ("s", "t", None) for sub in (True, False)]
+    c = spark.createDataFrame(claims, "claim_id string, application_id string, from_id string, relationship string, to_id string, assertion string, explanation string, submitted boolean, evidence_ids array<string>")
+    policy = spark.createDataFrame([("A", "seen", m, "B") for m in ("m1", "m2")], "relationship string, clause string, method string, tier string")
+    df = linking.validated(c, spark.createDataFrame(ev, kinds), policy, "app")
+    known, want = {e[0]: e for e in ev}, {}
+    for cid, _, f, rel, to, _, _, sub, ids in claims:
+        cited = [(i, known.get(i)) for i in ids or []]
+        bad = [("missing_evidence" if e is None else e[10]) for _, e in cited if e is None or e[10]]
+        methods = sorted({e[3] for _, e in cited if e and e[3]})
+        tied = all(e and f and e[9] and (f, rel, to) in e[9] for _, e in cited)
+        code = bad[0] if bad else "unsupported_relationship_evidence" if set(methods) - {"m1", "m2"} else "required_evidence_missing" if not methods else "evidence_binding_mismatch" if sub and not tied else None
+        want[cid] = (code, sorted({i for i, _ in cited if i}), methods, max((e[8] for _, e in cited if e), default=None))
+    got = {r["claim_id"]: (r["code"], r["evidence_ids"] or [], r["methods"] or [], r["captured_at"]) for r in df.collect()}
+    assert got == want
+    assert "Union" in df._jdf.queryExecution().optimizedPlan().toString()  # one side is the join alone
