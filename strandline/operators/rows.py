@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task of an integrity check is given.
+ROWS_OF_A_TASK = 1 << 19
+
 
 def keyset_page(df: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:
     """The rows after a cursor, in key order, at most limit; one more row, marked is_next, if there is a further page."""
@@ -36,14 +39,22 @@ def violations(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def tasks_for(*sides: DataFrame) -> int:
+    """Tasks to deal the rows of sides to; counting tables that are files reads no column."""
+    return sum(d.count() for d in sides) // ROWS_OF_A_TASK + 1
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).count().where("count > 1").select(*keys)
+    """Keys that several rows have. Rows are dealt by number before they are grouped: keys seldom repeat, so partial counts would only hold
+    them all twice; a key that does is counted in its task without its rows being held."""
+    return df.select(*keys).repartition(tasks_for(df), *keys).groupBy(*keys).count().where("count > 1").select(*keys)
 
 
 def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Keys of df that no parent has; a null key is no orphan."""
-    known = parent.select(F.col(parent_key).alias("_k"))
-    return df.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_k"), "left_anti").select(key)
+    """Keys of df that no parent has; a null key is no orphan. A task holds its share of the parents, dealt by number, and reads past them."""
+    tasks = tasks_for(df, parent)
+    known = parent.select(F.col(parent_key).alias("_k")).repartition(tasks, "_k").hint("shuffle_hash")
+    return df.where(F.col(key).isNotNull()).select(key).repartition(tasks, key).join(known, F.col(key) == F.col("_k"), "left_anti")
 
 
 def latest(df: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import events, graphs, linking, links
+from strandline.operators import events, graphs, linking, links, rows as checks
 from strandline.plans import ingest
 from strandline.sources import diffs
 
@@ -138,3 +138,19 @@ def test_claims_of_one_evidence_are_not_grouped(spark):
     got = {r["claim_id"]: (r["code"], r["evidence_ids"] or [], r["methods"] or [], r["captured_at"]) for r in df.collect()}
     assert got == want
     assert "Union" in df._jdf.queryExecution().optimizedPlan().toString()  # one side is the join alone
+
+
+def test_integrity_checks_deal_rows_to_tasks_by_number(spark, monkeypatch):
+    monkeypatch.setattr(checks, "ROWS_OF_A_TASK", 100)
+    rows = [(k % 1900, k % 3) for k in range(3800)] + [(None, 1), (None, 1), (7, None)]
+    df, parent = spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(k,) for k in range(0, 4000, 2)] * 2 + [(None,)], "k long")
+    for d, want in (
+        (checks.duplicates(df, ["a", "b"]), [r for r in set(rows) if rows.count(r) > 1]),
+        (checks.duplicates(df, ["a"]), [(a,) for a in {r[0] for r in rows}]),
+        (checks.orphans(df, "a", parent, "k"), [(a,) for a, _ in rows if a is not None and a % 2]),
+    ):
+        got = [tuple(r) for r in d.withColumn("task", F.spark_partition_id()).collect()]
+        assert sorted(map(str, (r[:-1] for r in got))) == sorted(map(str, want))
+        shares = [sum(r[-1] == t for r in got) for t in {r[-1] for r in got}]
+        assert len(want) < 10 or (len(shares) > 10 and max(shares) < len(got) / 4)
+        assert "Sort" not in d._jdf.queryExecution().executedPlan().toString()
