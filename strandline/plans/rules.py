@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.tables import cut
 from strandline.operators import publish, rows, rules as op
 from strandline.plans.registry import load, query
 
@@ -141,10 +142,13 @@ def publication_validation(spark, d):
     o, li, c = (load(spark, d, t) for t in ("orders", "lineitem", "customer"))
     n = c.select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(o.where("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey")))
     tier = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "B").otherwise("C")
-    e = li.join(o.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+    tasks = rows.tasks_for(li, o, c)
+    li = li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").repartition(tasks, "l_orderkey")
+    own = o.select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey").hint("shuffle_hash")
+    e = li.join(own, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.concat(F.lit("e"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("from_id"), F.concat(F.lit("c"), "o_custkey").alias("to_id"), tier.alias("tier"), F.when(F.col("l_linestatus") == "F", "accepted").otherwise("pending").alias("review_state")
     )
-    v = publish.violations(n, e).groupBy("code", "id").count()
+    v = publish.violations(n, cut(e, "edges")).repartition(tasks, "code", "id").groupBy("code", "id").count()  # the checks read edges, and join once
     return v.groupBy("code").agg(F.sum("count").alias("n"), F.count("*").alias("ids"))
 
 

@@ -6,8 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from strandline.operators import events, graphs, linking, links, rows as checks
-from strandline.plans import ingest
+from strandline.plans import ingest, rules
 from strandline.sources import diffs
 
 
@@ -154,3 +155,14 @@ def test_integrity_checks_deal_rows_to_tasks_by_number(spark, monkeypatch):
         shares = [sum(r[-1] == t for r in got) for t in {r[-1] for r in got}]
         assert len(want) < 10 or (len(shares) > 10 and max(shares) < len(got) / 4)
         assert "Sort" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_publication_joins_edges_once_in_tasks_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(checks, "ROWS_OF_A_TASK", 200)
+    kept, write = [], rules.cut
+    monkeypatch.setattr(rules, "cut", lambda d, name: kept.append([r["n"] for r in d.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]) or write(d, name))
+    df = rules.publication_validation(spark, SMALL)
+    assert len(kept) == 1 and len(kept[0]) > 10 and max(kept[0]) < sum(kept[0]) / 4
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("RepartitionByExpression [code") == 1
+    assert {r["code"] for r in df.collect()} >= {"missing_from", "unreviewed_tier"}
