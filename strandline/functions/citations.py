@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from strandline.functions import text as tx
 #: White space of any kind, as a class for Java's expressions: the ASCII blanks and these code points.
 _CODES = ("00a0", "1680", "2000-200a", "2028", "2029", "202f", "205f", "3000", "feff")
 BLANK = r"[\s" + "".join("-".join(f"\\x{{{x}}}" for x in c.split("-")) for c in _CODES) + "]"
+_BLANKS = "\t\n\x0b\f\r " + "".join(chr(k) for x in _CODES for k in range(int(x.split("-")[0], 16), int(x.split("-")[-1], 16) + 1))
 _WORD = BLANK.replace("[", "[^", 1) + "+"
 
 #: The words and patterns that claims about requirements are judged by.
@@ -58,29 +61,43 @@ def objections(kind: Column, statement: Column, quote: Column, heading: Column,
     A null statement, quote or capability is empty; a null actor or outcome is not claimed.
     """
     blank = lambda c: F.coalesce(c, F.lit(""))
-    s = F.regexp_replace(blank(statement), f"^{BLANK}+|{BLANK}+$", "")
-    quote, capability, heading = blank(quote), blank(capability), blank(heading)
-    supported = tx.supports(quote, s)
-    criterion = kind == "acceptance_criterion"
-    phrase = (kind == "requirement") & (F.length(s) <= LONGEST_PHRASE) & ~s.rlike(r"[\n;\x{00b7}\x{2022}]") & supported
+    given = {"kind": kind, "s": F.trim(blank(statement), F.lit(_BLANKS)), "quote": blank(quote), "capability": blank(capability), "heading": blank(heading), "actor": actor, "outcome": outcome}
+    return _once(given, lambda x: _once(_texts(x), lambda t: _objections(x, t)))
+
+
+def _once(values: dict[str, Column], f: Callable[[Column], Column]) -> Column:
+    """f of a struct of values, each of which is worked out once however often f names it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), f), F.lit(0))
+
+
+def _texts(x: Column) -> dict[str, Column]:
+    """What several objections to a claim look at."""
+    texts = {n: tx.support_text(F.coalesce(x[n], F.lit(""))) for n in ("s", "quote", "capability", "actor", "outcome")}
+    return texts | {"norms": F.regexp_count(x["s"], F.lit("(?i)" + NORMATIVE)), "several": _has(x["s"], MULTIPLE)}
+
+
+def _objections(x: Column, t: Column) -> Column:
+    s, quote, supported = x["s"], x["quote"], tx.holds(t["quote"], t["s"])
+    criterion = x["kind"] == "acceptance_criterion"
+    phrase = (x["kind"] == "requirement") & (F.length(s) <= LONGEST_PHRASE) & ~s.rlike(r"[\n;\x{00b7}\x{2022}]") & supported
     found = {
         "too_long": F.length(s) > LONGEST,
         "several_sentences": F.regexp_count(s, F.lit("[.!?]+")) > 1,
-        "several_norms": F.regexp_count(s, F.lit("(?i)" + NORMATIVE)) > 1,
-        "compound_action": _has(s, COMPOUND),
-        "several_actions": _has(s, MULTIPLE),
+        "several_norms": t["norms"] > 1,
+        "compound_action": t["several"] & _has(s, COMPOUND),  # every compound action is several
+        "several_actions": t["several"],
         "promotion": _has(s, EXCLUDED) | _has(quote, EXCLUDED),
         "vague": _has(s, VAGUE),
         "setup_instruction": _has(s, SETUP),
         "support_contact": _has(s, SUPPORT),
-        "excluded_heading": _has(heading, HEADING),
-        "no_norm": ~(_has(s, NORMATIVE) | (criterion & _has(s, CRITERION)) | phrase),
+        "excluded_heading": _has(x["heading"], HEADING),
+        "no_norm": ~((t["norms"] > 0) | (criterion & _has(s, CRITERION)) | phrase),
         "other_polarity": _has(s, NEGATIVE) != _has(quote, NEGATIVE),
         "statement_unsupported": ~supported,
-        "capability_unsupported": ~tx.supports(quote, capability) | ~tx.supports(s, capability),
-        "actor_unsupported": actor.isNotNull() & ~tx.supports(quote, blank(actor)),
-        "outcome_unsupported": outcome.isNotNull() & ~tx.supports(quote, blank(outcome)),
-        "outcome_missing": criterion & outcome.isNull(),
+        "capability_unsupported": ~tx.holds(t["quote"], t["capability"]) | ~tx.holds(t["s"], t["capability"]),
+        "actor_unsupported": x["actor"].isNotNull() & ~tx.holds(t["quote"], t["actor"]),
+        "outcome_unsupported": x["outcome"].isNotNull() & ~tx.holds(t["quote"], t["outcome"]),
+        "outcome_missing": criterion & x["outcome"].isNull(),
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()]))
 

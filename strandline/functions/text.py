@@ -117,11 +117,21 @@ def words(c: Column) -> Column:
 
 
 def kept_words(c: Column) -> Column:
-    """Words of at least two characters that are no stop words of support."""
-    return F.filter(words(c), lambda w: (F.length(w) > 1) & ~w.isin(*SUPPORT_STOP_WORDS))
+    """Words of at least two characters that are no stop words of support, by one pattern."""
+    edge = "[a-z0-9]"
+    return F.regexp_extract_all(F.lower(c), F.lit(f"(?<!{edge})(?!(?:{'|'.join(SUPPORT_STOP_WORDS)})(?!{edge})){edge}{{2,}}+"), 0)
+
+
+def support_text(c: Column) -> Column:
+    """The kept words with a space around each: what holds compares, worked out once for a text that is compared often."""
+    return F.concat(F.lit(" "), F.array_join(kept_words(c), " "), F.lit(" "))
+
+
+def holds(quote: Column, value: Column) -> Column:
+    """supports, of two support texts."""
+    return (value != "  ") & quote.contains(value)
 
 
 def supports(quote: Column, value: Column) -> Column:
     """Whether the words of value stand in a row in quote, stop words and single characters of both left out."""
-    joined = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
-    return (F.size(kept_words(value)) > 0) & joined(kept_words(quote)).contains(joined(kept_words(value)))
+    return holds(support_text(quote), support_text(value))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from strandline.functions import text as tx
 from strandline.operators import events, graphs, linking, links, rows as checks
-from strandline.plans import ingest, rules
+from strandline.plans import citations, ingest, rules
 from strandline.sources import diffs
 
 
@@ -166,3 +168,21 @@ def test_publication_joins_edges_once_in_tasks_dealt_by_number(spark, monkeypatc
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and plan.count("RepartitionByExpression [code") == 1
     assert {r["code"] for r in df.collect()} >= {"missing_from", "unreviewed_tier"}
+
+
+def test_claims_are_dealt_to_tasks_and_their_texts_read_once(spark, monkeypatch):
+    monkeypatch.setattr(citations, "CLAIMS_OF_A_TASK", 5)
+    df = citations.claim_objections(spark, SMALL)
+    held = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(held) > 10 and max(held) < sum(held) / 4
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?<![a-z0-9])") == 5  # kept words of five texts
+
+
+def test_kept_words_equal_plain_python(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["a", "an", "And", "x1", "TO", "to", "the", "then", "9", "é", "İ", " ", " ", "-", "\n", "order"]) for _ in range(rnd.randrange(14))) for _ in range(400)] + [None, ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.kept_words(F.col("t")).alias("w"), tx.supports(F.col("t"), F.lit("then the order")).alias("s"))
+    for r in got.collect():
+        t = texts[r["i"]]
+        want = None if t is None else [w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 1 and w not in tx.SUPPORT_STOP_WORDS]
+        assert r["w"] == want and r["s"] == (None if t is None else any(want[k : k + 2] == ["then", "order"] for k in range(len(want))))
