@@ -17,6 +17,8 @@ from strandline.functions.tables import cut
 
 #: Edges that a task of the component search is given.
 EDGES_OF_A_TASK = 1 << 19
+#: Up to so many ids of a level are given to every task of the closure with reasons, in place of dealing all edges again.
+IDS_OF_A_BROADCAST = 1 << 16
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -132,15 +134,21 @@ def closure_with_reasons(depends: DataFrame, seeds: DataFrame) -> DataFrame:
     so many. Depends that loop end: a level takes only what was not reached before.
     """
     depends = cut(depends.select("id", "on_id", F.col("reason").alias("_why")), "depends")
-    least = lambda d: d.groupBy("id").agg(F.min(F.struct("reason", "via")).alias("_r")).select("id", "_r.reason", "_r.via")
-    kind = dict(depends.dtypes)["on_id"]
-    frontier = cut(least(seeds.where("id is not null").select("id", "reason", F.lit(None).cast(kind).alias("via"))).select("id", F.lit(0).alias("hop"), "reason", "via"), "affected")
+    seeds = cut(seeds.where("id is not null").select("id", "reason", F.lit(None).cast(dict(depends.dtypes)["on_id"]).alias("via")), "seeds")
+    tasks = (depends.count() + seeds.count()) // EDGES_OF_A_TASK + 1
+    least = lambda d: d.repartition(tasks, "id").groupBy("id").agg(F.min(F.struct("reason", "via")).alias("_r")).select("id", "_r.reason", "_r.via")
+    frontier = cut(least(seeds).select("id", F.lit(0).alias("hop"), "reason", "via"), "affected")
     reached = frontier
     hop = 0
-    while not frontier.isEmpty():
+    while n := frontier.count():
         hop += 1
-        new = frontier.select(F.col("id").alias("on_id")).join(depends, "on_id").select("id", F.col("_why").alias("reason"), F.col("on_id").alias("via"))
-        new = least(new).join(reached.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "reason", "via")
+        at = frontier.select(F.col("id").alias("on_id"))
+        if n <= IDS_OF_A_BROADCAST:
+            new = depends.join(F.broadcast(at), "on_id")
+        else:
+            new = depends.repartition(tasks, "on_id").join(at.repartition(tasks, "on_id").hint("shuffle_hash"), "on_id")
+        new = least(new.select("id", F.col("_why").alias("reason"), F.col("on_id").alias("via")))
+        new = new.join(reached.select("id").repartition(tasks, "id").hint("shuffle_hash"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "reason", "via")
         frontier = cut(new, "affected")
         reached = reached.union(frontier)
     return reached

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.tables import cut
 from strandline.operators import impact, paths as op, refresh
+from strandline.operators.rows import tasks_for
 from strandline.plans import graphs as base
 from strandline.plans.graphs import _id
 from strandline.plans.registry import SQL, load, query
@@ -151,10 +152,11 @@ def _inventory(spark, d):
     p, o, li, c = (load(spark, d, t) for t in ("part", "orders", "lineitem", "customer"))
     none = F.array().cast("array<string>")
     parts = p.select(_id("p", "p_partkey").alias("id"), F.lit("code-symbol").alias("kind"), F.array(F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#")), F.lit("/"), "p_partkey", F.lit(".ts"))).alias("source_paths"), none.alias("depends_on_ids"), (F.col("p_size") == 50).alias("stale"))
-    uses = li.groupBy("l_orderkey").agg(F.collect_set(_id("p", "l_partkey")).alias("depends_on_ids"))
-    orders = o.join(uses, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(_id("o", "o_orderkey"), F.lit("workflow"), none, F.coalesce("depends_on_ids", none), F.lit(False))
-    big = o.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.collect_set(_id("o", "o_orderkey")).alias("depends_on_ids"))
-    custs = c.join(big, F.col("c_custkey") == F.col("o_custkey"), "left").select(_id("c", "c_custkey"), F.lit("requirement"), F.array(F.concat(F.lit("docs/"), "c_mktsegment", F.lit(".md"))), F.coalesce("depends_on_ids", none), F.lit(False))
+    tasks = tasks_for(li, o, c)
+    uses = li.select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set(_id("p", "l_partkey")).alias("depends_on_ids")).hint("shuffle_hash")
+    orders = o.select("o_orderkey").repartition(tasks, "o_orderkey").join(uses, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(_id("o", "o_orderkey"), F.lit("workflow"), none, F.coalesce("depends_on_ids", none), F.lit(False))
+    big = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey").repartition(tasks, "o_custkey").groupBy("o_custkey").agg(F.collect_set(_id("o", "o_orderkey")).alias("depends_on_ids")).hint("shuffle_hash")
+    custs = c.select("c_custkey", "c_mktsegment").repartition(tasks, "c_custkey").join(big, F.col("c_custkey") == F.col("o_custkey"), "left").select(_id("c", "c_custkey"), F.lit("requirement"), F.array(F.concat(F.lit("docs/"), "c_mktsegment", F.lit(".md"))), F.coalesce("depends_on_ids", none), F.lit(False))
     review = F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("pending")
     links = o.select(_id("l", "o_orderkey").alias("id"), _id("c", "o_custkey").alias("from_id"), _id("o", "o_orderkey").alias("to_id"), F.lit("COVERED_BY").alias("relationship"), review.alias("review_state"), F.array(F.concat(F.lit("links/"), "o_orderpriority")).alias("source_paths"))
     return parts.union(orders).union(custs), links

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from strandline.functions import text as tx
-from strandline.operators import events, graphs, linking, links, rows as checks
+from strandline.operators import events, graphs, linking, links, refresh, rows as checks
 from strandline.plans import citations, ingest, rules
 from strandline.sources import diffs
 
@@ -186,3 +186,35 @@ def test_kept_words_equal_plain_python(spark):
         t = texts[r["i"]]
         want = None if t is None else [w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 1 and w not in tx.SUPPORT_STOP_WORDS]
         assert r["w"] == want and r["s"] == (None if t is None else any(want[k : k + 2] == ["then", "order"] for k in range(len(want))))
+
+
+def test_refresh_sorts_no_table_and_deals_entities_and_links_by_number(spark, monkeypatch):
+    monkeypatch.setattr(refresh, "cut", lambda d, name: d)
+    monkeypatch.setattr(graphs, "cut", lambda d, name: d)
+    ents = [(f"f{k}", "file", [f"src/{k % 2}/{k}"], [], k % 90 == 1) for k in range(600)] + [(f"w{k}", "workflow", None, [f"f{k}", f"w{k - 1}"], False) for k in range(600)] + [(f"r{k}", "requirement", [], [f"w{k}"] if k % 50 == 0 else None, None) for k in range(600)]
+    ties = [(f"l{k}", f"r{k}", f"w{k}", "COVERED_BY" if k % 3 else "SEES", "accepted" if k % 2 else "open", ["docs/a" if k % 4 else "docs/b"]) for k in range(600)] + [("ln", None, None, "COVERED_BY", None, None)]
+    e = spark.createDataFrame(ents, "id string, kind string, source_paths array<string>, depends_on_ids array<string>, stale boolean")
+    li = spark.createDataFrame(ties, "id string, from_id string, to_id string, relationship string, review_state string, source_paths array<string>")
+    c = spark.createDataFrame([("src/0/8",), ("src/0/500",), ("docs/b",), (None,)], "path string")
+    monkeypatch.setattr(refresh, "affected", lambda *_: spark.createDataFrame([(f"w{k}", k % 7, "stale", None) for k in range(0, 600, 5)] + [(f"r{k}", 1, "stale", None) for k in range(0, 600, 9)], "id string, hop int, reason string, via string"))
+    once = sorted(map(str, refresh.plan(e, li, c).collect()))
+    monkeypatch.setattr(checks, "ROWS_OF_A_TASK", 50)
+    df = refresh.plan(e, li, c)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan
+    got = [tuple(r) for r in df.withColumn("task", F.spark_partition_id()).collect()]
+    assert sorted(map(str, df.collect())) == once
+    assert len({r[-1] for r in got}) > 40 and max(sum(r[-1] == t for r in got) for t in {r[-1] for r in got}) < 100
+    monkeypatch.setattr(refresh, "PATHS_OF_A_BROADCAST", 0)
+    assert sorted(map(str, refresh.plan(e, li, c).collect())) == once
+    assert "Sort" not in refresh.touched(li, c)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    few = sorted(map(str, graphs.closure_with_reasons(*_closure(spark)).collect()))
+    monkeypatch.setattr(graphs, "IDS_OF_A_BROADCAST", 0)
+    monkeypatch.setattr(graphs, "EDGES_OF_A_TASK", 50)
+    assert sorted(map(str, graphs.closure_with_reasons(*_closure(spark)).collect())) == few and len(few) == 301  # 300 ids and the null one
+
+
+def _closure(spark):
+    edges = [(k, k // 4, f"y{k % 3}") for k in range(1, 300)] + [(5, 7, "x"), (1, 299, "z"), (None, 2, "n")]
+    return spark.createDataFrame(edges, "id int, on_id int, reason string"), spark.createDataFrame([(0, "s"), (None, "s")], "id int, reason string")
