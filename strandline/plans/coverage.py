@@ -10,8 +10,9 @@ from strandline.plans.registry import load, query
 
 
 def _matrix(spark, d):
-    """Customers are requirements, covered by their orders (workflows); an order stands on the screens of its lines' suppliers, suppliers bind
-    parts (symbols), nations (endpoints) are handled by parts. Returned lines are stale evidence; orders of status P are pending links."""
+    """Customers are requirements, covered by their orders (workflows); an order stands on the screens of all its lines' suppliers, suppliers bind
+    the parts of all their lines (symbols), nations (endpoints) of the first three regions are handled by a part. Returned lines are stale
+    evidence; orders of status P are pending links."""
     p, o, li, c, s, n = (load(spark, d, t) for t in ("part", "orders", "lineitem", "customer", "supplier", "nation"))
     none, no = F.array().cast("array<string>"), F.lit(False)
     entity = lambda df, ident, kind, behavioral=no, changed=no: df.select(ident.alias("id"), F.lit(kind).alias("kind"), none.alias("evidence_ids"), behavioral.alias("behavioral"), changed.alias("changed"))
@@ -21,9 +22,8 @@ def _matrix(spark, d):
     tier = F.when(F.col("o_orderpriority") == "1-URGENT", "D").when(F.col("o_orderpriority") == "2-HIGH", "C").otherwise("B")
     covered = link(o, _id("c", "o_custkey"), _id("o", "o_orderkey"), "COVERED_BY", tier, F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("pending"))
     pending = link(o.where("o_orderstatus = 'P'"), _id("c", "o_custkey"), _id("o", "o_orderkey"), "COVERED_BY", F.lit("A"), F.lit("not_required"))
-    few = li.where("l_quantity = 1")
-    screens = few.groupBy("l_orderkey", "l_suppkey").agg(F.collect_set("l_returnflag").alias("ev"))
-    binds = few.groupBy("l_suppkey", "l_partkey").agg(F.collect_set("l_returnflag").alias("ev"))
+    screens = li.groupBy("l_orderkey", "l_suppkey").agg(F.collect_set("l_returnflag").alias("ev"))
+    binds = li.groupBy("l_suppkey", "l_partkey").agg(F.collect_set("l_returnflag").alias("ev"))
     links = covered.union(link(screens, _id("o", "l_orderkey"), _id("s", "l_suppkey"), "ON_SCREEN", ev=F.col("ev"))).union(link(binds, _id("s", "l_suppkey"), _id("p", "l_partkey"), "BINDS", ev=F.col("ev")))
     links = links.union(link(n.where("n_regionkey < 3"), _id("n", "n_nationkey"), _id("p", F.col("n_nationkey") + 1), "HANDLED_BY"))
     stale = spark.createDataFrame([("R",)], "evidence_id string")
@@ -35,8 +35,8 @@ def _matrix(spark, d):
 
 _MATRIX = """
 WITH RECURSIVE lk AS (SELECT 'COVERED_BY' AS rel, 'c' || o_custkey AS f, 'o' || o_orderkey AS t, CASE WHEN o_orderstatus = 'P' THEN true WHEN o_orderpriority = '1-URGENT' THEN false WHEN o_orderstatus = 'F' THEN true ELSE false END AS ok, false AS old FROM orders
-  UNION ALL SELECT 'ON_SCREEN', 'o' || l_orderkey, 's' || l_suppkey, NOT bool_or(l_returnflag = 'R'), bool_or(l_returnflag = 'R') FROM lineitem WHERE l_quantity = 1 GROUP BY ALL
-  UNION ALL SELECT 'BINDS', 's' || l_suppkey, 'p' || l_partkey, NOT bool_or(l_returnflag = 'R'), bool_or(l_returnflag = 'R') FROM lineitem WHERE l_quantity = 1 GROUP BY ALL
+  UNION ALL SELECT 'ON_SCREEN', 'o' || l_orderkey, 's' || l_suppkey, NOT bool_or(l_returnflag = 'R'), bool_or(l_returnflag = 'R') FROM lineitem GROUP BY ALL
+  UNION ALL SELECT 'BINDS', 's' || l_suppkey, 'p' || l_partkey, NOT bool_or(l_returnflag = 'R'), bool_or(l_returnflag = 'R') FROM lineitem GROUP BY ALL
   UNION ALL SELECT 'HANDLED_BY', 'n' || n_nationkey, 'p' || (n_nationkey + 1), true, false FROM nation WHERE n_regionkey < 3),
 g AS (SELECT * FROM lk WHERE ok), b AS (SELECT rel, f AS src, t AS dst FROM g UNION ALL SELECT rel, t, f FROM g),
 en AS (SELECT 'c' || c_custkey AS id, 'requirement' AS kind, false AS beh, false AS chg FROM customer UNION ALL SELECT 'o' || o_orderkey, 'workflow', false, false FROM orders UNION ALL SELECT 's' || s_suppkey, 'screen', false, false FROM supplier

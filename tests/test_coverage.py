@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import coverage
+from strandline.plans import catalog
 
 E = "id string, kind string, evidence_ids array<string>, behavioral boolean, changed boolean"
 L = "id string, from_id string, to_id string, relationship string, tier string, review_state string, evidence_ids array<string>"
@@ -56,3 +57,23 @@ def test_many_ids_in_small_files_are_not_broadcast(spark):
         coverage.cut = cut
     assert seen and "BroadcastHashJoin" not in seen[0] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     assert gaps.groupBy("kind").count().where("count = 200000").count() == 2 and stats.first()["gaps"] == 400_000
+
+
+def tables(spark, d):
+    """Lines of any quantity but one; o2 and what it touches rest on a returned line, c2 has only a pending order, n1 no handler."""
+    put = lambda name, rows, cols: spark.createDataFrame(rows, cols).write.parquet(f"{d}/{name}.parquet")
+    put("customer", [(1, 0, 10.0, "BUILDING"), (2, 1, -600.0, "MACHINERY")], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    put("orders", [(1, 1, "F", "5-LOW"), (2, 1, "P", "1-URGENT"), (3, 2, "O", "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    put("lineitem", [(1, 10, 1, 7.0, "N"), (2, 11, 2, 50.0, "R"), (3, 12, 2, 2.0, "A"), (3, 12, 2, 3.0, "N")], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string")
+    put("supplier", [(1, 0, 5000.0), (2, 1, 10.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    put("part", [(1, 1), (10, 6), (11, 50), (12, 3)], "p_partkey long, p_size int")
+    put("nation", [(0, 0), (1, 3)], "n_nationkey int, n_regionkey int")
+
+
+def test_gap_rows_read_lines_of_every_quantity(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    assert {tuple(r) for r in catalog.queries()["coverage_gap_rows"](spark, str(tmp_path)).collect()} == {
+        ("requirement_without_workflow", "c2", None, False), ("workflow_without_ui", "o2", None, False), ("workflow_without_code", "o2", None, False), ("endpoint_without_code", "n1", None, False),
+        ("code_without_intent", "p11", None, False), ("changed_symbol_without_product_path", "p11", None, False), ("conflict", "c2", "n1", True), ("human_review_required", "s1", "n0", True),
+        *[("stale_evidence", i, None, False) for i in ("o2", "s2", "p11")],
+    }
