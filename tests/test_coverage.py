@@ -77,3 +77,9 @@ def test_gap_rows_read_lines_of_every_quantity(spark, tmp_path):
         ("code_without_intent", "p11", None, False), ("changed_symbol_without_product_path", "p11", None, False), ("conflict", "c2", "n1", True), ("human_review_required", "s1", "n0", True),
         *[("stale_evidence", i, None, False) for i in ("o2", "s2", "p11")],
     }
+
+
+def test_matrix_stats_count_links_of_lines_of_every_quantity(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    got = catalog.queries()["coverage_matrix_stats"](spark, str(tmp_path)).first().asDict()
+    assert got == {"entities": 13, "requirements": 2, "workflows": 3, "api_endpoints": 2, "code_symbols": 4, "confident_links": 7, "gaps": 9, "human_gaps": 2, "readiness": "needs_human"}
