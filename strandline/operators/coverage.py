@@ -2,7 +2,8 @@
 
 entities: (id, kind, evidence_ids, behavioral, changed); links: (id, from_id, to_id, relationship, tier, review_state, evidence_ids); stale: (evidence_id);
 conflicts: (id, from_id, to_id); candidates: (id, from_id, to_id, disposition); reviewed: (target_kind, target_id). Null flags are false, null arrays empty.
-Whether an entity reaches a kind is answered for all entities by one search back from that kind, so a search holds each node once.
+Whether an entity reaches a kind is answered for all entities by one search back from that kind, so a search holds each node once; the
+searches go level by level together, and rows are dealt to tasks by number.
 """
 
 from __future__ import annotations
@@ -24,11 +25,18 @@ AGENTS = {
 }
 
 
-def confident_links(current: DataFrame, pending: DataFrame, stale: DataFrame) -> DataFrame:
-    """Links that count: a pending one in place of the current one of its id, no stale evidence, tier and review as links.confident asks."""
-    every = lk.override(current, pending, "id")
-    old = every.select("id", F.explode("evidence_ids").alias("evidence_id")).join(stale, "evidence_id", "left_semi").select("id").distinct()
-    return every.join(old, "id", "left_anti").where(lk.confident(F.col("tier"), F.col("review_state"), F.lit(False)))
+def confident_links(links: DataFrame, stale: DataFrame) -> DataFrame:
+    """(from_id, to_id, relationship) of links that count: a pending one in place of the current one of its id, no stale evidence, tier and review as
+    links.confident asks (column confident)."""
+    tasks = links.count() // graphs.EDGES_OF_A_TASK + 1
+    gone = _resting(links, stale).select("id", "pending").union(links.where("pending").select("id", F.lit(False)))
+    good = links.where("confident").select("id", "pending", "from_id", "to_id", "relationship").repartition(tasks, "id", "pending")
+    return good.join(gone.repartition(tasks, "id", "pending").hint("shuffle_hash"), ["id", "pending"], "left_anti").select("from_id", "to_id", "relationship")
+
+
+def _resting(d: DataFrame, stale: DataFrame) -> DataFrame:
+    """Rows of d that rest on stale evidence, once for each of it."""
+    return d.withColumn("evidence_id", F.explode("evidence_ids")).join(stale, "evidence_id", "left_semi")
 
 
 def matrix(entities: DataFrame, current: DataFrame, pending: DataFrame, stale: DataFrame, conflicts: DataFrame, candidates: DataFrame, reviewed: DataFrame, depth: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -43,47 +51,54 @@ def matrix(entities: DataFrame, current: DataFrame, pending: DataFrame, stale: D
 
 def _matrix(entities: DataFrame, current: DataFrame, pending: DataFrame, stale: DataFrame, conflicts: DataFrame, candidates: DataFrame, reviewed: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     e, stale = cut(entities, "entities"), cut(stale.select("evidence_id").where("evidence_id is not null").distinct(), "stale")
-    good = cut(confident_links(current, pending, stale), "confident")
-    kinds = e.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"))
-    both = cut(graphs.symmetrise(good.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "relationship")).join(kinds, "dst", "left"), "adjacency")
-    of = lambda kind: e.where(F.col("kind") == kind)
-
-    def cut_off(starts: DataFrame, targets: tuple, relationships: tuple, within: int = depth) -> DataFrame:
-        return graphs.without_path(starts, both.where(F.col("relationship").isin(*relationships)), F.col("dst_kind").isin(*targets), within)
-
-    def unlinked(kind: str, relationship: str) -> DataFrame:
-        return of(kind).select("id").join(good.where(F.col("relationship") == relationship).select(F.col("from_id").alias("id")), "id", "left_anti")
-
-    symbols = of("code-symbol").where("behavioral")
-    moved = symbols.select("id").join(good.where("relationship = 'CHANGES'").select(F.col("to_id").alias("id")), "id", "left_semi")
-    changed = symbols.where("changed").select("id").union(moved).distinct()
-    open_ = {
-        "requirement_without_workflow": unlinked("requirement", "COVERED_BY"),
-        "workflow_without_ui": cut_off(of("workflow"), ("screen", "ui-element"), SCREENS, 4),
-        "workflow_without_code": cut_off(of("workflow"), ("code-symbol",), TECHNICAL),
-        "endpoint_without_code": unlinked("api-endpoint", "HANDLED_BY"),
-        "code_without_intent": cut_off(symbols, ("requirement",), INTENT),
-        "changed_symbol_without_product_path": cut_off(changed, ("requirement", "workflow", "screen", "ui-element"), INTENT),
+    if stale.count() <= graphs.IDS_OF_A_BROADCAST:
+        stale = F.broadcast(stale)  # evidence that very many rows rest on is no hot key then
+    sure = F.coalesce(lk.confident(F.col("tier"), F.col("review_state"), F.lit(False)), F.lit(False)).alias("confident")
+    side = lambda d, waits: d.select("id", "from_id", "to_id", "relationship", "evidence_ids", sure, F.lit(waits).alias("pending"))
+    links = cut(side(current, False).union(side(pending, True)), "links")
+    good = cut(confident_links(links, stale), "confident")
+    tasks = (links.count() + e.count()) // graphs.EDGES_OF_A_TASK + 1
+
+    searches = {  # by the gap that is left where it does not arrive: the kinds it starts at, its relationships and depth
+        "workflow_without_ui": (("screen", "ui-element"), SCREENS, 4),
+        "workflow_without_code": (("code-symbol",), TECHNICAL, depth),
+        "code_without_intent": (("requirement",), INTENT, depth),
+        "changed_symbol_without_product_path": (("requirement", "workflow", "screen", "ui-element"), INTENT, depth),
     }
-    row = lambda d, kind, subject, target, gap, human: d.select(F.lit(kind).alias("kind"), subject.cast("string").alias("subject_id"), target.cast("string").alias("target_id"), gap.cast("string").alias("gap_id"), F.lit(human).alias("requires_human"), F.lit(AGENTS.get(kind)).alias("agent"))
-    nobody, ident = F.lit(None), F.col("id")
-    gaps = None
-    for kind, d in open_.items():
-        d = row(d.select("id").distinct(), kind, ident, nobody, F.concat(F.lit(f"{kind}:"), ident), False)
-        gaps = d if gaps is None else gaps.union(d)
+    ends = {"requirement_without_workflow": ("from_id", "COVERED_BY"), "endpoint_without_code": ("from_id", "HANDLED_BY"), "moved": ("to_id", "CHANGES")}
+    bit = {name: 1 << k for k, name in enumerate([*searches, *ends])}
+    which = lambda column, part: sum((F.when(F.col(column).isin(*s[part]), bit[gap]).otherwise(0) for gap, s in searches.items()), F.lit(0)).alias("searches")
+    ways = graphs.symmetrise(good.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), which("relationship", 1)))
+    marks = graphs.reached(ways, e.select("id", which("kind", 0)), [within for _, _, within in searches.values()])
+    for name, (end, relationship) in ends.items():
+        marks = marks.union(good.where(F.col("relationship") == relationship).select(F.col(end).alias("id"), F.lit(bit[name])))
+    marks = marks.repartition(tasks, "id").groupBy("id").agg(F.bit_or("searches").alias("marks"))
+
+    has = lambda name: F.coalesce("marks", F.lit(0)).bitwiseAND(F.lit(bit[name])) != 0
+    symbol = (F.col("kind") == "code-symbol") & F.col("behavioral")
+    asks = {
+        "requirement_without_workflow": F.col("kind") == "requirement", "workflow_without_ui": F.col("kind") == "workflow", "workflow_without_code": F.col("kind") == "workflow",
+        "endpoint_without_code": F.col("kind") == "api-endpoint", "code_without_intent": symbol, "changed_symbol_without_product_path": symbol & (F.coalesce("changed", F.lit(False)) | has("moved")),
+    }
+    row = lambda d, kind, subject, target, gap, human, agent: d.select(kind.alias("kind"), subject.cast("string").alias("subject_id"), target.cast("string").alias("target_id"), gap.cast("string").alias("gap_id"), F.lit(human).alias("requires_human"), agent.cast("string").alias("agent"))
+    nobody, ident, kind = F.lit(None), F.col("id"), F.col("gap")
+    marked = e.repartition(tasks, "id").join(marks.hint("shuffle_hash"), "id", "left")
+    open_ = marked.select("id", F.explode(F.array_compact(F.array(*[F.when(asked & ~has(gap), gap) for gap, asked in asks.items()]))).alias("gap")).distinct()
+    agent = F.create_map(*[F.lit(x) for pair in AGENTS.items() for x in pair])
+    gaps = row(open_, kind, ident, nobody, F.concat(kind, F.lit(":"), ident), False, agent[kind])
     waiting = lambda d, what: d.join(reviewed.where(F.col("target_kind") == what).select(F.col("target_id").alias("id")), "id", "left_anti")
-    torn = waiting(conflicts, "conflict")
-    gaps = gaps.union(row(torn, "conflict", F.col("from_id"), F.col("to_id"), F.concat(F.lit("conflict:"), ident), True))
-    asked = waiting(candidates.where("disposition is null or disposition <> 'rejected'"), "candidate")
-    gaps = gaps.union(row(asked, "human_review_required", F.col("from_id"), F.col("to_id"), F.concat(F.lit("candidate:"), ident), True))
-    rests = lambda d: d.withColumn("evidence_id", F.explode("evidence_ids")).join(stale, "evidence_id", "left_semi")
-    ends = rests(current.unionByName(pending)).select(F.explode(F.array("from_id", "to_id")).alias("id"))
-    subjects = cut(rests(e).select("id").union(ends).where("id is not null").distinct(), "stale-subjects")
+    human = lambda d, gap, prefix: row(d.select("id", "from_id", "to_id").distinct(), F.lit(gap), F.col("from_id"), F.col("to_id"), F.concat(F.lit(prefix), ident), True, nobody)
+    gaps = gaps.union(human(waiting(conflicts, "conflict"), "conflict", "conflict:"))
+    gaps = gaps.union(human(waiting(candidates.where("disposition is null or disposition <> 'rejected'"), "candidate"), "human_review_required", "candidate:"))
+    rested = _resting(e, stale).select("id").union(_resting(links, stale).select(F.explode(F.array("from_id", "to_id")).alias("id")))
+    subjects = cut(rested.where("id is not null").repartition(tasks, "id").distinct(), "stale-subjects")
     some = subjects if not subjects.isEmpty() else stale.limit(1).select(F.lit(None).cast("string").alias("id"))
-    gaps = cut(gaps.union(row(some, "stale_evidence", ident, nobody, F.lit("stale_evidence"), False)).distinct(), "gaps")
+    gaps = cut(gaps.union(row(some, F.lit("stale_evidence"), ident, nobody, F.lit("stale_evidence"), False, F.lit(AGENTS["stale_evidence"]))), "gaps")
 
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"{kind.replace('-', '_')}s")
-    found = gaps.groupBy("gap_id").agg(F.max("requires_human").alias("h")).agg(F.count("*").alias("gaps"), F.count_if("h").alias("human_gaps"))
+    once = lambda d: d.groupBy("gap_id").agg(F.max("requires_human").alias("h"))
+    ids, old = gaps.select("kind", "gap_id", "requires_human"), F.col("kind") == "stale_evidence"  # these rows are one gap
+    found = once(ids.where(~old).repartition(gaps.count() // graphs.EDGES_OF_A_TASK + 1, "gap_id")).union(once(ids.where(old))).agg(F.count("*").alias("gaps"), F.count_if("h").alias("human_gaps"))
     stats = e.agg(F.count("*").alias("entities"), *[count(k) for k in ("requirement", "workflow", "api-endpoint", "code-symbol")])
     stats = stats.crossJoin(good.agg(F.count("*").alias("confident_links"))).crossJoin(found)  # three rows of counts
     return gaps, stats.withColumn("readiness", F.when(F.col("gaps") == 0, "ready").when(F.col("human_gaps") > 0, "needs_human").otherwise("needs_reconciliation"))

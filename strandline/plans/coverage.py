@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import coverage as op
+from strandline.operators.graphs import EDGES_OF_A_TASK
 from strandline.plans.graphs import _id
 from strandline.plans.registry import load, query
 
@@ -22,8 +23,9 @@ def _matrix(spark, d):
     tier = F.when(F.col("o_orderpriority") == "1-URGENT", "D").when(F.col("o_orderpriority") == "2-HIGH", "C").otherwise("B")
     covered = link(o, _id("c", "o_custkey"), _id("o", "o_orderkey"), "COVERED_BY", tier, F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("pending"))
     pending = link(o.where("o_orderstatus = 'P'"), _id("c", "o_custkey"), _id("o", "o_orderkey"), "COVERED_BY", F.lit("A"), F.lit("not_required"))
-    screens = li.groupBy("l_orderkey", "l_suppkey").agg(F.collect_set("l_returnflag").alias("ev"))
-    binds = li.groupBy("l_suppkey", "l_partkey").agg(F.collect_set("l_returnflag").alias("ev"))
+    tasks = li.count() // EDGES_OF_A_TASK + 1
+    flags = lambda *keys: li.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_set("l_returnflag").alias("ev"))
+    screens, binds = flags("l_orderkey", "l_suppkey"), flags("l_suppkey", "l_partkey")
     links = covered.union(link(screens, _id("o", "l_orderkey"), _id("s", "l_suppkey"), "ON_SCREEN", ev=F.col("ev"))).union(link(binds, _id("s", "l_suppkey"), _id("p", "l_partkey"), "BINDS", ev=F.col("ev")))
     links = links.union(link(n.where("n_regionkey < 3"), _id("n", "n_nationkey"), _id("p", F.col("n_nationkey") + 1), "HANDLED_BY"))
     stale = spark.createDataFrame([("R",)], "evidence_id string")

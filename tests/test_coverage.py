@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from strandline.operators import coverage
+from strandline.operators import coverage, graphs
 from strandline.plans import catalog
 
 E = "id string, kind string, evidence_ids array<string>, behavioral boolean, changed boolean"
@@ -83,3 +85,29 @@ def test_matrix_stats_count_links_of_lines_of_every_quantity(spark, tmp_path):
     tables(spark, str(tmp_path))
     got = catalog.queries()["coverage_matrix_stats"](spark, str(tmp_path)).first().asDict()
     assert got == {"entities": 13, "requirements": 2, "workflows": 3, "api_endpoints": 2, "code_symbols": 4, "confident_links": 7, "gaps": 9, "human_gaps": 2, "readiness": "needs_human"}
+
+
+def walked(edges, seeds, depths):
+    """(id, k) of what search k reaches from its seeds, other ids than these."""
+    out = set()
+    for k, depth in enumerate(depths):
+        known = {i for i, searches in seeds if searches >> k & 1}
+        start, at = set(known), set(known)
+        for _ in range(depth):
+            at = {b for a, b, searches in edges if a in at and searches >> k & 1} - known
+            known |= at
+        out |= {(i, k) for i in known - start}
+    return out
+
+
+def test_searches_of_several_depths_equal_walks_by_themselves(spark, monkeypatch):
+    rng, depths = random.Random(4), [1, 3, 8]
+    edges = [(f"i{rng.randrange(150)}", f"i{rng.randrange(150)}", rng.randrange(8)) for _ in range(400)]
+    seeds = [(f"i{rng.randrange(150)}", rng.randrange(8)) for _ in range(12)]
+    want = walked(edges, seeds, depths)
+    assert all(len([1 for _, k in want if k == j]) > 3 for j in range(3))
+    e = spark.createDataFrame([*edges, ("i1", None, 7), (None, "i2", 7)], "src string, dst string, searches int")
+    for most in (graphs.IDS_OF_A_BROADCAST, 0):  # levels given to every task, and dealt ones
+        monkeypatch.setattr(graphs, "IDS_OF_A_BROADCAST", most)
+        got = [(r["id"], k) for r in graphs.reached(e, spark.createDataFrame([*seeds, (None, 7)], "id string, searches int"), depths).collect() for k in range(3) if r["searches"] >> k & 1]
+        assert len(got) == len(set(got)) and set(got) == want
