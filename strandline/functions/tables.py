@@ -30,7 +30,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut has written, once nothing reads them any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_written", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(t.sparkSession, path)
 
 
 @contextmanager
@@ -60,8 +71,12 @@ def forget(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this process has written, once no result that reads them is needed; how many there were."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
+    n = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.tables import cut
+from strandline.functions.tables import cut, drop, forget
 
 #: Edges that a task of the component search is given.
 EDGES_OF_A_TASK = 1 << 19
+#: Edges that a task merges into stars at once before the component search.
+EDGES_OF_A_MERGE = 1 << 20
 #: Up to so many ids of a level are given to every task of the closure with reasons, in place of dealing all edges again.
 IDS_OF_A_BROADCAST = 1 << 16
 
@@ -193,11 +195,23 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge(batches):
+    """Stars of a task's edges. As long as they are few they are kept and merged with the edges that follow."""
+    held, n = [], 0
     for b in batches:
-        u, v = (np.asarray(b.column(i), np.int64) for i in (0, 1))
-        if len(u):
-            x, y = stars(u, v)
-            yield pa.record_batch({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
+        held.append(tuple(np.asarray(b.column(i), np.int64) for i in (0, 1)))
+        n += b.num_rows
+        if n >= EDGES_OF_A_MERGE:
+            held = [stars(*map(np.concatenate, zip(*held)))]
+            n = len(held[0][0])
+            if 2 * n > EDGES_OF_A_MERGE:
+                yield _rows(*held[0])
+                held, n = [], 0
+    if n:
+        yield _rows(*stars(*map(np.concatenate, zip(*held))))
+
+
+def _rows(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,11 +219,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: minima and joins on the node, so a hub is a skewed key of one join
     side that is streamed and no neighbour list is gathered; the rounds grow with the logarithm of the longest path. Before the
-    first step each task merges its own edges of whole numbers into stars (union-find over one Arrow batch).
+    first step each task merges its own edges of whole numbers into stars (union-find over EDGES_OF_A_MERGE at once).
 
     Rows are dealt by number before they are grouped: written ids pack so well that a task which grouped what it had scanned
-    held tens of millions of them.
+    held tens of millions of them. The tables of a step, and its shuffle files if it has many edges, go once the next step is written, so
+    the disk holds those of one step and not of all rounds.
     """
+    spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
     if all(t in ("bigint", "int") for _, t in e.dtypes):
         e = e.selectExpr("cast(u as bigint) u", "cast(v as bigint) v").mapInArrow(_merge, "u bigint, v bigint")
@@ -221,15 +237,24 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+        if tasks > 1:
+            forget(spark)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(tasks, "u")
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).hint("shuffle_hash")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = cut(large.repartition(tasks, "u").distinct(), "stars").repartition(tasks, "u")
+        met = cut(large.repartition(tasks, "u").distinct(), "stars")
+        drop(e)
+        if tasks > 1:
+            forget(spark)
+        large = met.repartition(tasks, "u")
         low = large.groupBy("u").agg(F.min("v").alias("m")).hint("shuffle_hash")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         e = cut(small.repartition(tasks, "u", "v").distinct(), "edges")
+        drop(met)
     roots = e.select("v").repartition(tasks, "v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return e.repartition(tasks, "u").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(roots)
+    out = e.repartition(tasks, "u").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(roots)
+    out._written = getattr(e, "_written", None)  # who has written the result may drop it
+    return out
 
 
 def reached(edges: DataFrame, seeds: DataFrame, depths: list[int]) -> DataFrame:

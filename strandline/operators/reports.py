@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.tables import cut, drop, forget
 from strandline.operators import events, graphs, summaries
 
 
 def group_changes(units: DataFrame, unit: str, keys: DataFrame, size: str, limit: float) -> DataFrame:
     """(unit, component, chunk): units that share a key, directly or through others, in chunks of bounded size.
 
-    keys has (unit, key). Units and keys form a bipartite graph of hashed ids, so a key that many units share costs one
-    edge for each, not one for each pair.
+    keys has (unit, key); nulls are shared by nobody. A unit is at home at its least key, which stands for it: its other keys are linked to
+    this one and components are found among keys only. A key that many units share costs one edge for each unit at most, not one for each pair.
+    Keys are whole numbers, or hashes of what they are. Steps are written and let go of one after another, and rows are dealt to tasks by number.
     """
-    name = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
-    edges = keys.select(name("unit", unit).alias("src"), name("key", "key").alias("dst"))
-    comp = graphs.components(edges)
-    d = units.withColumn("_id", name("unit", unit)).join(comp.withColumnRenamed("id", "_id"), "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
-    first = d.groupBy("_c").agg(F.min(unit).alias("group"))  # a component is named by its smallest unit
-    d = d.join(first, "_c").select(F.col(unit), F.col("group").alias("component"), size)
-    return events.range_chunks(d, ["component"], [unit], size, limit).select(unit, "component", "chunk")
+    spark, whole = keys.sparkSession, dict(keys.dtypes)["key"] in ("tinyint", "smallint", "int", "bigint")
+    k = keys.select(unit, (F.col("key").cast("bigint") if whole else F.when(F.col("key").isNotNull(), F.xxhash64("key"))).alias("_key")).dropna()
+    tasks = k.count() // graphs.EDGES_OF_A_TASK + 1
+    k = k.repartition(tasks, unit)
+    low = k.groupBy(unit).agg(F.min("_key").alias("_home"))
+    links = cut(k.join(low.hint("shuffle_hash"), unit).where("_key <> _home").select(F.col("_home").alias("src"), F.col("_key").alias("dst")), "key-links")
+    step = lambda *old: (drop(*old), tasks > 1 and forget(spark))
+    step()
+    d = cut(units.select(unit, size).repartition(tasks, unit).join(low.hint("shuffle_hash"), unit, "left"), "homes")
+    step()
+    found = graphs.components(links)
+    parts = cut(found, "key-components")
+    step(links, found)
+    comp = parts.withColumnRenamed("id", "_home")
+    homes = d.where("_home is not null").repartition(tasks, "_home").groupBy("_home").agg(F.min(unit).alias("_first"))
+    homes = homes.join(comp.repartition(tasks, "_home").hint("shuffle_hash"), "_home", "left").select("_home", F.coalesce("component", "_home").alias("_c"), "_first")
+    named = cut(homes, "named")
+    step(parts)
+    first = named.repartition(tasks, "_c").groupBy("_c").agg(F.min("_first").alias("component"))  # a component is named by its smallest unit
+    first = named.repartition(tasks, "_c").join(first.hint("shuffle_hash"), "_c").select("_home", "component")
+    grouped = d.where("_home is not null").repartition(tasks, "_home").join(first.repartition(tasks, "_home").hint("shuffle_hash"), "_home").select(unit, "component", size)
+    grouped = cut(grouped.union(d.where("_home is null").select(unit, F.col(unit).alias("component"), size)), "grouped")
+    step(d, named)
+    return events.range_chunks(grouped, ["component"], [unit], size, limit).select(unit, "component", "chunk")
 
 
 def seed_ranks(sources: list[tuple[int, DataFrame]], ident: str, limit: int | None = None) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from strandline.functions import text as tx
-from strandline.operators import events, graphs, linking, links, refresh, rows as checks
+from strandline.functions import tables
+from strandline.operators import events, graphs, linking, links, refresh, reports, rows as checks
 from strandline.plans import citations, ingest, rules
 from strandline.sources import diffs
 
@@ -51,6 +54,60 @@ def test_components_deal_edges_to_tasks_by_number(spark, monkeypatch):
     assert len(held) > 20 and max(held) < 200
 
 
+def test_components_keep_the_tables_of_the_last_step_only(spark):
+    known = set(tables._written)
+    df = graphs.components(spark.createDataFrame([(i, i + 1) for i in range(0, 40)], "src long, dst long").repartition(9))
+    assert len(set(tables._written) - known) == 1
+    assert {(r["id"], r["component"]) for r in df.collect()} == {(i, 0) for i in range(41)}
+
+
+def test_edges_of_a_task_are_merged_over_batches(monkeypatch):
+    rnd = random.Random(2)
+    edges = [(k % 50, rnd.randrange(50)) for k in range(900)] + [(100 + k, 101 + k) for k in range(300)]
+    batch = lambda rows: pa.record_batch({"u": pa.array([a for a, _ in rows], pa.int64()), "v": pa.array([b for _, b in rows], pa.int64())})
+    for most, share in ((1000, 360), (120, 700)):  # kept to the end, and given away where stars are many
+        monkeypatch.setattr(graphs, "EDGES_OF_A_MERGE", most)
+        got = [(a, b) for out in graphs._merge([batch(edges[i : i + 10]) for i in range(0, len(edges), 10)]) for a, b in zip(*(out.column(i).to_pylist() for i in (0, 1)))]
+        assert len(got) < share
+        roots = dict(zip(*(x.tolist() for x in graphs.stars(*np.array(got).T))))
+        assert roots == {**{k: 0 for k in range(1, 50)}, **{k: 100 for k in range(101, 401)}}
+
+
+def test_groups_of_changes_are_found_among_keys_and_let_go_of_steps(spark, monkeypatch):
+    rnd = random.Random(6)
+    pairs = [(u, rnd.randrange(90)) for u in range(100) for _ in range(u % 4)] + [(200, None), (201, None), (201, 500), (None, 1), (7, 7), (7, 7)]
+    units = [(u, 1.0) for u in [*range(100), 200, 201, 300]]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for u, k in pairs:
+        if u is not None and k is not None:
+            up[root(u)] = root(-1 - k)
+    members = {}
+    for u, _ in units:
+        members.setdefault(root(u), []).append(u)
+    want = {u: (min(m), i // 3) for m in members.values() for i, u in enumerate(sorted(m))}
+    known, asked, find = set(tables._written), [], graphs.components
+    monkeypatch.setattr(graphs, "components", lambda e: asked.append(e.count()) or find(e))
+    for kind in ("long", "string"):
+        keys = spark.createDataFrame([(u, k if kind == "long" or k is None else f"k{k}") for u, k in pairs], f"unit long, key {kind}")
+        df = reports.group_changes(spark.createDataFrame(units, "unit long, size double"), "unit", keys, "size", 3)
+        assert {r["unit"]: (r["component"], r["chunk"]) for r in df.collect()} == want
+    real = {(u, k) for u, k in pairs if u is not None and k is not None}
+    assert max(asked) <= len([p for p in pairs if None not in p]) - len({u for u, _ in real})  # a unit is no node, its least key no edge
+    assert len(set(tables._written) - known) <= 2 * 2  # the groups and which of them are large
+    monkeypatch.setattr(graphs, "EDGES_OF_A_TASK", 20)
+    let_go = []
+    monkeypatch.setattr(reports, "forget", let_go.append)
+    monkeypatch.setattr(graphs, "forget", let_go.append)
+    assert {r["unit"]: (r["component"], r["chunk"]) for r in reports.group_changes(spark.createDataFrame(units, "unit long, size double"), "unit", keys, "size", 3).collect()} == want
+    assert len(let_go) > 5
+
+
 def test_edges_meet_claims_at_their_rarest_evidence_only(spark, monkeypatch):
     rnd = random.Random(3)
     monkeypatch.setattr(links, "cut", lambda d, name: d)
