@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_catalogued: dict[str, str] = {}  # names of written tables that have buckets, by path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def deal(parts: list[DataFrame], name: str, tasks: int, key: str) -> DataFrame:
+    """parts as one written table in buckets of key: a join on key in as many tasks reads it as it lies, without a shuffle. The parts are
+    written one after another, and the shuffle files of one go before the next."""
+    spark, name = parts[0].sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    for d in parts:
+        d.repartition(tasks, key).write.mode("append").format("parquet").option("compression", "zstd").option("path", path).bucketBy(tasks, key).saveAsTable(name)
+        if path not in _written:
+            _written.append(path)
+            _catalogued[path] = name
+        if tasks > 1:
+            forget(spark)
+    out = spark.table(name)
+    out._written = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that cut has written, once nothing reads them any more; others are left alone."""
     for t in tables:
@@ -49,9 +67,20 @@ def shuffled_joins(spark: SparkSession):
     """Within it, joins are shuffled and none is broadcast. The planner goes by the bytes of files, and ids pack so well that a file of less
     than ten megabytes held 1.9 million of them: 256 MB in the driver for one join, and as much in every executor."""
     first, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    old = {n: spark.conf.get(n) for n in (first, adaptive) if n == first or spark.conf.get(n, None) is not None}  # adaptive follows the first if unset
-    for n in old:
-        spark.conf.set(n, "-1")
+    with _settings(spark, {n: "-1" for n in (first, adaptive) if n == first or spark.conf.get(n, None) is not None}):  # adaptive follows the first if unset
+        yield
+
+
+def dealt_groups(spark: SparkSession, tasks: int):
+    """Within it, groups are dealt to so many tasks, after each task has put together what it holds of a group."""
+    return _settings(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+@contextmanager
+def _settings(spark: SparkSession, new: dict[str, str]):
+    old = {n: spark.conf.get(n) for n in new}
+    for n, v in new.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:
@@ -78,5 +107,7 @@ def release(spark: SparkSession) -> int:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _catalogued:
+        spark.sql(f"DROP TABLE IF EXISTS {_catalogued.pop(path)}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

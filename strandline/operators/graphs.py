@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.tables import cut, drop, forget
+from strandline.functions.tables import cut, deal, dealt_groups, drop, forget
 
 #: Edges that a task of the component search is given.
 EDGES_OF_A_TASK = 1 << 19
@@ -257,32 +257,36 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def reached(edges: DataFrame, seeds: DataFrame, depths: list[int]) -> DataFrame:
+def reached(edges: DataFrame | list[DataFrame], seeds: DataFrame, depths: list[int]) -> DataFrame:
     """(id, searches) of what several searches over edges(src, dst, searches) reach from seeds(id, searches), for search k in at most depths[k] steps.
 
     Bit k of searches stands for search k: those that may follow an edge, those that start at a seed, those that reach an id they did not start
-    at. An id has a row for each level at which a search reaches it first. Edges should be written: they are scanned and dealt once a level,
-    for all searches. They stream past the ids that a task holds, so it is given more of them.
+    at. An id has a row for each level at which a search reaches it first. Edges are dealt by src and written once, for all levels and
+    searches; of several tables of edges, one after another. They stream past the ids that a task holds, so it is given more of them. What a
+    task finds at an id is put together before it is dealt, and the shuffle files of a level go before the next.
     """
-    edges = edges.where("searches <> 0 and src is not null and dst is not null").select("src", "dst", "searches")
+    spark = seeds.sparkSession
+    edges = [d.where("searches <> 0 and src is not null and dst is not null").select("src", "dst", "searches") for d in (edges if isinstance(edges, list) else [edges])]
     seeds = seeds.where("searches <> 0 and id is not null").select("id", "searches")
-    tasks = (edges.count() // 4 + seeds.count()) // EDGES_OF_A_TASK + 1
+    tasks = (sum(d.count() for d in edges) // 2 + seeds.count()) // EDGES_OF_A_TASK + 1
+    edges = deal(edges, "ways", tasks, "src")
     frontier = cut(seeds.repartition(tasks, "id").groupBy("id").agg(F.bit_or("searches").alias("searches")), "frontier")
     seen, out = frontier, frontier.limit(0)
     for level in range(1, max(depths) + 1):
         going = sum(1 << k for k, depth in enumerate(depths) if level <= depth)
         at = frontier.select(F.col("id").alias("src"), F.col("searches").bitwiseAND(F.lit(going)).alias("_at")).where("_at <> 0")
-        if frontier.count() <= IDS_OF_A_BROADCAST:
-            new = edges.join(F.broadcast(at), "src")
-        else:
-            new = edges.repartition(tasks, "src").join(at.repartition(tasks, "src").hint("shuffle_hash"), "src")
-        new = new.select(F.col("dst").alias("id"), F.col("searches").bitwiseAND(F.col("_at")).alias("new"), F.lit(0).alias("old")).where("new <> 0")
-        every = new.union(seen.select("id", F.lit(0).alias("new"), F.col("searches").alias("old"))).repartition(tasks, "id")
+        at = F.broadcast(at) if frontier.count() <= IDS_OF_A_BROADCAST else at.repartition(tasks, "src").hint("shuffle_hash")
+        new = edges.join(at, "src").select(F.col("dst").alias("id"), F.col("searches").bitwiseAND(F.col("_at")).alias("new"), F.lit(0).alias("old")).where("new <> 0")
+        every = new.union(seen.select("id", F.lit(0).alias("new"), F.col("searches").alias("old")))
         every = every.groupBy("id").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
-        frontier = cut(every.select("id", F.expr("new & ~old").alias("searches")).where("searches <> 0"), "frontier")
+        with dealt_groups(spark, tasks):
+            frontier = cut(every.select("id", F.expr("new & ~old").alias("searches")).where("searches <> 0"), "frontier")
+        if tasks > 1:
+            forget(spark)
         if frontier.isEmpty():
             break
         seen, out = seen.union(frontier), out.union(frontier) if level > 1 else frontier
+    drop(edges)
     return out
 
 

@@ -26,8 +26,8 @@ def _matrix(spark, d):
     tasks = li.count() // EDGES_OF_A_TASK + 1
     flags = lambda *keys: li.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_set("l_returnflag").alias("ev"))
     screens, binds = flags("l_orderkey", "l_suppkey"), flags("l_suppkey", "l_partkey")
-    links = covered.union(link(screens, _id("o", "l_orderkey"), _id("s", "l_suppkey"), "ON_SCREEN", ev=F.col("ev"))).union(link(binds, _id("s", "l_suppkey"), _id("p", "l_partkey"), "BINDS", ev=F.col("ev")))
-    links = links.union(link(n.where("n_regionkey < 3"), _id("n", "n_nationkey"), _id("p", F.col("n_nationkey") + 1), "HANDLED_BY"))
+    links = [covered.union(link(n.where("n_regionkey < 3"), _id("n", "n_nationkey"), _id("p", F.col("n_nationkey") + 1), "HANDLED_BY"))]
+    links += [link(screens, _id("o", "l_orderkey"), _id("s", "l_suppkey"), "ON_SCREEN", ev=F.col("ev")), link(binds, _id("s", "l_suppkey"), _id("p", "l_partkey"), "BINDS", ev=F.col("ev"))]
     stale = spark.createDataFrame([("R",)], "evidence_id string")
     conflicts = c.where("c_acctbal < -500").select(_id("x", "c_custkey").alias("id"), _id("c", "c_custkey").alias("from_id"), _id("n", "c_nationkey").alias("to_id"))
     candidates = s.select(_id("y", "s_suppkey").alias("id"), _id("s", "s_suppkey").alias("from_id"), _id("n", "s_nationkey").alias("to_id"), F.when(F.col("s_acctbal") < 5000, "rejected").alias("disposition"))

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandline.functions import tables as written
 from strandline.operators import coverage, graphs
 from strandline.plans import catalog
 
@@ -111,3 +112,47 @@ def test_searches_of_several_depths_equal_walks_by_themselves(spark, monkeypatch
         monkeypatch.setattr(graphs, "IDS_OF_A_BROADCAST", most)
         got = [(r["id"], k) for r in graphs.reached(e, spark.createDataFrame([*seeds, (None, 7)], "id string, searches int"), depths).collect() for k in range(3) if r["searches"] >> k & 1]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_steps_of_the_matrix_go_once_they_are_read(spark, tmp_path, monkeypatch):
+    """In many tasks and parts of links the gaps are the same, and of the written tables only those of the result and of levels stay."""
+    tables(spark, str(tmp_path))
+    names = lambda known: {p.rsplit("/", 1)[1][:4] for p in written._written if p not in known}
+    known, few = set(written._written), sorted(map(str, catalog.queries()["coverage_gap_rows"](spark, str(tmp_path)).collect()))
+    assert names(known) <= {"enti", "stal", "fron", "gaps"} and {"link", "conf", "ways", "mark"}.isdisjoint(names(known))
+    let_go = []
+    for module in (coverage, graphs, written):
+        monkeypatch.setattr(module, "forget", let_go.append)
+    monkeypatch.setattr(graphs, "EDGES_OF_A_TASK", 8)
+    for most in (graphs.IDS_OF_A_BROADCAST, 0):
+        monkeypatch.setattr(graphs, "IDS_OF_A_BROADCAST", most)
+        assert sorted(map(str, catalog.queries()["coverage_gap_rows"](spark, str(tmp_path)).collect())) == few
+    assert len(let_go) > 20
+
+
+def test_current_links_of_several_tables_are_one(spark, monkeypatch):
+    for module in (coverage, graphs, written):
+        monkeypatch.setattr(module, "forget", lambda _: None)
+    monkeypatch.setattr(graphs, "EDGES_OF_A_TASK", 4)
+    t = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    a = [("1", "r1", "w", "COVERED_BY", "A", "accepted", []), ("2", "r2", "w", "COVERED_BY", "A", "accepted", ["old"]), ("3", "r3", "w", "COVERED_BY", "A", "accepted", [])]
+    b = [("2", "r2", "x", "COVERED_BY", "A", "accepted", []), ("3", "r3", "x", "COVERED_BY", "A", "accepted", None), (None, "r4", "w", "COVERED_BY", "A", "accepted", [])]
+    e = t([(f"r{k}", "requirement", [], False, False) for k in range(1, 6)], E)
+    rest = t([("3", "r3", "w", "COVERED_BY", "D", "accepted", [])], L), t([("old",)], "evidence_id string"), t([], "id string, from_id string, to_id string"), t([], "id string, from_id string, to_id string, disposition string"), t([], "target_kind string, target_id string")
+    for current in ([t(a, L), t(b, L)], t(a + b, L)):  # a link of stale evidence takes those of its id along, wherever they stand, and so does a pending one
+        gaps, stats = coverage.matrix(e, current, *rest)
+        assert sorted((r["kind"], r["subject_id"]) for r in gaps.collect()) == [("requirement_without_workflow", i) for i in ("r2", "r3", "r5")] + [("stale_evidence", i) for i in ("r2", "w")]
+        assert stats.first()["confident_links"] == 2
+
+
+def test_edges_are_dealt_once_and_joined_as_they_lie(spark):
+    rows = [(f"i{k}", f"i{k * 7 % 50}", 1) for k in range(50)]
+    parts = [spark.createDataFrame(rows[:30], "src string, dst string, searches int"), spark.createDataFrame(rows[30:], "src string, dst string, searches int")]
+    dealt = written.deal(parts, "ways", 5, "src")
+    at = spark.createDataFrame([(f"i{k}",) for k in range(0, 50, 3)], "src string")
+    met = dealt.join(at.repartition(5, "src").hint("shuffle_hash"), "src")
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(tuple(r) for r in met.collect()) == sorted(rows[k] for k in range(0, 50, 3))
+    name = written._catalogued[dealt._written]
+    written.drop(dealt)
+    assert dealt._written not in written._written and not spark.catalog.tableExists(name)
